@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from soripark.llm import language_id
+from soripark.llm import language_id, mixing, piece_encoding
 
 QUERIES = {
     "op1_language_id": language_id.op1,
+    "op4_mixing": mixing.op4,
+    "op10_pieces": piece_encoding.op10,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op4_mixing": mixing.OP4_SQL,
+}
