@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-from soripark.llm import graph_index, language_id, metric_tree, mixing, piece_encoding
+from soripark.llm import graph_index, language_id, metric_tree, mixing, piece_encoding, substring_dedup
 
 QUERIES = {
     "op1_language_id": language_id.op1,
     "op2_metric_tree": metric_tree.op2,
     "op3_graph_search": graph_index.op3,
     "op4_mixing": mixing.op4,
+    "op6_substring_dedup": substring_dedup.op6,
     "op10_pieces": piece_encoding.op10,
 }
 
 ORACLES: dict[str, str] = {
     "op2_metric_tree": metric_tree.OP2_SQL,
     "op4_mixing": mixing.OP4_SQL,
+    "op6_substring_dedup": substring_dedup.OP6_SQL,
 }
