@@ -114,7 +114,7 @@ def shingle_hashes(words: np.ndarray, k: int, which: int = 0) -> np.ndarray:
         rest >>= 1
         if rest:
             level = level[:-width] * power + level[width:]
-            power = power * power
+            power = U64(int(power) ** 2 & 0xFFFFFFFFFFFFFFFF)
             width *= 2
     return mix(out[:n])
 
