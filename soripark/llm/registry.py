@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from soripark.llm import graph_index, jaccard_join, language_id, metric_tree, mixing, piece_encoding, substring_dedup
+from soripark.llm import graph_index, jaccard_join, language_id, metric_tree, mixing, piece_encoding, substring_dedup, template_extraction
 
 QUERIES = {
     "op1_language_id": language_id.op1,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_graph_search": graph_index.op3,
     "op4_mixing": mixing.op4,
     "op6_substring_dedup": substring_dedup.op6,
+    "op8_html_text": template_extraction.op8,
     "op9_jaccard_join": jaccard_join.op9,
     "op10_pieces": piece_encoding.op10,
 }
