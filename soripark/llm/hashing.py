@@ -126,3 +126,16 @@ def shingle_places(counts: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray,
     begin = np.cumsum(counts) - counts
     place = np.arange(int(runs.sum())) - np.repeat(np.cumsum(runs) - runs, runs)
     return text, place, place + begin[text]
+
+
+def word_hashes_and_endings(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Each word's hash, and a number made of its last three bytes (fewer for a shorter word)."""
+    raw = np.frombuffer(data, np.uint8)
+    word = ~_SPACE[raw]
+    edge = np.diff(np.concatenate([[False], word, [False]]).astype(np.int8))
+    starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    ending = np.zeros(len(starts), np.int64)
+    for back in (1, 2, 3):
+        at = ends - back
+        ending = ending * 256 + np.where(at >= starts, raw[np.maximum(at, 0)] if len(raw) else 0, 0)
+    return word_hashes(data), ending

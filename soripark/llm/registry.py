@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from soripark.llm import graph_index, jaccard_join, language_id, metric_tree, mixing, piece_encoding, substring_dedup, template_extraction
+from soripark.llm import class_ngram, graph_index, jaccard_join, language_id, metric_tree, mixing, piece_encoding, substring_dedup, template_extraction
 
 QUERIES = {
     "op1_language_id": language_id.op1,
     "op2_metric_tree": metric_tree.op2,
     "op3_graph_search": graph_index.op3,
     "op4_mixing": mixing.op4,
+    "op5_class_ngram": class_ngram.op5,
     "op6_substring_dedup": substring_dedup.op6,
     "op8_html_text": template_extraction.op8,
     "op9_jaccard_join": jaccard_join.op9,
