@@ -11,7 +11,6 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
@@ -24,7 +23,7 @@ def cells(hashes: np.ndarray, row: int, bits: int) -> np.ndarray:
     return ((hashes ^ (hashes >> U64(31))) * _SALTS[row] >> U64(64 - bits)).astype(np.int64)
 
 
-def build(df: DataFrame, hashes: Callable[[pa.RecordBatch], Iterator[np.ndarray]], rows: int, bits: int, reduced: Callable[[np.ndarray], bytes], segments: int = 64) -> list[bytes]:
+def build(df: DataFrame, hashes: Callable[[pa.RecordBatch], Iterator[np.ndarray]], rows: int, bits: int, reduced: Callable[[np.ndarray], bytes], segments: int = 512) -> list[bytes]:
     """For each row the joined bytes of ``reduced(counts)`` of its cell ranges, in cell order.
 
     ``hashes`` yields uint64 arrays for a batch; ``counts`` are uint32, 2**bits/segments of them.
@@ -65,17 +64,27 @@ def build(df: DataFrame, hashes: Callable[[pa.RecordBatch], Iterator[np.ndarray]
         if n:
             yield from emit(held)
 
-    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
-        total = np.zeros(width, np.int64)
-        for at, count in zip(pdf["cells"], pdf["counts"]):
-            n = np.frombuffer(count, np.uint16)
-            if at is None:
-                total += n
-            else:
-                total[np.frombuffer(at, np.uint32)] += n
-        return pd.DataFrame({"part": [pdf["part"].iloc[0]], "bytes": [reduced(np.minimum(total, 2**32 - 1).astype(np.uint32))]})
+    def merge(batches):  # a range's parts arrive one after another; one total is held at a time
+        def done():
+            return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([reduced(np.minimum(total, 2**32 - 1).astype(np.uint32))], pa.binary())], ["part", "bytes"])
+
+        part, total = None, None
+        for batch in batches:
+            for p, at, count in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
+                if p != part:
+                    if part is not None:
+                        yield done()
+                    part, total = p, np.zeros(width, np.int64)
+                n = np.frombuffer(count.as_buffer(), np.uint16)
+                if at.is_valid:
+                    total[np.frombuffer(at.as_buffer(), np.uint32)] += n
+                else:
+                    total += n
+        if part is not None:
+            yield done()
 
     filled = df.mapInArrow(fill, "part int, cells binary, counts binary")
-    got = {r.part: bytes(r.bytes) for r in filled.groupBy("part").applyInPandas(merge, "part int, bytes binary").toLocalIterator()}
+    merged = filled.repartition("part").sortWithinPartitions("part").mapInArrow(merge, "part int, bytes binary")
+    got = {r.part: bytes(r.bytes) for r in merged.toLocalIterator()}
     empty = reduced(np.zeros(width, np.uint32))
     return [b"".join(got.get(row * segments + s, empty) for s in range(segments)) for row in range(rows)]
