@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from soripark.llm import sketch
 from soripark.llm.common import table, text_bytes
-from soripark.llm.hashing import batch_word_hashes, batches_of, shingle_hashes
+from soripark.llm.hashing import batch_word_hashes, batches_of, mix, shingle_hashes
 
 WIDTH = 20
 GRAM = 8
@@ -30,7 +30,7 @@ SKETCH_ROWS = 2
 #: Cells a row. One bit a cell is broadcast (2 x 16 MB). More windows than cells only weaken the filter.
 SKETCH_BITS = 27
 #: Entries that one task groups at a time, on average.
-BUCKET_ENTRIES = 1_500_000
+BUCKET_ENTRIES = 150_000
 _NO_ID = np.iinfo(np.int64).min
 
 
@@ -122,7 +122,7 @@ def later_windows(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, bits: i
         for batch in batches:
             ids = np.array([_NO_ID if x is None else x for x in batch.column(0).to_pylist()], np.int64)
             hashes = batch.column(2).to_numpy(zero_copy_only=False).astype(np.int64)
-            found = {n: [] for n, _ in _ENTRY}
+            found = {n: [] for n in ("run", *(n for n, _ in _ENTRY))}
             for first, counts, words, _, least, inside in _windows(text_bytes(batch.column(1)), width, gram):
                 at = np.flatnonzero(inside)
                 maybe = np.ones(len(at), bool)
@@ -133,6 +133,7 @@ def later_windows(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, bits: i
                 if not len(at):
                     continue
                 text = np.repeat(np.arange(len(counts)), counts)[at]
+                found["run"].append(least[at])  # equal windows share it, and neighbours mostly do: it deals them out
                 found["key"].append(shingle_hashes(words, width, 0)[at])
                 found["key2"].append(shingle_hashes(words, width, 1)[at])
                 found["doc"].append(ids[first + text])
@@ -144,7 +145,7 @@ def later_windows(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, bits: i
             order, late = _first_places(e["key"], e["key2"], e["doc"], e["start"])
             e = {n: x[order] for n, x in e.items()}
             out = []
-            by = np.where(late, (e["text"].view(np.uint64) % np.uint64(n_buckets)).astype(np.int64), (e["key"] % np.uint64(n_buckets)).astype(np.int64)) * 2 + late
+            by = np.where(late, (e["text"].view(np.uint64) % np.uint64(n_buckets)).astype(np.int64), (mix(e["run"]) % np.uint64(n_buckets)).astype(np.int64)) * 2 + late
             order = np.lexsort((e["start"], e["text"], e["doc"], by))
             e, by = {n: x[order] for n, x in e.items()}, by[order]
             cuts = np.searchsorted(by, np.arange(2 * n_buckets + 1))
