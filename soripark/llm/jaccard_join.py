@@ -19,11 +19,11 @@ import math
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from soripark.llm import sketch
-from soripark.llm.common import saved, small, table, text_bytes
+from soripark.llm.common import saved, slices, small, table, text_bytes
 from soripark.llm.components import components
 from soripark.llm.hashing import batch_word_hashes, batches_of, mix, shingle_hashes
 
@@ -33,7 +33,9 @@ ORDERS = 2
 #: Cells of each sketch row; an order, not a result, depends on it.  2 x 4 MB are broadcast.
 SKETCH_BITS = 21
 #: Prefix tokens that one task groups at a time, on average.
-BUCKET_ENTRIES = 2_000_000
+BUCKET_ENTRIES = 500_000
+#: So many (id, node) pairs of two longs each are broadcast to pick texts; more are joined by shuffle.
+BROADCAST_PAIRS = 500_000
 _NO_ID = np.iinfo(np.int64).min
 
 
@@ -70,7 +72,7 @@ def _cells_of(batch_texts, k):
         yield np.concatenate(held)
 
 
-_POSTINGS = pa.schema([("bucket", pa.int32()), ("order", pa.int32()), ("tokens", pa.binary()), ("nodes", pa.binary()), ("sizes", pa.binary()), ("counts", pa.binary()), ("index_counts", pa.binary()), ("ids", pa.binary())])
+_POSTINGS = pa.schema([("bucket", pa.int32()), ("order", pa.int32()), ("tokens", pa.binary()), ("nodes", pa.binary()), ("sizes", pa.binary()), ("counts", pa.binary()), ("index_counts", pa.binary()), ("ids", pa.binary()), ("hashes", pa.binary())])
 
 
 def _postings(docs: DataFrame, k: int, percent: int, counts: list[bytes], n_buckets: int) -> DataFrame:
@@ -80,7 +82,7 @@ def _postings(docs: DataFrame, k: int, percent: int, counts: list[bytes], n_buck
     def run(batches):
         rows = [np.frombuffer(c, np.uint16).astype(np.uint64) << np.uint64(48) for c in held.value]
         bits = len(rows[0]).bit_length() - 1
-        for batch in batches:
+        for batch in slices(batches):
             ids = np.array([_NO_ID if x is None else x for x in batch.column(0).to_pylist()], np.int64)
             nodes, sizes = np.zeros(len(ids), np.int64), np.zeros(len(ids), np.int32)
             seen: set[int] = set()
@@ -117,11 +119,11 @@ def _postings(docs: DataFrame, k: int, percent: int, counts: list[bytes], n_buck
                     begin = np.flatnonzero(np.concatenate([[True], doc[x + 1 : y] != doc[x : y - 1]]))
                     which = doc[x:y][begin]
                     out.append((b, r, t[x:y].tobytes(), nodes[which].tobytes(), sizes[which].tobytes(), np.diff(begin, append=y - x).astype(np.int32).tobytes(),
-                                np.add.reduceat(index[x:y].astype(np.int32), begin).astype(np.int32).tobytes(), None))
-            out.append((int(ids[0] % n_buckets), -1, None, nodes.tobytes(), sizes.tobytes(), None, None, ids.tobytes()))
+                                np.add.reduceat(index[x:y].astype(np.int32), begin).astype(np.int32).tobytes(), None, None))
+            out.append((int(ids[0] % n_buckets), -1, None, nodes.tobytes(), sizes.tobytes(), None, None, ids.tobytes(), batch.column(2).to_numpy(zero_copy_only=False).astype(np.int64).tobytes()))
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), _POSTINGS)], schema=_POSTINGS)
 
-    return docs.mapInArrow(run, "bucket int, order int, tokens binary, nodes binary, sizes binary, counts binary, index_counts binary, ids binary")
+    return docs.mapInArrow(run, "bucket int, order int, tokens binary, nodes binary, sizes binary, counts binary, index_counts binary, ids binary, hashes binary")
 
 
 def _met(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -132,7 +134,8 @@ def _met(pdf: pd.DataFrame) -> pd.DataFrame:
         sizes = np.concatenate([np.frombuffer(x, np.int32) for x in rows["sizes"]])
         if order < 0:
             ids = np.concatenate([np.frombuffer(x, np.int64) for x in rows["ids"]])
-            out.append(pd.DataFrame({"order": order, "token": ids, "node": nodes, "size": sizes, "index": False}))
+            hashes = np.concatenate([np.frombuffer(x, np.int64) for x in rows["hashes"]])
+            out.append(pd.DataFrame({"order": order, "token": ids, "node": nodes, "size": sizes, "index": False, "hash": hashes}))
             continue
         tokens = np.concatenate([np.frombuffer(x, np.uint32) for x in rows["tokens"]])
         counts = np.concatenate([np.frombuffer(x, np.int32) for x in rows["counts"]])
@@ -157,9 +160,9 @@ def _met(pdf: pd.DataFrame) -> pd.DataFrame:
         length = np.diff(begin, append=len(tokens))
         some = np.repeat((length > 1) & np.logical_or.reduceat(index, begin), length)
         if some.any():
-            out.append(pd.DataFrame({"order": order, "token": tokens[some].astype(np.int64) << 20 | int(rows["bucket"].iloc[0]) << 1 | order, "node": node[some], "size": size[some], "index": index[some]}))
+            out.append(pd.DataFrame({"order": order, "token": tokens[some].astype(np.int64) << 20 | int(rows["bucket"].iloc[0]) << 1 | order, "node": node[some], "size": size[some], "index": index[some], "hash": 0}))
     if not out:
-        return pd.DataFrame({"order": [], "token": [], "node": [], "size": [], "index": []})
+        return pd.DataFrame({"order": [], "token": [], "node": [], "size": [], "index": [], "hash": []})
     return pd.concat(out)
 
 
@@ -169,18 +172,18 @@ def _near_size(a: str, b: str, percent: int):
 
 def verified(pairs: DataFrame, docs: DataFrame, first_id: DataFrame, k: int, percent: int) -> DataFrame:
     """The pairs (a, b) of nodes whose sets are similar enough; sets come from the whole texts of one document each."""
-    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct().join(first_id, "node").select("_id", "node")
+    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct().join(first_id, "node").select("__sp_id", "node")
     wanted = saved(wanted)
-    wanted = small(wanted, wanted.count())
+    wanted = small(wanted, wanted.count(), BROADCAST_PAIRS)
 
     def sets(batches):
-        for batch in batches:
+        for batch in slices(batches):
             out = [x.tobytes() for x in shingle_sets(text_bytes(batch.column(1)), k)]
             found = [fingerprint(np.frombuffer(x, np.uint64)) for x in out]
             same = [i for i, x in enumerate(batch.column(0).to_pylist()) if x == found[i]]  # ids may be shared by other texts
             yield pa.RecordBatch.from_arrays([pa.array([found[i] for i in same], pa.int64()), pa.array([out[i] for i in same], pa.binary())], ["node", "tokens"])
 
-    token_sets = docs.join(wanted, "_id").select("node", "text").mapInArrow(sets, "node long, tokens binary").dropDuplicates(["node"])
+    token_sets = docs.join(wanted, "__sp_id").select("node", "text").mapInArrow(sets, "node long, tokens binary").dropDuplicates(["node"])
 
     @F.arrow_udf("boolean")
     def similar(a: pa.Array, b: pa.Array) -> pa.Array:
@@ -197,19 +200,20 @@ def verified(pairs: DataFrame, docs: DataFrame, first_id: DataFrame, k: int, per
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """One row a row of ``docs``: doc_id, n_shingles, node (its set), component_id (least doc_id reachable by links).
+    """One row a row of ``docs``: doc_id, text_hash, n_shingles, node (its set), component_id (least doc_id
+    reachable by links), is_first (whether this id and text come first in their component).
 
     Null or wordless text: no shingles, linked with nothing, its own component.  A null id is its own
     component unless linked; it is never another's component_id while that has an id.  Rows with one
     id and different texts join their components only through links of their texts.
     """
-    own = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(_NO_ID)).alias("_id"), F.col(text).alias("text"))
+    own = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(_NO_ID)).alias("__sp_id"), F.col(text).alias("text"), text_hash(text).alias("hash"))
     counts = sketch.build(own.select("text"), lambda batch: _cells_of(text_bytes(batch.column(0)), k), ORDERS, SKETCH_BITS, lambda n: np.minimum(n, 65535).astype(np.uint16).tobytes())
     chars = own.agg(F.sum(F.length("text"))).first()[0] or 0
     n_buckets = max(1, math.ceil(chars / 6 * (1.01 - percent / 100) / BUCKET_ENTRIES))
-    met = saved(_postings(own, k, percent, counts, n_buckets).groupBy("bucket").applyInPandas(_met, "order int, token long, node long, size int, index boolean"))
-    sets = met.where("order = -1").select(F.col("token").alias("_id"), "node", "size")
-    first_id = sets.where("size > 0").groupBy("node").agg(F.min("_id").alias("_id"))
+    met = saved(_postings(own, k, percent, counts, n_buckets).groupBy("bucket").applyInPandas(_met, "order int, token long, node long, size int, index boolean, hash long"))
+    sets = met.where("order = -1").select(F.col("token").alias("__sp_id"), "hash", "node", "size")
+    first_id = sets.where("size > 0").groupBy("node").agg(F.min("__sp_id").alias("__sp_id"))
     postings = met.where("order >= 0")
 
     # round one: each node against the best connected node it meets
@@ -240,10 +244,31 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     final = components(links.union(more).select(F.col("a").alias("u"), F.col("b").alias("v")))
 
     grouped = sets.join(final, "node", "left").withColumn("group", F.coalesce("component", "node"))
-    real = F.when(F.col("_id") != _NO_ID, F.col("_id"))
-    least = grouped.where("size > 0").groupBy("group").agg(F.min(real).alias("least"))
+    real = F.when(F.col("__sp_id") != _NO_ID, F.col("__sp_id"))
+    here = F.struct(real.isNull().alias("null"), F.col("__sp_id").alias("id"), F.col("hash").alias("hash"))
+    least = grouped.where("size > 0").groupBy("group").agg(F.min(real).alias("least"), F.min(here).alias("first"))
     out = grouped.join(least, "group", "left")
-    return out.select(real.alias("doc_id"), F.col("size").cast("long").alias("n_shingles"), "node", F.when(F.col("size") > 0, F.col("least")).otherwise(real).alias("component_id"))
+    linked = F.col("size") > 0
+    return out.select(real.alias("doc_id"), F.col("hash").alias("text_hash"), F.col("size").cast("long").alias("n_shingles"), "node",
+                      F.when(linked, F.col("least")).otherwise(real).alias("component_id"), F.when(linked, here == F.col("first")).otherwise(True).alias("is_first"))
+
+
+def text_hash(text: str):
+    """Tells rows of one id apart (null counts as empty)."""
+    return F.xxhash64(F.coalesce(F.col(text), F.lit("")))
+
+
+def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """``docs`` without all but the first row (least id) of each near-duplicate group; of equal rows one stays.
+
+    Texts without words are no near duplicates and all stay, but for equal rows.
+    """
+    keep = near_duplicates(docs, doc_id, text, k, percent).where("is_first").select(F.col("doc_id").alias("__sp_id"), F.col("text_hash").alias("__sp_hash")).distinct()
+    keyed = docs.withColumns({"__sp_id": F.col(doc_id).cast("long"), "__sp_hash": text_hash(text)})
+    d, n = keyed.alias("d"), keep.alias("n")
+    kept = d.join(n, F.col("d.__sp_hash").eqNullSafe(F.col("n.__sp_hash")) & F.col("d.__sp_id").eqNullSafe(F.col("n.__sp_id")), "left_semi")
+    once = F.row_number().over(Window.partitionBy("__sp_hash", "__sp_id").orderBy("__sp_hash"))
+    return kept.withColumn("__sp_once", once).where("__sp_once = 1").drop("__sp_id", "__sp_hash", "__sp_once")
 
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:

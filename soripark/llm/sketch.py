@@ -14,6 +14,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from soripark.llm.common import slices
+
 U64 = np.uint64
 _SALTS = np.random.Generator(np.random.PCG64(97)).integers(1, 2**63, 8, dtype=np.uint64) * U64(2) + U64(1)
 _HELD = 1 << 21
@@ -54,7 +56,7 @@ def build(df: DataFrame, hashes: Callable[[pa.RecordBatch], Iterator[np.ndarray]
                     yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(at_, pa.binary()), pa.array(n, pa.binary())], ["part", "cells", "counts"])
 
         held, n = [], 0
-        for batch in batches:
+        for batch in slices(batches):
             for h in hashes(batch):
                 held.append(h)
                 n += len(h)
