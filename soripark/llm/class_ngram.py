@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from soripark.llm.common import remainder, saved, table, text_bytes
+from soripark.llm.common import remainder, saved, slices, table, text_bytes
 from soripark.llm.hashing import batches_of, mix, word_hashes_and_endings
 
 SHARE = 2.0**-15
@@ -94,7 +94,7 @@ def count_words(train: DataFrame, share: float, n_buckets: int) -> Units:
     """Exact counts of all training words, each text's end among them."""
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             words, bins = [], []
             for _, counts, hashes, own in _chunks(text_bytes(batch.column(0))):
                 words.append(np.concatenate([hashes, np.full(len(counts), END)]))
@@ -143,7 +143,7 @@ def _unit_bigrams(train: DataFrame, units: Units) -> DataFrame:
     def run(batches):
         u, kept, kept_n = held.value, np.zeros(0, np.int64), np.zeros(0, np.int64)
         end = int(u.of(np.array([END]), np.zeros(1, np.int64))[0])
-        for batch in batches:
+        for batch in slices(batches):
             for _, counts, hashes, bins in _chunks(text_bytes(batch.column(0))):
                 seq, begins = _with_ends(counts, u.of(hashes, bins), end)
                 before = np.concatenate([[end], seq[:-1]])
@@ -183,13 +183,15 @@ def _best_moves(m: np.ndarray, own: int, out: np.ndarray, into: np.ndarray, loop
     rest[own] -= out
     rest[:, own] -= into
     rest[own, own] -= loops
-    row, col = rest.sum(1), rest.sum(0)
+    weight = out.sum() + loops, into.sum() + loops
+    row, col = m.sum(1), m.sum(0)  # a class keeps its total when a neighbour of its units moves
+    row[own] -= weight[0]
+    col[own] -= weight[1]
     # the likelihood's terms that change when the unit joins class b: row b, column b and their crossing
     gain_row = (_xlogx(rest + out) - _xlogx(rest)).sum(1)
     gain_col = (_xlogx(rest + into[:, None]) - _xlogx(rest)).sum(0)
     d = np.diag(rest)
     cross = _xlogx(d + out + into + loops) - _xlogx(d + out) - _xlogx(d + into) + _xlogx(d)
-    weight = out.sum() + loops, into.sum() + loops
     marginal = _xlogx(row + weight[0]) - _xlogx(row) + _xlogx(col + weight[1]) - _xlogx(col)
     total = gain_row + gain_col + cross - marginal
     best = int(total.argmax())
@@ -312,7 +314,7 @@ def score(docs: DataFrame, model: Model, bucket_entries: int = BUCKET_ENTRIES) -
 
     def run(batches):
         m, u = held.value, held.value.units
-        for number, batch in enumerate(batches):
+        for number, batch in enumerate(slices(batches)):
             key = TaskContext.get().partitionId() << 32 | number
             ids, train = batch.column(0).to_pylist(), np.array(batch.column(2).to_pylist(), bool)
             local = np.zeros((4, len(ids)))  # tokens, known, base, score
