@@ -73,19 +73,40 @@ def mix(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str
     one source of their own.  Equal ids share a hash and so a fate.  A source without words has
     target 0.  An empty table gives no rows.
     """
-    sized = saved(docs.select(F.col(key).alias("doc_id"), F.col(source).alias("source"),
-                              F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long").alias("size"), row_hash(F.col(key)).alias("hash")))
+    sized = sizes(docs, key, source, text)
+    plan = _plan(sized, max_repeats).alias("p")
+    joined = sized.alias("d").join(plan, F.col("d.source").eqNullSafe(F.col("p.source")))
+    rows = joined.select("d.doc_id", "d.source", "d.size", "p.source_size", "p.target", _passes("d.hash").alias("passes"))
+    return rows.withColumn("taken", F.col("passes") * F.col("size"))
+
+
+def sizes(docs: DataFrame, key: str, source: str, text: str) -> DataFrame:
+    """doc_id, source, size, hash of each row, written once: the later steps do not read texts again."""
+    n_words = F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")
+    return saved(docs.select(F.col(key).alias("doc_id"), F.col(source).alias("source"), n_words.alias("size"), row_hash(F.col(key)).alias("hash")))
+
+
+def _plan(sized: DataFrame, max_repeats: int) -> DataFrame:
+    """One row a source: source_size, target, whole passes and the threshold of the rest; broadcast if there are few."""
     sources = saved(with_targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), max_repeats))
     n_sources = sources.count()
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
     budgets = sources.withColumn("whole", whole.cast("long")).withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size"))
     ends = thresholds(sized.select("source", "size", "hash"), budgets, n_sources)
     plan = budgets.alias("b").join(ends.alias("e"), F.col("b.source").eqNullSafe(F.col("e.source")), "left").select("b.*", "e.upto", "e.also")
-    plan = small(plan, n_sources).alias("p")
-    once_more = F.coalesce((F.col("d.hash") < F.col("p.upto")) | ((F.col("d.hash") == F.col("p.upto")) & F.col("p.also")), F.lit(False))
-    joined = sized.alias("d").join(plan, F.col("d.source").eqNullSafe(F.col("p.source")))
-    passes = (F.col("p.whole") + once_more.cast("long")).alias("passes")
-    return joined.select("d.doc_id", "d.source", "d.size", "p.source_size", "p.target", passes).withColumn("taken", F.col("passes") * F.col("size"))
+    return small(plan, n_sources)
+
+
+def _passes(row: str) -> Column:
+    once_more = (F.col(row) < F.col("p.upto")) | ((F.col(row) == F.col("p.upto")) & F.col("p.also"))
+    return F.col("p.whole") + F.coalesce(once_more, F.lit(False)).cast("long")
+
+
+def mixed(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text", max_repeats: int = MAX_REPEATS) -> DataFrame:
+    """The rows of ``docs`` that the mix takes, each as often as it takes it; texts are filtered where they are, not shuffled."""
+    plan = _plan(sizes(docs, key, source, text), max_repeats).alias("p")
+    rows = docs.withColumn("__sp_hash", row_hash(F.col(key))).alias("d").join(plan, F.col(f"d.{source}").eqNullSafe(F.col("p.source")))
+    return rows.select("d.*", F.explode(F.array_repeat(F.lit(1), _passes("d.__sp_hash").cast("int"))).alias("__sp_pass")).drop("__sp_hash", "__sp_pass")
 
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:

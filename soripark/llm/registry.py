@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from soripark.llm import class_ngram, graph_index, jaccard_join, language_id, metric_tree, mixing, piece_encoding, substring_dedup, template_extraction
 
 QUERIES = {
@@ -14,6 +15,7 @@ QUERIES = {
     "op8_html_text": template_extraction.op8,
     "op9_jaccard_join": jaccard_join.op9,
     "op10_pieces": piece_encoding.op10,
+    "pipeline": corpus_pipeline.run,
 }
 
 ORACLES: dict[str, str] = {

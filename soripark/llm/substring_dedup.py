@@ -189,9 +189,9 @@ def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     A word goes if a window of ``width`` words that covers it also starts earlier.  Null and short
     texts lose nothing.  Every other column stays as it is.
     """
-    keyed = docs.withColumns({"_id": F.coalesce(F.col(doc_id).cast("long"), F.lit(_NO_ID)), "_hash": F.xxhash64(F.coalesce(F.col(text), F.lit("")))})
-    marks = later_windows(keyed.select(F.col("_id").alias("doc_id"), F.col(text).alias("text"), F.col("_hash").alias("text_hash")), width)
-    marks = marks.groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).agg(F.collect_list("starts").alias("_starts"))
+    keyed = docs.withColumns({"__sp_id": F.coalesce(F.col(doc_id).cast("long"), F.lit(_NO_ID)), "__sp_hash": F.xxhash64(F.coalesce(F.col(text), F.lit("")))})
+    marks = later_windows(keyed.select(F.col("__sp_id").alias("doc_id"), F.col(text).alias("text"), F.col("__sp_hash").alias("text_hash")), width)
+    marks = marks.groupBy(F.col("doc_id").alias("__sp_id"), F.col("text_hash").alias("__sp_hash")).agg(F.collect_list("starts").alias("__sp_starts"))
     fields = [pa.field("n_words", pa.int64()), pa.field("n_removed", pa.int64()), pa.field("text", pa.string())]
 
     @F.arrow_udf("struct<n_words: long, n_removed: long, text: string>")
@@ -200,7 +200,7 @@ def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         last = [hashlib.sha256(x[2].encode()).hexdigest() if digest else x[2] for x in rows]
         return pa.StructArray.from_arrays([pa.array([x[0] for x in rows], pa.int64()), pa.array([x[1] for x in rows], pa.int64()), pa.array(last, pa.string())], fields=fields)
 
-    return keyed.join(marks, ["_id", "_hash"], "left").withColumn(into, keep(F.col(text), F.col("_starts"))).drop("_id", "_hash", "_starts")
+    return keyed.join(marks, ["__sp_id", "__sp_hash"], "left").withColumn(into, keep(F.col(text), F.col("__sp_starts"))).drop("__sp_id", "__sp_hash", "__sp_starts")
 
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
