@@ -25,7 +25,34 @@ QUERY_BEAM = 128
 ENTRIES = 32
 ALPHA = 1.2
 BATCH = 512
-NODES = "dim int, shard int, node int, entry boolean, vector binary, edges binary, ids binary"
+#: Points nearer to each other than this share of a usual nearest distance are one node of the graph.
+CLUMP = 0.1
+NODES = "dim int, shard int, node int, entry boolean, vector binary, edges binary, ids binary, members binary"
+
+
+def clumps(points: np.ndarray, share: float = CLUMP) -> np.ndarray:
+    """For each point the point that stands for it: itself, or an earlier one very near to it.
+
+    In a clump of very near points every beam would fill with its members and see nothing else.
+    """
+    n = len(points)
+    near = np.full(n, np.inf)
+    square = (points.astype(np.float64) ** 2).sum(1)
+    for lot in range(0, n, BATCH):
+        gap = square[lot : lot + BATCH, None] - 2.0 * points[lot : lot + BATCH].astype(np.float64) @ points.T.astype(np.float64) + square
+        gap[np.arange(len(gap)), np.arange(lot, lot + len(gap))] = np.inf
+        near[lot : lot + BATCH] = np.sqrt(np.maximum(gap.min(1), 0))
+    own = np.arange(n)
+    if n < 3:
+        return own
+    reach = share * np.quantile(near, 0.95)
+    left = np.flatnonzero(near <= reach)
+    while len(left):
+        gap = points[left].astype(np.float64) - points[left[0]]
+        close = np.einsum("ij,ij->i", gap, gap) <= reach * reach
+        own[left[close]] = left[0]
+        left = left[~close]
+    return own
 
 
 def beam_search(points: np.ndarray, edges: np.ndarray, entries: np.ndarray, queries: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
@@ -139,19 +166,21 @@ def build(points: np.ndarray, degree: int = DEGREE, beam: int = BUILD_BEAM, alph
 
 
 def index(vectors: DataFrame, shard_rows: int = SHARD_ROWS) -> tuple[DataFrame, int]:
-    """Graph nodes of ``vectors`` (vec_id, v array<float>): one row a distinct vector of a shard, with the ids that share it."""
+    """Graph nodes of ``vectors`` (vec_id, v array<float>): one row a node, with the ids and vectors that it stands for."""
     rows, n = dealt(vectors, shard_rows)
 
     def nodes(key, shard: pd.DataFrame) -> pd.DataFrame:
         shard = shard.sort_values("vec_id")
-        points, which = np.unique(matrix(shard["v"], np.float32), axis=0, return_inverse=True)
-        which = which.ravel()
+        every = matrix(shard["v"], np.float32)
+        points, which = np.unique(every, axis=0, return_inverse=True)
+        stands, which = np.unique(clumps(points)[which.ravel()], return_inverse=True)
+        points = points[stands]
         edges, entries = build(points)
         ids = shard["vec_id"].to_numpy(np.int64)
         by = np.argsort(which, kind="stable")
-        groups = np.split(ids[by], np.cumsum(np.bincount(which, minlength=len(points)))[:-1])
+        groups = np.split(by, np.cumsum(np.bincount(which, minlength=len(points)))[:-1])
         return pd.DataFrame({"dim": key[0], "shard": key[1], "node": np.arange(len(points)), "entry": np.isin(np.arange(len(points)), entries), "vector": [p.tobytes() for p in points],
-                             "edges": [e.astype(np.int32).tobytes() for e in edges], "ids": [g.tobytes() for g in groups]})
+                             "edges": [e.astype(np.int32).tobytes() for e in edges], "ids": [ids[g].tobytes() for g in groups], "members": [every[g].tobytes() for g in groups]})
 
     return rows.groupBy("dim", "shard").applyInPandas(nodes, NODES), n
 
@@ -159,7 +188,7 @@ def index(vectors: DataFrame, shard_rows: int = SHARD_ROWS) -> tuple[DataFrame,
 def search(vectors: DataFrame, queries: DataFrame, k: int, beam: int = QUERY_BEAM, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found by Euclidean distance, ties to the smaller vec_id.
 
-    A query's own id is no candidate; equal vectors share a node and are all found with it.  Fewer
+    A query's own id is no candidate; equal and very near vectors share a node and are all found with it.  Fewer
     candidates than k: all that are found.  Vectors meet queries of their own dimension only.
     """
     nodes, n = index(vectors, shard_rows)
@@ -170,16 +199,19 @@ def search(vectors: DataFrame, queries: DataFrame, k: int, beam: int = QUERY_BEA
             graph = graph.sort_values("node")
             points = np.stack([np.frombuffer(x, np.float32) for x in graph["vector"]])
             edges = np.stack([np.frombuffer(x, np.int32) for x in graph["edges"]]).astype(np.int64)
-            members = [np.frombuffer(x, np.int64) for x in graph["ids"]]
+            ids = [np.frombuffer(x, np.int64) for x in graph["ids"]]
+            members = [np.frombuffer(x, np.float32).reshape(len(i), -1) for x, i in zip(graph["members"], ids)]
+            entries = np.flatnonzero(graph["entry"].to_numpy())
             query_ids, all_queries = asked["query_id"].to_numpy(np.int64), matrix(asked["v"], np.float32)
             for lot in range(0, len(asked), BATCH):
                 own, q = query_ids[lot : lot + BATCH], all_queries[lot : lot + BATCH]
-                found, _ = beam_search(points, edges, np.flatnonzero(graph["entry"].to_numpy()), q, max(beam, k + 1))
+                found, _ = beam_search(points, edges, entries, q, max(beam, k + 1))
                 for i, query, near in zip(own, q.astype(np.float64), found):
-                    near = near[near >= 0]
-                    exact = np.sqrt(((points[near].astype(np.float64) - query) ** 2).sum(1))
-                    hits = [(d, v) for d, x in zip(exact.tolist(), near.tolist()) for v in members[x][: k + 1].tolist() if v != i]
-                    out += [(int(i), v, d) for d, v in sorted(hits)[:k]]
+                    near = near[near >= 0].tolist()
+                    at = np.concatenate([ids[x] for x in near])
+                    exact = np.sqrt(((np.concatenate([members[x] for x in near]).astype(np.float64) - query) ** 2).sum(1))
+                    order = np.lexsort((at, exact))[: k + 1]
+                    out += [(int(i), v, d) for v, d in zip(at[order].tolist(), exact[order].tolist()) if v != i][:k]
         return pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
 
     found = searched(nodes, queries, n, run, "query_id long, vec_id long, score double")
