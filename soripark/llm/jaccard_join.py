@@ -30,10 +30,12 @@ from soripark.llm.hashing import batch_word_hashes, batches_of, mix, shingle_has
 WORDS = 5
 PERCENT = 75
 ORDERS = 2
+#: How often postings that no link can use are taken out before pairs are made; an economy, never a loss.
+PRUNINGS = 2
 #: Cells of each sketch row; an order, not a result, depends on it.  2 x 4 MB are broadcast.
 SKETCH_BITS = 21
 #: Prefix tokens that one task groups at a time, on average.
-BUCKET_ENTRIES = 500_000
+BUCKET_ENTRIES = 1_500_000
 #: So many (id, node) pairs of two longs each are broadcast to pick texts; more are joined by shuffle.
 BROADCAST_PAIRS = 500_000
 _NO_ID = np.iinfo(np.int64).min
@@ -158,7 +160,7 @@ def _met(pdf: pd.DataFrame) -> pd.DataFrame:
         tokens, node, size, index = tokens[first], node[first], size[first], index[first]
         begin = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1]]))
         length = np.diff(begin, append=len(tokens))
-        some = np.repeat((length > 1) & np.logical_or.reduceat(index, begin), length)
+        some = np.repeat(length > 1, length)
         if some.any():
             out.append(pd.DataFrame({"order": order, "token": tokens[some].astype(np.int64) << 20 | int(rows["bucket"].iloc[0]) << 1 | order, "node": node[some], "size": size[some], "index": index[some], "hash": 0}))
     if not out:
@@ -170,6 +172,30 @@ def _near_size(a: str, b: str, percent: int):
     return (100 * F.least(a, b) >= percent * F.greatest(a, b))
 
 
+def _need(a: str, b: str, percent: int):
+    """How many prefix tokens two linked sets of these sizes share at least, under any order.
+
+    Common tokens that are not in both prefixes lie behind the one that ends first, so they are no
+    more than its set's rest; the overlap that a link needs, less the larger rest, is in both prefixes.
+    """
+    rest = lambda n: F.ceil(percent * F.col(n) / 100) - 1
+    return F.ceil(percent * (F.col(a) + F.col(b)) / (100 + percent)) - F.greatest(rest(a), rest(b))
+
+
+def _hopeful(postings: DataFrame, percent: int) -> DataFrame:
+    """Postings without entries that no link can use.
+
+    A node with fewer met tokens than a link needs is left out of a token whose other sets are of any
+    such size; the need is least for the sizes farthest from its own.  A linked node meets under every order.
+    """
+    sizes = postings.groupBy("token").agg(F.min("size").alias("low"), F.max("size").alias("high"), F.count("*").alias("sets")).where("sets > 1")
+    degree = postings.groupBy("node", "order").agg(F.count("*").alias("degree"))
+    rows = postings.join(sizes, "token").join(degree, ["node", "order"])
+    kept = rows.where(F.col("degree") >= F.least(_need("size", "low", percent), _need("size", "high", percent))).select(postings.columns)
+    everywhere = kept.groupBy("node").agg(F.min("order").alias("p"), F.max("order").alias("q")).where("p <> q").select("node")
+    return kept.join(everywhere, "node", "left_semi")
+
+
 def verified(pairs: DataFrame, docs: DataFrame, first_id: DataFrame, k: int, percent: int) -> DataFrame:
     """The pairs (a, b) of nodes whose sets are similar enough; sets come from the whole texts of one document each."""
     wanted = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct().join(first_id, "node").select("__sp_id", "node")
@@ -211,34 +237,38 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     counts = sketch.build(own.select("text"), lambda batch: _cells_of(text_bytes(batch.column(0)), k), ORDERS, SKETCH_BITS, lambda n: np.minimum(n, 65535).astype(np.uint16).tobytes())
     chars = own.agg(F.sum(F.length("text"))).first()[0] or 0
     n_buckets = max(1, math.ceil(chars / 6 * (1.01 - percent / 100) / BUCKET_ENTRIES))
-    met = saved(_postings(own, k, percent, counts, n_buckets).groupBy("bucket").applyInPandas(_met, "order int, token long, node long, size int, index boolean, hash long"))
+    met = saved(_postings(own, k, percent, counts, n_buckets).groupBy("bucket", "order").applyInPandas(_met, "order int, token long, node long, size int, index boolean, hash long"))
     sets = met.where("order = -1").select(F.col("token").alias("__sp_id"), "hash", "node", "size")
     first_id = sets.where("size > 0").groupBy("node").agg(F.min("__sp_id").alias("__sp_id"))
-    postings = met.where("order >= 0")
+    postings = met.where("order >= 0").select("order", "token", "node", "size", "index")
+    for _ in range(PRUNINGS):
+        postings = saved(_hopeful(postings, percent))
 
     # round one: each node against the best connected node it meets
     degree = postings.groupBy("node").agg(F.count("*").alias("degree"))
     ranked = postings.join(degree, "node")
     leader = ranked.groupBy("token").agg(F.max(F.struct("degree", "node", "size")).alias("l"))
     meets = ranked.join(leader, "token").where("node <> l.node").where(_near_size("size", "l.size", percent))
-    shared = meets.groupBy("node", F.col("l.node").alias("leader")).agg(F.count("*").alias("n"), F.first("l.degree").alias("d"))
-    best = shared.groupBy("node").agg(F.max(F.struct("n", "d", "leader")).alias("x")).select(F.least("node", "x.leader").alias("a"), F.greatest("node", "x.leader").alias("b")).distinct()
+    shared = meets.groupBy("node", F.col("l.node").alias("leader")).agg(F.count("*").alias("n"), F.first("l.degree").alias("d"), F.first(_need("size", "l.size", percent)).alias("need"))
+    likely = shared.where(F.col("n") >= F.col("need"))  # both orders count, so half of what a link needs; a guess, round two is the proof
+    best = likely.groupBy("node").agg(F.max(F.struct("n", "d", "leader")).alias("x")).select(F.least("node", "x.leader").alias("a"), F.greatest("node", "x.leader").alias("b")).distinct()
     tried = saved(best)
     links = saved(verified(tried, own, first_id, k, percent))
     joined = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
 
-    # round two: pairs in different components that meet under both orders
+    # round two: pairs in different components that share enough prefix tokens under each order
     placed = postings.join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
     split = placed.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("token")
     rest = saved(placed.join(split, "token", "left_semi"))
     x, y = rest.alias("x"), rest.alias("y")
-    pairs = (
-        x.join(y, F.col("x.token") == F.col("y.token"))
-        .where("x.node <> y.node and x.component <> y.component and x.index and (x.size < y.size or x.size = y.size and (not y.index or x.node < y.node))")
-        .where(_near_size("x.size", "y.size", percent))
-        .select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"), F.col("x.order").alias("order"))
-        .groupBy("a", "b").agg(F.min("order").alias("p"), F.max("order").alias("q")).where("p <> q").select("a", "b")
+    smaller = "x.node <> y.node and x.component <> y.component and (x.size < y.size or x.size = y.size and x.node < y.node)"
+    met_pairs = (
+        x.join(y, F.col("x.token") == F.col("y.token")).where(smaller).where(_near_size("x.size", "y.size", percent))
+        .groupBy(F.col("x.node").alias("a"), F.col("y.node").alias("b"), F.col("x.order").alias("order"))
+        .agg(F.count("*").alias("n"), F.max(F.col("x.index")).alias("index"), F.first(_need("x.size", "y.size", percent)).alias("need"))
     )
+    pairs = met_pairs.where("n >= need and index").groupBy("a", "b").agg(F.count("*").alias("orders")).where(F.col("orders") == ORDERS)
+    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     left = saved(pairs.join(tried, ["a", "b"], "left_anti"))
     more = saved(verified(left, own, first_id, k, percent))
     final = components(links.union(more).select(F.col("a").alias("u"), F.col("b").alias("v")))
