@@ -105,11 +105,11 @@ def _align(ref: list[dict], hyp: list[dict], profile: str) -> dict:
             step |= {"hyp_symbol": h[j][0], "hyp_category": h[j][1], "hyp_index": j}
         if move == kernels.SUBSTITUTE:
             cost, label, penalties = sub[i][j]
-            step |= {"op": "match" if cost == 0 else "substitute", "cost": cost, "error_type": label, "detail": f"{r[i][0]} -> {h[j][0]}", "penalties": list(penalties)}
+            step |= {"op": "match" if cost == 0 else "substitute", "cost": cost, "error_type": label, "detail": f"{r[i][0]} -> {h[j][0]}", "penalties": dict(penalties)}
         elif move == kernels.DELETE:
-            step |= {"op": "delete", "cost": dels[i][0], "error_type": dels[i][1], "detail": f"{r[i][0]} deleted", "penalties": []}
+            step |= {"op": "delete", "cost": dels[i][0], "error_type": dels[i][1], "detail": f"{r[i][0]} deleted", "penalties": {}}
         else:
-            step |= {"op": "insert", "cost": ins[j][0], "error_type": ins[j][1], "detail": f"{h[j][0]} inserted", "penalties": []}
+            step |= {"op": "insert", "cost": ins[j][0], "error_type": ins[j][1], "detail": f"{h[j][0]} inserted", "penalties": {}}
         steps.append(step)
         i, j = i + (move != kernels.INSERT), j + (move != kernels.DELETE)
     worst = sum(c + 0.6 for c, _ in dels) + sum(0.2 * c for c, _ in ins)
