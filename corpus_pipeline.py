@@ -6,14 +6,13 @@ one's rows as Parquet in the cluster's shared folder and reads them for the next
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from soripark.llm import jaccard_join, language_id, mixing, piece_encoding, substring_dedup
-from soripark.llm.common import table
+from soripark.llm.common import shared_folder, table
 
 #: A document whose language is less probable than this, or that has no letter, is rejected.
 LEAST_PROBABLE = 0.5
@@ -68,8 +67,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages on the documents table; rows of the last."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-pipeline-")
-    folder = f"{shared.rstrip('/')}/pipeline-{uuid.uuid4().hex}"
+    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = table(spark, sf_dir, "documents")
     for number, (name, stage) in enumerate(STAGES):
         path = f"{folder}/{number}_{name}.parquet"
