@@ -17,6 +17,7 @@ import hashlib
 from dataclasses import dataclass
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,7 +26,7 @@ from soripark.llm.common import table
 
 SPACE = "▁"
 #: Cut parts remembered per Python worker: two generations of this many; memory only, no effect on results.
-REMEMBERED = 150_000
+REMEMBERED = 100_000
 
 
 @dataclass(frozen=True)
@@ -266,7 +267,9 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", into: st
     @F.arrow_udf("array<int>")
     def run(texts: pa.Array) -> pa.Array:
         e = _encoder(held)
-        return pa.array([e.encode(t) for t in texts.to_pylist()], pa.list_(pa.int32()))
+        rows = [np.array(e.encode(texts[i].as_py()), np.int32) for i in range(len(texts))]  # four bytes an id, one text at a time
+        offsets = np.concatenate([[0], np.cumsum([len(r) for r in rows])]).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.zeros(0, np.int32), *rows])))
 
     return docs.withColumn(into, run(F.col(text)))
 
@@ -278,7 +281,7 @@ def decode(docs: DataFrame, vocabulary: Vocabulary, ids: str = "ids", into: str
     @F.arrow_udf("string")
     def run(rows: pa.Array) -> pa.Array:
         e = _encoder(held)
-        return pa.array([e.decode(r or []) for r in rows.to_pylist()], pa.string())
+        return pa.array([e.decode(rows[i].values.to_numpy().tolist() if rows[i].is_valid else []) for i in range(len(rows))], pa.string())
 
     return docs.withColumn(into, run(F.col(ids)))
 
