@@ -92,9 +92,10 @@ def cost_table(spark: SparkSession, symbols: DataFrame, profile: str = "ru") ->
 def _align(ref: list[dict], hyp: list[dict], profile: str) -> dict:
     r = [(x["symbol"], x["category"], x["position"]) for x in ref]
     h = [(x["symbol"], x["category"]) for x in hyp]
-    sub = [[substitution(a, ka, p, b, kb, profile) for b, kb in h] for a, ka, p in r]
     dels, ins = [deletion(*x) for x in r], [insertion(*x, profile) for x in h]
-    costs = np.array([[c[0] for c in row] for row in sub]).reshape(len(r), len(h))
+    kinds_r, kinds_h = {x: k for k, x in enumerate(dict.fromkeys(r))}, {x: k for k, x in enumerate(dict.fromkeys(h))}
+    table = np.array([[substitution(*x, *y, profile)[0] for y in kinds_h] for x in kinds_r]).reshape(len(kinds_r), len(kinds_h))
+    costs = table[np.array([kinds_r[x] for x in r], int)][:, np.array([kinds_h[x] for x in h], int)] if r and h else np.zeros((len(r), len(h)))
     total, moves = kernels.edit_path(costs, np.array([c for c, _ in dels]), np.array([c for c, _ in ins]))
     steps, i, j = [], 0, 0
     for move in moves:
@@ -104,7 +105,7 @@ def _align(ref: list[dict], hyp: list[dict], profile: str) -> dict:
         if move != kernels.DELETE:
             step |= {"hyp_symbol": h[j][0], "hyp_category": h[j][1], "hyp_index": j}
         if move == kernels.SUBSTITUTE:
-            cost, label, penalties = sub[i][j]
+            cost, label, penalties = substitution(*r[i], *h[j], profile)
             step |= {"op": "match" if cost == 0 else "substitute", "cost": cost, "error_type": label, "detail": f"{r[i][0]} -> {h[j][0]}", "penalties": dict(penalties)}
         elif move == kernels.DELETE:
             step |= {"op": "delete", "cost": dels[i][0], "error_type": dels[i][1], "detail": f"{r[i][0]} deleted", "penalties": {}}
