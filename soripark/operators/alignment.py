@@ -129,7 +129,8 @@ def align(pairs: DataFrame, ref: str = "ref", hyp: str = "hyp", profile: str = "
         return pd.DataFrame([_align(listed(a), listed(b), profile) for a, b in zip(refs, hyps)], columns=["total_cost", "max_cost", "score", "steps"])
 
     keyed = pairs.withColumn("_pair", F.xxhash64(F.to_json(F.struct(ref, hyp))))
-    done = keyed.select("_pair", ref, hyp).dropDuplicates(["_pair"]).select("_pair", run(ref, hyp).alias(into))
+    spread = 2 * pairs.sparkSession.sparkContext.defaultParallelism  # few bytes but much work a row
+    done = keyed.select("_pair", ref, hyp).dropDuplicates(["_pair"]).repartition(spread).select("_pair", run(ref, hyp).alias(into))
     return keyed.join(done, "_pair").drop("_pair")
 
 
