@@ -139,21 +139,21 @@ def pronounce(normal: Column, linking: bool) -> Column:
     return F.array_join(F.flatten(F.zip_with(rest, F.concat(F.transform(beside, changed), F.array(F.lit(""))), lambda a, b: F.array(a, b))), "")
 
 
-def ipa_symbols(pronunciation: Column) -> Column:
-    """array<struct<symbol, position>> of a pronunciation form."""
+def symbols_of(ch: Column) -> Column:
+    """array<struct<symbol, position>> of one character."""
+    c = code(ch)
+    o, v, k = F.floor(c / 588), F.floor(c % 588 / 28), c % 28
+    soft = v.isin([t.VOWELS.index(x) for x in sorted(t.PALATAL_VOWELS)])
+    onset = F.when(soft & (o == t.ONSETS.index("ㅅ")), F.lit("ɕ")).when(soft & (o == t.ONSETS.index("ㅆ")), F.lit("ɕ͈")).otherwise(at(t.ONSET_IPA, o))
+    part = lambda s, p: F.struct(s.alias("symbol"), F.lit(p).alias("position"))
+    syllable = F.array(part(onset, "onset"), part(at(t.VOWEL_IPA, v), "nucleus"), part(at(t.CODA_IPA, k), "coda"))
+    return F.when((c >= 0) & (c < 11172), F.filter(syllable, lambda s: s["symbol"] != "")).otherwise(F.array(part(ch, "other")))
 
-    def of(ch: Column) -> Column:
-        c = code(ch)
-        o, v, k = F.floor(c / 588), F.floor(c % 588 / 28), c % 28
-        vowel = at(t.VOWELS, v)
-        soft = vowel.isin(sorted(t.PALATAL_VOWELS))
-        onset = F.when(soft & (o == t.ONSETS.index("ㅅ")), F.lit("ɕ")).when(soft & (o == t.ONSETS.index("ㅆ")), F.lit("ɕ͈")).otherwise(at(t.ONSET_IPA, o))
-        part = lambda s, p: F.struct(s.alias("symbol"), F.lit(p).alias("position"))
-        syllable = F.array(part(onset, "onset"), part(at(t.VOWEL_IPA, v), "nucleus"), part(at(t.CODA_IPA, k), "coda"))
-        return F.when(is_syllable(ch), F.filter(syllable, lambda s: s["symbol"] != "")).otherwise(F.array(part(ch, "other")))
 
+def ipa_symbols(pronunciation: Column) -> Column:
+    """array<struct<symbol, position>> of a pronunciation form."""
     chars = F.filter(F.split(normalize(pronunciation), "(?!^)"), lambda ch: ~ch.rlike(r"(?U)^\s*$"))
-    return F.flatten(F.transform(chars, of))
+    return F.flatten(F.transform(chars, symbols_of))
 
 
 _MARKS = r"[,.?!;:\"'`()\[\]{}]"
@@ -166,13 +166,16 @@ def ipa_text(ipa: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(ipa, "[ˈˌ]", ""), _MARKS, " "), r"(?U)\s+", " "))
 
 
-def ipa_tokens(ipa: Column) -> Column:
-    """Tokens of an IPA text: by spaces, or by characters with their modifiers where there is no space."""
-    text = ipa_text(ipa)
+def split_ipa(text: Column) -> Column:
     clusters = F.regexp_extract_all(text, F.lit(rf"(\X[{_MODIFIERS}]*)"), F.lit(1))
     return F.when(text == "", F.array().cast("array<string>")).when(text.contains(" "), F.split(text, " ")).otherwise(clusters)
 
 
+def ipa_tokens(ipa: Column) -> Column:
+    """Tokens of an IPA text: by spaces, or by characters with their modifiers where there is no space."""
+    return split_ipa(ipa_text(ipa))
+
+
 def category(symbol: Column) -> Column:
     """vowel if it holds a vowel letter, else semivowel, boundary, other (empty) or consonant."""
     return (
@@ -180,12 +183,16 @@ def category(symbol: Column) -> Column:
     )
 
 
+def placed(tokens: Column, symbols: Column, same: Column) -> Column:
+    guess = F.transform(tokens, lambda x: F.when(x.endswith("̚") | (x == "l"), "coda").when(category(x) == "vowel", "nucleus").otherwise("onset"))
+    positions = F.when(same, F.transform(symbols, lambda s: s["position"])).otherwise(guess)
+    return F.zip_with(tokens, positions, lambda x, p: F.struct(x.alias("symbol"), category(x).alias("category"), p.alias("position")))
+
+
 def positioned_tokens(symbols: Column) -> Column:
     """array<struct<symbol, category, position>>: symbol positions, or the whole-text fallback where token and symbol counts differ."""
     tokens = ipa_tokens(F.array_join(F.transform(symbols, lambda s: s["symbol"]), " "))
-    guess = F.transform(tokens, lambda x: F.when(x.endswith("̚") | (x == "l"), "coda").when(category(x) == "vowel", "nucleus").otherwise("onset"))
-    positions = F.when(F.size(tokens) == F.size(symbols), F.transform(symbols, lambda s: s["position"])).otherwise(guess)
-    return F.zip_with(tokens, positions, lambda x, p: F.struct(x.alias("symbol"), category(x).alias("category"), p.alias("position")))
+    return placed(tokens, symbols, F.size(tokens) == F.size(symbols))
 
 
 def _map(values: dict[str, str]) -> Column:
@@ -221,3 +228,22 @@ def candidates(text: Column) -> Column:
     different = F.filter(F.array_distinct(forms), lambda x: x != "")
     rows = F.transform(different, lambda p, i: F.struct(i.alias("rank"), p.alias("pronunciation"), (i == 0).alias("is_primary")))
     return F.when(normal != "", rows)
+
+
+def with_candidates(df, text: str = "text", into: str = "candidates"):
+    """``df`` with the array of ``candidates``; each step is a column of its own, so none is computed twice."""
+    df = df.withColumn("__trim", F.regexp_replace(F.col(text), r"(?U)^\s+|\s+$", "")).withColumn("__normal", normalize(F.col("__trim")))
+    df = df.withColumn("__standard", pronounce(F.col("__normal"), False)).withColumn("__linked", pronounce(F.col("__normal"), True))
+    forms = F.filter(F.array_distinct(F.array("__standard", "__linked", "__normal")), lambda x: x != "")
+    rows = F.transform(forms, lambda p, i: F.struct(i.alias("rank"), p.alias("pronunciation"), (i == 0).alias("is_primary")))
+    return df.withColumn(into, F.when(F.col("__normal") != "", rows)).drop("__trim", "__normal", "__standard", "__linked")
+
+
+def with_tokens(df, pronunciation: str, into: str = "tokens"):
+    """``df`` with the positioned tokens of a pronunciation form, step by step."""
+    df = df.withColumn("__normal", normalize(F.col(pronunciation)))
+    df = df.withColumn("__chars", F.filter(F.split("__normal", "(?!^)"), lambda ch: ~ch.rlike(r"(?U)^\s*$")))
+    df = df.withColumn("__symbols", F.flatten(F.transform("__chars", symbols_of)))
+    df = df.withColumn("__ipa", ipa_text(F.array_join(F.transform("__symbols", lambda x: x["symbol"]), " "))).withColumn("__tokens", split_ipa(F.col("__ipa")))
+    df = df.withColumn("__same", F.size("__tokens") == F.size("__symbols"))
+    return df.withColumn(into, placed(F.col("__tokens"), F.col("__symbols"), F.col("__same"))).drop("__normal", "__chars", "__symbols", "__ipa", "__tokens", "__same")

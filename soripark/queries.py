@@ -400,14 +400,13 @@ def decompose(spark, d):
 
 @query()
 def pronunciation_candidates(spark, d):
-    rows = b.texts(spark, d).select("doc_id", F.explode(h.candidates(F.col("text"))).alias("c"))
+    rows = h.with_candidates(b.texts(spark, d)).select("doc_id", F.explode("candidates").alias("c"))
     return rows.select("doc_id", "c.rank", "c.is_primary", F.sha2("c.pronunciation", 256).alias("pronunciation_sha256"))
 
 
 @query()
 def pronunciation_ipa(spark, d):
-    tokens = h.positioned_tokens(h.ipa_symbols(F.col("text")))
-    rows = b.texts(spark, d).select("doc_id", tokens.alias("p"))
+    rows = h.with_tokens(b.texts(spark, d), "text", "p").select("doc_id", "p")
     symbols = F.transform("p", lambda x: x["symbol"])
     return rows.select("doc_id", F.size("p").alias("n_tokens"), F.sha2(F.array_join(symbols, " "), 256).alias("ipa_sha256"), F.size(h.ipa_to_labels(symbols)["unsupported"]).alias("n_unsupported"))
 
@@ -419,10 +418,8 @@ def numbers_in_words(spark, d):
 
 
 def _evaluated(spark, d):
-    pairs = b.label_pairs(spark, d)
-    tokens = lambda c: h.positioned_tokens(h.ipa_symbols(c))
-    rows = pairs.select("conv_id", "turn", F.explode(h.candidates(F.col("ref"))).alias("c"), tokens(F.col("hyp")).alias("hyp"))
-    rows = rows.select("conv_id", "turn", "c.rank", tokens(F.col("c.pronunciation")).alias("ref"), "hyp")
+    rows = h.with_candidates(h.with_tokens(b.label_pairs(spark, d), "hyp", "heard"), "ref").select("conv_id", "turn", F.explode("candidates").alias("c"), F.col("heard").alias("hyp"))
+    rows = h.with_tokens(rows.select("conv_id", "turn", "c.rank", "c.pronunciation", "hyp"), "pronunciation", "ref").drop("pronunciation")
     best = alignment.best_candidate(alignment.align(rows), ["conv_id", "turn"])
     best = best.withColumns({"scores": alignment.breakdown(F.col("alignment")), "issues": alignment.issues(F.col("alignment"))})
     return best.withColumn("report", alignment.feedback(F.col("issues"), F.col("scores.overall")))
@@ -441,5 +438,5 @@ def issue_rollup(spark, d):
 
 @query()
 def phone_costs(spark, d):
-    tokens = b.label_pairs(spark, d).select(F.explode(h.positioned_tokens(h.ipa_symbols(F.col("ref")))).alias("x")).select("x.*")
+    tokens = h.with_tokens(b.label_pairs(spark, d), "ref", "x").select(F.explode("x").alias("x")).select("x.*")
     return _rounded(alignment.cost_table(spark, tokens))
