@@ -184,16 +184,27 @@ def _need(a: str, b: str, percent: int):
     return F.ceil(percent * (F.col(a) + F.col(b)) / (100 + percent)) - F.greatest(rest(a), rest(b))
 
 
+def _least_need(size: str, low: str, high: str, percent: int):
+    """No more than ``_need`` of ``size`` and any size from ``low`` to ``high``.
+
+    ``_need`` itself has ups and downs by its ceilings.  It is more than its own expression without
+    them, which rises up to equal sizes and falls from there, so that is least at an end.
+    """
+    a = F.col(size)
+    floor = lambda b: F.floor(percent * (100 * (a + F.col(b)) - (100 + percent) * F.greatest(a, F.col(b))) / (100 * (100 + percent))) + 1
+    return F.when(F.col(low) == F.col(high), _need(size, low, percent)).otherwise(F.least(floor(low), floor(high)))
+
+
 def _hopeful(postings: DataFrame, percent: int) -> DataFrame:
     """Postings without entries that no link can use.
 
     A node with fewer met tokens than a link needs is left out of a token whose other sets are of any
-    such size; the need is least for the sizes farthest from its own.  A linked node meets under every order.
+    such size.  A linked node meets under every order.
     """
     sizes = postings.groupBy("token").agg(F.min("size").alias("low"), F.max("size").alias("high"), F.count("*").alias("sets")).where("sets > 1")
     degree = postings.groupBy("node", "order").agg(F.count("*").alias("degree"))
     rows = postings.join(sizes, "token").join(degree, ["node", "order"])
-    kept = rows.where(F.col("degree") >= F.least(_need("size", "low", percent), _need("size", "high", percent))).select(postings.columns)
+    kept = rows.where(F.col("degree") >= _least_need("size", "low", "high", percent)).select(postings.columns)
     everywhere = kept.groupBy("node").agg(F.min("order").alias("p"), F.max("order").alias("q")).where("p <> q").select("node")
     return kept.join(everywhere, "node", "left_semi")
 

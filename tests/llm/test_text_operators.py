@@ -254,6 +254,42 @@ def test_jaccard_join_on_chains_and_hubs(spark):
     assert sorted(repr(tuple(r)) for r in got) == sorted(map(repr, plain_components(rows)))
 
 
+def test_jaccard_join_keeps_a_link_by_one_prefix_token(spark):
+    """x and y share 9 of 12 words and one prefix word; z, which holds that word too, is of a size with a greater need."""
+    c, e = [f"c{i}" for i in range(1, 10)], [f"e{i}" for i in range(11)]
+    sets = [["u", *c], ["v1", "v2", *c], ["c1", *e]] + [[f"long{i}_{j}" for j in range(60)] + c[1:] + e for i in range(12)]
+    rows = [(i, " ".join(s)) for i, s in enumerate(sets)]
+    got = jaccard_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), k=1).select("doc_id", "n_shingles", "component_id").collect()
+    assert sorted(repr(tuple(r)) for r in got) == sorted(map(repr, plain_components(rows, 1)))
+    assert {r.doc_id: r.component_id for r in got}[1] == 0
+
+
+def test_jaccard_join_at_the_threshold(spark):
+    """Pairs of 5 to 60 words whose overlap is exactly at the threshold, with other sets at their words."""
+    import random
+
+    rng = random.Random(5)
+    sets = []
+    for g in range(150):
+        a = rng.randint(5, 60)
+        b = rng.choice([b for b in range(max(5, -(-3 * a // 4)), min(60, 4 * a // 3) + 1) if (a + b) % 7 == 0] or [a])
+        both = 3 * (a + b) // 7
+        common = [f"g{g}_{i}" for i in range(both)]
+        sets += [common + [f"a{g}_{i}" for i in range(a - both)], common + [f"b{g}_{i}" for i in range(b - both)]]
+        n = rng.randint(5, 60)
+        sets.append(common[:1] + [f"p{rng.randrange(300)}" for _ in range(n)])
+        sets += [common[1:] + [f"l{g}_{j}_{i}" for i in range(2 * both)] for j in range(4)]
+    rows = [(i, " ".join(rng.sample(s, len(s)))) for i, s in enumerate(sets)]
+    got = jaccard_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), k=1).select("doc_id", "n_shingles", "component_id").collect()
+    assert sorted(repr(tuple(r)) for r in got) == sorted(map(repr, plain_components(rows, 1)))
+
+
+def test_least_need_is_below_every_need(spark):
+    ends = spark.range(5, 61).selectExpr("id as a").crossJoin(spark.range(5, 61).selectExpr("id as low")).crossJoin(spark.range(0, 12).selectExpr("id as more")).selectExpr("a", "low", "low + more as high")
+    every = ends.selectExpr("*", "explode(sequence(low, high)) as b").withColumns({"need": jaccard_join._need("a", "b", 75), "least": jaccard_join._least_need("a", "low", "high", 75)})
+    assert every.where("least > need").count() == 0 and every.where("least = need").count() > 0
+
+
 def test_one_of_each(docs, rows, empty):
     got = jaccard_join.one_of_each(docs)
     assert got.columns == docs.columns
