@@ -118,7 +118,7 @@ def count_words(train: DataFrame, share: float, n_buckets: int) -> Units:
         by = np.argsort(words, kind="stable")
         first = np.flatnonzero(np.concatenate([[True], words[by][1:] != words[by][:-1]]))
         words, bins, n = words[by][first], bins[by][first].astype(np.int64), np.add.reduceat(n[by], first)
-        often = n >= share * n.sum()
+        often = (n >= share * n.sum()) | (words == END)
         tokens, kinds = np.bincount(bins, n, BINS).astype(np.int64), np.bincount(bins, minlength=BINS)
         used = np.flatnonzero(kinds)
         return pd.concat([pd.DataFrame({"word": words[often].view(np.int64), "bin": bins[often], "n": n[often], "kinds": 0}), pd.DataFrame({"word": 0, "bin": used, "n": tokens[used], "kinds": kinds[used]})])

@@ -121,6 +121,15 @@ def test_class_ngram_base_score_and_totals(spark, docs, rows):
         assert abs((10 ** emission[model.unit_class == c]).sum() - 1) < 1e-9
 
 
+def test_class_ngram_knows_the_end_of_one_long_text(spark):
+    """With 50,000 words a text its end is rarer than any share, and still a unit."""
+    frame = spark.createDataFrame([(0, " ".join(f"w{i % 50}" for i in range(50000)), True), (1, "w1 new", False)], "doc_id long, text string, is_train boolean")
+    got = {r.doc_id: r for r in class_ngram.score(frame, class_ngram.fit(frame.where("is_train"), classes=8)).collect()}
+    each = lambda n: math.log10((n + 0.5) / (50001 + 0.5 * 52))
+    assert (got[0].n_known, got[1].n_known) == (50001, 2)
+    assert abs(got[0].base_score - 50000 * each(1000) - each(1)) < 1e-4 and abs(got[1].base_score - each(1000) - each(0) - each(1)) < 1e-9
+
+
 def test_class_ngram_beats_the_base_on_held_out_text(docs):
     frame = docs.where("doc_id < 40").select("doc_id", "text", class_ngram.is_training("doc_id").alias("is_train"))
     got = class_ngram.score(frame, class_ngram.fit(frame.where("is_train"), share=2.0**-9, classes=8)).where("not is_train").collect()
