@@ -7,8 +7,8 @@ pages ever meet in one task.  Tokens of one host with one fingerprint form an
 equivalence class.  A class is part of the template if it is large, holds a tag,
 and has enough different pages; classes nest by how many pages they span.  On a
 page a class counts only where its tokens keep the template's order.  Text blocks
-in the template are dropped; of the slots that remain, those in the host's main
-container are the page's text.
+in the template and page furniture are dropped; all slots that remain are the
+page's text, in whatever container they stand.
 """
 
 from __future__ import annotations
@@ -136,20 +136,11 @@ def _hash(*parts: str) -> int:
     return int.from_bytes(hashlib.blake2b("\x00".join(parts).encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)
 
 
-def main_part(container: str) -> str:
-    """The container up to its outermost article or main element, if it has one; else itself."""
-    parts = container.split("/")
-    for i, p in enumerate(parts):
-        if p.split(".")[0] in ("article", "main"):
-            return "/".join(parts[: i + 1])
-    return container
-
-
-_SEEN = "host string, kind string, token long, count decimal(38,0), print decimal(38,0), place double, pages long, buckets long, chars long, name string"
+_SEEN = "host string, kind string, token long, count decimal(38,0), print decimal(38,0), place double, pages long, buckets long"
 
 
 def _occurrences(pages: DataFrame) -> DataFrame:
-    """Per host and token: how often, on how many pages, the vector's fingerprint, mean place; and text per container."""
+    """Per host and token: how often, on how many pages, the vector's fingerprint and mean place."""
 
     def run(batches):
         for batch in batches:
@@ -157,42 +148,36 @@ def _occurrences(pages: DataFrame) -> DataFrame:
             for host, source in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 own: dict[tuple, list] = {}
                 tokens = parse(source)
-                for i, (where, tag, text, furniture) in enumerate(tokens):
+                for i, (where, tag, text, _) in enumerate(tokens):
                     key = ("tag", _hash(where, tag)) if text is None else ("text", _hash(where, text))
-                    seen = own.setdefault(key, [0, 0.0, 0, None])
+                    seen = own.setdefault(key, [0, 0.0])
                     seen[0] += 1
                     seen[1] += i / len(tokens)
-                    if text is not None and not furniture:
-                        part = main_part(where)
-                        chars = own.setdefault(("part", _hash(part)), [0, 0.0, 0, part])
-                        chars[0] += 1
-                        chars[2] += len(text)
                 page = _hash(source or "") & 0x7FFFFFFF
                 bit = 1 << (page & 63) if (page & 63) < 63 else -(1 << 63)
-                for (kind, token), (n, place, chars, name) in own.items():
-                    s = sums.setdefault((host, kind, token), [0, 0, 0.0, 0, 0, 0, name])
+                for (kind, token), (n, place) in own.items():
+                    s = sums.setdefault((host, kind, token), [0, 0, 0.0, 0, 0])
                     s[0] += n
                     s[1] += n * page
                     s[2] += place / n
                     s[3] += 1
                     s[4] |= bit
-                    s[5] += chars
-                s = sums.setdefault((host, "page", 0), [0, 0, 0.0, 0, 0, 0, None])
+                s = sums.setdefault((host, "page", 0), [0, 0, 0.0, 0, 0])
                 s[3] += 1
             rows = [(*k, *v) for k, v in sums.items()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), [pa.string(), pa.string(), pa.int64(), pa.decimal128(38, 0), pa.decimal128(38, 0), pa.float64(), pa.int64(), pa.int64(), pa.int64(), pa.string()])],
-                                             ["host", "kind", "token", "count", "print", "place", "pages", "buckets", "chars", "name"]) if rows else pa.RecordBatch.from_pylist([])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), [pa.string(), pa.string(), pa.int64(), pa.decimal128(38, 0), pa.decimal128(38, 0), pa.float64(), pa.int64(), pa.int64()])],
+                                             ["host", "kind", "token", "count", "print", "place", "pages", "buckets"]) if rows else pa.RecordBatch.from_pylist([])
 
     seen = pages.select("host", "html").mapInArrow(run, _SEEN)
     return seen.groupBy("host", "kind", "token").agg(
         F.sum("count").alias("count"), F.sum("print").alias("print"), F.sum("place").alias("place"), F.sum("pages").alias("pages"),
-        F.bit_or("buckets").alias("buckets"), F.sum("chars").alias("chars"), F.first("name").alias("name"))
+        F.bit_or("buckets").alias("buckets"))
 
 
 def templates(pages: DataFrame, class_size: int = CLASS_SIZE, share: float = CLASS_SHARE, class_pages: int = CLASS_PAGES) -> DataFrame:
-    """One row a host: ``template``, its classes' tokens (class, token, is text, mean place), outer classes first, and ``parts``, its containers by text."""
+    """One row a host: ``template``, its classes' tokens (class, token, is text, mean place), outer classes first."""
     wide = (F.col("count") == F.col("pages")) & (F.bit_count("buckets") >= class_pages)
-    seen = saved(_occurrences(pages).where(F.col("kind").isin("page", "part") | wide))
+    seen = saved(_occurrences(pages).where((F.col("kind") == "page") | wide))
     size = seen.where("kind = 'page'").select("host", F.col("pages").alias("host_pages"))
     tokens = seen.where("kind in ('tag', 'text')")
     classes = (
@@ -205,11 +190,10 @@ def templates(pages: DataFrame, class_size: int = CLASS_SIZE, share: float = CLA
     )
     entry = F.struct((-F.col("pages")).alias("outer"), F.xxhash64("count", "print").alias("cls"), (F.col("place") / F.col("pages")).alias("place"), F.col("token").alias("token"), (F.col("kind") == "text").alias("text"))
     in_template = tokens.join(classes, ["host", "count", "print", "pages"]).groupBy("host").agg(F.sort_array(F.collect_list(entry)).alias("template"))
-    parts = seen.where("kind = 'part'").groupBy("host").agg(F.sort_array(F.collect_list(F.struct((-F.col("chars")).alias("chars"), F.col("name").alias("part")))).alias("parts"))
-    return size.select("host").join(in_template, "host", "left").join(parts, "host", "left")
+    return size.select("host").join(in_template, "host", "left")
 
 
-def page_text(source: str | None, template: list[tuple[int, int, bool]] | None, parts: list[str] | None) -> str:
+def page_text(source: str | None, template: list[tuple[int, int, bool]] | None) -> str:
     """The main text of one page; ``template`` in order: (class, token, whether it is text)."""
     tokens = parse(source)
     found: dict[int, int] = {}
@@ -225,19 +209,7 @@ def page_text(source: str | None, template: list[tuple[int, int, bool]] | None,
                 on_page.setdefault(known[key], []).append(key)
         valid = {c for c, seq in on_page.items() if seq == order[c]}
         found = {i: 1 for i, key in enumerate(keys) if known.get(key) in valid}
-    blocks = [(main_part(where), where, text) for i, (where, _, text, furniture) in enumerate(tokens) if text is not None and not furniture and i not in found]
-    if not blocks:
-        return ""
-    here = {}
-    for part, _, text in blocks:
-        here[part] = here.get(part, 0) + len(text)
-    for part in here:
-        if part.rpartition("/")[2].split(".")[0] in ("article", "main"):
-            root = max((p for p in here if p.rpartition("/")[2].split(".")[0] in ("article", "main")), key=lambda p: (here[p], p))
-            break
-    else:
-        root = next((p for p in parts or () if p in here and here[p] * 4 >= max(here.values())), None) or max(here, key=lambda p: (here[p], p))
-    return "\n\n".join(text for _, where, text in blocks if where == root or where.startswith(root + "/"))
+    return "\n\n".join(text for i, (_, _, text, furniture) in enumerate(tokens) if text is not None and not furniture and i not in found)
 
 
 def extract(pages: DataFrame, url: str = "url", source: str = "html", into: str = "main_text") -> DataFrame:
@@ -251,21 +223,20 @@ def extract(pages: DataFrame, url: str = "url", source: str = "html", into: str
     keyed = pages.withColumn("__sp_host", host)
     known = templates(keyed.select(F.col("__sp_host").alias("host"), F.col(source).alias("html")))
 
-    known = saved(known.select(F.col("host").alias("__sp_host"), F.transform("template", lambda e: F.struct(e["cls"].alias("cls"), e["token"].alias("token"), e["text"].alias("text"))).alias("__sp_template"),
-                               F.transform("parts", lambda e: e["part"]).alias("__sp_parts")))
+    known = saved(known.select(F.col("host").alias("__sp_host"), F.transform("template", lambda e: F.struct(e["cls"].alias("cls"), e["token"].alias("token"), e["text"].alias("text"))).alias("__sp_template")))
     known = small(known, known.count(), BROADCAST_HOSTS)
 
     @F.arrow_udf("string")
-    def text_of(sources: pa.Array, template: pa.Array, parts: pa.Array) -> pa.Array:
+    def text_of(sources: pa.Array, template: pa.Array) -> pa.Array:
         out, last, ready = [], None, None
-        for s, t, p in zip(sources, template, parts):
+        for s, t in zip(sources, template):
             t = t.as_py()
             if t != last:
                 last, ready = t, [(e["cls"], e["token"], e["text"]) for e in t or ()]
-            out.append(page_text(s.as_py(), ready, p.as_py()))
+            out.append(page_text(s.as_py(), ready))
         return pa.array(out, pa.string())
 
-    return keyed.join(known, "__sp_host", "left").withColumn(into, text_of(F.col(source), F.col("__sp_template"), F.col("__sp_parts"))).drop("__sp_host", "__sp_template", "__sp_parts")
+    return keyed.join(known, "__sp_host", "left").withColumn(into, text_of(F.col(source), F.col("__sp_template"))).drop("__sp_host", "__sp_template")
 
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:

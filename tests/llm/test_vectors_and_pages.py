@@ -111,6 +111,18 @@ def test_extraction(spark):
     assert (text[50], text[51], text[52], text[53], text[None], text[54]) == ("", "", "plain words", "", "a\n\nb c", "x" * 100000)
 
 
+def test_all_slots_but_furniture_are_text(spark):
+    """Text beside the largest container, and two articles whose paths differ."""
+    rows = [
+        (0, "http://a.example.org/", "<nav>menu</nav><div id=content><h1>T</h1><div class=text><p>longest part of all</p></div><blockquote>said</blockquote><div class=more>more</div></div>"),
+        (1, "http://b.example.org/", "<article class=a><p>one</p></article><div><article class=b><p>two, longer</p></article></div><footer>end</footer>"),
+        (2, "http://c.example.org/", "<main><p>m</p></main><section><p>after</p></section>"),
+    ]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string")
+    text = {r.page_id: r.main_text for r in template_extraction.extract(frame).collect()}
+    assert text == {0: "T\n\nlongest part of all\n\nsaid\n\nmore", 1: "one\n\ntwo, longer", 2: "m\n\nafter"}
+
+
 def test_copies_do_not_make_a_template(spark):
     body = "<body><div class=text><p>one</p><p>two</p><p>three</p></div></body>"
     frame = spark.createDataFrame([(i, "http://a.example.org/", body) for i in range(40)], "page_id long, url string, html string")
