@@ -1,10 +1,11 @@
 """Language model scores of a class bigram model (Brown et al.) with exchange clustering.
 
-Units are the words that make up at least ``SHARE`` of all training tokens, each
-of their own (so at most 1/SHARE), and spelling bins for all other words.  The
-units' bigram counts are gathered on the executors and stay there, packed in
-blocks.  Exchange rounds send the class of each unit out, and bring back for each
-unit of a block the class that raises the likelihood most, with other blocks fixed.
+Units are the words that occur at least ``LEAST`` times in training, each of their
+own, and spelling bins for all other words, so units and their bigrams grow with the
+corpus.  The units' bigram counts are gathered on the executors and stay there, packed
+in blocks whose number grows with the units.  Exchange rounds send the class of each unit out, and bring back for each
+unit of a block the class that raises the likelihood most, with other blocks fixed,
+until a cycle of rounds over all blocks gains less than a share of the information.
 
     P(text) = product of P(class | class before) P(unit | class) P(word | unit)
 
@@ -27,11 +28,13 @@ from pyspark.sql import functions as F
 from soripark.llm.common import remainder, saved, slices, table, text_bytes
 from soripark.llm.hashing import batches_of, mix, word_hashes_and_endings
 
-SHARE = 2.0**-15
+LEAST = 10
 BINS = 1024
 CLASSES = 96
-ROUNDS = 12
-BLOCKS = 16
+#: The exchange ends when a cycle of rounds gains less than this share of the mutual information of neighbouring classes.
+GAIN = 0.001
+#: Blocks at least, and units of a block at most on average.
+BLOCKS, BLOCK_UNITS = 16, 2048
 #: One block in this many moves its units in a round: blocks do not see each other's moves and would crowd the same classes.
 STRIDE = 4
 #: Pseudo-counts: of a class transition, of a unit in its class, of a word in its bin and in the base.
@@ -90,8 +93,8 @@ class Units:
         return np.where(self.hashes[at] == hashes, at + BINS, bins)
 
 
-def count_words(train: DataFrame, share: float, n_buckets: int) -> Units:
-    """Exact counts of all training words, each text's end among them."""
+def count_words(train: DataFrame, share: float, n_buckets: int, least: int = LEAST) -> Units:
+    """Exact counts of all training words, each text's end among them; units have ``least`` occurrences and ``share`` of all tokens."""
 
     def run(batches):
         for batch in slices(batches):
@@ -118,7 +121,7 @@ def count_words(train: DataFrame, share: float, n_buckets: int) -> Units:
         by = np.argsort(words, kind="stable")
         first = np.flatnonzero(np.concatenate([[True], words[by][1:] != words[by][:-1]]))
         words, bins, n = words[by][first], bins[by][first].astype(np.int64), np.add.reduceat(n[by], first)
-        often = (n >= share * n.sum()) | (words == END)
+        often = (n >= max(least, share * n.sum())) | (words == END)
         tokens, kinds = np.bincount(bins, n, BINS).astype(np.int64), np.bincount(bins, minlength=BINS)
         used = np.flatnonzero(kinds)
         return pd.concat([pd.DataFrame({"word": words[often].view(np.int64), "bin": bins[often], "n": n[often], "kinds": 0}), pd.DataFrame({"word": 0, "bin": used, "n": tokens[used], "kinds": kinds[used]})])
@@ -128,7 +131,7 @@ def count_words(train: DataFrame, share: float, n_buckets: int) -> Units:
     bin_tokens, bin_kinds = np.zeros(BINS, np.int64), np.zeros(BINS, np.int64)
     bin_tokens[bins["bin"]], bin_kinds[bins["bin"]] = bins["n"], bins["kinds"]
     n, v = int(bin_tokens.sum()), int(bin_kinds.sum())
-    core = counted.where((F.col("kinds") == 0) & ((F.col("n") >= share * n) | (F.col("word") == 0))).toPandas()
+    core = counted.where((F.col("kinds") == 0) & ((F.col("n") >= max(least, share * n)) | (F.col("word") == 0))).select("word", "bin", "n").toPandas()
     hashes = core["word"].to_numpy(np.int64).view(np.uint64)
     by = np.argsort(hashes)
     np.subtract.at(bin_tokens, core["bin"].to_numpy(), core["n"].to_numpy())
@@ -139,6 +142,7 @@ def count_words(train: DataFrame, share: float, n_buckets: int) -> Units:
 def _unit_bigrams(train: DataFrame, units: Units) -> DataFrame:
     """Packed counts of unit pairs: one row a block of units with what follows and what precedes each of them."""
     held = train.sparkSession.sparkContext.broadcast(units)
+    blocks = max(BLOCKS, -(-units.n // BLOCK_UNITS))
 
     def run(batches):
         u, kept, kept_n = held.value, np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -151,9 +155,11 @@ def _unit_bigrams(train: DataFrame, units: Units) -> DataFrame:
                 keys, n = _summed(before * u.n + seq)
                 kept, kept_n = _summed(np.concatenate([kept, keys]), np.concatenate([kept_n, n]))
         for side, unit in ((0, kept // u.n), (1, kept % u.n)):
-            for b in range(BLOCKS):
-                own = unit % BLOCKS == b
-                if own.any():
+            by = np.argsort(unit % blocks, kind="stable")
+            cuts = np.searchsorted((unit % blocks)[by], np.arange(blocks + 1))
+            for b, (x, y) in enumerate(zip(cuts, cuts[1:])):
+                if x < y:
+                    own = by[x:y]
                     yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([side], pa.int32()), pa.array([kept[own].tobytes()]), pa.array([kept_n[own].astype(np.int32).tobytes()])], ["block", "side", "pairs", "n"])
 
     def joined(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -163,7 +169,7 @@ def _unit_bigrams(train: DataFrame, units: Units) -> DataFrame:
     one_side = "block int, side int, pairs binary, n binary"
     packed = train.select("text").mapInArrow(run, one_side).groupBy("block", "side").applyInPandas(joined, one_side)
     sides = packed.groupBy("block").agg(F.max(F.when(F.col("side") == 0, F.struct("pairs", "n"))).alias("out"), F.max(F.when(F.col("side") == 1, F.struct("pairs", "n"))).alias("into"))
-    return saved(sides.select("block", F.col("out.pairs").alias("out_pairs"), F.col("out.n").alias("out_n"), F.col("into.pairs").alias("in_pairs"), F.col("into.n").alias("in_n")).repartition(BLOCKS))
+    return saved(sides.select("block", F.col("out.pairs").alias("out_pairs"), F.col("out.n").alias("out_n"), F.col("into.pairs").alias("in_pairs"), F.col("into.n").alias("in_n")).repartition(blocks))
 
 
 def _xlogx(x: np.ndarray) -> np.ndarray:
@@ -212,8 +218,13 @@ def _shift(m: np.ndarray, a: int, b: int, out: np.ndarray, into: np.ndarray, loo
     np.maximum(m, 0, out=m)
 
 
-def cluster(bigrams: DataFrame, units: Units, classes: int = CLASSES, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
-    """The class of each unit, and the class bigram counts (classes x classes)."""
+def _information(m: np.ndarray) -> float:
+    """Mutual information of neighbouring classes times the number of bigrams: the likelihood's part that classes change."""
+    return float(_xlogx(m).sum() - _xlogx(m.sum(0)).sum() - _xlogx(m.sum(1)).sum() + _xlogx(m.sum()))
+
+
+def cluster(bigrams: DataFrame, units: Units, classes: int = CLASSES, rounds: int | None = None, gain_share: float = GAIN) -> tuple[np.ndarray, np.ndarray]:
+    """The class of each unit, and the class bigram counts (classes x classes); no more than ``rounds`` rounds if given."""
     spark = bigrams.sparkSession
     total = np.concatenate([units.bin_tokens, units.counts])
     of = np.empty(units.n, np.int64)
@@ -236,7 +247,8 @@ def cluster(bigrams: DataFrame, units: Units, classes: int = CLASSES, rounds: in
         return np.sum(parts, 0).reshape(classes, classes) if parts else np.zeros((classes, classes))
 
     m = matrix(of)
-    for number in range(rounds):
+    number, before = 0, _information(m)
+    while rounds is None or number < rounds:
         held = spark.sparkContext.broadcast((of, m))
 
         def run(frames):
@@ -268,6 +280,12 @@ def cluster(bigrams: DataFrame, units: Units, classes: int = CLASSES, rounds: in
             of = of.copy()
             of[moved["unit"].to_numpy()] = moved["cls"].to_numpy()
             m = matrix(of)
+        number += 1
+        if number % STRIDE == 0:  # every block has moved
+            now = _information(m)
+            if now - before <= gain_share * now:
+                return of, m
+            before = now
     return of, m
 
 
@@ -281,11 +299,11 @@ class Model:
     end: int
 
 
-def fit(train: DataFrame, share: float = SHARE, classes: int = CLASSES, rounds: int = ROUNDS, bucket_entries: int = BUCKET_ENTRIES) -> Model:
+def fit(train: DataFrame, share: float = 0.0, classes: int = CLASSES, rounds: int | None = None, gain_share: float = GAIN, bucket_entries: int = BUCKET_ENTRIES) -> Model:
     """Counts, clustering and smoothed tables from ``train`` (text; null counts as empty).  No rows: uniform tables."""
     units = count_words(train, share, _buckets(train, bucket_entries))
     bigrams = _unit_bigrams(train, units)
-    of, m = cluster(bigrams, units, classes, rounds)
+    of, m = cluster(bigrams, units, classes, rounds, gain_share)
     total = np.concatenate([units.bin_tokens, units.counts]).astype(float)
     into = m.sum(0)
     prior = (into + 0.5) / (into.sum() + 0.5 * classes)

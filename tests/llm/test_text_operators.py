@@ -121,6 +121,15 @@ def test_class_ngram_base_score_and_totals(spark, docs, rows):
         assert abs((10 ** emission[model.unit_class == c]).sum() - 1) < 1e-9
 
 
+def test_class_ngram_units_grow_with_the_corpus(spark):
+    """A word seen often enough is a unit, however small its share of the tokens; rarer words stay in bins."""
+    rows = [(i, " ".join(["the"] * 5000 + [f"often{i % 30}", f"rare{i}"]), True) for i in range(300)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, is_train boolean")
+    model = class_ngram.fit(frame, classes=8)
+    assert sorted(model.units.counts.tolist()) == [10] * 30 + [300, 1500000] and model.units.bin_kinds.sum() == 300
+    assert len(model.unit_class) == model.units.n
+
+
 def test_class_ngram_knows_the_end_of_one_long_text(spark):
     """With 50,000 words a text its end is rarer than any share, and still a unit."""
     frame = spark.createDataFrame([(0, " ".join(f"w{i % 50}" for i in range(50000)), True), (1, "w1 new", False)], "doc_id long, text string, is_train boolean")
