@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 #: Code point classes of the contracts' word pattern.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Texts that a task holds at a time on their way to Python and back.
+TEXT_ROWS = 1000
 #: A table of at most this many short rows may be broadcast; larger ones are joined by shuffle.
 BROADCAST_ROWS = 100_000
 
@@ -35,7 +37,24 @@ def saved(df: DataFrame) -> DataFrame:
     """``df`` computed once, written to the shared folder and read from there: no lineage, and no loss with an executor."""
     path = f"{shared_folder(df.sparkSession)}/{df.sparkSession.sparkContext.applicationId}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.saved_path = path
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Deletes what ``saved`` wrote for these tables; nothing may read them later."""
+    for df in tables:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.saved_path)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def whole_texts(df: DataFrame) -> SparkSession:
+    """The session of a table of whole texts, set to send them to Python in batches of ``TEXT_ROWS`` rows unless it has a setting of its own."""
+    spark, rows = df.sparkSession, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(rows) == "10000":
+        spark.conf.set(rows, str(TEXT_ROWS))
+    return spark
 
 
 def small(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
@@ -56,7 +75,7 @@ def text_bytes(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()).to_pylist()]
 
 
-def slices(batches: Iterator[pa.RecordBatch], rows: int = 2000) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
     """The batches in pieces of a few rows, so that what a task holds of whole texts at a time stays small."""
     for batch in batches:
         for begin in range(0, batch.num_rows, rows):

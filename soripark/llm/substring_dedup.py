@@ -21,14 +21,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from soripark.llm import sketch
-from soripark.llm.common import table, text_bytes
+from soripark.llm.common import slices, table, text_bytes, whole_texts
 from soripark.llm.hashing import batch_word_hashes, batches_of, mix, shingle_hashes
 
 WIDTH = 20
 GRAM = 8
 SKETCH_ROWS = 2
-#: Cells a row. One bit a cell is broadcast (2 x 16 MB). More windows than cells only weaken the filter.
-SKETCH_BITS = 27
 #: Entries that one task groups at a time, on average.
 BUCKET_ENTRIES = 150_000
 _NO_ID = np.iinfo(np.int64).min
@@ -99,7 +97,7 @@ def _marks(doc: np.ndarray, text: np.ndarray, start: np.ndarray) -> pd.DataFrame
     return pd.DataFrame({"doc_id": doc[begin], "text_hash": text[begin], "starts": [p.tobytes() for p in parts]})
 
 
-def later_windows(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, bits: int = SKETCH_BITS, bucket_entries: int = BUCKET_ENTRIES) -> DataFrame:
+def later_windows(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, bits: int | None = None, bucket_entries: int = BUCKET_ENTRIES) -> DataFrame:
     """doc_id, text_hash, starts (packed int32): the windows whose words also start earlier.
 
     ``docs``: doc_id long (null sorts first), text, text_hash.  Earlier means a smaller doc_id, or the
@@ -112,24 +110,21 @@ def later_windows(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, bits: i
         for _, _, _, runs, least, inside in _windows(text_bytes(batch.column(0)), width, gram):
             yield _picked(runs, least, inside, span)
 
-    repeated = sketch.build(docs.select("text"), sampled, SKETCH_ROWS, bits, lambda n: np.packbits(n >= 2).tobytes())
-    n_words = docs.agg(F.sum(F.length("text"))).first()[0] or 0
-    n_buckets = max(1, int(n_words / 6 * 0.3 / bucket_entries) + 1)
-    held = docs.sparkSession.sparkContext.broadcast(repeated)
+    n_words = (docs.agg(F.sum(F.length("text"))).first()[0] or 0) / 6
+    bits = bits or sketch.bits_for(n_words * 2 / (span + 1), sketch.MOST_FLAG_BITS)
+    repeated = sketch.repeated(docs.select("text"), sampled, SKETCH_ROWS, bits)
+    n_buckets = int(n_words * 0.3 / bucket_entries) + 1
+    held = whole_texts(docs).sparkContext.broadcast(repeated)
 
     def candidates(batches):
         table_ = [np.frombuffer(x, np.uint8) for x in held.value]
-        for batch in batches:
+        for batch in slices(batches, 1000):
             ids = np.array([_NO_ID if x is None else x for x in batch.column(0).to_pylist()], np.int64)
             hashes = batch.column(2).to_numpy(zero_copy_only=False).astype(np.int64)
             found = {n: [] for n in ("run", *(n for n, _ in _ENTRY))}
             for first, counts, words, _, least, inside in _windows(text_bytes(batch.column(1)), width, gram):
                 at = np.flatnonzero(inside)
-                maybe = np.ones(len(at), bool)
-                for row in range(SKETCH_ROWS):
-                    cell = sketch.cells(least[at], row, bits)
-                    maybe &= (table_[row][cell >> 3] >> (7 - (cell & 7)).astype(np.uint8) & 1).astype(bool)
-                at = at[maybe]
+                at = at[sketch.flagged(table_, least[at], bits)]
                 if not len(at):
                     continue
                 text = np.repeat(np.arange(len(counts)), counts)[at]
@@ -148,14 +143,12 @@ def later_windows(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, bits: i
             by = np.where(late, (e["text"].view(np.uint64) % np.uint64(n_buckets)).astype(np.int64), (mix(e["run"]) % np.uint64(n_buckets)).astype(np.int64)) * 2 + late
             order = np.lexsort((e["start"], e["text"], e["doc"], by))
             e, by = {n: x[order] for n, x in e.items()}, by[order]
-            cuts = np.searchsorted(by, np.arange(2 * n_buckets + 1))
-            for i in range(2 * n_buckets):
-                a, b = cuts[i], cuts[i + 1]
-                if a < b:
-                    part = {n: x[a:b] for n, x in e.items()}
-                    if i & 1:
-                        part["key"] = part["key2"] = part["key"][:0]
-                    out.append(_row(i // 2, part, bool(i & 1)))
+            begin = np.flatnonzero(np.diff(by, prepend=-1))
+            for a, b, i in zip(begin.tolist(), np.append(begin[1:], len(by)).tolist(), by[begin].tolist()):
+                part = {n: x[a:b] for n, x in e.items()}
+                if i & 1:
+                    part["key"] = part["key2"] = part["key"][:0]
+                out.append(_row(i // 2, part, bool(i & 1)))
             yield pa.RecordBatch.from_pandas(pd.DataFrame(out, columns=["bucket", "key", "key2", "doc", "text", "start", "settled"]), schema=pa.schema([("bucket", pa.int32())] + [(n, pa.binary()) for n, _ in _ENTRY] + [("settled", pa.bool_())]), preserve_index=False)
 
     def settle(pdf: pd.DataFrame) -> pd.DataFrame:
