@@ -10,6 +10,8 @@ from soripark import tables as t
 #: One syllable a letter, chosen so that every sound change occurs.
 SYLLABLES = "닭같이국물신라좋다않싫밥먹는앞문해옷안값여꽃일책학굳"
 TOKENS = list(t.LABEL_IPA.values())
+#: Ten-thousandths of a second in a frame.
+FRAME_TICKS = 200
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,8 +34,28 @@ def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     length, gap = F.round(F.col("l_quantity") * 100).cast("long"), F.round(F.col("l_tax") * 50000).cast("long")
     rows = table(spark, sf_dir, "lineitem").select(
         F.col("l_orderkey").alias("utt_id"), (F.row_number().over(w) - 1).alias("seg_idx"), F.get(F.array(*map(F.lit, TOKENS)), (F.col("l_partkey") % 40).cast("int")).alias("token"),
-        (F.round(F.col("l_discount") * 100) / 10).alias("confidence"), length.alias("ticks"), F.sum(length + gap).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("end_ticks"), F.col("l_returnflag").alias("flag"))
-    return rows.select("utt_id", "seg_idx", "token", F.col("token").alias("label"), ((F.col("end_ticks") - F.col("ticks")) / 10000).alias("start_time"), (F.col("end_ticks") / 10000).alias("end_time"), "confidence", "flag")
+        (F.round(F.col("l_discount") * 100) / 10).alias("confidence"), length.alias("ticks"), F.sum(length + gap).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("end_ticks"), F.col("l_returnflag").alias("flag"), F.col("l_partkey").alias("part"), gap.alias("gap_ticks"))
+    frame = lambda ticks: F.floor(ticks / FRAME_TICKS)
+    return rows.select("utt_id", "seg_idx", "token", F.col("token").alias("label"), ((F.col("end_ticks") - F.col("ticks")) / 10000).alias("start_time"), (F.col("end_ticks") / 10000).alias("end_time"),
+                       frame(F.col("end_ticks") - F.col("ticks")).alias("frame_start"), frame(F.col("end_ticks") - 1).alias("frame_end"), "confidence", "flag", "part", "ticks", "end_ticks", "gap_ticks")
+
+
+def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frames of 20 ms of the segments and the gaps before them; gaps of some parts are mostly blank."""
+    s = segments(spark, sf_dir)
+    begin = F.floor((F.col("end_ticks") - F.col("ticks") - F.col("gap_ticks") + FRAME_TICKS - 1) / FRAME_TICKS)
+    rows = s.where(begin <= F.col("frame_end")).select("utt_id", "part", (F.col("end_ticks") - F.col("ticks")).alias("start_ticks"), F.explode(F.sequence(begin, F.col("frame_end"))).alias("frame_idx"))
+    f, p = F.col("frame_idx"), F.col("part")
+    blank = F.when(f * FRAME_TICKS < F.col("start_ticks"), F.least(F.lit(99), 55 + 4 * (p % 11) + f % 5)).otherwise(10 + 5 * (f % 7))
+    return rows.select("utt_id", "frame_idx", (blank / 100).alias("blank_posterior"), ((f * 7 + p) % 20 / 20).alias("confidence"))
+
+
+def alignments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Figures of forced alignments and gates from the customers of orders."""
+    c = F.col("c")
+    rows = table(spark, sf_dir, "orders").groupBy(F.col("o_orderkey").alias("utt_id")).agg(F.min("o_custkey").alias("c"), F.min("o_orderstatus").alias("s"))
+    return rows.select("utt_id", ((100 - c % 13) / 100).alias("coverage"), (-(c % 40) / 20).alias("normalized_log_prob"), ((90 + c % 10) / 100).alias("blank_ratio"), F.when(F.col("s") == "P", "retry").otherwise("ready").alias("evaluation_status"),
+                       F.when(c % 11 != 0, c % 7 != 0).alias("audio_passed"), (60 + c % 40).cast("double").alias("coarse_score"), (c % 5 == 0).alias("is_partial"))
 
 
 def artifacts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,9 +82,10 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def emissions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Frame logits from embeddings: an utterance a label, frames by id."""
-    idx = F.row_number().over(Window.partitionBy("label").orderBy("vec_id")) - 1
-    return table(spark, sf_dir, "embeddings").select(F.col("label").alias("utt_id"), idx.alias("frame_idx"), F.transform("embedding", lambda x: x.cast("double") * 10).alias("logits"))
+    """Frame logits from embeddings: an utterance a label and 2,000 ids, so some 200 frames, frames by id."""
+    utt = F.col("label").cast("long") * 1_000_000 + F.floor(F.col("vec_id") / 2000)
+    idx = F.row_number().over(Window.partitionBy(utt).orderBy("vec_id")) - 1
+    return table(spark, sf_dir, "embeddings").select(utt.alias("utt_id"), idx.alias("frame_idx"), F.transform("embedding", lambda x: x.cast("double") * 10).alias("logits"))
 
 
 def cards(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -150,12 +150,21 @@ def symbols_of(ch: Column) -> Column:
     return F.when((c >= 0) & (c < 11172), F.filter(syllable, lambda s: s["symbol"] != "")).otherwise(F.array(part(ch, "other")))
 
 
+def narrow_symbols_of(ch: Column) -> Column:
+    """``symbols_of`` in the narrow transcription: front rounded vowels, double codas, no softened s."""
+    c = code(ch)
+    part = lambda values, i, p: F.struct(at(values, i).alias("symbol"), F.lit(p).alias("position"))
+    syllable = F.array(part(t.ONSET_IPA, F.floor(c / 588), "onset"), part(t.NARROW_VOWEL_IPA, F.floor(c % 588 / 28), "nucleus"), part(t.NARROW_CODA_IPA, c % 28, "coda"))
+    return F.when((c >= 0) & (c < 11172), F.filter(syllable, lambda s: s["symbol"] != "")).otherwise(F.array(F.struct(ch.alias("symbol"), F.lit("other").alias("position"))))
+
+
 def ipa_symbols(pronunciation: Column) -> Column:
     """array<struct<symbol, position>> of a pronunciation form."""
     chars = F.filter(F.split(normalize(pronunciation), "(?!^)"), lambda ch: ~ch.rlike(r"(?U)^\s*$"))
     return F.flatten(F.transform(chars, symbols_of))
 
 
+# Punctuation, modifier letters and vowel letters of IPA texts.
 _MARKS = r"[,.?!;:\"'`()\[\]{}]"
 _MODIFIERS = "ʰʷʲːˑ̥̬̹̜̟̠̩̯̤̰̪̺̻͈̈̃̚"
 _VOWELS = "aeiouyɯɨʉɪʊøœɛɜɞəɐɔæɑɒʌ"

@@ -17,51 +17,63 @@ STEP = "struct<op: string, ref_symbol: string, ref_category: string, ref_positio
 RESULT = f"struct<total_cost: double, max_cost: double, score: double, steps: array<{STEP}>>"
 
 
-@cache
-def _features(symbol: str) -> tuple[str, dict[str, str]]:
-    if symbol in t.CONSONANT_FEATURES:
-        return "consonant", dict(zip(t.CONSONANT_WEIGHTS, t.CONSONANT_FEATURES[symbol]))
-    if symbol in t.SEMIVOWEL_FEATURES:
-        return "semivowel", dict(zip(t.CONSONANT_WEIGHTS, t.SEMIVOWEL_FEATURES[symbol]))
-    if symbol in t.VOWEL_FEATURES:
-        return "vowel", dict(zip(t.VOWEL_WEIGHTS, t.VOWEL_FEATURES[symbol]))
-    return ("vowel", {}) if set(symbol) & set("aeiouyɯʌɛø") else ("consonant", {"aspiration": "none", "tenseness": "none"})
+#: Every feature with its weight; a phone has "" for the features of other kinds, so these never differ.
+WEIGHTS = t.CONSONANT_WEIGHTS | t.VOWEL_WEIGHTS
+LABELS = ["match", "cross-category confusion", "feature-similar substitution", "substitution", "coda neutralization", "laryngeal contrast confusion", "vowel confusion", "liquid realization issue"]
 
 
-def _relief(a: str, b: str, profile: str) -> float:
-    for table in (t.PAIR_RELIEF.get(profile, {}), t.PAIR_RELIEF["default"]):
-        for pair, value in table.items():
-            if {a, b} == set(pair.split()):
-                return value
-    return 0.0
+@cache
+def phone_features(symbol: str) -> tuple[str, ...]:
+    """Kind and the value of each feature of ``WEIGHTS``; symbols outside the tables are vowels by their letters."""
+    of = {"consonant": t.CONSONANT_FEATURES, "semivowel": t.SEMIVOWEL_FEATURES, "vowel": t.VOWEL_FEATURES}
+    kind = next((k for k, known in of.items() if symbol in known), "vowel" if set(symbol) & set("aeiouyɯʌɛø") else "consonant")
+    unknown = ("other",) * len(t.VOWEL_WEIGHTS) if kind == "vowel" else ("other", "other", "other", "none", "none")
+    own = of[kind].get(symbol, unknown)
+    return (kind, *([""] * len(t.CONSONANT_WEIGHTS)), *own) if kind == "vowel" else (kind, *own, *([""] * len(t.VOWEL_WEIGHTS)))
 
 
-@cache
-def substitution(ref: str, ref_category: str, position: str, hyp: str, hyp_category: str, profile: str) -> tuple[float, str, tuple[tuple[str, float], ...]]:
-    """Cost, label and feature penalties of hearing ``hyp`` for ``ref``."""
-    (ka, fa), (kb, fb) = _features(ref), _features(hyp)
-    if ref == hyp:
-        cost, penalties, label = 0.0, {}, "match"
-    elif ka != kb:
-        cost, penalties, label = 1.25, {"category": 1.25}, "cross-category confusion"
-    else:
-        weights = t.VOWEL_WEIGHTS if ka == "vowel" else t.CONSONANT_WEIGHTS
-        penalties = {name: w for name, w in weights.items() if fa.get(name, "other") != fb.get(name, "other")}
-        cost = 0.0
-        for w in penalties.values():
-            cost += w
-        label = "feature-similar substitution" if cost <= 0.45 else "substitution"
-        cost = min(cost, 1.4)
-    cost = max(0.0, cost + -_relief(ref, hyp, profile))
-    if position == "coda" and hyp_category == "consonant" and hyp in ("k̚", "t̚", "p̚"):
-        cost, label = min(cost, 0.35), "coda neutralization"
-    if ("aspiration" in penalties or "tenseness" in penalties) and cost <= 0.35:
-        label = "laryngeal contrast confusion"
-    elif ref_category == hyp_category == "vowel" and cost <= 0.4:
-        label = "vowel confusion"
-    elif {ref, hyp} & {"ɾ", "l"}:
-        label = "liquid realization issue"
-    return cost, label, tuple(penalties.items())
+def pair_costs(refs: list[tuple[str, str, str]], hyps: list[tuple[str, str]], profile: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Costs and label numbers of hearing each of ``hyps`` for each of ``refs``, and which features differ (last axis).
+
+    One array operation a feature or rule, over all pairs at once.
+    """
+    shape = (len(refs), len(hyps))
+    if 0 in shape:
+        return np.zeros(shape), np.zeros(shape, int), np.zeros((*shape, len(WEIGHTS)), bool)
+    a, b = np.array([phone_features(r[0]) for r in refs]), np.array([phone_features(h[0]) for h in hyps])
+    ra, hb = np.array([r[0] for r in refs]), np.array([h[0] for h in hyps])
+    alike = a[:, None, 0] == b[None, :, 0]
+    differs = (a[:, None, 1:] != b[None, :, 1:]) & alike[..., None]
+    total = np.zeros(shape)
+    for k, weight in enumerate(WEIGHTS.values()):
+        total += np.where(differs[..., k], weight, 0.0)
+    equal = ra[:, None] == hb
+    label = np.select([equal, ~alike, total <= 0.45], [0, 1, 2], 3)
+    cost = np.where(alike, np.minimum(total, 1.4), 1.25)
+    for pair in t.PAIR_COST["default"] | t.PAIR_COST.get(profile, {}):
+        more = t.PAIR_COST.get(profile, {}).get(pair, t.PAIR_COST["default"].get(pair))
+        hit = ((ra == pair[0])[:, None] & (hb == pair[1])) | ((ra == pair[1])[:, None] & (hb == pair[0]))
+        cost = np.where(hit, np.maximum(0.0, cost + more), cost)
+    stops = np.array([kind == "consonant" and s in ("k̚", "t̚", "p̚") for s, kind in hyps])
+    closed = np.array([r[2] == "coda" for r in refs])[:, None] & stops
+    cost, label = np.where(closed, np.minimum(cost, 0.35), cost), np.where(closed, 4, label)
+    names = list(WEIGHTS)
+    throat = differs[..., names.index("aspiration")] | differs[..., names.index("tenseness")]
+    vowels = np.array([r[1] == "vowel" for r in refs])[:, None] & np.array([h[1] == "vowel" for h in hyps])
+    liquid = np.isin(ra, ["ɾ", "l"])[:, None] | np.isin(hb, ["ɾ", "l"])
+    label = np.select([throat & (cost <= 0.35), vowels & (cost <= 0.4), liquid], [5, 6, 7], label)
+    return np.where(equal & ~closed, 0.0, cost), label, differs
+
+
+def penalties(differs: np.ndarray, label: int) -> dict[str, float]:
+    own = {name: w for (name, w), d in zip(WEIGHTS.items(), differs) if d}
+    return {"category": 1.25} if label == 1 else own
+
+
+def substitution(ref: str, ref_category: str, position: str, hyp: str, hyp_category: str, profile: str) -> tuple[float, str]:
+    """Cost and label of hearing ``hyp`` for ``ref``."""
+    cost, label, _ = pair_costs([(ref, ref_category, position)], [(hyp, hyp_category)], profile)
+    return float(cost[0, 0]), LABELS[label[0, 0]]
 
 
 def insertion(symbol: str, category: str, profile: str) -> tuple[float, str]:
@@ -77,16 +89,17 @@ def deletion(symbol: str, category: str, position: str) -> tuple[float, str]:
 
 
 def cost_table(spark: SparkSession, symbols: DataFrame, profile: str = "ru") -> DataFrame:
-    """The cost of each pair of the distinct tokens in ``symbols`` (symbol, category, position): a few dozen by design."""
-    own = symbols.distinct()
+    """The cost of each distinct token in ``symbols`` (symbol, category, position) against each phone of the feature tables: a fixed few dozen."""
+    heard = [(s, k) for k, known in (("consonant", t.CONSONANT_FEATURES), ("semivowel", t.SEMIVOWEL_FEATURES), ("vowel", t.VOWEL_FEATURES)) for s in known]
 
-    @F.pandas_udf("struct<cost: double, label: string>")
-    def cost(a: pd.Series, ka: pd.Series, p: pd.Series, b: pd.Series, kb: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([substitution(*row, profile)[:2] for row in zip(a, ka, p, b, kb)], columns=["cost", "label"])
+    def run(batches):
+        for batch in batches:
+            refs = list(batch[["symbol", "category", "position"]].itertuples(index=False, name=None))
+            cost, label, _ = pair_costs(refs, heard, profile)
+            rows = batch.loc[batch.index.repeat(len(heard))].reset_index(drop=True)
+            yield rows.assign(hyp_symbol=[s for s, _ in heard] * len(refs), cost=cost.ravel(), label=np.array(LABELS)[label].ravel())
 
-    heard = own.select(F.col("symbol").alias("hyp_symbol"), F.col("category").alias("hyp_category")).distinct().agg(F.collect_set(F.struct("hyp_symbol", "hyp_category")).alias("h"))
-    pairs = own.join(F.broadcast(heard)).select("*", F.inline("h")).drop("h")
-    return pairs.withColumn("c", cost("symbol", "category", "position", "hyp_symbol", "hyp_category")).select("symbol", "category", "position", "hyp_symbol", "c.cost", "c.label")
+    return symbols.select("symbol", "category", "position").distinct().mapInPandas(run, "symbol string, category string, position string, hyp_symbol string, cost double, label string")
 
 
 def _align(ref: list[dict], hyp: list[dict], profile: str) -> dict:
@@ -94,9 +107,9 @@ def _align(ref: list[dict], hyp: list[dict], profile: str) -> dict:
     h = [(x["symbol"], x["category"]) for x in hyp]
     dels, ins = [deletion(*x) for x in r], [insertion(*x, profile) for x in h]
     kinds_r, kinds_h = {x: k for k, x in enumerate(dict.fromkeys(r))}, {x: k for k, x in enumerate(dict.fromkeys(h))}
-    table = np.array([[substitution(*x, *y, profile)[0] for y in kinds_h] for x in kinds_r]).reshape(len(kinds_r), len(kinds_h))
-    costs = table[np.array([kinds_r[x] for x in r], int)][:, np.array([kinds_h[x] for x in h], int)] if r and h else np.zeros((len(r), len(h)))
-    total, moves = kernels.edit_path(costs, np.array([c for c, _ in dels]), np.array([c for c, _ in ins]))
+    table, labels, differs = pair_costs(list(kinds_r), list(kinds_h), profile)
+    rows, columns = np.array([kinds_r[x] for x in r], int), np.array([kinds_h[x] for x in h], int)
+    total, moves = kernels.edit_path(table, np.array([c for c, _ in dels]), np.array([c for c, _ in ins]), rows, columns)
     steps, i, j = [], 0, 0
     for move in moves:
         step = dict.fromkeys(("ref_symbol", "ref_category", "ref_position", "hyp_symbol", "hyp_category", "ref_index", "hyp_index"))
@@ -105,8 +118,9 @@ def _align(ref: list[dict], hyp: list[dict], profile: str) -> dict:
         if move != kernels.DELETE:
             step |= {"hyp_symbol": h[j][0], "hyp_category": h[j][1], "hyp_index": j}
         if move == kernels.SUBSTITUTE:
-            cost, label, penalties = substitution(*r[i], *h[j], profile)
-            step |= {"op": "match" if cost == 0 else "substitute", "cost": cost, "error_type": label, "detail": f"{r[i][0]} -> {h[j][0]}", "penalties": dict(penalties)}
+            at = rows[i], columns[j]
+            cost, label = float(table[at]), int(labels[at])
+            step |= {"op": "match" if cost == 0 else "substitute", "cost": cost, "error_type": LABELS[label], "detail": f"{r[i][0]} -> {h[j][0]}", "penalties": penalties(differs[at], label)}
         elif move == kernels.DELETE:
             step |= {"op": "delete", "cost": dels[i][0], "error_type": dels[i][1], "detail": f"{r[i][0]} deleted", "penalties": {}}
         else:
@@ -128,7 +142,7 @@ def align(pairs: DataFrame, ref: str = "ref", hyp: str = "hyp", profile: str = "
         listed = lambda x: [] if x is None else list(x)
         return pd.DataFrame([_align(listed(a), listed(b), profile) for a, b in zip(refs, hyps)], columns=["total_cost", "max_cost", "score", "steps"])
 
-    keyed = pairs.withColumn("_pair", F.xxhash64(F.to_json(F.struct(ref, hyp))))
+    keyed = pairs.withColumn("_pair", F.sha2(F.to_json(F.struct(ref, hyp)), 256))
     spread = 2 * pairs.sparkSession.sparkContext.defaultParallelism  # few bytes but much work a row
     done = keyed.select("_pair", ref, hyp).dropDuplicates(["_pair"]).repartition(spread).select("_pair", run(ref, hyp).alias(into))
     return keyed.join(done, "_pair").drop("_pair")

@@ -93,3 +93,9 @@ def sentence_verdict(words: DataFrame, by: list[str]) -> DataFrame:
     """Mean distance over a rendering's words: natural below 1.5, borderline below 2.5, else unnatural."""
     mean = words.groupBy(*by).agg(F.avg("distance").alias("avg_distance"), F.count("*").alias("n_words"))
     return mean.withColumn("verdict", F.when(F.col("avg_distance") < 1.5, "natural").when(F.col("avg_distance") < 2.5, "borderline").otherwise("unnatural"))
+
+
+def quality(models: DataFrame, by: list[str]) -> DataFrame:
+    """mode, n and, with too few samples for a full covariance, a warning for each word model (``by``, n)."""
+    few = F.col("n") < FULL_FROM
+    return models.select(*by, F.when(few, "diagonal").otherwise("full").alias("mode"), "n", F.when(few, F.concat(F.lit("n="), F.col("n").cast("string"), F.lit(f" < {FULL_FROM}: diagonal"))).alias("warning"))

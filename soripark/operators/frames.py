@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -41,6 +43,51 @@ def frame_times(frames: DataFrame, duration: float) -> DataFrame:
     return frames.withColumns({"start_time": F.col("frame_idx") * duration / n, "end_time": (F.col("frame_idx") + 1) * duration / n})
 
 
+def frame_boundaries(timestamps: Column, n: Column) -> Column:
+    """n + 1 boundaries of n frames from the given times: the first n + 1; of n times the last one's length in equal parts;
+    fewer ones go on by their first step (0.02 s if there is one only); none: whole numbers; no frame: 0.0.
+    """
+    have, place = F.size(timestamps), F.sequence(F.lit(0), n)
+    last, step = F.element_at(timestamps, -1), F.coalesce(F.get(timestamps, F.lit(1)) - F.get(timestamps, F.lit(0)), F.lit(0.02))
+    return (
+        F.when(n <= 0, F.array(F.lit(0.0))).when(timestamps.isNull() | (have == 0), F.transform(place, lambda i: i.cast("double"))).when(have >= n + 1, F.slice(timestamps, 1, F.greatest(n + 1, F.lit(1))))
+        .when((have == n) & (n > 1) & (last > 0), F.transform(place, lambda i: last * i / n))
+        .otherwise(F.transform(place, lambda i: F.coalesce(F.get(timestamps, i), last + step * (i - have + 1))))
+    )
+
+
+def frame_energy(samples: DataFrame, counts: DataFrame) -> DataFrame:
+    """Root mean square of the samples (utt_id, idx, x) of each of an utterance's frames (``counts``: utt_id, frame_count).
+
+    Frame i of F holds samples from n i / F to n (i + 1) / F, rounded half to even, one at least.  Sample numbers are
+    joined by equality; an utterance without samples has no rows.
+    """
+    n = samples.groupBy("utt_id").agg(F.count("*").alias("n"))
+    f = counts.join(n, "utt_id").where("frame_count > 0").withColumn("frame_idx", F.explode(F.sequence(F.lit(0).cast("long"), F.col("frame_count").cast("long") - 1)))
+    edge = lambda i: F.bround(F.col("n") * i / F.col("frame_count")).cast("long")
+    begin = edge(F.col("frame_idx"))
+    rows = f.select("utt_id", "frame_idx", F.explode(F.sequence(begin, F.greatest(begin + 1, edge(F.col("frame_idx") + 1)) - 1)).alias("idx"))
+    return rows.join(samples, ["utt_id", "idx"]).groupBy("utt_id", "frame_idx").agg(F.sqrt(F.avg(F.col("x") * F.col("x"))).alias("energy"))
+
+
+def segment_boundaries(evidence: DataFrame, padding: int = 2, bridged: int = 20) -> DataFrame:
+    """start_frame and end_frame (not included) of each label from its first and last frame of evidence.
+
+    ``evidence``: utt_id, label_idx, first, last (null: no evidence, no boundaries), n_frames.  Neighbours with up to
+    ``bridged`` blank frames between share them half and half; others keep ``padding`` frames at each side.
+    """
+    w = Window.partitionBy("utt_id").orderBy("label_idx")
+    first, last, before, after = (F.col(c) for c in ("first", "last", "_before", "_after"))
+    rows = evidence.where("first is not null").withColumns({"_before": F.lag("last").over(w), "_after": F.lead("first").over(w), "_a": F.greatest(F.lit(0), first - padding)})
+    rows = rows.withColumn("_b", F.greatest(F.col("_a") + 1, F.least("n_frames", last + 1 + padding)))
+    half = lambda end, begin: end + 1 + F.floor(F.greatest(F.lit(0), begin - end - 1) / 2)
+    start = F.when(before.isNull(), F.col("_a")).when(first - before - 1 <= bridged, F.least(half(before, first), F.col("_b") - 1)).otherwise(F.least("_a", F.col("_b") - 1))
+    rows = rows.withColumn("start_frame", start)
+    end = F.when(after - last - 1 <= bridged, half(last, after)).when(after.isNull(), F.col("_b")).otherwise(F.least("_b", last + 1 + padding))
+    out = rows.select("utt_id", "label_idx", "start_frame", F.greatest(F.col("start_frame") + 1, end).alias("end_frame"))
+    return out.unionByName(evidence.where("first is null").select("utt_id", "label_idx", F.lit(None).cast("long").alias("start_frame"), F.lit(None).cast("long").alias("end_frame")))
+
+
 def pause_mask(scored: DataFrame) -> DataFrame:
     """is_pause: blank .85, confidence .70, and energy at most max(.01, .15 of the 95th percentile of positive energy)."""
     loud = scored.where("energy > 0").groupBy("utt_id").agg(F.percentile("energy", F.lit(0.95)).alias("p95"))
@@ -63,11 +110,13 @@ def compress_pauses(frames: DataFrame, least: int = 8, edge: int = 2, n_labels:
 ALIGNED = "utt_id long, frames int, labels int, log_prob double, normalized_log_prob double, avg_confidence double, coverage double, blank_ratio double, segments array<struct<label: int, first: int, last: int, confidence: double>>, error string"
 
 
-def force_align(emissions: DataFrame, targets: DataFrame, blank: int = 0) -> DataFrame:
+def force_align(emissions: DataFrame, targets: DataFrame, blank: int = 0, weak: Iterable[int] = ()) -> DataFrame:
     """Each utterance's labels on its frames: best path, first and last frame and path confidence of each label.
 
-    ``targets``: utt_id, labels.  Too few frames, no labels or a blank among them: a row with ``error``.
+    Labels in ``weak`` (those of ``tables.WEAK_TOKENS``) and of one or two frames take the peak of their posterior
+    near them into account.  ``targets``: utt_id, labels.  Too few frames, no labels or a blank among them: a row with ``error``.
     """
+    weak_ids = frozenset(weak)
 
     def run(key, frames: pd.DataFrame, target: pd.DataFrame) -> pd.DataFrame:
         if not len(target) or not len(frames):
@@ -91,8 +140,8 @@ def force_align(emissions: DataFrame, targets: DataFrame, blank: int = 0) -> Dat
             if posterior is not None:
                 near = posterior[max(0, at[0] - 2) : at[-1] + 3, 2 * k + 1]
                 best = float(np.sort(near)[::-1][:3].mean())
-                weak = value < 0.2 or len(at) <= 2
-                value = max(value, best, 0.85 * float(near.max())) if weak else max(value, 0.75 * value + 0.25 * best)
+                short = int(labels[k]) in weak_ids or len(at) <= 2
+                value = max(value, best, 0.85 * float(near.max())) if short else max(value, 0.75 * value + 0.25 * best)
             segments.append({"label": int(labels[k]), "first": int(at[0]), "last": int(at[-1]), "confidence": min(1.0, max(0.0, value))})
         return pd.DataFrame([row | {"log_prob": score, "normalized_log_prob": score / len(path), "avg_confidence": float(np.mean([s["confidence"] for s in segments])),
                                     "coverage": len({p for p in path if p % 2}) / len(labels), "blank_ratio": float((path % 2 == 0).mean()), "segments": segments}])
@@ -100,7 +149,8 @@ def force_align(emissions: DataFrame, targets: DataFrame, blank: int = 0) -> Dat
     def whole(key, frames, target):
         return run(key, frames, target).reindex(columns=[c.split()[0] for c in ("utt_id", "frames", "labels", "log_prob", "normalized_log_prob", "avg_confidence", "coverage", "blank_ratio", "segments", "error")])
 
-    return emissions.groupBy("utt_id").cogroup(targets.groupBy("utt_id")).applyInPandas(whole, ALIGNED)
+    named = lambda df, *columns: df.select(F.col("utt_id").cast("long").alias("utt_id"), *columns).groupBy("utt_id")
+    return named(emissions, "frame_idx", "logits").cogroup(named(targets, "labels")).applyInPandas(whole, ALIGNED)
 
 
 def block_energy(samples: DataFrame, rate: int = 16000, seconds: float = 0.02) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tomllib
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -119,3 +121,17 @@ def at_times(frames: DataFrame, queries: DataFrame) -> DataFrame:
     ahead = F.first("frame", True).over(w.rowsBetween(0, Window.unboundedFollowing))
     last = F.last("frame", True).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
     return both.withColumn("hit", F.coalesce(ahead, last)).where("query_id is not null").select("utt_id", "query_id", "hit.frame_idx", "hit.f0")
+
+
+def load_rule_config(path: str | None = None) -> dict[str, dict[str, float]]:
+    """Thresholds and window ratios of a TOML file (sections thresholds and window) over the built-in ones; other names are an error."""
+    rules, window = dict(t.RULES), dict(t.WINDOW)
+    if path is not None:
+        with open(path, "rb") as file:
+            read = tomllib.load(file)
+        for own, section in ((rules, "thresholds"), (window, "window")):
+            unknown = set(read.get(section, {})) - set(own)
+            if unknown:
+                raise ValueError(f"unknown names in [{section}]: {sorted(unknown)}")
+            own |= {k: float(v) for k, v in read.get(section, {}).items()}
+    return {"thresholds": rules, "window": window}

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from soripark import tables as t
@@ -64,40 +64,165 @@ def very_low_runs(segments: DataFrame, k: int = 8) -> DataFrame:
     return runs.withColumn("rank", rank).where(F.col("rank") <= k).select("utt_id", "rank", "start_index", "end_index", "length", "min_confidence")
 
 
-def timing_summary(segments: DataFrame, coverage: float = 1.0) -> DataFrame:
-    """Gap and duration figures and the quality level of each utterance (no frame evidence: no gap is a pause)."""
-    g = gaps(segments)
-    value = F.col("gap")
-    tail, inner = F.col("is_tail_gap"), ~F.col("is_tail_gap")
-    of_gaps = g.groupBy("utt_id").agg(
-        F.max(value).alias("max_gap"), F.coalesce(F.max(F.when(tail, value)), F.lit(0.0)).alias("max_tail_gap"), F.coalesce(F.max(F.when(inner, value)), F.lit(0.0)).alias("max_internal_gap"),
-        F.count_if(value > t.LARGE_GAP).alias("large_gap_count"), F.count_if(value > t.WARNING_GAP).alias("warning_gap_count"), F.count_if((value > t.FAILURE_GAP) & inner).alias("failure_gap_count"))
-    length = F.greatest(F.lit(0.0), F.col("end_time") - F.col("start_time"))
-    of_segments = segments.groupBy("utt_id").agg(
-        F.count("*").alias("segment_count"), F.percentile(length, F.lit(0.5)).alias("median_duration"), F.max(length).alias("max_duration"), F.min("confidence").alias("min_confidence"),
-        F.avg("confidence").alias("avg_confidence"), (F.count_if(F.col("confidence") < F.col("low_threshold")) / F.count("*")).alias("low_ratio"), (F.count_if(F.col("confidence") < F.col("very_low_threshold")) / F.count("*")).alias("very_low_ratio"),
-        F.max_by("confidence", "seg_idx").alias("last_confidence"), F.max("seg_idx").alias("last_idx"))
-    rows = of_segments.join(of_gaps, "utt_id", "left").fillna(0.0, ["max_gap", "max_tail_gap", "max_internal_gap"]).fillna(0, ["large_gap_count", "warning_gap_count", "failure_gap_count"])
+def gap_evidence(segments: DataFrame, frames: DataFrame) -> DataFrame:
+    """What the frames strictly between two neighbours tell of their gap; ``frames``: utt_id, frame_idx, blank_posterior, confidence.
+
+    A gap is like a pause with at least three frames between, a mean blank of .70 and .60 of the frames at a blank of .65.
+    Frame numbers between are joined by equality, so a gap costs its own frames only.
+    """
+    rows = segments.withColumns({"begin": F.lag("frame_end").over(by_utt()) + 1, "last_idx": F.max("seg_idx").over(Window.partitionBy("utt_id"))}).where("begin is not null")
+    n = F.greatest(F.lit(0), F.col("frame_start") - F.col("begin"))
+    g = rows.select("utt_id", F.col("seg_idx").alias("next_idx"), "begin", n.alias("frame_count"), (F.col("seg_idx") >= F.col("last_idx") - 1).alias("is_tail_gap"))
+    between = g.where("frame_count > 0").select("utt_id", "next_idx", F.explode(F.sequence("begin", F.col("begin") + F.col("frame_count") - 1)).alias("frame_idx"))
+    share = lambda condition: F.count_if(condition) / F.count("*")
+    seen = between.join(frames, ["utt_id", "frame_idx"]).groupBy("utt_id", "next_idx").agg(
+        F.avg("blank_posterior").alias("blank_mean"), share(F.col("blank_posterior") >= 0.65).alias("blank_dominant_ratio"),
+        F.avg("confidence").alias("confidence_mean"), share(F.col("confidence") < 0.35).alias("confidence_low_ratio"))
+    pause = (F.col("frame_count") >= 3) & (F.col("blank_mean") >= 0.70) & (F.col("blank_dominant_ratio") >= 0.60)
+    return g.join(seen, ["utt_id", "next_idx"], "left").withColumn("pause_like", F.coalesce(pause, F.lit(False))).drop("begin")
+
+
+def timing_summary(segments: DataFrame, evidence: DataFrame | None = None, alignments: DataFrame | None = None) -> DataFrame:
+    """Gap, duration and confidence figures and the quality level of each utterance.
+
+    ``segments`` carry their effective thresholds; ratios of the fixed ones stand beside.  ``evidence``
+    (of ``gap_evidence``) tells which gaps are pauses; without it none is.  ``alignments`` (utt_id,
+    coverage, normalized_log_prob, blank_ratio) are passed on; without them coverage is 1.
+    """
+    whole = Window.partitionBy("utt_id")
+    rows = segments.withColumns({
+        "gap": F.greatest(F.lit(0.0), F.col("start_time") - F.lag("end_time").over(by_utt())), "from_end": F.max("seg_idx").over(whole) - F.col("seg_idx"),
+        "length": F.greatest(F.lit(0.0), F.col("end_time") - F.col("start_time"))})
+    rows = rows.withColumn("gap", F.when(F.col("seg_idx") > F.min("seg_idx").over(whole), F.col("gap")))
+    if evidence is None:
+        rows = rows.withColumn("pause_like", F.lit(False))
+    else:
+        rows = rows.join(evidence.select("utt_id", F.col("next_idx").alias("seg_idx"), "pause_like"), ["utt_id", "seg_idx"], "left").fillna(False, ["pause_like"])
+    tail, pause, c = F.col("from_end") <= 1, F.col("pause_like"), F.col("confidence")
+    most = lambda condition=F.lit(True): F.coalesce(F.max(F.when(condition, F.col("gap"))), F.lit(0.0))
+    above = lambda limit, condition=F.lit(True): F.count_if((F.col("gap") > limit) & condition)
+    share = lambda condition: F.count_if(condition) / F.count("*")
+    out = rows.groupBy("utt_id").agg(
+        F.count("*").alias("segment_count"), F.percentile("length", F.lit(0.5)).alias("median_duration"), F.max("length").alias("max_duration"), F.min(c).alias("min_confidence"), F.avg(c).alias("avg_confidence"),
+        share(c < F.col("low_threshold")).alias("low_ratio"), share(c < F.col("very_low_threshold")).alias("very_low_ratio"), share(c < t.LOW).alias("raw_low_ratio"), share(c < t.VERY_LOW).alias("raw_very_low_ratio"),
+        ((F.count("*") >= 2) & (F.count_if((c < F.col("very_low_threshold")) & tail) == 2)).alias("final_very_low"),
+        most().alias("max_gap"), most(tail).alias("max_tail_gap"), most(~tail).alias("max_internal_gap"), most(~tail & ~pause & (F.col("gap") > t.FAILURE_GAP)).alias("max_unexplained_internal_gap"),
+        most(~tail & pause & (F.col("gap") > t.LARGE_GAP)).alias("max_pause_gap"), above(t.LARGE_GAP).alias("large_gap_count"), above(t.WARNING_GAP).alias("warning_gap_count"),
+        above(t.FAILURE_GAP, ~tail & ~pause).alias("failure_gap_count"), above(t.LARGE_GAP, ~tail & pause).alias("pause_gap_count"), above(t.LARGE_GAP, ~tail & ~pause).alias("unexplained_large_gap_count"))
+    if alignments is None:
+        out = out.withColumns({"coverage": F.lit(1.0), "normalized_log_prob": F.lit(0.0), "blank_ratio": F.lit(0.0)})
+    else:
+        out = out.join(alignments.select("utt_id", "coverage", "normalized_log_prob", "blank_ratio"), "utt_id", "left")
     level = (
-        F.when((F.lit(coverage) < 0.90) | (F.col("max_tail_gap") > t.LARGE_GAP) | (F.col("failure_gap_count") > 0), "discardable")
+        F.when((F.col("coverage") < 0.90) | (F.col("max_tail_gap") > t.LARGE_GAP) | (F.col("failure_gap_count") > 0), "discardable")
         .when((F.col("warning_gap_count") > 0) | (F.col("large_gap_count") >= 3) | (F.col("very_low_ratio") > 0.15), "usable_with_warnings")
         .when((F.col("large_gap_count") > 0) | (F.col("very_low_ratio") > 0.10), "minor_warnings")
         .otherwise("clean")
     )
-    return rows.withColumn("quality_level", level).drop("last_confidence", "last_idx")
+    return out.withColumn("quality_level", level)
+
+
+def top_gaps(segments: DataFrame, k: int = 10) -> DataFrame:
+    """The k longest gaps of each utterance, ties by index."""
+    rank = F.row_number().over(Window.partitionBy("utt_id").orderBy(F.col("gap").desc(), "next_idx"))
+    return gaps(segments).withColumn("rank", rank).where(F.col("rank") <= k)
+
+
+def _names(conditions: dict[str, Column]) -> Column:
+    """The names whose condition holds, in order; null counts as no."""
+    return F.array_compact(F.array(*(F.when(cond, F.lit(name)) for name, cond in conditions.items())))
 
 
 def alignment_gate(summary: DataFrame) -> DataFrame:
     """passed, and the failed checks by name, of each utterance's timing summary."""
-    checks = {
-        "avg_confidence": F.col("avg_confidence") < 0.45, "low_ratio": F.col("low_ratio") > 0.45, "very_low_ratio": F.col("very_low_ratio") > 0.30,
-        "long_phone": (F.col("median_duration") > 0) & (F.col("max_duration") > F.greatest(F.lit(0.75), F.col("median_duration") * 8)),
-        "tail_gap": F.col("max_tail_gap") > t.LARGE_GAP, "internal_gap": (F.col("max_tail_gap") <= t.LARGE_GAP) & (F.col("failure_gap_count") > 0),
-    }
-    failed = F.array_compact(F.array(*(F.when(cond, name) for name, cond in checks.items())))
+    long = (F.col("median_duration") > 0) & (F.col("max_duration") > F.greatest(F.lit(0.75), F.col("median_duration") * 8))
+    failed = _names({
+        "coverage": F.col("coverage") < 0.90, "avg_confidence": F.col("avg_confidence") < 0.45, "low_ratio": F.col("low_ratio") > 0.45, "very_low_ratio": F.col("very_low_ratio") > 0.30,
+        "log_prob": F.col("normalized_log_prob") < -1.5, "blank_ratio": F.col("blank_ratio") > 0.97, "final_phones": F.col("final_very_low"), "long_phone": long,
+        "tail_gap": F.col("max_tail_gap") > t.LARGE_GAP, "internal_gap": (F.col("max_tail_gap") <= t.LARGE_GAP) & (F.col("max_unexplained_internal_gap") > t.FAILURE_GAP),
+    })
     return summary.select("utt_id", (F.size(failed) == 0).alias("passed"), F.array_join(failed, ",").alias("reasons"))
 
 
+def soft_accept_gates(rows: DataFrame) -> DataFrame:
+    """Gates of utt_id, audio_passed, coarse_score, alignment_passed (null: not judged; unjudged audio does not fail).
+
+    A good alignment makes up for a low coarse score; rows that fail any gate are accepted with a warning.
+    """
+    aligned, raw = F.coalesce("alignment_passed", F.lit(False)), F.col("coarse_score") >= t.COARSE_SCORE
+    every = F.coalesce("audio_passed", F.lit(True)) & (raw | aligned) & aligned
+    return rows.select("utt_id", "audio_passed", raw.alias("raw_coarse_passed"), (~raw & aligned).alias("coarse_recovered"), (raw | aligned).alias("coarse_passed"), aligned.alias("alignment_passed"), (~every).alias("soft_accepted"))
+
+
+def prosody_usage(rows: DataFrame) -> DataFrame:
+    """How far the prosody stage may use an utterance's timing: disabled, limited, cautious or full, why, and what limits it.
+
+    ``rows``: a timing summary (quality_level null: no alignment) with scope, evaluation_status, gate_passed,
+    audio_passed, coarse_passed (null: not judged) and is_partial (a trimmed tail).
+    """
+    very_low, level = F.col("very_low_ratio"), F.col("quality_level")
+    broad = F.col("scope").isin("global", "mixed") & (very_low > 0)
+    much, some = F.coalesce((very_low > 0.15) | broad, F.lit(False)), F.coalesce((very_low > 0.10) | broad, F.lit(False))
+    gate, pause, tail = ~F.col("gate_passed"), F.col("pause_gap_count") > 0, F.col("max_tail_gap") > t.LARGE_GAP
+    many = F.col("large_gap_count") >= 3
+    scoped = lambda condition, otherwise: F.when(condition, F.concat(F.lit("confidence_limited_"), F.coalesce("scope", F.lit(otherwise))))
+
+    def reasons(head: dict[str, Column], scope: Column, last: dict[str, Column], default: str | None) -> Column:
+        found = F.array_compact(F.concat(_names(head), F.array(scope), _names(last)))
+        return found if default is None else F.when(F.size(found) == 0, F.array(F.lit(default))).otherwise(found)
+
+    off = level.isNull() | (F.col("evaluation_status") != "ready")
+    why = (
+        F.when(level.isNull(), F.array(F.lit("forced_alignment_missing"))).when(off, F.array(F.lit("evaluation_not_ready")))
+        .when(level == "discardable", reasons({"timing_quality_discardable": F.lit(True), "alignment_gate_not_ready": gate}, scoped(much, "unknown"), {"pause_gap_detected": pause, "tail_gap_detected": tail}, None))
+        .when(level == "usable_with_warnings", reasons({
+            "alignment_gate_not_ready": gate, "pause_gap_detected": pause, "large_internal_gap_warning": F.col("warning_gap_count") > 0, "many_large_gaps": many,
+            "many_very_low_confidence_segments": very_low > 0.15}, scoped(much, "unknown"), {}, "timing_quality_usable_with_warnings"))
+        .when(level == "minor_warnings", reasons({
+            "alignment_gate_not_ready": gate, "pause_gap_detected": pause, "minor_gap_warning": F.col("large_gap_count") > 0, "minor_low_confidence_warning": very_low > 0.10}, scoped(some, "minor"), {}, "minor_timing_warning"))
+        .otherwise(_names({"alignment_gate_not_ready": gate}))
+    )
+    usage = F.when(off, "disabled").when(level.isin("discardable", "usable_with_warnings"), "limited").when(level == "minor_warnings", "cautious").when(gate, "limited").otherwise("full")
+    audio, coarse, partial = ~F.col("audio_passed"), ~F.col("coarse_passed"), F.col("is_partial")
+    soft = F.coalesce(audio, F.lit(False)) | F.coalesce(coarse, F.lit(False))
+    more = _names({"audio_quality_gate_failed": audio, "coarse_alignment_gate_failed": coarse, "soft_accept_policy_applied": soft, "partial_alignment_tail_excluded": partial})
+    limits = _names({
+        "alignment_gate": gate, "pause": pause, "confidence": some, "gap": (F.col("warning_gap_count") > 0) | many | (F.col("unexplained_large_gap_count") > 0), "tail": tail,
+        "audio_quality": audio, "coarse_alignment": coarse, "partial_tail": partial})
+    usage = F.when((usage == "full") & (soft | F.coalesce(partial, F.lit(False))), "cautious").otherwise(usage)
+    return rows.select("utt_id", usage.alias("recommended_usage"), (~off).alias("alignment_for_prosody"), F.array_join(F.concat(why, more), ",").alias("reasons"), F.array_join(limits, ",").alias("limited_by"))
+
+
+def excluded_tail(references: DataFrame) -> DataFrame:
+    """Each reference token by index; those past the aligned ones are excluded.  ``references``: utt_id, tokens, aligned_count."""
+    rows = references.select("utt_id", "aligned_count", F.size("tokens").alias("n"), F.posexplode("tokens").alias("index", "token"))
+    out = F.col("index") >= F.col("aligned_count")
+    return rows.select("utt_id", "index", "token", out.alias("is_excluded"), F.when(out, "unstable_forced_alignment_tail").alias("reason"), (F.col("aligned_count") < F.col("n")).alias("alignment_is_partial"))
+
+
+def tail_attempts(targets: DataFrame) -> DataFrame:
+    """Targets (utt_id, labels, passed: whether the whole alignment passed) to align: the failed ones once more without their last one and last two labels."""
+    most = F.least(F.lit(t.TAIL_MAX_TRIM), F.size("labels") - 1)
+    trims = F.when(F.col("passed") | (most < 1), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), most))
+    rows = targets.withColumn("trim", F.explode(trims))
+    return rows.withColumn("labels", F.slice("labels", 1, F.size("labels") - F.col("trim")))
+
+
+def select_attempt(attempts: DataFrame) -> DataFrame:
+    """The attempt of each utterance to go on with: the best passing one without its tail, else the whole one.
+
+    ``attempts``: utt_id, trim, passed and a timing summary.  Among passing tails a better quality level counts
+    first, then coverage, fewer and smaller gaps and weak phones, less trim, confidence and log probability.
+    """
+    level = F.array_position(F.array(*map(F.lit, t.QUALITY_LEVELS)), F.col("quality_level"))
+    falls = ["failure_gap_count", "warning_gap_count", "large_gap_count", "very_low_ratio", "low_ratio", "max_tail_gap", "max_unexplained_internal_gap", "max_internal_gap", "trim"]
+    tail = (F.col("trim") > 0) & F.col("passed")
+    unexplained = F.when(F.col("max_unexplained_internal_gap") > 0, F.col("max_unexplained_internal_gap")).otherwise(F.col("max_internal_gap"))
+    order = [tail.desc(), (F.col("trim") > 0).asc(), level.desc(), F.col("coverage").desc(), *((unexplained if c == "max_unexplained_internal_gap" else F.col(c)).asc() for c in falls), F.col("avg_confidence").desc(), F.col("normalized_log_prob").desc()]
+    rows = attempts.where((F.col("trim") == 0) | tail).withColumn("n", F.row_number().over(Window.partitionBy("utt_id").orderBy(*order)))
+    return rows.where("n = 1").drop("n")
+
+
 def tail_hint(segments: DataFrame) -> DataFrame:
     """How many last segments look unstable (0, 1 or 2); utterances of fewer than three segments: 0."""
     w = Window.partitionBy("utt_id")

@@ -31,11 +31,11 @@ def _rounded(df: DataFrame, digits: int = 6) -> DataFrame:
 _TOKENS = "[" + ", ".join(f"'{x}'" for x in b.TOKENS) + "]"
 _SEG = f"""
 seg as (
-  select l_orderkey as utt_id, row_number() over w - 1 as seg_idx, ({_TOKENS})[l_partkey % 40 + 1] as token, round(l_discount * 100) / 10 as confidence, ticks,
+  select l_orderkey as utt_id, row_number() over w - 1 as seg_idx, ({_TOKENS})[l_partkey % 40 + 1] as token, round(l_discount * 100) / 10 as confidence, ticks, gap as gap_ticks, l_partkey as part,
          sum(ticks + gap) over (w rows between unbounded preceding and current row) as end_ticks, l_returnflag as flag
   from (select *, round(l_quantity * 100)::bigint as ticks, round(l_tax * 50000)::bigint as gap from lineitem)
   window w as (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_shipdate)),
-s as (select utt_id, seg_idx, token, confidence, (end_ticks - ticks) / 10000.0::double as start_time, end_ticks / 10000.0::double as end_time, flag from seg)"""
+s as (select utt_id, seg_idx, token, confidence, (end_ticks - ticks) / 10000.0::double as start_time, end_ticks / 10000.0::double as end_time, (end_ticks - ticks) // 200 as frame_start, (end_ticks - 1) // 200 as frame_end, flag from seg)"""
 _CONF = f"""{_SEG},
 art as (select utt_id, min_by(flag, seg_idx) as flag from s group by utt_id),
 st as (select o_orderkey as utt_id, min(o_orderstatus) as status from orders group by 1),
@@ -120,31 +120,6 @@ def very_low_runs(spark, d):
     return _rounded(quality.very_low_runs(_thresholded(spark, d)))
 
 
-_TIMING = f"""{_CONF}, {_GAPS},
-gs as (select utt_id, max(gap) as max_gap, coalesce(max(gap) filter (is_tail_gap), 0.0) as max_tail_gap, coalesce(max(gap) filter (not is_tail_gap), 0.0) as max_internal_gap, count(*) filter (gap > 0.30)::bigint as large_gap_count,
-              count(*) filter (gap > 0.80)::bigint as warning_gap_count, count(*) filter (gap > 1.20 and not is_tail_gap)::bigint as failure_gap_count from g where p is not null group by 1),
-ss as (select utt_id, count(*)::bigint as segment_count, quantile_cont(greatest(0.0, end_time - start_time), 0.5) as median_duration, max(greatest(0.0, end_time - start_time)) as max_duration, min(confidence) as min_confidence,
-              avg(confidence) as avg_confidence, avg((confidence < low)::int) as low_ratio, avg((confidence < very_low)::int) as very_low_ratio from th group by 1),
-tm as (select utt_id, segment_count, median_duration, max_duration, min_confidence, avg_confidence, low_ratio, very_low_ratio, coalesce(max_gap, 0.0) as max_gap, coalesce(max_tail_gap, 0.0) as max_tail_gap,
-              coalesce(max_internal_gap, 0.0) as max_internal_gap, coalesce(large_gap_count, 0) as large_gap_count, coalesce(warning_gap_count, 0) as warning_gap_count, coalesce(failure_gap_count, 0) as failure_gap_count from ss left join gs using (utt_id))"""
-
-
-@query(f"""with {_TIMING} select utt_id, segment_count, {", ".join(f"round({c}, 6) as {c}" for c in ("median_duration", "max_duration", "min_confidence", "avg_confidence", "low_ratio", "very_low_ratio", "max_gap", "max_tail_gap", "max_internal_gap"))},
-  large_gap_count, warning_gap_count, failure_gap_count,
-  case when max_tail_gap > 0.30 or failure_gap_count > 0 then 'discardable' when warning_gap_count > 0 or large_gap_count >= 3 or very_low_ratio > 0.15 then 'usable_with_warnings'
-       when large_gap_count > 0 or very_low_ratio > 0.10 then 'minor_warnings' else 'clean' end as quality_level from tm""")
-def timing_summary(spark, d):
-    return _rounded(quality.timing_summary(_thresholded(spark, d)))
-
-
-@query(f"""with {_TIMING}, r as (select utt_id, list_filter([case when avg_confidence < 0.45 then 'avg_confidence' end, case when low_ratio > 0.45 then 'low_ratio' end, case when very_low_ratio > 0.30 then 'very_low_ratio' end,
-  case when median_duration > 0 and max_duration > greatest(0.75, median_duration * 8) then 'long_phone' end, case when max_tail_gap > 0.30 then 'tail_gap' end,
-  case when max_tail_gap <= 0.30 and failure_gap_count > 0 then 'internal_gap' end], lambda x: x is not null) as x from tm)
-select utt_id, len(x) = 0 as passed, array_to_string(x, ',') as reasons from r""")
-def alignment_gate(spark, d):
-    return quality.alignment_gate(quality.timing_summary(_thresholded(spark, d)))
-
-
 @query(f"""with {_SEG}, x as (select *, greatest(0.0, start_time - lag(end_time) over (partition by utt_id order by seg_idx)) as gap, greatest(0.0, end_time - start_time) as len_, row_number() over (partition by utt_id order by seg_idx desc) as e from s),
 u as (select utt_id, count(*) as n, quantile_cont(len_, 0.5) as med, max(confidence) filter (e = 1) as c1, max(confidence) filter (e = 2) as c2, max(gap) filter (e = 1) as g1, max(gap) filter (e = 2) as g2, max(len_) filter (e = 1) as l1 from x group by 1)
 select utt_id, case when n < 3 then 0 when c1 < 0.05 and c2 < 0.05 then 2 when g1 > 0.30 then 1 when g2 > 0.30 then 2 when c1 < 0.005 and med > 0 and l1 > greatest(0.75, med * 8) then 1 else 0 end as trim from u""")
@@ -290,7 +265,7 @@ def contour_metrics(spark, d):
 # emissions and samples
 
 _EM = """
-em as (select label as utt_id, row_number() over (partition by label order by vec_id) - 1 as frame_idx, list_transform(embedding, lambda x: x::double * 10) as l from embeddings),
+em as (select label::bigint * 1000000 + vec_id // 2000 as utt_id, row_number() over (partition by label, vec_id // 2000 order by vec_id) - 1 as frame_idx, list_transform(embedding, lambda x: x::double * 10) as l from embeddings),
 fs as (select *, 1 / list_sum(list_transform(l, lambda x: exp(x - list_max(l)))) as confidence, exp(l[1] - list_max(l)) / list_sum(list_transform(l, lambda x: exp(x - list_max(l)))) as blank_posterior, list_position(l, list_max(l)) - 1 as label_id from em)"""
 
 
@@ -351,10 +326,10 @@ def audio_quality(spark, d):
 
 @query()
 def force_align(spark, d):
-    """The first labels of each label's greedy reading, aligned on its frames."""
+    """All labels of each utterance's greedy reading, aligned on its frames; a label stands for the token of its number modulo 40."""
     em = b.emissions(spark, d)
-    labels = frames.greedy_decode(em).select("utt_id", F.filter("labels", lambda x, i: i % 7 == 0).alias("labels"))
-    return frames.force_align(em.withColumn("utt_id", F.col("utt_id").cast("long")), labels.withColumn("utt_id", F.col("utt_id").cast("long"))).drop("error")
+    weak = [i for i in range(64) if b.TOKENS[i % 40] in t.WEAK_TOKENS]
+    return frames.force_align(em, frames.greedy_decode(em), weak=weak).drop("error")
 
 
 # word models

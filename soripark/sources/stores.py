@@ -11,9 +11,9 @@ ARTIFACT = (
 )
 
 
-def read_artifacts(spark: SparkSession, path: str) -> DataFrame:
-    """Every *.json under a folder; broken files are skipped; the three shapes of status become one."""
-    rows = spark.read.schema(ARTIFACT).option("multiLine", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").option("mode", "PERMISSIVE").json(path)
+def read_artifacts(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """Every *.json under a folder, a record a file or (``lines``, as ``write_artifacts`` makes them) a line; broken ones are skipped; the three shapes of status become one."""
+    rows = spark.read.schema(ARTIFACT).option("multiLine", not lines).option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").option("mode", "PERMISSIVE").json(path)
     nested = F.from_json("status", "evaluation_status string")["evaluation_status"]
     status = F.coalesce(F.when(F.col("status").startswith("{"), nested).otherwise(F.col("status")), F.col("evaluation_status"))
     return rows.where("_corrupt_record is null").select(F.struct(status.alias("evaluation_status")).alias("status"), "gates", "alignment")

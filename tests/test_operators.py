@@ -188,7 +188,7 @@ def test_gates_at_their_limits(spark):
     timing = {r.utt_id: r for r in quality.timing_summary(seg).collect()}
     assert [timing[i].quality_level for i in range(1, 7)] == ["clean", "discardable", "discardable", "usable_with_warnings", "usable_with_warnings", "clean"]
     gate = {r.utt_id: r.reasons for r in quality.alignment_gate(quality.timing_summary(seg)).collect()}
-    assert [gate[i] for i in range(1, 7)] == ["", "tail_gap", "internal_gap", "", "avg_confidence,low_ratio,very_low_ratio", ""]
+    assert [gate[i] for i in range(1, 7)] == ["", "tail_gap", "internal_gap", "", "avg_confidence,low_ratio,very_low_ratio,final_phones", ""]
     assert {r.utt_id: r.trim for r in quality.tail_hint(seg).collect()} == {1: 0, 2: 1, 3: 0, 4: 0, 5: 2, 6: 0}
     scope = {r.utt_id: r.scope for r in quality.confidence_issues(seg).collect()}
     assert scope[1] == "none" and scope[5] == "global"
