@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from soripark.llm.common import saved
+from soripark.llm.common import forget, saved
 
 
 def _step(edges: DataFrame, large: bool) -> DataFrame:
@@ -30,7 +30,8 @@ def components(edges: DataFrame) -> DataFrame:
     check = lambda e: tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
     before = check(now)
     while before[0]:
-        now = saved(_step(_step(now, True), False))
+        last, now = now, saved(_step(_step(now, True), False))
+        forget(last)
         after = check(now)
         if after == before:
             break

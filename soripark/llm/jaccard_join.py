@@ -1,45 +1,51 @@
 """Near-duplicate groups by exact n-gram Jaccard similarity, with prefix filters under two global orders.
 
-Documents with equal shingle sets are one node.  Under any global order two sets
-of similarity t share one of their first n - ceil(t n) + 1 tokens, and the smaller
-set's even shorter index prefix meets the other's prefix.  Two orders are used,
-each by rising token frequency as a row of a count-min sketch sees it, so tokens
-of common passages stand at the end of both.  Pairs must meet under both orders.
-
-Groups of near copies do not become pairs: first each node is verified against
-the one best connected node it meets, then only pairs that still lie in different
-components are generated and verified.  A pair left out lies in one component
-already, so no link is lost.
+Documents with equal shingle sets are one node.  A first sketch tells which shingles
+occur once: these are in no intersection, and a set needs ``percent`` of its shingles
+repeated to link at all, so most documents end here.  The rest keep their repeated
+shingles ("kept"), and all later steps read these, never the texts.
+
+Under any global order, the first common token of two linked sets has all their
+overlap at or behind it.  At place i of m kept tokens it leaves m - i, so a set of n
+tokens links there only with sets of at most ``cap`` tokens, the largest size whose
+needed overlap is m - i.  Two sets are a candidate under an order if at some common
+token each one's size is within the other's cap.  Two orders are used, each by rising
+token frequency as a row of a count-min sketch sees it, so tokens of common passages
+stand at the end of both.  Candidates must meet under both before they are verified.
+
+Groups of near copies do not become pairs: first each node is verified against a few
+of the best sets that hold its tokens.  Then only pairs between different components
+are generated and verified.  A pair left out lies in one component already, so no
+link is lost.
 """
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from soripark.llm import sketch
-from soripark.llm.common import saved, slices, small, table, text_bytes
+from soripark.llm.common import forget, saved, slices, small, table, text_bytes, whole_texts
 from soripark.llm.components import components
 from soripark.llm.hashing import batch_word_hashes, batches_of, mix, shingle_hashes
 
 WORDS = 5
 PERCENT = 75
 ORDERS = 2
-#: How often postings that no link can use are taken out before pairs are made; an economy, never a loss.
-PRUNINGS = 1
-#: Round one looks at one token in so many: it only proposes whom to verify first.
-SAMPLE = 4
-#: Cells of each sketch row; an order, not a result, depends on it.  2 x 4 MB are broadcast.
-SKETCH_BITS = 21
-#: Prefix tokens that one task groups at a time, on average.
-BUCKET_ENTRIES = 1_500_000
-#: So many (id, node) pairs of two longs each are broadcast to pick texts; more are joined by shuffle.
-BROADCAST_PAIRS = 500_000
+#: Sets of a token that are proposed to the others, and proposals that a node has verified; they save pairs, the search after them is whole.
+LEADERS, PROPOSALS = 4, 3
+#: Rounds of proposals; those of the first come from one token in so many.
+ROUNDS, SAMPLE = 2, 2
+FLAG_ROWS = 2
+#: Most cells of a row of counts (two bytes each); an order, not a result, depends on them.
+MOST_COUNT_BITS = 22
+#: Pairs that one copy of a set meets in a task.
+HUB_PAIRS = 500
+#: So many rows of a few longs are broadcast (24 MB); more are joined by shuffle.
+BROADCAST_LONGS = 1_000_000
 _NO_ID = np.iinfo(np.int64).min
 
 
@@ -63,179 +69,139 @@ def fingerprint(tokens: np.ndarray) -> int:
     return int(mix(np.array([mix(tokens ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64) + np.uint64(len(tokens))], np.uint64)).astype(np.int64)[0])
 
 
-def prefix_lengths(n: int, percent: int) -> tuple[int, int]:
-    """How many first tokens must hold a common one: of any set, and of the smaller of two."""
-    return n - -(-percent * n // 100) + 1, n - -(-2 * percent * n // (100 + percent)) + 1
+def token_sets(docs: DataFrame, k: int, percent: int, flags: Broadcast, bits: int) -> DataFrame:
+    """id, hash, node and size of each document's set; of sets that can link, once a task, the kept tokens."""
 
+    def run(batches):
+        rows = [np.frombuffer(x, np.uint8) for x in flags.value]
+        seen: set[int] = set()
+        for batch in slices(batches):
+            sets = list(shingle_sets(text_bytes(batch.column(1)), k))
+            sizes = np.array([len(s) for s in sets], np.int32)
+            ends = np.cumsum(sizes)
+            joined = np.concatenate(sets) if len(sets) else np.zeros(0, np.uint64)
+            maybe = sketch.flagged(rows, joined, bits)
+            total = np.concatenate([[0], np.cumsum(maybe)])
+            m = np.diff(total[ends], prepend=0) if len(sets) else sizes
+            nodes, kept = np.zeros(len(sets), np.int64), []
+            for i, (tokens, n) in enumerate(zip(sets, sizes.tolist())):
+                nodes[i] = fingerprint(tokens) if n else 0
+                if not n or 100 * int(m[i]) < percent * n or int(nodes[i]) in seen:
+                    kept.append(None)
+                else:
+                    seen.add(int(nodes[i]))
+                    kept.append(tokens[maybe[ends[i] - n : ends[i]]].view(np.int64))
+            ids = pa.array([_NO_ID if x is None else x for x in batch.column(0).to_pylist()], pa.int64())
+            yield pa.RecordBatch.from_arrays([ids, batch.column(2), pa.array(nodes), pa.array(sizes), pa.array(kept, pa.list_(pa.int64()))], ["__sp_id", "hash", "node", "size", "kept"])
+
+    return docs.mapInArrow(run, "__sp_id long, hash long, node long, size int, kept array<long>")
+
+
+def first_tokens(live: DataFrame, percent: int, flags: Broadcast, bits: int, counts: Broadcast) -> DataFrame:
+    """The tokens of each set under each order at which a link can begin, and the size of its largest partner there.
+
+    The last two bits of a token are the number of its order.  ``flags`` are those of the live sets.
+    """
 
-def _cells_of(batch_texts, k):
-    held = []
-    for tokens in shingle_sets(batch_texts, k):
-        held.append(tokens)
-    if held:
-        yield np.concatenate(held)
+    def run(batches):
+        repeated = [np.frombuffer(x, np.uint8) for x in flags.value]
+        rows = [np.frombuffer(c, np.uint16) for c in counts.value]
+        count_bits = len(rows[0]).bit_length() - 1
+        for batch in slices(batches):
+            out = [[], [], [], []]
+            for node, n, kept in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+                tokens = kept.values.to_numpy(zero_copy_only=False).view(np.uint64)
+                tokens = tokens[sketch.flagged(repeated, tokens, bits)]
+                m = len(tokens)
+                first = m + percent * n // -100 + 1  # so many tokens leave enough for the smallest partner
+                if first <= 0:
+                    continue
+                cap = (100 + percent) * (m - np.arange(first)) // percent - n
+                for r, row in enumerate(rows):
+                    own = mix(tokens + np.uint64(r))
+                    first_own = own[np.lexsort((own, row[sketch.cells(tokens, r, count_bits)]))[:first]]
+                    out[0].append((first_own & ~np.uint64(3) | np.uint64(r)).view(np.int64))
+                    out[1].append(np.full(first, node, np.int64))
+                    out[2].append(np.full(first, n, np.int32))
+                    out[3].append(cap.astype(np.int32))
+            if out[0]:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], ["token", "node", "size", "cap"])
 
+    return live.mapInArrow(run, "token long, node long, size int, cap int")
 
-_POSTINGS = pa.schema([("bucket", pa.int32()), ("order", pa.int32()), ("tokens", pa.binary()), ("nodes", pa.binary()), ("sizes", pa.binary()), ("counts", pa.binary()), ("index_counts", pa.binary()), ("ids", pa.binary()), ("hashes", pa.binary())])
 
+def _under_all_orders(met: DataFrame) -> DataFrame:
+    order = F.bit_or(F.expr("shiftleft(1, cast(token & 3 as int))"))
+    return met.groupBy("a", "b").agg(order.alias("orders"), F.count("*").alias("n")).where(F.col("orders") == 2**ORDERS - 1)
 
-def _postings(docs: DataFrame, k: int, percent: int, counts: list[bytes], n_buckets: int) -> DataFrame:
-    """Prefix tokens of every set, packed by token bucket, and under order -1 each document's id, set and size."""
-    held = docs.sparkSession.sparkContext.broadcast(counts)
 
-    def run(batches):
-        rows = [np.frombuffer(c, np.uint16).astype(np.uint64) << np.uint64(48) for c in held.value]
-        bits = len(rows[0]).bit_length() - 1
-        for batch in slices(batches):
-            ids = np.array([_NO_ID if x is None else x for x in batch.column(0).to_pylist()], np.int64)
-            nodes, sizes = np.zeros(len(ids), np.int64), np.zeros(len(ids), np.int32)
-            seen: set[int] = set()
-            parts = [([], [], [], []) for _ in rows]  # tokens, document, whether in the index prefix, bucket
-            for i, tokens in enumerate(shingle_sets(text_bytes(batch.column(1)), k)):
-                n = sizes[i] = len(tokens)
-                if not n:
-                    continue
-                nodes[i] = fingerprint(tokens)
-                if int(nodes[i]) in seen:
-                    continue
-                seen.add(int(nodes[i]))
-                longest, short = prefix_lengths(n, percent)
-                for r, cell in enumerate(rows):
-                    own = mix(tokens + np.uint64(r))
-                    first = np.argsort(cell[sketch.cells(tokens, r, bits)] | own >> np.uint64(16))[:longest]
-                    t, doc, index, _ = parts[r]
-                    t.append(own[first])
-                    doc.append(np.full(longest, i, np.int32))
-                    index.append(np.arange(longest) < short)
-            out = []
-            for r, (t, doc, index, _) in enumerate(parts):
-                if not t:
-                    continue
-                t, doc, index = np.concatenate(t), np.concatenate(doc), np.concatenate(index)
-                bucket = ((t >> np.uint64(32)) % np.uint64(n_buckets)).astype(np.int32)
-                by = np.argsort(bucket, kind="stable")
-                t, doc, index, bucket = t[by].astype(np.uint32), doc[by], index[by], bucket[by]
-                cuts = np.searchsorted(bucket, np.arange(n_buckets + 1))
-                for b in range(n_buckets):
-                    x, y = cuts[b], cuts[b + 1]
-                    if x == y:
-                        continue
-                    begin = np.flatnonzero(np.concatenate([[True], doc[x + 1 : y] != doc[x : y - 1]]))
-                    which = doc[x:y][begin]
-                    out.append((b, r, t[x:y].tobytes(), nodes[which].tobytes(), sizes[which].tobytes(), np.diff(begin, append=y - x).astype(np.int32).tobytes(),
-                                np.add.reduceat(index[x:y].astype(np.int32), begin).astype(np.int32).tobytes(), None, None))
-            out.append((int(ids[0] % n_buckets), -1, None, nodes.tobytes(), sizes.tobytes(), None, None, ids.tobytes(), batch.column(2).to_numpy(zero_copy_only=False).astype(np.int64).tobytes()))
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), _POSTINGS)], schema=_POSTINGS)
-
-    return docs.mapInArrow(run, "bucket int, order int, tokens binary, nodes binary, sizes binary, counts binary, index_counts binary, ids binary, hashes binary")
-
-
-def _met(pdf: pd.DataFrame) -> pd.DataFrame:
-    """The entries of tokens that two or more sets hold, and the documents' own rows (order -1) as they are."""
-    out = []
-    for order, rows in pdf.groupby("order"):
-        nodes = np.concatenate([np.frombuffer(x, np.int64) for x in rows["nodes"]])
-        sizes = np.concatenate([np.frombuffer(x, np.int32) for x in rows["sizes"]])
-        if order < 0:
-            ids = np.concatenate([np.frombuffer(x, np.int64) for x in rows["ids"]])
-            hashes = np.concatenate([np.frombuffer(x, np.int64) for x in rows["hashes"]])
-            out.append(pd.DataFrame({"order": order, "token": ids, "node": nodes, "size": sizes, "index": False, "hash": hashes}))
-            continue
-        tokens = np.concatenate([np.frombuffer(x, np.uint32) for x in rows["tokens"]])
-        counts = np.concatenate([np.frombuffer(x, np.int32) for x in rows["counts"]])
-        short = np.concatenate([np.frombuffer(x, np.int32) for x in rows["index_counts"]])
-        place = np.arange(len(tokens)) - np.repeat(np.cumsum(counts) - counts, counts)
-        index = place < np.repeat(short, counts)
-        node, size = np.repeat(nodes, counts), np.repeat(sizes, counts)
-        by = np.argsort(tokens, kind="stable")
-        tokens = tokens[by]
-        begin = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1]]))
-        length = np.diff(begin, append=len(tokens))
-        some = np.repeat(length > 1, length)
-        by, tokens = by[some], tokens[some]
-        node, size, index = node[by], size[by], index[by]
-        by = np.lexsort((~index, node, tokens))
-        tokens, node, size, index = tokens[by], node[by], size[by], index[by]
-        if not len(tokens):
-            continue
-        first = np.concatenate([[True], (tokens[1:] != tokens[:-1]) | (node[1:] != node[:-1])])
-        tokens, node, size, index = tokens[first], node[first], size[first], index[first]
-        begin = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1]]))
-        length = np.diff(begin, append=len(tokens))
-        some = np.repeat(length > 1, length)
-        if some.any():
-            out.append(pd.DataFrame({"order": order, "token": tokens[some].astype(np.int64) << 20 | int(rows["bucket"].iloc[0]) << 1 | order, "node": node[some], "size": size[some], "index": index[some], "hash": 0}))
-    if not out:
-        return pd.DataFrame({"order": [], "token": [], "node": [], "size": [], "index": [], "hash": []})
-    return pd.concat(out)
-
-
-def _near_size(a: str, b: str, percent: int):
-    return (100 * F.least(a, b) >= percent * F.greatest(a, b))
-
-
-def _need(a: str, b: str, percent: int):
-    """How many prefix tokens two linked sets of these sizes share at least, under any order.
-
-    Common tokens that are not in both prefixes lie behind the one that ends first, so they are no
-    more than its set's rest; the overlap that a link needs, less the larger rest, is in both prefixes.
+def proposals(postings: DataFrame, tried: DataFrame | None) -> DataFrame:
+    """Pairs (a, b) of each node with those few sets of other components it shares most tokens with, among the tokens' leaders.
+
+    A token's leaders are the set with the most kept tokens for its size and sets picked by the hash of
+    their component and node, those with a large cap first, so that a group's tokens agree on them.
     """
-    rest = lambda n: F.ceil(percent * F.col(n) / 100) - 1
-    return F.ceil(percent * (F.col(a) + F.col(b)) / (100 + percent)) - F.greatest(rest(a), rest(b))
+    share = F.col("cap") / F.col("size")
+    weights = [share, *((share >= 1.2).cast("int") + (share >= 1).cast("int") + F.pmod(F.xxhash64("node", "component", F.lit(k)), F.lit(2**30)) / 2.0**30 for k in range(1, LEADERS))]
+    leaders = postings.groupBy("token").agg(F.array(*(F.max(F.struct(w.alias("w"), F.struct("node", "size", "cap", "component").alias("l"))) for w in weights)).alias("x"), F.count("*").alias("sets"))
+    leaders = leaders.where("sets > 1").select("token", F.array_distinct(F.transform("x", lambda e: e["l"])).alias("x"))
+    met = postings.join(leaders, "token").select("token", "node", "size", "cap", "component", F.explode("x").alias("l")).where("component <> l.component and size <= l.cap and l.size <= cap")
+    shared = _under_all_orders(met.select("token", F.col("node").alias("a"), F.col("l.node").alias("b")))
+    if tried is not None:
+        shared = shared.join(_both_ways(tried), ["a", "b"], "left_anti")
+    rank = F.row_number().over(Window.partitionBy("a").orderBy(F.col("n").desc(), "b"))
+    return shared.withColumn("rank", rank).where(F.col("rank") <= PROPOSALS).select("a", "b")
 
 
-def _least_need(size: str, low: str, high: str, percent: int):
-    """No more than ``_need`` of ``size`` and any size from ``low`` to ``high``.
+def _both_ways(pairs: DataFrame) -> DataFrame:
+    return pairs.union(pairs.select("b", "a"))
 
-    ``_need`` itself has ups and downs by its ceilings.  It is more than its own expression without
-    them, which rises up to equal sizes and falls from there, so that is least at an end.
-    """
-    a = F.col(size)
-    floor = lambda b: F.floor(percent * (100 * (a + F.col(b)) - (100 + percent) * F.greatest(a, F.col(b))) / (100 * (100 + percent))) + 1
-    return F.when(F.col(low) == F.col(high), _need(size, low, percent)).otherwise(F.least(floor(low), floor(high)))
 
+def _undecided(postings: DataFrame, joined: DataFrame) -> DataFrame:
+    """The postings with their component, of tokens that sets of two components hold."""
+    placed = postings.join(small(joined, joined.count(), BROADCAST_LONGS), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    several = placed.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("token")
+    return placed.join(several, "token", "left_semi")
 
-def _hopeful(postings: DataFrame, percent: int) -> DataFrame:
-    """Postings without entries that no link can use.
 
-    A node with fewer met tokens than a link needs is left out of a token whose other sets are of any
-    such size.  A linked node meets under every order.
-    """
-    sizes = postings.groupBy("token").agg(F.min("size").alias("low"), F.max("size").alias("high"), F.count("*").alias("sets")).where("sets > 1")
-    degree = postings.groupBy("node", "order").agg(F.count("*").alias("degree"))
-    rows = postings.join(sizes, "token").join(degree, ["node", "order"])
-    kept = rows.where(F.col("degree") >= _least_need("size", "low", "high", percent)).select(postings.columns)
-    everywhere = kept.groupBy("node").agg(F.min("order").alias("p"), F.max("order").alias("q")).where("p <> q").select("node")
-    return kept.join(everywhere, "node", "left_semi")
+def _bucket(size):
+    """Sizes in steps of a tenth."""
+    return F.floor(F.log(size.cast("double")) / F.log(F.lit(1.1))).cast("int")
 
 
-def verified(pairs: DataFrame, docs: DataFrame, first_id: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of nodes whose sets are similar enough; sets come from the whole texts of one document each."""
-    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct().join(first_id, "node").select("__sp_id", "node")
-    wanted = saved(wanted)
-    wanted = small(wanted, wanted.count(), BROADCAST_PAIRS)
+def across_components(rest: DataFrame, percent: int) -> DataFrame:
+    """All pairs (a, b) of different components that are candidates under every order.
 
-    def sets(batches):
-        for batch in slices(batches):
-            out = [x.tobytes() for x in shingle_sets(text_bytes(batch.column(1)), k)]
-            found = [fingerprint(np.frombuffer(x, np.uint64)) for x in out]
-            same = [i for i, x in enumerate(batch.column(0).to_pylist()) if x == found[i]]  # ids may be shared by other texts
-            yield pa.RecordBatch.from_arrays([pa.array([found[i] for i in same], pa.int64()), pa.array([out[i] for i in same], pa.binary())], ["node", "tokens"])
+    The larger set of a pair looks for smaller ones by token and size.  The sets of a token's most
+    common component meet only those of the others.
+    """
+    each = rest.groupBy("token", "component").count()
+    main = each.groupBy("token").agg(F.max_by("component", F.struct("count", "component")).alias("main"))
+    marked = saved(rest.join(main, "token").withColumn("is_main", F.col("component") == F.col("main")).drop("main"))
+    larger = marked.withColumn("bucket", F.explode(F.sequence(_bucket(F.ceil(F.col("size") * percent / 100)), _bucket(F.least("cap", "size"))))).alias("x")
+    smaller = marked.where("cap >= size").withColumn("bucket", _bucket(F.col("size"))).alias("y")
+    linkable = F.expr(
+        "x.token = y.token and x.bucket = y.bucket and x.component <> y.component and y.size <= x.cap and x.size <= y.cap"
+        " and (y.size < x.size or y.size = x.size and y.node < x.node)"
+    )
+    met = larger.where("not is_main").join(smaller, linkable).union(larger.where("is_main").join(smaller.where("not is_main"), linkable))
+    return _under_all_orders(met.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"), F.col("x.token").alias("token"))).select("a", "b")
 
-    token_sets = docs.join(wanted, "__sp_id").select("node", "text").mapInArrow(sets, "node long, tokens binary").dropDuplicates(["node"])
 
-    @F.arrow_udf("boolean")
-    def similar(a: pa.Array, b: pa.Array) -> pa.Array:
-        out = []
-        for x, y in zip(a, b):
-            x, y = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
-            both = len(np.intersect1d(x, y, assume_unique=True))
-            out.append(100 * both >= percent * (len(x) + len(y) - both))
-        return pa.array(out, pa.bool_())
+def verified(pairs: DataFrame, live: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose sets are similar enough; shingles that occur once are in no intersection.
 
-    with_a = pairs.join(token_sets.select(F.col("node").alias("a"), F.col("tokens").alias("_a")), "a")
-    with_both = with_a.join(token_sets.select(F.col("node").alias("b"), F.col("tokens").alias("_b")), "b")
-    return with_both.where(similar("_a", "_b")).select("a", "b")
+    The sets of a meet their pairs, and the sets of b, each in one copy for ``HUB_PAIRS`` pairs, meet these.
+    """
+    n = pairs.count()
+    copies = pairs.groupBy("b").agg(F.ceil(F.count("*") / HUB_PAIRS).cast("int").alias("copies"))
+    own = pairs.join(small(copies, n, BROADCAST_LONGS), "b").withColumn("copy", F.pmod(F.xxhash64("a", "b"), F.col("copies")).cast("int")).drop("copies")
+    sets = lambda side: live.select(F.col("node").alias(side), F.col("size").alias(f"size_{side}"), F.col("kept").alias(f"kept_{side}"))
+    with_a = sets("a").join(small(own, n, BROADCAST_LONGS), "a")
+    spread = sets("b").join(small(copies, n, BROADCAST_LONGS), "b").withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1))).drop("copies")
+    both = F.size(F.array_intersect("kept_a", "kept_b")).cast("long")
+    linked = 100 * both >= percent * (F.col("size_a").cast("long") + F.col("size_b") - both)
+    return with_a.join(spread, ["b", "copy"]).where(linked).select("a", "b")
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -247,47 +213,37 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     id and different texts join their components only through links of their texts.
     """
     own = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(_NO_ID)).alias("__sp_id"), F.col(text).alias("text"), text_hash(text).alias("hash"))
-    counts = sketch.build(own.select("text"), lambda batch: _cells_of(text_bytes(batch.column(0)), k), ORDERS, SKETCH_BITS, lambda n: np.minimum(n, 65535).astype(np.uint16).tobytes())
+    share = whole_texts(docs).sparkContext.broadcast
     chars = own.agg(F.sum(F.length("text"))).first()[0] or 0
-    n_buckets = max(1, math.ceil(chars / 6 * (1.01 - percent / 100) / BUCKET_ENTRIES))
-    met = saved(_postings(own, k, percent, counts, n_buckets).groupBy("bucket", "order").applyInPandas(_met, "order int, token long, node long, size int, index boolean, hash long"))
-    sets = met.where("order = -1").select(F.col("token").alias("__sp_id"), "hash", "node", "size")
-    first_id = sets.where("size > 0").groupBy("node").agg(F.min("__sp_id").alias("__sp_id"))
-    postings = met.where("order >= 0").select("order", "token", "node", "size", "index")
-    for _ in range(PRUNINGS):
-        postings = saved(_hopeful(postings, percent))
-
-    # round one: each node against the best connected node it meets
-    some = postings.where(F.pmod(F.xxhash64("token"), F.lit(SAMPLE)) == 0)
-    degree = some.groupBy("node").agg(F.count("*").alias("degree"))
-    ranked = some.join(degree, "node")
-    leader = ranked.groupBy("token").agg(F.max(F.struct("degree", "node", "size")).alias("l"))
-    meets = ranked.join(leader, "token").where("node <> l.node").where(_near_size("size", "l.size", percent))
-    shared = meets.groupBy("node", F.col("l.node").alias("leader")).agg(F.count("*").alias("n"), F.first("l.degree").alias("d"), F.first(_need("size", "l.size", percent)).alias("need"))
-    likely = shared.where(SAMPLE * F.col("n") >= F.col("need"))  # both orders count, so half of what a link needs; a guess, round two is the proof
-    best = likely.groupBy("node").agg(F.max(F.struct("n", "d", "leader")).alias("x")).select(F.least("node", "x.leader").alias("a"), F.greatest("node", "x.leader").alias("b")).distinct()
-    tried = saved(best)
-    links = saved(verified(tried, own, first_id, k, percent))
-    joined = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
-
-    # round two: pairs in different components that share enough prefix tokens under each order
-    placed = postings.join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    split = placed.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("token")
-    rest = saved(placed.join(split, "token", "left_semi"))
-    x, y = rest.alias("x"), rest.alias("y")
-    smaller = "x.node <> y.node and x.component <> y.component and (x.size < y.size or x.size = y.size and x.node < y.node)"
-    met_pairs = (
-        x.join(y, F.col("x.token") == F.col("y.token")).where(smaller).where(_near_size("x.size", "y.size", percent))
-        .groupBy(F.col("x.node").alias("a"), F.col("y.node").alias("b"), F.col("x.order").alias("order"))
-        .agg(F.count("*").alias("n"), F.max(F.col("x.index")).alias("index"), F.first(_need("x.size", "y.size", percent)).alias("need"))
-    )
-    pairs = met_pairs.where("n >= need and index").groupBy("a", "b").agg(F.count("*").alias("orders")).where(F.col("orders") == ORDERS)
-    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    left = saved(pairs.join(tried, ["a", "b"], "left_anti"))
-    more = saved(verified(left, own, first_id, k, percent))
-    final = components(links.union(more).select(F.col("a").alias("u"), F.col("b").alias("v")))
-
-    grouped = sets.join(final, "node", "left").withColumn("group", F.coalesce("component", "node"))
+    bits = sketch.bits_for(chars / 6, sketch.MOST_FLAG_BITS)
+    flags = share(sketch.repeated(own.select("text"), lambda batch: shingle_sets(text_bytes(batch.column(0)), k), FLAG_ROWS, bits))
+    every = saved(token_sets(own, k, percent, flags, bits))
+    flags.destroy()
+    sets = saved(every.drop("kept"))
+    live = saved(every.where("kept is not null").groupBy("node").agg(F.first("size").alias("size"), F.first("kept").alias("kept")))
+    forget(every)
+    kept = live.agg(F.sum(F.size("kept"))).first()[0] or 0
+    lists = lambda batch: (x.values.to_numpy(zero_copy_only=False).view(np.uint64) for x in batch.column(0))
+    bits = sketch.bits_for(kept, sketch.MOST_FLAG_BITS, 0.1)
+    flags = share(sketch.repeated(live.select("kept"), lists, FLAG_ROWS, bits))
+    counts = share(sketch.build(live.select("kept"), lists, ORDERS, sketch.bits_for(kept, MOST_COUNT_BITS), lambda n: np.minimum(n, 65535).astype(np.uint16).tobytes()))
+    postings = saved(first_tokens(live, percent, flags, bits, counts))
+    flags.destroy()
+    counts.destroy()
+
+    edges = lambda pairs: components(pairs.select(F.col("a").alias("u"), F.col("b").alias("v")))
+    rest = postings.where(F.pmod(F.xxhash64("token"), F.lit(SAMPLE)) == 0).withColumn("component", F.col("node"))
+    asked = links = None
+    for n in range(ROUNDS):
+        now = saved(proposals(rest, asked))
+        found = saved(verified(now, live, percent))
+        asked, links = (now, found) if asked is None else (asked.union(now), links.union(found))
+        rest = saved(_undecided(postings if not n else rest.drop("component"), edges(links)))
+    untried = saved(across_components(rest, percent).join(_both_ways(asked), ["a", "b"], "left_anti"))
+    final = edges(links.union(saved(verified(untried, live, percent))))
+    forget(rest, postings, live)
+
+    grouped = sets.drop("kept").join(final, "node", "left").withColumn("group", F.coalesce("component", "node"))
     real = F.when(F.col("__sp_id") != _NO_ID, F.col("__sp_id"))
     here = F.struct(real.isNull().alias("null"), F.col("__sp_id").alias("id"), F.col("hash").alias("hash"))
     least = grouped.where("size > 0").groupBy("group").agg(F.min(real).alias("least"), F.min(here).alias("first"))

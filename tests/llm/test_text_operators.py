@@ -302,10 +302,49 @@ def test_jaccard_join_at_the_threshold(spark):
     assert sorted(repr(tuple(r)) for r in got) == sorted(map(repr, plain_components(rows, 1)))
 
 
-def test_least_need_is_below_every_need(spark):
-    ends = spark.range(5, 61).selectExpr("id as a").crossJoin(spark.range(5, 61).selectExpr("id as low")).crossJoin(spark.range(0, 12).selectExpr("id as more")).selectExpr("a", "low", "low + more as high")
-    every = ends.selectExpr("*", "explode(sequence(low, high)) as b").withColumns({"need": jaccard_join._need("a", "b", 75), "least": jaccard_join._least_need("a", "low", "high", 75)})
-    assert every.where("least > need").count() == 0 and every.where("least = need").count() > 0
+def test_caps_of_first_tokens_lose_no_overlap(spark):
+    """For sets of 1 to 60 with any overlap that links, the first common token, wherever it stands, lies within both caps."""
+    import numpy as np
+
+    tokens = np.arange(1, 61, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    live = spark.createDataFrame([(n, n, tokens[:n].view(np.int64).tolist()) for n in range(1, 61)], "node long, size int, kept array<long>")
+    counts, share = [np.full(1 << 16, 2, np.uint16).tobytes()] * 2, spark.sparkContext.broadcast
+    caps = {}
+    for r in jaccard_join.first_tokens(live, 75, share([b"\xff" * (1 << 13)] * 2), 16, share(counts)).where("token & 3 = 0").collect():
+        caps.setdefault(r.node, []).append(r.cap)
+    assert len(caps) == 60
+    for a in range(1, 61):
+        for b in range(1, 61):
+            for both in range(1, min(a, b) + 1):
+                if 100 * both >= 75 * (a + b - both):  # all kept tokens before the first common one: a - both at most
+                    first_a, first_b = sorted(caps[a])[::-1][a - both], sorted(caps[b])[::-1][b - both]
+                    assert b <= first_a and a <= first_b
+
+
+def test_jaccard_join_when_every_cell_is_full(spark, docs, rows, monkeypatch):
+    """Flags that tell nothing, and tokens whose counts all collide, cost time and lose no link."""
+    from soripark.llm import sketch
+
+    monkeypatch.setattr(sketch, "bits_for", lambda *a, **b: 6)
+    got = jaccard_join.near_duplicates(docs).select("doc_id", "n_shingles", "component_id").collect()
+    assert sorted(repr(tuple(r)) for r in got) == sorted(map(repr, plain_components([r[:2] for r in rows])))
+
+
+def test_jaccard_join_of_a_large_group_of_near_copies(spark):
+    """300 sets around one base, many of them just short of a link: the search after the rounds finds every component."""
+    import random
+
+    rng = random.Random(21)
+    base = [f"w{i}" for i in range(80)]
+    rows = []
+    for i in range(300):
+        w = base[:]
+        for _ in range(rng.choice([0, 1, 2, 3, 4, 5])):
+            p = rng.randrange(len(w))
+            w[p : p + rng.choice([1, 1, 2])] = rng.choice([[], [f"e{rng.randrange(60)}"], [f"u{i}"]])
+        rows.append((i, " ".join(w)))
+    got = jaccard_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "n_shingles", "component_id").collect()
+    assert sorted(repr(tuple(r)) for r in got) == sorted(map(repr, plain_components(rows)))
 
 
 def test_one_of_each(docs, rows, empty):
