@@ -6,9 +6,15 @@ the sum of count x page hash, so it comes from a plain grouped sum and no host's
 pages ever meet in one task.  Tokens of one host with one fingerprint form an
 equivalence class.  A class is part of the template if it is large, holds a tag,
 and has enough different pages; classes nest by how many pages they span.  On a
-page a class counts only where its tokens keep the template's order.  Text blocks
-in the template and page furniture are dropped; all slots that remain are the
-page's text, in whatever container they stand.
+page a class counts only where its tokens keep the template's order.
+
+Text blocks of the template itself are dropped.  The other text stands in slots: a
+slot is the innermost container that the template repeats.  The slot with most
+words on a host's pages is the main one.  Text in it is kept whatever its own
+elements are called; a container of the template inside it is left out if its
+element or name says furniture.  Slots that hold the main one are kept.  Slots
+elsewhere are kept if they are no such furniture and hold a fair share of the main
+one's words.  Pages of a host without a template fall back on elements and names.
 """
 
 from __future__ import annotations
@@ -21,17 +27,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from soripark.llm.common import saved, small, table
+from soripark.llm.common import saved, small, table, whole_texts
 
-#: A class needs this many tokens, this share of its host's pages, and this many of 64 page-hash buckets.
+#: A class needs this many tokens, this share of its host's pages, this many of 64 page-hash buckets, and this product of tokens and buckets.
 CLASS_SIZE = 3
 CLASS_SHARE = 0.5
-CLASS_PAGES = 8
+CLASS_PAGES = 2
+CLASS_EVIDENCE = 24
+#: A slot outside the main one needs this share of its words.
+SLOT_SHARE = 0.1
 #: Hosts with a template up to this number are broadcast; beyond, they are joined by shuffle.
 BROADCAST_HOSTS = 5_000
 
 # HTML element names and usual names of page furniture.
-RAW = {"script", "style", "noscript", "template", "textarea", "title", "iframe", "svg", "math", "select", "button", "object", "canvas"}
+RAW = {"script", "style", "noscript", "template", "textarea", "title", "iframe", "select", "button"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 CONTAINERS = {"article", "aside", "blockquote", "body", "center", "details", "dialog", "div", "figure", "footer", "form", "header", "main", "menu", "nav", "section", "table", "td"}
 BLOCKS = CONTAINERS | {"address", "caption", "dd", "dl", "dt", "fieldset", "figcaption", "h1", "h2", "h3", "h4", "h5", "h6", "head", "hr", "html", "li", "ol", "p", "pre", "tbody", "tfoot", "th", "thead", "tr", "ul"}
@@ -49,34 +58,44 @@ _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/
 _ATTRIBUTE = re.compile(r"""([a-zA-Z_:][-\w:.]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 
 
-def _names(attributes: str) -> tuple[str, bool]:
-    """The part of a tag that marks its role (class and id, without digits), and whether it is page furniture or hidden."""
+def _names(attributes: str) -> tuple[str, bool, bool]:
+    """The part of a tag that marks its role (class, id and a furniture role, without digits), whether that says page furniture, and whether it is hidden."""
     if not attributes or attributes.isspace():
-        return "", False
+        return "", False, False
     values = {k.lower(): html.unescape(a or b or c) for k, a, b, c in _ATTRIBUTE.findall(attributes)}
     names = (values.get("class", "") + " " + values.get("id", "")).lower().split()
-    words = {w for n in names for w in [n, *re.split(r"[-_]+", n)]}
+    role = values.get("role", "").lower()
+    names += [role] if role in FURNITURE_ROLES else []
     hidden = "hidden" in values or values.get("aria-hidden") == "true" or "display:none" in values.get("style", "").replace(" ", "").lower()
-    furniture = hidden or bool(words & FURNITURE_NAMES) or values.get("role", "").lower() in FURNITURE_ROLES
-    return re.sub(r"\d+", "", ".".join(names)), furniture
+    return re.sub(r"\d+", "", ".".join(names)), _furniture_names(names), hidden
 
 
-def parse(source: str | None) -> list[tuple[str, str, str | None, bool]]:
-    """Tokens of a page in order: (containers, tag, text or None for a start tag, whether it stands in page furniture)."""
-    out: list[tuple[str, str, str | None, bool]] = []
-    stack: list[tuple[str, str, bool]] = []  # element, containers, furniture
+def _furniture_names(names: list[str]) -> bool:
+    return any(w in FURNITURE_NAMES or n in FURNITURE_ROLES for n in names for w in [n, *re.split(r"[-_]+", n)])
+
+
+def _is_furniture(path: str) -> bool:
+    """Whether the innermost container of a path is page furniture by its element or names."""
+    tag, *names = path.rpartition("/")[2].split(".")
+    return tag in FURNITURE_TAGS or _furniture_names(names)
+
+
+def parse(source: str | None) -> list[tuple[str, str, str | None, bool, bool]]:
+    """Tokens of a page in order: (containers, tag, text or None for a start tag, whether it stands in page furniture, whether it is hidden)."""
+    out: list[tuple[str, str, str | None, bool, bool]] = []
+    stack: list[tuple[str, str, bool, bool]] = []  # element, containers, furniture, hidden
     held: list[str] = []
     at, source = 0, source or ""
 
     def place():
-        return (stack[-1][1], stack[-1][2]) if stack else ("", False)
+        return stack[-1][1:] if stack else ("", False, False)
 
     def flush():
         text = " ".join("".join(held).split())
         held.clear()
         if text:
-            where, furniture = place()
-            out.append((where, "", text, furniture))
+            where, furniture, hidden = place()
+            out.append((where, "", text, furniture, hidden))
 
     def close(names, within):
         """Ends the innermost open element of these names, unless one of ``within`` stands before it."""
@@ -120,14 +139,14 @@ def parse(source: str | None) -> list[tuple[str, str, str | None, bool]]:
             close({"p"}, CONTAINERS)
         if name in CLOSED_BY:
             close(CLOSED_BY[name], {"ul", "ol", "dl", "table"} | CONTAINERS - {"td"})
-        label, furniture = _names(m[3])
-        where, inside = place()
+        label, furniture, hidden = _names(m[3])
+        where, inside, unseen = place()
         if name in CONTAINERS:
             where = f"{where}/{name}" + (f".{label}" if label else "")
-        furniture = inside or furniture or name in FURNITURE_TAGS
-        out.append((where, name, None, furniture))
+        furniture, hidden = inside or furniture or name in FURNITURE_TAGS, unseen or hidden
+        out.append((where, name, None, furniture, hidden))
         if name not in VOID and not m[3].rstrip().endswith("/"):
-            stack.append((name, where, furniture))
+            stack.append((name, where, furniture, hidden))
     flush()
     return out
 
@@ -136,11 +155,12 @@ def _hash(*parts: str) -> int:
     return int.from_bytes(hashlib.blake2b("\x00".join(parts).encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)
 
 
-_SEEN = "host string, kind string, token long, count decimal(38,0), print decimal(38,0), place double, pages long, buckets long"
+_SEEN = "host string, kind string, token long, path string, count decimal(38,0), print decimal(38,0), place double, pages long, buckets long, words long"
+_SEEN_TYPES = [pa.string(), pa.string(), pa.int64(), pa.string(), pa.decimal128(38, 0), pa.decimal128(38, 0), pa.float64(), pa.int64(), pa.int64(), pa.int64()]
 
 
 def _occurrences(pages: DataFrame) -> DataFrame:
-    """Per host and token: how often, on how many pages, the vector's fingerprint and mean place."""
+    """Per host and token: how often, on how many pages, the vector's fingerprint and mean place; and (kind slot) per path the words of visible text."""
 
     def run(batches):
         for batch in batches:
@@ -148,68 +168,112 @@ def _occurrences(pages: DataFrame) -> DataFrame:
             for host, source in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 own: dict[tuple, list] = {}
                 tokens = parse(source)
-                for i, (where, tag, text, _) in enumerate(tokens):
-                    key = ("tag", _hash(where, tag)) if text is None else ("text", _hash(where, text))
+                for i, (where, tag, text, _, hidden) in enumerate(tokens):
+                    key = ("tag", _hash(where, tag), where if tag in CONTAINERS else None) if text is None else ("text", _hash(where, text), None)
                     seen = own.setdefault(key, [0, 0.0])
                     seen[0] += 1
                     seen[1] += i / len(tokens)
+                    if text is not None and not hidden:
+                        slot = sums.setdefault((host, "slot", 0, where), [0, 0, 0.0, 0, 0, 0])
+                        slot[5] += len(text.split())
                 page = _hash(source or "") & 0x7FFFFFFF
                 bit = 1 << (page & 63) if (page & 63) < 63 else -(1 << 63)
-                for (kind, token), (n, place) in own.items():
-                    s = sums.setdefault((host, kind, token), [0, 0, 0.0, 0, 0])
+                for (kind, token, path), (n, place) in own.items():
+                    s = sums.setdefault((host, kind, token, path), [0, 0, 0.0, 0, 0, 0])
                     s[0] += n
                     s[1] += n * page
                     s[2] += place / n
                     s[3] += 1
                     s[4] |= bit
-                s = sums.setdefault((host, "page", 0), [0, 0, 0.0, 0, 0])
+                s = sums.setdefault((host, "page", 0, None), [0, 0, 0.0, 0, 0, 0])
                 s[3] += 1
             rows = [(*k, *v) for k, v in sums.items()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), [pa.string(), pa.string(), pa.int64(), pa.decimal128(38, 0), pa.decimal128(38, 0), pa.float64(), pa.int64(), pa.int64()])],
-                                             ["host", "kind", "token", "count", "print", "place", "pages", "buckets"]) if rows else pa.RecordBatch.from_pylist([])
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _SEEN_TYPES)], [c.split()[0] for c in _SEEN.split(", ")])
 
     seen = pages.select("host", "html").mapInArrow(run, _SEEN)
-    return seen.groupBy("host", "kind", "token").agg(
-        F.sum("count").alias("count"), F.sum("print").alias("print"), F.sum("place").alias("place"), F.sum("pages").alias("pages"),
-        F.bit_or("buckets").alias("buckets"))
+    return seen.groupBy("host", "kind", "token", "path").agg(*(F.sum(c).alias(c) for c in ("count", "print", "place", "pages", "words")), F.bit_or("buckets").alias("buckets"))
 
 
-def templates(pages: DataFrame, class_size: int = CLASS_SIZE, share: float = CLASS_SHARE, class_pages: int = CLASS_PAGES) -> DataFrame:
-    """One row a host: ``template``, its classes' tokens (class, token, is text, mean place), outer classes first."""
+def templates(pages: DataFrame, class_size: int = CLASS_SIZE, share: float = CLASS_SHARE, class_pages: int = CLASS_PAGES, evidence: int = CLASS_EVIDENCE) -> DataFrame:
+    """One row a host: ``template``, its classes' tokens (class, token, is text, container path), outer classes first, and ``slots`` (path, words)."""
     wide = (F.col("count") == F.col("pages")) & (F.bit_count("buckets") >= class_pages)
-    seen = saved(_occurrences(pages).where((F.col("kind") == "page") | wide))
+    seen = saved(_occurrences(pages).where(F.col("kind").isin("page", "slot") | wide))
     size = seen.where("kind = 'page'").select("host", F.col("pages").alias("host_pages"))
     tokens = seen.where("kind in ('tag', 'text')")
+    different = F.bit_count("b")
     classes = (
         tokens.groupBy("host", "count", "print", "pages")
         .agg(F.count("*").alias("n"), F.count_if(F.col("kind") == "tag").alias("tags"), F.bit_or("buckets").alias("b"))
-        .where((F.col("n") >= class_size) & (F.col("tags") > 0) & (F.bit_count("b") >= class_pages))
+        .where((F.col("n") >= class_size) & (F.col("tags") > 0) & (different >= class_pages) & (F.col("n") * different >= evidence))
         .join(size, "host")
         .where(F.col("pages") >= share * F.col("host_pages"))
         .select("host", "count", "print", "pages")
     )
-    entry = F.struct((-F.col("pages")).alias("outer"), F.xxhash64("count", "print").alias("cls"), (F.col("place") / F.col("pages")).alias("place"), F.col("token").alias("token"), (F.col("kind") == "text").alias("text"))
-    in_template = tokens.join(classes, ["host", "count", "print", "pages"]).groupBy("host").agg(F.sort_array(F.collect_list(entry)).alias("template"))
-    return size.select("host").join(in_template, "host", "left")
-
-
-def page_text(source: str | None, template: list[tuple[int, int, bool]] | None) -> str:
-    """The main text of one page; ``template`` in order: (class, token, whether it is text)."""
+    entry = F.struct((-F.col("pages")).alias("outer"), F.xxhash64("count", "print").alias("cls"), (F.col("place") / F.col("pages")).alias("place"), F.col("token").alias("token"), (F.col("kind") == "text").alias("text"), F.col("path").alias("path"))
+    structure = saved(tokens.join(classes, ["host", "count", "print", "pages"]).select("host", entry.alias("e")))
+    in_template = structure.groupBy("host").agg(F.sort_array(F.collect_list("e")).alias("template"))
+    # a path's slot: the longest of its beginnings that the template repeats
+    repeated = structure.where("e.path is not null").select("host", F.col("e.path").alias("slot")).distinct()
+    steps = F.split("path", "/")
+    begins = F.transform(F.sequence(F.lit(1), F.size(steps)), lambda i: F.array_join(F.slice(steps, 1, i), "/"))
+    of = seen.where("kind = 'slot'").select("host", "path", "words", F.explode(begins).alias("slot"))
+    own = of.join(repeated, ["host", "slot"]).groupBy("host", "path").agg(F.max_by("slot", F.length("slot")).alias("slot"), F.first("words").alias("words"))
+    slots = own.groupBy("host", "slot").agg(F.sum("words").alias("words")).groupBy("host").agg(F.collect_list(F.struct(F.col("slot").alias("path"), "words")).alias("slots"))
+    return size.select("host").join(in_template, "host", "left").join(slots, "host", "left")
+
+
+def kept_slots(containers: set[str], slots: dict[str, int], share: float = SLOT_SHARE) -> dict[str, bool]:
+    """Whether the text of each slot is kept; ``containers``: all paths of the template, ``slots``: the words of those that hold text."""
+    if not slots:
+        return {}
+    main = max(sorted(slots), key=slots.__getitem__)
+    under = lambda path, top: path == top or path.startswith(top + "/")
+    kept = {}
+    for path, words in slots.items():
+        about = [c for c in containers if under(path, c) and not under(main, c)]  # of its containers those that are not the main one's as well
+        furniture = any(map(_is_furniture, about))
+        kept[path] = under(main, path) or (not furniture and (under(path, main) or words >= share * slots[main]))
+    return kept
+
+
+def page_text(source: str | None, template: list[tuple[int, int, bool]] | None, kept: dict[str, bool] | None) -> str:
+    """The main text of one page; ``template`` in order: (class, token, whether it is text); ``kept``: of ``kept_slots``.
+
+    Text outside all slots, and all text where there is no template, is kept unless it stands in furniture.
+    """
     tokens = parse(source)
-    found: dict[int, int] = {}
+    found: set[int] = set()
     if template:
         known = {t: c for c, t, _ in template}
         order: dict[int, list[int]] = {}
         for c, t, _ in template:
             order.setdefault(c, []).append(t)
         on_page: dict[int, list[int]] = {}
-        keys = [_hash(where, tag if text is None else text) for where, tag, text, _ in tokens]
-        for i, key in enumerate(keys):
+        keys = [_hash(where, tag if text is None else text) for where, tag, text, _, _ in tokens]
+        for key in keys:
             if key in known:
                 on_page.setdefault(known[key], []).append(key)
         valid = {c for c, seq in on_page.items() if seq == order[c]}
-        found = {i: 1 for i, key in enumerate(keys) if known.get(key) in valid}
-    return "\n\n".join(text for i, (_, _, text, furniture) in enumerate(tokens) if text is not None and not furniture and i not in found)
+        found = {i for i, key in enumerate(keys) if known.get(key) in valid}
+    slot_of: dict[str, bool | None] = {}
+
+    def decided(where: str) -> bool | None:
+        if where not in slot_of:
+            path = where
+            while path and path not in kept:
+                path = path.rpartition("/")[0]
+            slot_of[where] = kept[path] if path else None
+        return slot_of[where]
+
+    out = []
+    for i, (where, _, text, furniture, hidden) in enumerate(tokens):
+        if text is None or hidden or i in found:
+            continue
+        keep = decided(where) if kept else None
+        if (not furniture) if keep is None else keep:
+            out.append(text)
+    return "\n\n".join(out)
 
 
 def extract(pages: DataFrame, url: str = "url", source: str = "html", into: str = "main_text") -> DataFrame:
@@ -217,23 +281,26 @@ def extract(pages: DataFrame, url: str = "url", source: str = "html", into: str
 
     Null or empty html, or a page of furniture only: the empty text.  A null or odd url: its pages are
     one host, the empty name.  Repeated pages do not make a template by themselves: a class must span
-    ``CLASS_PAGES`` different page hashes.  Unclosed and stray tags are tolerated.
+    ``CLASS_PAGES`` different page hashes, so a host of one page has none and its pages fall back on
+    elements and names.  Unclosed and stray tags are tolerated.
     """
+    whole_texts(pages)
     host = F.coalesce(F.lower(F.regexp_extract(F.col(url), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
     keyed = pages.withColumn("__sp_host", host)
     known = templates(keyed.select(F.col("__sp_host").alias("host"), F.col(source).alias("html")))
-
-    known = saved(known.select(F.col("host").alias("__sp_host"), F.transform("template", lambda e: F.struct(e["cls"].alias("cls"), e["token"].alias("token"), e["text"].alias("text"))).alias("__sp_template")))
+    known = saved(known.select(F.col("host").alias("__sp_host"), F.struct("template", "slots").alias("__sp_template")))
     known = small(known, known.count(), BROADCAST_HOSTS)
 
     @F.arrow_udf("string")
     def text_of(sources: pa.Array, template: pa.Array) -> pa.Array:
-        out, last, ready = [], None, None
+        out, last, ready = [], None, (None, None)
         for s, t in zip(sources, template):
             t = t.as_py()
             if t != last:
-                last, ready = t, [(e["cls"], e["token"], e["text"]) for e in t or ()]
-            out.append(page_text(s.as_py(), ready))
+                last, entries = t, (t or {}).get("template") or []
+                slots = {e["path"]: e["words"] for e in (t or {}).get("slots") or []}
+                ready = [(e["cls"], e["token"], e["text"]) for e in entries], kept_slots({e["path"] for e in entries if e["path"]}, slots)
+            out.append(page_text(s.as_py(), *ready))
         return pa.array(out, pa.string())
 
     return keyed.join(known, "__sp_host", "left").withColumn(into, text_of(F.col(source), F.col("__sp_template"))).drop("__sp_host", "__sp_template")
