@@ -17,10 +17,10 @@ from pyspark.sql import functions as F
 from soripark.llm.common import table
 from soripark.llm.vectors import dealt, matrix, nearest, searched, usable
 
-SHARD_ROWS = 4096
+SHARD_ROWS = 16384
 DEGREE = 32
 BUILD_BEAM = 64
-QUERY_BEAM = 128
+QUERY_BEAM = 64
 #: Searches start from the centre and this many other points, so a dense clump about the centre holds none back.
 ENTRIES = 32
 ALPHA = 1.2
@@ -55,8 +55,8 @@ def clumps(points: np.ndarray, share: float = CLUMP) -> np.ndarray:
     return own
 
 
-def beam_search(points: np.ndarray, edges: np.ndarray, entries: np.ndarray, queries: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each query the ids and squared distances of the beam, nearest first; missing places hold -1 and inf."""
+def beam_search(points: np.ndarray, edges: np.ndarray, entries: np.ndarray, queries: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each query the ids and squared distances of the beam, nearest first (missing places hold -1 and inf), and how many distances were computed."""
     b = len(queries)
     ids = np.full((b, beam), -1, np.int64)
     dist = np.full((b, beam), np.inf, np.float32)
@@ -90,7 +90,7 @@ def beam_search(points: np.ndarray, edges: np.ndarray, entries: np.ndarray, quer
         done[active] |= ~np.isfinite(dist[active])
         active = active[open_]
     ids[~np.isfinite(dist)] = -1
-    return ids, dist
+    return ids, dist, seen.sum(1)
 
 
 def robust_prune(points: np.ndarray, of: np.ndarray, candidates: np.ndarray, degree: int, alpha: float) -> np.ndarray:
@@ -133,7 +133,7 @@ def build(points: np.ndarray, degree: int = DEGREE, beam: int = BUILD_BEAM, alph
     begin = 1
     while begin < n:
         batch = order[begin : begin + min(begin, BATCH)]
-        found, _ = beam_search(points, wide, entries[:begin], points[batch], beam)
+        found, _, _ = beam_search(points, wide, entries[:begin], points[batch], beam)
         kept = robust_prune(points, batch, found, degree, alpha)
         wide[batch, :degree] = kept
         used[batch] = (kept >= 0).sum(1)
@@ -205,7 +205,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int, beam: int = QUERY_BEA
             query_ids, all_queries = asked["query_id"].to_numpy(np.int64), matrix(asked["v"], np.float32)
             for lot in range(0, len(asked), BATCH):
                 own, q = query_ids[lot : lot + BATCH], all_queries[lot : lot + BATCH]
-                found, _ = beam_search(points, edges, entries, q, max(beam, k + 1))
+                found, _, _ = beam_search(points, edges, entries, q, max(beam, k + 1))
                 for i, query, near in zip(own, q.astype(np.float64), found):
                     near = near[near >= 0].tolist()
                     at = np.concatenate([ids[x] for x in near])
