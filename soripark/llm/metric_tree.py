@@ -22,7 +22,7 @@ from soripark.llm.vectors import dealt, matrix, nearest, searched, usable
 
 SHARD_ROWS = 16384
 PAGE = 256
-#: Squared lengths below this are exact in doubles; a shard with longer vectors is scanned in Python integers.
+#: Squared lengths, and products of lengths, below this are exact in doubles; longer vectors or queries are scanned in Python integers.
 EXACT = float(1 << 52)
 PAGES = "dim int, shard int, page int, leaf boolean, vectors binary, ids binary, radii binary, to_parent binary"
 
@@ -82,6 +82,11 @@ def search(pages: list[dict], query: np.ndarray, query_id: int, k: int) -> list[
     q = np.append(query.astype(float), 0.0)
     square = float(q @ q)
     limit = float((pages[0]["vectors"][0] ** 2).sum())  # every stored vector has this squared length
+    if square * limit >= EXACT**2:  # no product of this query is sure to be exact in doubles: all leaves in Python integers
+        leaves = [p for p in pages if p["leaf"]]
+        whole_query = query.astype(object)
+        scores = ((int(s), int(i)) for p in leaves for s, i in zip(p["vectors"][:, :-1].astype(np.int64).astype(object) @ whole_query, p["ids"]) if i != query_id)
+        return sorted(scores, key=lambda x: (-x[0], x[1]))[:k]
     best: list[tuple[int, int]] = []  # heap of (score, -id), the worst first
     worst = np.inf
     queue = [(0.0, 0, 0, None)]

@@ -50,6 +50,44 @@ def test_top_k_of_wide_and_few_vectors(spark):
     assert metric_tree.top_k(none, none.withColumnRenamed("vec_id", "query_id"), 5).count() == 0
 
 
+def test_top_k_of_a_query_longer_than_all_vectors(spark):
+    """Products beyond 2^52 are exact, whatever the lengths of the stored vectors."""
+    rng = random.Random(9)
+    rows = [(i, [rng.randrange(-900, 900) for _ in range(6)]) for i in range(1, 400)] + [(400, [rng.randrange(-(2**50), 2**50) for _ in range(6)])]
+    frame = spark.createDataFrame(rows, "vec_id long, v array<long>")
+    got = metric_tree.top_k(frame.where("vec_id < 400"), frame.where("vec_id = 400").withColumnRenamed("vec_id", "query_id"), 5).collect()
+    want = sorted((-sum(a * b for a, b in zip(rows[-1][1], v)), i) for i, v in rows[:-1])[:5]
+    assert [(r.score, r.vec_id) for r in sorted(got)] == [(-s, i) for s, i in want]
+
+
+def test_vector_searches_with_clashing_columns_and_repeated_rows(spark):
+    rows = spark.createDataFrame([(i % 30, [float(i), 1.0, float(i % 7)], 5, 6) for i in range(60)], "vec_id long, v array<float>, rank int, score int")
+    queries = rows.where("vec_id = 3").withColumnRenamed("vec_id", "query_id")
+    whole = rows.select("vec_id", metric_tree.whole("v", 1).alias("v"))
+    top = metric_tree.top_k(whole, whole.where("vec_id = 3").distinct().limit(1).withColumnRenamed("vec_id", "query_id"), 5).collect()
+    assert [r.rank for r in sorted(top, key=lambda r: r.rank)] == [1, 2, 3, 4, 5] and all(r.vec_id != 3 for r in top)
+    found = graph_index.search(rows.select("vec_id", "v"), queries.select("query_id", "v").limit(1), 4).collect()
+    assert len(found) == 4 and all(r.vec_id != 3 for r in found)
+    none = rows.where("vec_id < 0").select("vec_id", "v")
+    assert graph_index.search(none, none.withColumnRenamed("vec_id", "query_id"), 4).count() == 0
+
+
+def test_a_full_graph_with_shipped_parameters():
+    """Recall of the ten nearest in one graph of 5,000 points about ten centres, and how few distances that takes."""
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    points = (rng.normal(0, 1, (10, 64))[rng.integers(0, 10, 5000)] + rng.normal(0, 0.5, (5000, 64))).astype(np.float32)
+    edges, entries = graph_index.build(points)
+    found, _, computed = graph_index.beam_search(points, edges, entries, points[:100], graph_index.QUERY_BEAM)
+    hit = 0
+    for i in range(100):
+        gap = ((points.astype(float) - points[i].astype(float)) ** 2).sum(1)
+        gap[i] = np.inf
+        hit += len(set(np.argsort(gap)[:10].tolist()) & set(found[i].tolist()))
+    assert hit >= 900 and computed.mean() < 0.4 * len(points)
+
+
 def test_graph_search_recall_and_order(table):
     rows = table.where(usable(F.col("embedding")) & F.exists("embedding", lambda x: x != 0) & F.col("vec_id").isNotNull()).select("vec_id", F.col("embedding").alias("v"))
     queries = rows.where("vec_id % 5 = 0").withColumnRenamed("vec_id", "query_id")
@@ -123,6 +161,43 @@ def test_all_slots_but_furniture_are_text(spark):
     assert text == {0: "T\n\nlongest part of all\n\nsaid\n\nmore", 1: "one\n\ntwo, longer", 2: "m\n\nafter"}
 
 
+def plain_template(rows, size=3, share=0.5):
+    """Tokens of a host's template by comparing whole occurrence vectors."""
+    import collections
+
+    vectors = collections.defaultdict(lambda: [0] * len(rows))
+    for i, source in enumerate(rows):
+        for where, tag, text, _, _ in template_extraction.parse(source):
+            vectors[(where, tag, None) if text is None else (where, "", text)][i] += 1
+    groups = collections.defaultdict(list)
+    for token, vector in vectors.items():
+        if max(vector) == 1:
+            groups[tuple(vector)].append(token)
+    return {t for v, ts in groups.items() if len(ts) >= size and any(x[2] is None for x in ts) and sum(v) >= 2 and len(ts) * sum(v) >= 24 and sum(v) >= share * len(rows) for t in ts}
+
+
+def test_templates_equal_plain_occurrence_vectors(spark):
+    rng = random.Random(6)
+    hosts = {f"h{h}": [f"<body><nav>{'<a>x</a>' * rng.randint(1, 3)}</nav><div class=top><p>Welcome</p></div><div class=main><p>{i} {rng.random()}</p>{'<p>again</p>' * rng.randint(0, 2)}</div>{'<aside><p>Extra</p></aside>' if i % 2 else ''}<footer>all</footer></body>" for i in range(n)] for h, n in enumerate((1, 2, 5, 12))}
+    rows = spark.createDataFrame([(h, s) for h, ss in hosts.items() for s in ss], "host string, html string")
+    got = {r.host: {(e.token, e.text) for e in r.template or ()} for r in template_extraction.templates(rows).collect()}
+    for host, sources in hosts.items():
+        assert got[host] == {(template_extraction._hash(where, text if text is not None else tag), text is not None) for where, tag, text in plain_template(sources)}
+    assert not got["h0"] and got["h3"]
+
+
+def test_the_template_decides_the_slots(spark):
+    """Names inside the main slot do not cut the article, small slots elsewhere go whatever they are called; without the template both come out otherwise."""
+    rng = random.Random(3)
+    page = lambda i: f"<html><head><title>t</title></head><body><div class=zone><p>buy {rng.random()}</p></div><div class=story><p>{' '.join(str(rng.random()) for _ in range(60))}</p><div class=search-engines><p>about engines {i}</p></div><p>x <math><mi>a{i}</mi></math> y</p></div><div class=tail><p>end {rng.random()}</p></div></body></html>"
+    sources = [page(i).replace("<div class=search-engines>", "<div class=search-engines>" if i % 3 else "<div class=other>") for i in range(20)]
+    got = {r.page_id: r.main_text for r in template_extraction.extract(spark.createDataFrame([(i, "http://a.example.org/", s) for i, s in enumerate(sources)], "page_id long, url string, html string")).collect()}
+    for i, s in enumerate(sources):
+        assert got[i].endswith(f"about engines {i}\n\nx a{i} y") and "buy" not in got[i] and "end" not in got[i]
+        alone = template_extraction.page_text(s, None, None)
+        assert "buy" in alone and ("engines" in alone) == (i % 3 == 0)
+
+
 def test_copies_do_not_make_a_template(spark):
     body = "<body><div class=text><p>one</p><p>two</p><p>three</p></div></body>"
     frame = spark.createDataFrame([(i, "http://a.example.org/", body) for i in range(40)], "page_id long, url string, html string")
