@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from soripark.llm.common import remainder, table
+from soripark.llm.common import remainder, table, whole_texts
 
 BUCKET_BITS = 16
 ORDERS = (1, 2, 3)
@@ -86,6 +86,7 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", *, orders=ORD
             yield pa.RecordBatch.from_arrays(
                 [pa.array([name] * (len(at) + 1)), pa.array(np.append(at, -1), pa.int32()), pa.array(np.append(total[at], n_docs[name]), pa.int64())], ["lang", "bucket", "n"])
 
+    whole_texts(docs)
     rows = docs.select(F.col(lang).alias("lang"), F.col(text).alias("text")).where("lang is not null and text is not null")
     counted = rows.mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     got = counted.toArrow()
@@ -147,7 +148,7 @@ def identify(docs: DataFrame, model: Model, text: str = "text", into: str = "lan
     Null or empty text, or text without a letter: ``und`` with score 0.  Equal probabilities: the
     alphabetically first language.  Whole texts are read, whatever their length.
     """
-    return docs.withColumn(into, predictor(docs.sparkSession, model)(F.col(text)))
+    return docs.withColumn(into, predictor(whole_texts(docs), model)(F.col(text)))
 
 
 def held_out(doc_id: str | Column) -> Column:

@@ -22,11 +22,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from soripark.llm.common import table
+from soripark.llm.common import table, whole_texts
 
 SPACE = "▁"
-#: Cut parts remembered per Python worker: two generations of this many; memory only, no effect on results.
-REMEMBERED = 100_000
+#: Memory of a Python worker, with no effect on results: cut parts of up to so many characters, two generations of so many, and so many judged pairs.
+LONGEST_REMEMBERED = 40
+REMEMBERED = 60_000
+REMEMBERED_PAIRS = 300_000
 
 
 @dataclass(frozen=True)
@@ -153,6 +155,8 @@ class Encoder:
             key = before << 32 | token
             ok = valid.get(key)
             if ok is None:
+                if len(valid) >= REMEMBERED_PAIRS:
+                    valid.clear()
                 ok = valid[key] = self._pair_is_valid(before, token)
             if ok:
                 last[end] = token
@@ -173,7 +177,8 @@ class Encoder:
         got = self.old.get(text)
         if got is None:
             got = self.part(text)
-        self.new[text] = got
+        if len(text) <= LONGEST_REMEMBERED:
+            self.new[text] = got
         if len(self.new) >= REMEMBERED:
             self.old, self.new = self.new, {}
         return got
@@ -262,7 +267,7 @@ def _encoder(held) -> Encoder:
 
 def encode(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", into: str = "ids") -> DataFrame:
     """``docs`` with an array<int> column of ids.  Null and empty texts: an empty array."""
-    held = docs.sparkSession.sparkContext.broadcast(vocabulary)
+    held = whole_texts(docs).sparkContext.broadcast(vocabulary)
 
     @F.arrow_udf("array<int>")
     def run(texts: pa.Array) -> pa.Array:
@@ -276,7 +281,7 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", into: st
 
 def decode(docs: DataFrame, vocabulary: Vocabulary, ids: str = "ids", into: str = "decoded") -> DataFrame:
     """``docs`` with the text of an id array; null and empty arrays: the empty text."""
-    held = docs.sparkSession.sparkContext.broadcast(vocabulary)
+    held = whole_texts(docs).sparkContext.broadcast(vocabulary)
 
     @F.arrow_udf("string")
     def run(rows: pa.Array) -> pa.Array:
@@ -291,7 +296,7 @@ def round_trip(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", into
 
     The same encoding and decoding as ``encode`` and ``decode``, in one trip to Python.
     """
-    held = docs.sparkSession.sparkContext.broadcast(vocabulary)
+    held = whole_texts(docs).sparkContext.broadcast(vocabulary)
     fields = [pa.field("n_tokens", pa.int64()), pa.field("ids_sha256", pa.string()), pa.field("decoded_sha256", pa.string())]
 
     @F.arrow_udf("struct<n_tokens: long, ids_sha256: string, decoded_sha256: string>")
