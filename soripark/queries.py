@@ -366,11 +366,11 @@ def word_distances_full(spark, d):
 
 
 @query("""with d as (select doc_id, translate(lower(text), 'abcdefghijklmnopqrstuvwxyz', '%s') as t from documents)
-select doc_id, len(regexp_extract_all(t, '[가-힣]'))::bigint as syllables, sum(1)::bigint as one, list_sum(list_transform(regexp_extract_all(t, '[가-힣]'), lambda c: (unicode(c) - 44032) %% 28))::bigint as coda_sum from d group by all""" % b.SYLLABLES)
+select doc_id, len(regexp_extract_all(t, '[가-힣]'))::bigint as syllables, list_sum(list_transform(regexp_extract_all(t, '[가-힣]'), lambda c: (unicode(c) - 44032) %% 28))::bigint as coda_sum from d""" % b.SYLLABLES)
 def decompose(spark, d):
     rows = b.texts(spark, d).select("doc_id", F.regexp_extract_all("text", F.lit(f"({h.SYLLABLE})"), F.lit(1)).alias("s"))
     total = F.when(F.size("s") > 0, F.aggregate("s", F.lit(0).cast("long"), lambda a, c: a + h.code(c) % 28))
-    return rows.select("doc_id", F.size("s").cast("long").alias("syllables"), F.lit(1).cast("long").alias("one"), total.alias("coda_sum"))
+    return rows.select("doc_id", F.size("s").cast("long").alias("syllables"), total.alias("coda_sum"))
 
 
 @query()
@@ -386,7 +386,12 @@ def pronunciation_ipa(spark, d):
     return rows.select("doc_id", F.size("p").alias("n_tokens"), F.sha2(F.array_join(symbols, " "), 256).alias("ipa_sha256"), F.size(h.ipa_to_labels(symbols)["unsupported"]).alias("n_unsupported"))
 
 
-@query()
+_DIGIT = "substr('일이삼사오육칠팔구', {0}, 1)"
+_GROUP = " || ".join(f"case when {{0}} // {10**p} % 10 = 0 then '' when {{0}} // {10**p} % 10 = 1 and {p} > 0 then '{u}' else {_DIGIT.format(f'({{0}} // {10**p} % 10)::int')} || '{u}' end" for p, u in ((3, "천"), (2, "백"), (1, "십"), (0, "")))
+
+
+@query(f"""with n as (select o_orderkey, floor(o_totalprice)::bigint as v from orders), g as (select o_orderkey, v, v // 10000 as hi, v % 10000 as lo from n)
+select o_orderkey, case when v = 0 then '영' else case when hi > 0 then {_GROUP.format('hi')} || '만' else '' end || {_GROUP.format('lo')} end as words from g""")
 def numbers_in_words(spark, d):
     n = b.table(spark, d, "orders").select("o_orderkey", F.floor(F.col("o_totalprice")).cast("long").cast("string").alias("n"))
     return n.select("o_orderkey", h.numeral(F.col("n")).alias("words"))
@@ -411,7 +416,27 @@ def issue_rollup(spark, d):
     return _rounded(alignment.issue_rollup(_evaluated(spark, d)))
 
 
-@query()
+def _values(rows) -> str:
+    return ", ".join("(" + ", ".join(repr(x) if isinstance(x, float) else f"'{x}'" for x in r) + ")" for r in rows)
+
+
+_FEATURES = list(alignment.WEIGHTS)
+_PHONES = _values((s, *alignment.phone_features(s)) for s in [*t.CONSONANT_FEATURES, *t.SEMIVOWEL_FEATURES, *t.VOWEL_FEATURES])
+_SPOKEN = _values((s, *alignment.phone_features(s)) for s in b.TOKENS)
+_RU = {frozenset(k): v for k, v in (t.PAIR_COST["default"] | t.PAIR_COST["ru"]).items()}
+_PAIRS = _values((a, b_, v) for k, v in _RU.items() for a, b_ in (sorted(k), sorted(k, reverse=True)))
+_DIFFERS = " + ".join(f"case when a.kind = b.kind and a.{f} <> b.{f} then {w!r}::double else 0 end" for f, w in alignment.WEIGHTS.items())
+
+
+@query(f"""with {_SEG}, sy as (select distinct token as symbol, ['onset', 'nucleus', 'coda'][part % 3 + 1] as position from seg), ph(symbol, kind, {", ".join(_FEATURES)}) as (values {_PHONES}), sp(symbol, kind, {", ".join(_FEATURES)}) as (values {_SPOKEN}), pc(x, y, more) as (values {_PAIRS}),
+k as (select sy.symbol, position, case when regexp_matches(sy.symbol, '[aeiouyɯɨʉɪʊøœɛɜɞəɐɔæɑɒʌ]') then 'vowel' else 'consonant' end as category, b.symbol as hyp_symbol, a.kind as ka, b.kind as kb, {_DIFFERS} as total,
+  a.kind = b.kind and (a.aspiration <> b.aspiration or a.tenseness <> b.tenseness) as throat, more::double as more from sy join sp a on a.symbol = sy.symbol cross join ph b left join pc on x = sy.symbol and y = b.symbol),
+c as (select *, case when symbol = hyp_symbol then 0 else greatest(0, case when ka <> kb then 1.25 else least(total, 1.4) end + coalesce(more, 0)) end as c0, position = 'coda' and hyp_symbol in ('k̚', 't̚', 'p̚') as closed from k),
+e as (select *, case when closed then least(c0, 0.35) else c0 end as cost from c)
+select symbol, category, position, hyp_symbol, round(cost, 6)::double as cost, case when throat and cost <= 0.35 then 'laryngeal contrast confusion' when category = 'vowel' and kb = 'vowel' and cost <= 0.4 then 'vowel confusion'
+  when symbol in ('ɾ', 'l') or hyp_symbol in ('ɾ', 'l') then 'liquid realization issue' when closed then 'coda neutralization' when symbol = hyp_symbol then 'match' when ka <> kb then 'cross-category confusion'
+  when total <= 0.45 then 'feature-similar substitution' else 'substitution' end as label from e""")
 def phone_costs(spark, d):
-    tokens = h.with_tokens(b.label_pairs(spark, d), "ref", "x").select(F.explode("x").alias("x")).select("x.*")
+    position = F.get(F.array(F.lit("onset"), F.lit("nucleus"), F.lit("coda")), (F.col("part") % 3).cast("int"))
+    tokens = b.segments(spark, d).select(F.col("token").alias("symbol"), h.category(F.col("token")).alias("category"), position.alias("position"))
     return _rounded(alignment.cost_table(spark, tokens))
