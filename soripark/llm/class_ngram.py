@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from soripark.llm.common import remainder, saved, slices, table, text_bytes
+from soripark.llm.common import remainder, saved, slices, table, text_bytes, whole_texts
 from soripark.llm.hashing import batches_of, mix, word_hashes_and_endings
 
 LEAST = 10
@@ -71,6 +71,12 @@ def _summed(keys: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndar
     return keys[first], n.astype(np.int64)
 
 
+def _runs(values: np.ndarray) -> list[tuple[int, int, int]]:
+    """Value, first place and the place after the last of each run of equal values."""
+    first = np.flatnonzero(np.diff(values, prepend=-1))
+    return list(zip(values[first].tolist(), first.tolist(), np.append(first[1:], len(values)).tolist()))
+
+
 @dataclass(frozen=True)
 class Units:
     """Frequent words by sorted hash with their counts, and per bin tokens and kinds of the other words."""
@@ -110,8 +116,7 @@ def count_words(train: DataFrame, share: float, n_buckets: int, least: int = LEA
             words, bins = words[first], bins[first]
             bucket = (words % np.uint64(n_buckets)).astype(np.int32)
             by = np.argsort(bucket, kind="stable")
-            cuts = np.searchsorted(bucket[by], np.arange(n_buckets + 1))
-            parts = [(b, by[x:y]) for b, (x, y) in enumerate(zip(cuts, cuts[1:])) if x < y]
+            parts = [(b, by[x:y]) for b, x, y in _runs(bucket[by])]
             yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in parts], pa.int32())] + [pa.array([a[i].tobytes() for _, i in parts], pa.binary()) for a in (words, bins, n)], ["bucket", "words", "bins", "n"])
 
     def total(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -141,26 +146,31 @@ def count_words(train: DataFrame, share: float, n_buckets: int, least: int = LEA
 
 def _unit_bigrams(train: DataFrame, units: Units) -> DataFrame:
     """Packed counts of unit pairs: one row a block of units with what follows and what precedes each of them."""
-    held = train.sparkSession.sparkContext.broadcast(units)
+    held = whole_texts(train).sparkContext.broadcast(units)
     blocks = max(BLOCKS, -(-units.n // BLOCK_UNITS))
 
     def run(batches):
-        u, kept, kept_n = held.value, np.zeros(0, np.int64), np.zeros(0, np.int64)
+        u, kept, kept_n, waiting = held.value, np.zeros(0, np.int64), np.zeros(0, np.int64), []
+
+        def merged():
+            return _summed(np.concatenate([kept, *(k for k, _ in waiting)]), np.concatenate([kept_n, *(n for _, n in waiting)]))
+
         end = int(u.of(np.array([END]), np.zeros(1, np.int64))[0])
         for batch in slices(batches):
             for _, counts, hashes, bins in _chunks(text_bytes(batch.column(0))):
                 seq, begins = _with_ends(counts, u.of(hashes, bins), end)
                 before = np.concatenate([[end], seq[:-1]])
                 before[begins] = end
-                keys, n = _summed(before * u.n + seq)
-                kept, kept_n = _summed(np.concatenate([kept, keys]), np.concatenate([kept_n, n]))
+                waiting.append(_summed(before * u.n + seq))
+                if sum(len(k) for k, _ in waiting) > max(1 << 20, len(kept)):  # so a pair is sorted a few times only
+                    kept, kept_n = merged()
+                    waiting.clear()
+        kept, kept_n = merged()
         for side, unit in ((0, kept // u.n), (1, kept % u.n)):
             by = np.argsort(unit % blocks, kind="stable")
-            cuts = np.searchsorted((unit % blocks)[by], np.arange(blocks + 1))
-            for b, (x, y) in enumerate(zip(cuts, cuts[1:])):
-                if x < y:
-                    own = by[x:y]
-                    yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([side], pa.int32()), pa.array([kept[own].tobytes()]), pa.array([kept_n[own].astype(np.int32).tobytes()])], ["block", "side", "pairs", "n"])
+            for b, x, y in _runs((unit % blocks)[by]):
+                own = by[x:y]
+                yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([side], pa.int32()), pa.array([kept[own].tobytes()]), pa.array([kept_n[own].astype(np.int32).tobytes()])], ["block", "side", "pairs", "n"])
 
     def joined(pdf: pd.DataFrame) -> pd.DataFrame:
         keys, n = _summed(np.concatenate([np.frombuffer(x, np.int64) for x in pdf["pairs"]]), np.concatenate([np.frombuffer(x, np.int32) for x in pdf["n"]]).astype(np.int64))
@@ -243,7 +253,7 @@ def cluster(bigrams: DataFrame, units: Units, classes: int = CLASSES, rounds: in
                         m += np.bincount(held.value[keys // size] * classes + held.value[keys % size], np.frombuffer(n, np.int64), classes * classes)
             yield pd.DataFrame({"m": [m.tobytes()]})
 
-        parts = [np.frombuffer(r.m, float) for r in bigrams.mapInPandas(run, "m binary").toLocalIterator()]
+        parts = [np.frombuffer(r.m, float) for r in bigrams.mapInPandas(run, "m binary").collect()]  # classes x classes numbers a partition
         return np.sum(parts, 0).reshape(classes, classes) if parts else np.zeros((classes, classes))
 
     m = matrix(of)
@@ -326,7 +336,7 @@ def score(docs: DataFrame, model: Model, bucket_entries: int = BUCKET_ENTRIES) -
     The training rows must be among ``docs``: rare words are counted where they meet.  Null and empty
     texts have one token, the end.  Repeated ids are rows of their own.
     """
-    held = docs.sparkSession.sparkContext.broadcast(model)
+    held = whole_texts(docs).sparkContext.broadcast(model)
     n_buckets = _buckets(docs, 2 * bucket_entries)
     schema = pa.schema([("bucket", pa.int32()), ("batch", pa.int64()), ("kind", pa.int32()), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary())])
 
@@ -360,10 +370,7 @@ def score(docs: DataFrame, model: Model, bucket_entries: int = BUCKET_ENTRIES) -
             bucket = (rare % np.uint64(n_buckets)).astype(np.int32)
             by = np.argsort(bucket, kind="stable")
             rare, rare_doc = rare[by], rare_doc[by]
-            cuts = np.searchsorted(bucket[by], np.arange(n_buckets + 1))
-            for b, (x, y) in enumerate(zip(cuts, cuts[1:])):
-                if x < y:
-                    rows.append((b, key, 1, rare[x:y].tobytes(), rare_doc[x:y].tobytes(), train.tobytes()))
+            rows += [(b, key, 1, rare[x:y].tobytes(), rare_doc[x:y].tobytes(), train.tobytes()) for b, x, y in _runs(bucket[by])]
             rows[0] = (key % n_buckets, *rows[0][1:])
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
