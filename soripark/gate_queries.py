@@ -23,7 +23,7 @@ al as (select utt_id, (100 - c % 13) / 100 as coverage, -(c % 40) / 20 as normal
 _TIMING = f"""{_CONF}, {_FRAMES}, {_ALIGNED},
 q as (select th.*, greatest(0.0, start_time - lag(end_time) over w) as g0, lag(end_time) over w as p, max(seg_idx) over (partition by utt_id) - seg_idx as e, greatest(0.0, end_time - start_time) as len_ from th window w as (partition by utt_id order by seg_idx)),
 r as (select q.*, case when p is not null then g0 end as gap, coalesce(pause_like, false) as pz, e <= 1 as tail from q left join ep on q.utt_id = ep.utt_id and q.seg_idx = ep.next_idx),
-t0 as (select utt_id, count(*)::bigint as segment_count, quantile_cont(len_, 0.5) as median_duration, max(len_) as max_duration, min(confidence) as min_confidence, avg(confidence) as avg_confidence,
+t0 as (select utt_id, count(*)::bigint as segment_count, quantile_cont(len_, 0.5) as median_duration, max(len_) as max_duration, min(confidence) as min_confidence, round(avg(confidence), 9) as avg_confidence,
   avg((confidence < low)::int) as low_ratio, avg((confidence < very_low)::int) as very_low_ratio, avg((confidence < 0.20)::int) as raw_low_ratio, avg((confidence < 0.05)::int) as raw_very_low_ratio,
   count(*) >= 2 and count(*) filter (confidence < very_low and tail) = 2 as final_very_low, coalesce(max(gap), 0) as max_gap, coalesce(max(gap) filter (tail), 0) as max_tail_gap, coalesce(max(gap) filter (not tail), 0) as max_internal_gap,
   coalesce(max(gap) filter (not tail and not pz and gap > 1.20), 0) as max_unexplained_internal_gap, coalesce(max(gap) filter (not tail and pz and gap > 0.30), 0) as max_pause_gap, count(*) filter (gap > 0.30)::bigint as large_gap_count,
@@ -82,7 +82,7 @@ def soft_accept_gates(spark, d):
 
 
 @query(f"""with {_GATED}, {_SOFT}, pt as (select utt_id, token, count(*) as n, count(*) filter (confidence < very_low) as v, count(*) filter (confidence < low) as l, sum(confidence) as c from th group by 1, 2),
-u as (select utt_id, sum(v) as vc, sum(v) / sum(n) as vr, sum(l) / sum(n) as lr, sum(c) / sum(n) as ac, count(*) filter (v > 0) as uv, max(v) as most from pt group by 1),
+u as (select utt_id, sum(v) as vc, sum(v) / sum(n) as vr, sum(l) / sum(n) as lr, round(sum(c) / sum(n), 9) as ac, count(*) filter (v > 0) as uv, max(v) as most from pt group by 1),
 sc as (select utt_id, case when vc = 0 and lr <= 0.15 then 'none' when vr > 0.30 and (lr > 0.45 or ac < 0.60 or uv / greatest(vc, 1) > 0.55) then 'global' when vc > 0 and (most / greatest(vc, 1) >= 0.45 or uv <= 2) then 'localized'
   when vr > 0.15 or lr > 0.30 then 'mixed' else 'minor' end as scope from u),
 i as (select al.utt_id, al.evaluation_status, al.is_partial, quality_level, very_low_ratio as v, scope, len(ga.x) = 0 as gate_passed, sf.audio_passed, sf.coarse_passed, pause_gap_count > 0 as pz, max_tail_gap > 0.30 as tl, large_gap_count as lg, warning_gap_count as wg, unexplained_large_gap_count as ul,
@@ -120,7 +120,7 @@ def excluded_tail(spark, d):
 _ATTEMPTS = f"""{_SEG}, k as (select s.utt_id, greatest(0, least(2, max(seg_idx))) as most from s group by 1), tr as (select utt_id, unnest(range(0, most + 1)) as trim from k),
 cut as (select s.utt_id, trim, token, seg_idx, confidence, start_time, end_time, max(seg_idx) over (partition by s.utt_id) as last from s join tr using (utt_id)),
 w as (select *, lag(end_time) over (partition by utt_id, trim order by seg_idx) as p, max(seg_idx) over (partition by utt_id, trim) - seg_idx <= 1 as tail from cut where seg_idx <= last - trim),
-a as (select utt_id, trim, avg(confidence) as ac, avg((confidence < 0.20)::int) as lr, avg((confidence < 0.05)::int) as vr, coalesce(max(greatest(0, start_time - p)), 0) as mg, coalesce(max(greatest(0, start_time - p)) filter (tail), 0) as tg,
+a as (select utt_id, trim, round(avg(confidence), 9) as ac, avg((confidence < 0.20)::int) as lr, avg((confidence < 0.05)::int) as vr, coalesce(max(greatest(0, start_time - p)), 0) as mg, coalesce(max(greatest(0, start_time - p)) filter (tail), 0) as tg,
   coalesce(max(greatest(0, start_time - p)) filter (not tail), 0) as ig, count(*) filter (start_time - p > 0.30) as lg from w group by 1, 2),
 j as (select *, ac >= 0.45 and tg <= 0.30 as passed, case when tg > 0.30 then 0 when lg >= 3 or vr > 0.15 then 1 when lg > 0 or vr > 0.10 then 2 else 3 end as ql from a)"""
 

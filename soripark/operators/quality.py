@@ -24,12 +24,12 @@ def gaps(segments: DataFrame) -> DataFrame:
 def confidence_issues(segments: DataFrame) -> DataFrame:
     """Counts, ratios and scope of low confidence per utterance; ``segments`` carry their thresholds.
 
-    Scope: none without a very low segment at a low ratio up to .15; global above .30 very low if that is no single
+    Means are taken to nine places, so that the order of summing decides nothing.  Scope: none without a very low segment at a low ratio up to .15; global above .30 very low if that is no single
     token's matter; localized if one token makes .45 of them or two tokens all; mixed above .15 or .30 low; else minor.
     """
     very, low = F.col("confidence") < F.col("very_low_threshold"), F.col("confidence") < F.col("low_threshold")
     per_token = segments.groupBy("utt_id", "token").agg(F.count("*").alias("n"), F.count_if(very).alias("v"), F.count_if(low).alias("l"), F.sum("confidence").alias("c"))
-    out = per_token.groupBy("utt_id").agg(F.sum("n").alias("token_count"), F.sum("v").alias("very_low_count"), F.sum("l").alias("low_count"), F.max("v").alias("most"), F.count_if(F.col("v") > 0).alias("unique_very_low"), (F.sum("c") / F.sum("n")).alias("avg_confidence"))
+    out = per_token.groupBy("utt_id").agg(F.sum("n").alias("token_count"), F.sum("v").alias("very_low_count"), F.sum("l").alias("low_count"), F.max("v").alias("most"), F.count_if(F.col("v") > 0).alias("unique_very_low"), F.round(F.sum("c") / F.sum("n"), 9).alias("avg_confidence"))
     per = lambda x: F.col(x) / F.col("token_count")
     rows = out.select("utt_id", "token_count", "very_low_count", "low_count", per("very_low_count").alias("very_low_ratio"), per("low_count").alias("low_ratio"), "avg_confidence", "unique_very_low", "most")
     very, low, share = F.col("very_low_ratio"), F.col("low_ratio"), F.greatest(F.col("very_low_count"), F.lit(1))
@@ -87,7 +87,8 @@ def timing_summary(segments: DataFrame, evidence: DataFrame | None = None, align
 
     ``segments`` carry their effective thresholds; ratios of the fixed ones stand beside.  ``evidence``
     (of ``gap_evidence``) tells which gaps are pauses; without it none is.  ``alignments`` (utt_id,
-    coverage, normalized_log_prob, blank_ratio) are passed on; without them coverage is 1.
+    coverage, normalized_log_prob, blank_ratio) are passed on; without them coverage is 1.  Mean confidence is taken
+    to nine places, so that the order of summing decides nothing.
     """
     whole = Window.partitionBy("utt_id")
     rows = segments.withColumns({
@@ -103,7 +104,7 @@ def timing_summary(segments: DataFrame, evidence: DataFrame | None = None, align
     above = lambda limit, condition=F.lit(True): F.count_if((F.col("gap") > limit) & condition)
     share = lambda condition: F.count_if(condition) / F.count("*")
     out = rows.groupBy("utt_id").agg(
-        F.count("*").alias("segment_count"), F.percentile("length", F.lit(0.5)).alias("median_duration"), F.max("length").alias("max_duration"), F.min(c).alias("min_confidence"), F.avg(c).alias("avg_confidence"),
+        F.count("*").alias("segment_count"), F.percentile("length", F.lit(0.5)).alias("median_duration"), F.max("length").alias("max_duration"), F.min(c).alias("min_confidence"), F.round(F.avg(c), 9).alias("avg_confidence"),
         share(c < F.col("low_threshold")).alias("low_ratio"), share(c < F.col("very_low_threshold")).alias("very_low_ratio"), share(c < t.LOW).alias("raw_low_ratio"), share(c < t.VERY_LOW).alias("raw_very_low_ratio"),
         ((F.count("*") >= 2) & (F.count_if((c < F.col("very_low_threshold")) & tail) == 2)).alias("final_very_low"),
         most().alias("max_gap"), most(tail).alias("max_tail_gap"), most(~tail).alias("max_internal_gap"), most(~tail & ~pause & (F.col("gap") > t.FAILURE_GAP)).alias("max_unexplained_internal_gap"),

@@ -89,7 +89,7 @@ def segment_gaps(spark, d):
 
 @query(f"""with {_CONF},
 pt as (select utt_id, token, count(*) as n, count(*) filter (confidence < very_low) as v, count(*) filter (confidence < low) as l, sum(confidence) as c from th group by 1, 2),
-u as (select utt_id, sum(n)::bigint as token_count, sum(v)::bigint as very_low_count, sum(l)::bigint as low_count, sum(v) / sum(n) as very_low_ratio, sum(l) / sum(n) as low_ratio, sum(c) / sum(n) as avg_confidence,
+u as (select utt_id, sum(n)::bigint as token_count, sum(v)::bigint as very_low_count, sum(l)::bigint as low_count, sum(v) / sum(n) as very_low_ratio, sum(l) / sum(n) as low_ratio, round(sum(c) / sum(n), 9) as avg_confidence,
              count(*) filter (v > 0)::bigint as unique_very_low, max(v) as most from pt group by 1)
 select utt_id, token_count, very_low_count, low_count, round(very_low_ratio, 6) as very_low_ratio, round(low_ratio, 6) as low_ratio, round(avg_confidence, 6) as avg_confidence, unique_very_low,
   case when very_low_count = 0 and low_ratio <= 0.15 then 'none'
