@@ -203,9 +203,11 @@ def _best_moves(m: np.ndarray, own: int, out: np.ndarray, into: np.ndarray, loop
     row, col = m.sum(1), m.sum(0)  # a class keeps its total when a neighbour of its units moves
     row[own] -= weight[0]
     col[own] -= weight[1]
-    # the likelihood's terms that change when the unit joins class b: row b, column b and their crossing
-    gain_row = (_xlogx(rest + out) - _xlogx(rest)).sum(1)
-    gain_col = (_xlogx(rest + into[:, None]) - _xlogx(rest)).sum(0)
+    # the likelihood's terms that change when the unit joins class b: row b, column b and their crossing; only where it has bigrams
+    after, before = np.flatnonzero(out), np.flatnonzero(into)
+    rows, columns = rest[:, after], rest[before]
+    gain_row = (_xlogx(rows + out[after]) - _xlogx(rows)).sum(1)
+    gain_col = (_xlogx(columns + into[before, None]) - _xlogx(columns)).sum(0)
     d = np.diag(rest)
     cross = _xlogx(d + out + into + loops) - _xlogx(d + out) - _xlogx(d + into) + _xlogx(d)
     marginal = _xlogx(row + weight[0]) - _xlogx(row) + _xlogx(col + weight[1]) - _xlogx(col)
