@@ -37,11 +37,9 @@ PERCENT = 75
 ORDERS = 2
 #: Sets of a token that are proposed to the others, and proposals that a node has verified; they save pairs, the search after them is whole.
 LEADERS, PROPOSALS = 4, 3
-#: Rounds of proposals; those of the first come from one token in so many.
-ROUNDS, SAMPLE = 2, 2
 FLAG_ROWS = 2
 #: Most cells of a row of counts (two bytes each); an order, not a result, depends on them.
-MOST_COUNT_BITS = 22
+MOST_COUNT_BITS = 21
 #: Pairs that one copy of a set meets in a task.
 HUB_PAIRS = 500
 #: So many rows of a few longs are broadcast (24 MB); more are joined by shuffle.
@@ -131,32 +129,28 @@ def first_tokens(live: DataFrame, percent: int, flags: Broadcast, bits: int, cou
 
 
 def _under_all_orders(met: DataFrame) -> DataFrame:
+    """The pairs (a, b) that have met at a token of every order."""
     order = F.bit_or(F.expr("shiftleft(1, cast(token & 3 as int))"))
-    return met.groupBy("a", "b").agg(order.alias("orders"), F.count("*").alias("n")).where(F.col("orders") == 2**ORDERS - 1)
+    return met.groupBy("a", "b").agg(order.alias("orders")).where(F.col("orders") == 2**ORDERS - 1).select("a", "b")
 
 
-def proposals(postings: DataFrame, tried: DataFrame | None) -> DataFrame:
-    """Pairs (a, b) of each node with those few sets of other components it shares most tokens with, among the tokens' leaders.
+def proposals(postings: DataFrame) -> DataFrame:
+    """Pairs (a, b) of each node with those few sets it shares most first tokens with, among the tokens' leaders.
 
     A token's leaders are the set with the most kept tokens for its size and sets picked by the hash of
-    their component and node, those with a large cap first, so that a group's tokens agree on them.
+    their node, those with a large cap first, so that a group's tokens agree on them.  These are guesses
+    whom to verify first: one order is enough for them.
     """
     share = F.col("cap") / F.col("size")
-    weights = [share, *((share >= 1.2).cast("int") + (share >= 1).cast("int") + F.pmod(F.xxhash64("node", "component", F.lit(k)), F.lit(2**30)) / 2.0**30 for k in range(1, LEADERS))]
-    leaders = postings.groupBy("token").agg(F.array(*(F.max(F.struct(w.alias("w"), F.struct("node", "size", "cap", "component").alias("l"))) for w in weights)).alias("x"), F.count("*").alias("sets"))
+    weights = [share, *((share >= 1.2).cast("int") + (share >= 1).cast("int") + F.pmod(F.xxhash64("node", F.lit(k)), F.lit(2**30)) / 2.0**30 for k in range(1, LEADERS))]
+    leaders = postings.groupBy("token").agg(F.array(*(F.max(F.struct(w.alias("w"), F.struct("node", "size", "cap").alias("l"))) for w in weights)).alias("x"), F.count("*").alias("sets"))
     leaders = leaders.where("sets > 1").select("token", F.array_distinct(F.transform("x", lambda e: e["l"])).alias("x"))
-    met = postings.join(leaders, "token").select("token", "node", "size", "cap", "component", F.explode("x").alias("l")).where("component <> l.component and size <= l.cap and l.size <= cap")
-    shared = _under_all_orders(met.select("token", F.col("node").alias("a"), F.col("l.node").alias("b")))
-    if tried is not None:
-        shared = shared.join(_both_ways(tried), ["a", "b"], "left_anti")
+    met = postings.join(leaders, "token").select("node", "size", "cap", F.explode("x").alias("l")).where("node <> l.node and size <= l.cap and l.size <= cap")
+    shared = met.groupBy(F.col("node").alias("a"), F.col("l.node").alias("b")).agg(F.count("*").alias("n"))
     rank = F.row_number().over(Window.partitionBy("a").orderBy(F.col("n").desc(), "b"))
     return shared.withColumn("rank", rank).where(F.col("rank") <= PROPOSALS).select("a", "b")
 
 
-def _both_ways(pairs: DataFrame) -> DataFrame:
-    return pairs.union(pairs.select("b", "a"))
-
-
 def _undecided(postings: DataFrame, joined: DataFrame) -> DataFrame:
     """The postings with their component, of tokens that sets of two components hold."""
     placed = postings.join(small(joined, joined.count(), BROADCAST_LONGS), "node", "left").withColumn("component", F.coalesce("component", "node"))
@@ -185,7 +179,7 @@ def across_components(rest: DataFrame, percent: int) -> DataFrame:
         " and (y.size < x.size or y.size = x.size and y.node < x.node)"
     )
     met = larger.where("not is_main").join(smaller, linkable).union(larger.where("is_main").join(smaller.where("not is_main"), linkable))
-    return _under_all_orders(met.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"), F.col("x.token").alias("token"))).select("a", "b")
+    return _under_all_orders(met.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"), F.col("x.token").alias("token")))
 
 
 def verified(pairs: DataFrame, live: DataFrame, percent: int) -> DataFrame:
@@ -224,7 +218,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     forget(every)
     kept = live.agg(F.sum(F.size("kept"))).first()[0] or 0
     lists = lambda batch: (x.values.to_numpy(zero_copy_only=False).view(np.uint64) for x in batch.column(0))
-    bits = sketch.bits_for(kept, sketch.MOST_FLAG_BITS, 0.1)
+    bits = sketch.bits_for(kept, sketch.MOST_FLAG_BITS, 0.25)
     flags = share(sketch.repeated(live.select("kept"), lists, FLAG_ROWS, bits))
     counts = share(sketch.build(live.select("kept"), lists, ORDERS, sketch.bits_for(kept, MOST_COUNT_BITS), lambda n: np.minimum(n, 65535).astype(np.uint16).tobytes()))
     postings = saved(first_tokens(live, percent, flags, bits, counts))
@@ -232,14 +226,10 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     counts.destroy()
 
     edges = lambda pairs: components(pairs.select(F.col("a").alias("u"), F.col("b").alias("v")))
-    rest = postings.where(F.pmod(F.xxhash64("token"), F.lit(SAMPLE)) == 0).withColumn("component", F.col("node"))
-    asked = links = None
-    for n in range(ROUNDS):
-        now = saved(proposals(rest, asked))
-        found = saved(verified(now, live, percent))
-        asked, links = (now, found) if asked is None else (asked.union(now), links.union(found))
-        rest = saved(_undecided(postings if not n else rest.drop("component"), edges(links)))
-    untried = saved(across_components(rest, percent).join(_both_ways(asked), ["a", "b"], "left_anti"))
+    asked = saved(proposals(postings))
+    links = saved(verified(asked, live, percent))
+    rest = saved(_undecided(postings, edges(links)))
+    untried = saved(across_components(rest, percent).join(asked.union(asked.select("b", "a")), ["a", "b"], "left_anti"))
     final = edges(links.union(saved(verified(untried, live, percent))))
     forget(rest, postings, live)
 
