@@ -35,8 +35,8 @@ from soripark.llm.hashing import batch_word_hashes, batches_of, mix, shingle_has
 WORDS = 5
 PERCENT = 75
 ORDERS = 2
-#: Sets of a token that are proposed to the others, and proposals that a node has verified; they save pairs, the search after them is whole.
-LEADERS, PROPOSALS = 4, 3
+#: Sets of a token that are proposed to the others, and proposals of each kind that a node has verified; they save pairs, the search after them is whole.
+LEADERS, PROPOSALS = 4, 2
 FLAG_ROWS = 2
 #: Most cells of a row of counts (two bytes each); an order, not a result, depends on them.
 MOST_COUNT_BITS = 21
@@ -98,7 +98,8 @@ def token_sets(docs: DataFrame, k: int, percent: int, flags: Broadcast, bits: in
 def first_tokens(live: DataFrame, percent: int, flags: Broadcast, bits: int, counts: Broadcast) -> DataFrame:
     """The tokens of each set under each order at which a link can begin, and the size of its largest partner there.
 
-    The last two bits of a token are the number of its order.  ``flags`` are those of the live sets.
+    The last two bits of a token are the number of its order; ``common`` is the mean logarithm of the counts of the
+    set's kept tokens, large for sets in the middle of a group of near copies.  ``flags`` are those of the live sets.
     """
 
     def run(batches):
@@ -106,7 +107,7 @@ def first_tokens(live: DataFrame, percent: int, flags: Broadcast, bits: int, cou
         rows = [np.frombuffer(c, np.uint16) for c in counts.value]
         count_bits = len(rows[0]).bit_length() - 1
         for batch in slices(batches):
-            out = [[], [], [], []]
+            out = [[], [], [], [], []]
             for node, n, kept in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
                 tokens = kept.values.to_numpy(zero_copy_only=False).view(np.uint64)
                 tokens = tokens[sketch.flagged(repeated, tokens, bits)]
@@ -115,17 +116,20 @@ def first_tokens(live: DataFrame, percent: int, flags: Broadcast, bits: int, cou
                 if first <= 0:
                     continue
                 cap = (100 + percent) * (m - np.arange(first)) // percent - n
-                for r, row in enumerate(rows):
+                counted = [row[sketch.cells(tokens, r, count_bits)] for r, row in enumerate(rows)]
+                common = float(np.log2(np.maximum(np.minimum.reduce(counted), 1)).sum()) / n
+                for r, row in enumerate(counted):
                     own = mix(tokens + np.uint64(r))
-                    first_own = own[np.lexsort((own, row[sketch.cells(tokens, r, count_bits)]))[:first]]
+                    first_own = own[np.lexsort((own, row))[:first]]
                     out[0].append((first_own & ~np.uint64(3) | np.uint64(r)).view(np.int64))
                     out[1].append(np.full(first, node, np.int64))
                     out[2].append(np.full(first, n, np.int32))
                     out[3].append(cap.astype(np.int32))
+                    out[4].append(np.full(first, common, np.float32))
             if out[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], ["token", "node", "size", "cap"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], ["token", "node", "size", "cap", "common"])
 
-    return live.mapInArrow(run, "token long, node long, size int, cap int")
+    return live.mapInArrow(run, "token long, node long, size int, cap int, common float")
 
 
 def _under_all_orders(met: DataFrame) -> DataFrame:
@@ -135,20 +139,22 @@ def _under_all_orders(met: DataFrame) -> DataFrame:
 
 
 def proposals(postings: DataFrame) -> DataFrame:
-    """Pairs (a, b) of each node with those few sets it shares most first tokens with, among the tokens' leaders.
+    """Pairs (a, b) of each node with a few sets among the leaders of its first tokens.
 
-    A token's leaders are the set with the most kept tokens for its size and sets picked by the hash of
-    their node, those with a large cap first, so that a group's tokens agree on them.  These are guesses
-    whom to verify first: one order is enough for them.
+    A token's leaders are the sets with the largest ``common`` and with the most kept tokens for their size, and
+    sets picked by the hash of their node, those with a large cap first, so that a group's tokens agree on them.
+    Of its tokens' leaders a node takes those with the largest ``common`` and those it meets most often.  These are
+    guesses whom to verify first: one order is enough for them.
     """
     share = F.col("cap") / F.col("size")
-    weights = [share, *((share >= 1.2).cast("int") + (share >= 1).cast("int") + F.pmod(F.xxhash64("node", F.lit(k)), F.lit(2**30)) / 2.0**30 for k in range(1, LEADERS))]
-    leaders = postings.groupBy("token").agg(F.array(*(F.max(F.struct(w.alias("w"), F.struct("node", "size", "cap").alias("l"))) for w in weights)).alias("x"), F.count("*").alias("sets"))
-    leaders = leaders.where("sets > 1").select("token", F.array_distinct(F.transform("x", lambda e: e["l"])).alias("x"))
+    picked = [(share >= 1.2).cast("int") + (share >= 1).cast("int") + F.pmod(F.xxhash64("node", F.lit(k)), F.lit(2**30)) / 2.0**30 for k in range(2, LEADERS)]
+    best = [F.max(F.struct(w.alias("w"), F.struct("node", "size", "cap", "common").alias("l"))) for w in (F.col("common").cast("double"), share, *picked)]
+    leaders = postings.groupBy("token").agg(F.array(*best).alias("x"), F.count("*").alias("sets"))
+    leaders = leaders.where("sets > 1").select("token", F.array_distinct(F.transform("x", lambda e: F.struct(e["l"]["node"].alias("node"), e["l"]["size"].alias("size"), e["l"]["cap"].alias("cap"), e["l"]["common"].alias("common")))).alias("x"))
     met = postings.join(leaders, "token").select("node", "size", "cap", F.explode("x").alias("l")).where("node <> l.node and size <= l.cap and l.size <= cap")
-    shared = met.groupBy(F.col("node").alias("a"), F.col("l.node").alias("b")).agg(F.count("*").alias("n"))
-    rank = F.row_number().over(Window.partitionBy("a").orderBy(F.col("n").desc(), "b"))
-    return shared.withColumn("rank", rank).where(F.col("rank") <= PROPOSALS).select("a", "b")
+    shared = met.groupBy(F.col("node").alias("a"), F.col("l.node").alias("b")).agg(F.count("*").alias("n"), F.max("l.common").alias("common"))
+    rank = lambda first, then: F.row_number().over(Window.partitionBy("a").orderBy(F.col(first).desc(), F.col(then).desc(), "b"))
+    return shared.withColumns({"often": rank("n", "common"), "middle": rank("common", "n")}).where(F.least("often", "middle") <= PROPOSALS).select("a", "b")
 
 
 def _undecided(postings: DataFrame, joined: DataFrame) -> DataFrame:
