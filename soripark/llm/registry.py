@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from soripark.llm import class_ngram, graph_index, jaccard_join, language_id, metric_tree, mixing, piece_encoding, substring_dedup, template_extraction, url_filters
+from soripark.llm import class_ngram, graph_index, jaccard_join, language_id, metric_tree, mixing, periodic_runs, piece_encoding, quality_trees, ranked_search, substring_dedup, template_extraction, url_filters
 
 QUERIES = {
     "op1_language_id": language_id.op1,
@@ -16,6 +16,9 @@ QUERIES = {
     "op8_html_text": template_extraction.op8,
     "op9_jaccard_join": jaccard_join.op9,
     "op10_pieces": piece_encoding.op10,
+    "op11_periodic_runs": periodic_runs.op11,
+    "op12_ranked_search": ranked_search.op12,
+    "op13_quality_trees": quality_trees.op13,
     "pipeline": corpus_pipeline.run,
 }
 
@@ -24,4 +27,5 @@ ORACLES: dict[str, str] = {
     "op4_mixing": mixing.OP4_SQL,
     "op6_substring_dedup": substring_dedup.OP6_SQL,
     "op7_url_filters": url_filters.OP7_SQL,
+    "op12_ranked_search": ranked_search.OP12_SQL,
 }
