@@ -40,9 +40,9 @@ def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
                        frame(F.col("end_ticks") - F.col("ticks")).alias("frame_start"), frame(F.col("end_ticks") - 1).alias("frame_end"), "confidence", "flag", "part", "ticks", "end_ticks", "gap_ticks")
 
 
-def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Frames of 20 ms of the segments and the gaps before them; gaps of some parts are mostly blank."""
-    s = segments(spark, sf_dir)
+def frames(spark: SparkSession, sf_dir: str, segs: DataFrame | None = None) -> DataFrame:
+    """Frames of 20 ms of the segments (``segs``, if they are at hand) and the gaps before them; gaps of some parts are mostly blank."""
+    s = segments(spark, sf_dir) if segs is None else segs
     begin = F.floor((F.col("end_ticks") - F.col("ticks") - F.col("gap_ticks") + FRAME_TICKS - 1) / FRAME_TICKS)
     rows = s.where(begin <= F.col("frame_end")).select("utt_id", "part", (F.col("end_ticks") - F.col("ticks")).alias("start_ticks"), F.explode(F.sequence(begin, F.col("frame_end"))).alias("frame_idx"))
     f, p = F.col("frame_idx"), F.col("part")
@@ -58,9 +58,9 @@ def alignments(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.when(c % 11 != 0, c % 7 != 0).alias("audio_passed"), (60 + c % 40).cast("double").alias("coarse_score"), (c % 5 == 0).alias("is_partial"))
 
 
-def artifacts(spark: SparkSession, sf_dir: str) -> DataFrame:
+def artifacts(spark: SparkSession, sf_dir: str, segs: DataFrame | None = None) -> DataFrame:
     """One nested evaluation record an order: status, gate, forced segments."""
-    of = segments(spark, sf_dir).groupBy("utt_id").agg(
+    of = (segments(spark, sf_dir) if segs is None else segs).groupBy("utt_id").agg(
         F.sort_array(F.collect_list(F.struct("seg_idx", "token", "label", "start_time", "end_time", "confidence"))).alias("segments"), F.min_by("flag", "seg_idx").alias("flag"))
     status = table(spark, sf_dir, "orders").groupBy(F.col("o_orderkey").alias("utt_id")).agg(F.min("o_orderstatus").alias("s"))
     gate = F.struct(F.lit(True).alias("performed"), (F.col("flag") != "R").alias("passed"))

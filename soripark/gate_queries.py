@@ -9,6 +9,7 @@ from soripark import bridge as b
 from soripark import tables as t
 from soripark.operators import frames, quality
 from soripark.queries import _CONF, _SEG, _rounded, _thresholded, query
+from soripark.sources.shared import staged
 
 _FRAMES = """
 fr as (select utt_id, f as frame_idx, (case when f * 200 < end_ticks - ticks then least(99, 55 + 4 * (part % 11) + f % 5) else 10 + 5 * (f % 7) end) / 100 as blank_posterior, ((f * 7 + part) % 20) / 20 as confidence
@@ -40,19 +41,22 @@ ga as (select utt_id, list_filter([case when coverage < 0.90 then 'coverage' end
   case when max_tail_gap <= 0.30 and max_unexplained_internal_gap > 1.20 then 'internal_gap' end], lambda x: x is not null) as x from tm)"""
 
 
-def _timing(spark, d):
-    return quality.timing_summary(_thresholded(spark, d), quality.gap_evidence(b.segments(spark, d), b.frames(spark, d)), b.alignments(spark, d))
+def _timed(spark, d, segs=None):
+    """The timing summary of staged segments (``segs``, if they are at hand)."""
+    segs = staged(b.segments(spark, d), "segments") if segs is None else segs
+    return quality.timing_summary(_thresholded(spark, d, segs), quality.gap_evidence(segs, b.frames(spark, d, segs)), b.alignments(spark, d))
 
 
 @query(f"""with {_SEG}, {_FRAMES} select utt_id, next_idx, is_tail_gap, frame_count, round(blank_mean, 6) as blank_mean, round(blank_dominant_ratio, 6) as blank_dominant_ratio, round(confidence_mean, 6) as confidence_mean,
   round(confidence_low_ratio, 6) as confidence_low_ratio, pause_like from ep""")
 def gap_evidence(spark, d):
-    return _rounded(quality.gap_evidence(b.segments(spark, d), b.frames(spark, d)))
+    segs = staged(b.segments(spark, d), "segments")
+    return _rounded(quality.gap_evidence(segs, b.frames(spark, d, segs)))
 
 
 @query(f"with {_TIMING} select utt_id, {', '.join(f'round({c}, 6) as {c}' for c in _DOUBLES)}, {', '.join(_COUNTS)}, final_very_low, quality_level from tm")
 def timing_summary(spark, d):
-    return _rounded(_timing(spark, d).select("utt_id", *_DOUBLES, *_COUNTS, "final_very_low", "quality_level"))
+    return _rounded(_timed(spark, d).select("utt_id", *_DOUBLES, *_COUNTS, "final_very_low", "quality_level"))
 
 
 @query(f"""with {_SEG}, g as (select utt_id, seg_idx as next_idx, token as next_token, greatest(0.0, start_time - lag(end_time) over w) as gap, lag(end_time) over w as p from s window w as (partition by utt_id order by seg_idx)),
@@ -63,7 +67,7 @@ def top_gaps(spark, d):
 
 @query(f"with {_GATED} select utt_id, len(x) = 0 as passed, array_to_string(x, ',') as reasons from ga")
 def alignment_gate(spark, d):
-    return quality.alignment_gate(_timing(spark, d))
+    return quality.alignment_gate(_timed(spark, d))
 
 
 _SOFT = """sg as (select utt_id, audio_passed, coarse_score >= 75 as raw_coarse_passed, coalesce(len(x) = 0, false) as alignment_passed from al left join ga using (utt_id)),
@@ -78,7 +82,7 @@ def _soft(spark, d, timing):
 
 @query(f"with {_GATED}, {_SOFT} select * from sf")
 def soft_accept_gates(spark, d):
-    return _soft(spark, d, _timing(spark, d))
+    return _soft(spark, d, staged(_timed(spark, d), "timing"))
 
 
 @query(f"""with {_GATED}, {_SOFT}, pt as (select utt_id, token, count(*) as n, count(*) filter (confidence < very_low) as v, count(*) filter (confidence < low) as l, sum(confidence) as c from th group by 1, 2),
@@ -102,9 +106,10 @@ select utt_id, case when u0 = 'full' and (ab or cb or is_partial) then 'cautious
   array_to_string(list_filter([case when gb then 'alignment_gate' end, case when pz then 'pause' end, case when few then 'confidence' end, case when wg > 0 or lg >= 3 or ul > 0 then 'gap' end, case when tl then 'tail' end,
     case when ab then 'audio_quality' end, case when cb then 'coarse_alignment' end, case when is_partial then 'partial_tail' end], lambda x: x is not null), ',') as limited_by from y""")
 def prosody_usage(spark, d):
-    timing = _timing(spark, d)
+    segs = staged(b.segments(spark, d), "segments")
+    timing = staged(_timed(spark, d, segs), "timing")  # read by the scope, the gate and the soft gates
     rows = b.alignments(spark, d).select("utt_id", "evaluation_status", "is_partial").join(timing, "utt_id", "left")
-    rows = rows.join(quality.confidence_issues(_thresholded(spark, d)).select("utt_id", "scope"), "utt_id", "left")
+    rows = rows.join(quality.confidence_issues(_thresholded(spark, d, segs)).select("utt_id", "scope"), "utt_id", "left")
     rows = rows.join(quality.alignment_gate(timing).select("utt_id", F.col("passed").alias("gate_passed")), "utt_id", "left")
     return quality.prosody_usage(rows.join(_soft(spark, d, timing).select("utt_id", "audio_passed", "coarse_passed"), "utt_id", "left"))
 

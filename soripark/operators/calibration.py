@@ -6,8 +6,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from soripark import tables as t
+from soripark.operators.quantiles import quantiles
+from soripark.sources.shared import staged
 
 QUANTILES = {"p05": 0.05, "p10": 0.10, "p20": 0.20, "p25": 0.25, "p50": 0.50, "p75": 0.75, "p90": 0.90}
+#: Different (token, confidence) pairs up to which one task takes a group's quantiles.
+MOST_VALUES = 200_000
+#: Tokens of a calibration table that is sent to every task.
+BROADCAST_TOKENS = 100_000
 
 
 def token_confidences(artifacts: DataFrame, status: str = "ready", need_gate: bool = True) -> DataFrame:
@@ -19,23 +25,32 @@ def token_confidences(artifacts: DataFrame, status: str = "ready", need_gate: bo
     return seg.where((F.col("token") != "") & F.col("confidence").isNotNull())
 
 
-def _statistics() -> list[Column]:
+def _shares(total: Column) -> dict[str, Column]:
+    """Mean and low rates over counted values (confidence, n)."""
     n, c = F.col("n"), F.col("confidence")
-    total = F.sum("n")
-    levels = F.percentile(c, F.array(*map(F.lit, QUANTILES.values())), n)
-    share = lambda below: F.sum(F.when(c < below, n).otherwise(0)) / total
-    return [total.alias("count"), (F.sum(c * n) / total).alias("mean"), levels.alias("q"), share(t.VERY_LOW).alias("raw_very_low_rate"), share(t.LOW).alias("raw_low_rate")]
+    below = lambda limit: F.sum(F.when(c < limit, n).otherwise(0)) / total
+    return {"mean": F.sum(c * n) / total, "raw_very_low_rate": below(t.VERY_LOW), "raw_low_rate": below(t.LOW)}
 
 
-def distribution(confidences: DataFrame) -> DataFrame:
+def distribution(confidences: DataFrame, most_values: int = MOST_VALUES) -> DataFrame:
     """Count, mean, quantiles and low rates of each token, and of all (token null), in one pass.
 
     Equal confidences are counted before anything is shuffled by token, so a token
-    with a third of all rows sends as many rows as it has different values.
+    with a third of all rows sends as many rows as it has different values.  Up to ``most_values`` different ones, of all
+    tokens together, quantiles are taken from the counts of a group at once; of more, by ``quantiles``, so that
+    no task holds a token's or all tokens' values.  Both ways are exact.
     """
-    counted = confidences.groupBy("token", "confidence").agg(F.count("*").alias("n"))
-    token = F.col("token")
-    stats = counted.groupingSets([[token], []], token).agg(*_statistics())
+    counted = staged(confidences.groupBy("token", "confidence").agg(F.count("*").alias("n")), "confidences")
+    token, total = F.col("token"), F.sum("n")
+    base = counted.groupingSets([[token], []], token)
+    if counted.count() <= most_values:
+        q = F.percentile(F.col("confidence"), F.array(*map(F.lit, QUANTILES.values())), F.col("n"))
+        stats = base.agg(total.alias("count"), q.alias("q"), *(c.alias(k) for k, c in _shares(total).items()))
+    else:
+        sizes = staged(base.agg(total.alias("count"), *(c.alias(k) for k, c in _shares(total).items())), "confidences")
+        values = counted.select(F.explode(F.array(F.col("token"), F.lit(None).cast("string"))).alias("token"), F.col("confidence").alias("value"), "n")
+        found = quantiles(values, ["token"], list(QUANTILES.values()), sizes).withColumnRenamed("token", "_token")
+        stats = sizes.join(found, F.col("token").eqNullSafe(F.col("_token")))
     return stats.select("token", "count", "mean", F.col("q")[4].alias("median"), *(F.col("q")[i].alias(name) for i, name in enumerate(QUANTILES)), "raw_very_low_rate", "raw_low_rate")
 
 
@@ -52,7 +67,8 @@ def with_thresholds(segments: DataFrame, calibration: DataFrame | None) -> DataF
     if calibration is None:
         return segments.withColumns(raw | {"threshold_source": F.lit("raw_default")})
     known = calibration.select("token", F.col("calibrated_low_threshold").alias("low_threshold"), F.col("calibrated_very_low_threshold").alias("very_low_threshold"), F.lit("token_calibration").alias("threshold_source"))
-    rows = segments.join(known, "token", "left")
+    known = staged(known, "thresholds")
+    rows = segments.join(F.broadcast(known) if known.count() <= BROADCAST_TOKENS else known, "token", "left")
     return rows.withColumns({k: F.coalesce(k, v) for k, v in raw.items()} | {"threshold_source": F.coalesce("threshold_source", F.lit("calibration_global_fallback"))})
 
 

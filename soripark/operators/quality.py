@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from soripark import tables as t
+from soripark.operators.ranges import range_sums
 
 
 def by_utt():
@@ -68,18 +69,25 @@ def gap_evidence(segments: DataFrame, frames: DataFrame) -> DataFrame:
     """What the frames strictly between two neighbours tell of their gap; ``frames``: utt_id, frame_idx, blank_posterior, confidence.
 
     A gap is like a pause with at least three frames between, a mean blank of .70 and .60 of the frames at a blank of .65.
-    Frame numbers between are joined by equality, so a gap costs its own frames only.
+    Sums of a gap are differences of an utterance's running sums, so neither frames nor gaps multiply.
     """
     rows = segments.withColumns({"begin": F.lag("frame_end").over(by_utt()) + 1, "last_idx": F.max("seg_idx").over(Window.partitionBy("utt_id"))}).where("begin is not null")
     n = F.greatest(F.lit(0), F.col("frame_start") - F.col("begin"))
-    g = rows.select("utt_id", F.col("seg_idx").alias("next_idx"), "begin", n.alias("frame_count"), (F.col("seg_idx") >= F.col("last_idx") - 1).alias("is_tail_gap"))
-    between = g.where("frame_count > 0").select("utt_id", "next_idx", F.explode(F.sequence("begin", F.col("begin") + F.col("frame_count") - 1)).alias("frame_idx"))
-    share = lambda condition: F.count_if(condition) / F.count("*")
-    seen = between.join(frames, ["utt_id", "frame_idx"]).groupBy("utt_id", "next_idx").agg(
-        F.avg("blank_posterior").alias("blank_mean"), share(F.col("blank_posterior") >= 0.65).alias("blank_dominant_ratio"),
-        F.avg("confidence").alias("confidence_mean"), share(F.col("confidence") < 0.35).alias("confidence_low_ratio"))
-    pause = (F.col("frame_count") >= 3) & (F.col("blank_mean") >= 0.70) & (F.col("blank_dominant_ratio") >= 0.60)
-    return g.join(seen, ["utt_id", "next_idx"], "left").withColumn("pause_like", F.coalesce(pause, F.lit(False))).drop("begin")
+    g = rows.select("utt_id", F.struct(F.col("seg_idx").alias("next_idx"), n.alias("frame_count"), (F.col("seg_idx") >= F.col("last_idx") - 1).alias("is_tail_gap")).alias("gap"), "begin", (F.col("begin") + n).alias("end"))
+    blank, sure = F.col("blank_posterior"), F.col("confidence")
+    seen = range_sums(frames, g, ["utt_id"], "frame_idx", ["gap"], {"b": _fixed(blank), "bd": (blank >= 0.65).cast("long"), "c": _fixed(sure), "cl": (sure < 0.35).cast("long")}, "begin", "end")
+    mean = lambda c, unit=1.0: F.when(F.col("n_points") > 0, F.col(c) / unit / F.col("n_points"))
+    out = seen.select("utt_id", "gap.*", mean("b", _UNIT).alias("blank_mean"), mean("bd").alias("blank_dominant_ratio"), mean("c", _UNIT).alias("confidence_mean"), mean("cl").alias("confidence_low_ratio"))
+    pause = (F.col("frame_count") >= 3) & (F.round("blank_mean", 9) >= 0.70) & (F.col("blank_dominant_ratio") >= 0.60)
+    return out.select("utt_id", "next_idx", "frame_count", "is_tail_gap", "blank_mean", "blank_dominant_ratio", "confidence_mean", "confidence_low_ratio", F.coalesce(pause, F.lit(False)).alias("pause_like"))
+
+
+_UNIT = 1e12
+
+
+def _fixed(value: Column) -> Column:
+    """A posterior in whole millionths of a millionth, so that running sums of it are exact and their order decides nothing."""
+    return F.round(value * _UNIT).cast("long")
 
 
 def timing_summary(segments: DataFrame, evidence: DataFrame | None = None, alignments: DataFrame | None = None) -> DataFrame:

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from soripark import bridge as b
 from soripark import tables as t
 from soripark.functions import hangul as h
-from soripark.operators import alignment, calibration, catalogue, distributions, frames, prosody, quality
+from soripark.operators import alignment, calibration, catalogue, distributions, frames, prosody, quality, quantiles
+from soripark.sources.shared import staged
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -49,12 +50,14 @@ th as (select s.*, coalesce(calibrated_low_threshold, 0.20) as low, coalesce(cal
 _STATS = "token, count, " + ", ".join(f"round({c}, 6) as {c}" for c in ("mean", "median", "p05", "p10", "p20", "p25", "p50", "p75", "p90", "raw_very_low_rate", "raw_low_rate"))
 
 
-def _stats(spark: SparkSession, d: str) -> DataFrame:
-    return calibration.distribution(calibration.token_confidences(b.artifacts(spark, d)))
+def _stats(spark: SparkSession, d: str, segs: DataFrame | None = None) -> DataFrame:
+    return calibration.distribution(calibration.token_confidences(b.artifacts(spark, d, segs)))
 
 
-def _thresholded(spark: SparkSession, d: str) -> DataFrame:
-    return calibration.with_thresholds(b.segments(spark, d), calibration.thresholds(_stats(spark, d)))
+def _thresholded(spark: SparkSession, d: str, segs: DataFrame | None = None) -> DataFrame:
+    """Segments with their thresholds; ``segs`` are read twice, so they are staged where they are not at hand."""
+    segs = staged(b.segments(spark, d), "segments") if segs is None else segs
+    return calibration.with_thresholds(segs, calibration.thresholds(_stats(spark, d, segs)))
 
 
 @query(f"with {_CONF} select {_STATS} from d")
@@ -62,6 +65,18 @@ def calibration_distribution(spark, d):
     return _rounded(_stats(spark, d))
 
 
+@query("""select event_type, count(*)::bigint as count, round(quantile_cont(value, 0.05), 6) as p05, round(quantile_cont(value, 0.25), 6) as p25, round(quantile_cont(value, 0.5), 6) as p50, round(quantile_cont(value, 0.9), 6) as p90
+from events where value is not null group by grouping sets ((event_type), ())""")
+def value_quantiles(spark, d):
+    """Quantiles of continuous values by nested histograms, each event type's and all types' (null)."""
+    counted = b.table(spark, d, "events").where("value is not null").groupBy("event_type", "value").agg(F.count("*").alias("n"))
+    values = counted.select(F.explode(F.array(F.col("event_type"), F.lit(None).cast("string"))).alias("event_type"), "value", "n")
+    sizes = counted.groupingSets([["event_type"], []], F.col("event_type")).agg(F.sum("n").alias("count"))
+    found = quantiles.quantiles(values, ["event_type"], [0.05, 0.25, 0.5, 0.9], sizes).withColumnRenamed("event_type", "_type")
+    rows = sizes.join(found, F.col("event_type").eqNullSafe(F.col("_type")))
+    return _rounded(rows.select("event_type", "count", *(F.col("q")[i].alias(k) for i, k in enumerate(("p05", "p25", "p50", "p90")))))
+
+
 @query(f"with {_CONF} select {_STATS}, round(calibrated_very_low_threshold, 6) as calibrated_very_low_threshold, round(calibrated_low_threshold, 6) as calibrated_low_threshold from k")
 def calibrated_thresholds(spark, d):
     return _rounded(calibration.thresholds(_stats(spark, d)))
