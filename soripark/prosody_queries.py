@@ -6,8 +6,9 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from soripark import bridge as b
-from soripark.operators import comparison, distributions, prosody, spans
+from soripark.operators import comparison, distributions, prosody, ranges, spans
 from soripark.queries import _F0, _PAIRED, _SEG, _VEC, _WORDS, _paired, _pitch, _rounded, query
+from soripark.sources.shared import staged
 
 _POSITIONS = ["onset", "nucleus", "coda", "onset", "nucleus", "other"]
 _TEXTS = ["가나 다", "가 12 나다", "나", "가나다 라 마바 사"]
@@ -144,22 +145,27 @@ def cmvn(spark, d):
 # comparison
 
 
-def _sides(spark, d, value: str = "f0_filled"):
-    """Frames of an odd user (learner) and of the even one before it (native) under the odd one's id."""
+def _sides(spark, d, *values: str):
+    """Frames of an odd user (learner) and of the even one before it (native) under the odd one's id, with each of ``values`` (the pitch, if none); staged, as each side is read more than once."""
     rows = prosody.interpolated(_pitch(spark, d))
-    if value == "delta":
+    if "delta" in values:
         rows = rows.join(comparison.delta_f0(rows), ["utt_id", "frame_idx"])
-    rows = rows.select("utt_id", F.col("frame_idx").cast("int").alias("idx"), "t", F.col(value).alias("v"), F.col("f0_filled").alias("f0"), "voiced")
-    learner = rows.where("utt_id % 2 = 1")
-    native = rows.where("utt_id % 2 = 0").withColumn("utt_id", F.col("utt_id") + 1)
-    both = learner.select("utt_id").distinct().join(native.select("utt_id").distinct(), "utt_id")
-    return native.join(both, "utt_id", "left_semi"), learner.join(both, "utt_id", "left_semi")
+    rows = rows.select("utt_id", F.col("frame_idx").cast("int").alias("idx"), "t", *{"f0_filled": 0} | dict.fromkeys(values), "voiced").withColumn("_native", F.col("utt_id") % 2 == 0)
+    pair = rows.withColumn("utt_id", F.col("utt_id") + F.col("_native").cast("int"))
+    both = F.count_if("_native").over(Window.partitionBy("utt_id")) * F.count_if(~F.col("_native")).over(Window.partitionBy("utt_id")) > 0
+    pair = staged(pair.withColumn("_both", both).where("_both").drop("_both").withColumn("f0", F.col("f0_filled")), "sides")
+    return tuple(pair.where(side).drop("_native") for side in (F.col("_native"), ~F.col("_native")))
+
+
+def _valued(sides, value: str = "f0_filled"):
+    """Both sides with one value as v."""
+    return tuple(side.withColumn("v", F.col(value)) for side in sides)
 
 
 @query()
 def dtw_align(spark, d):
     """Pitch of a learner warped on the native one's: mean squared difference and voiced steps of each path."""
-    native, learner = _sides(spark, d)
+    native, learner = _valued(_sides(spark, d))
     rows = comparison.warped(comparison.dtw_paths(native, learner, ["utt_id"]), native, learner, ["utt_id"])
     return _rounded(rows.groupBy("utt_id").agg(F.count("*").alias("steps"), F.count_if("voiced").alias("voiced_steps"), F.avg(F.pow(F.col("native") - F.col("learner"), 2)).alias("mean_square")))
 
@@ -167,10 +173,10 @@ def dtw_align(spark, d):
 @query()
 def lens_views(spark, d):
     """Words of eight frames under both aligners, pitch and its velocity."""
-    out = None
+    sides, out = _sides(spark, d, "f0_filled", "delta"), None
     for feature in ("f0_filled", "delta"):
         word = lambda df: df.withColumns({"eojeol_idx": F.floor(F.col("idx") / 8).cast("int"), "idx": F.col("idx") % 8})
-        native, learner = map(word, _sides(spark, d, feature))
+        native, learner = map(word, _valued(sides, feature))
         by = ["utt_id", "eojeol_idx"]
         for aligner, pairs in (("none", comparison.evenly_paired(native, learner, by)), ("dtw", comparison.warped(comparison.dtw_paths(native, learner, by), native, learner, by))):
             metrics = prosody.contour_metrics(pairs.withColumn("x", F.col("step")), by)
@@ -180,10 +186,10 @@ def lens_views(spark, d):
 
 
 def _shape_records(spark, d):
-    native, learner = _sides(spark, d, "delta")
+    native, learner = _valued(_sides(spark, d, "delta"), "delta")
     by = ["utt_id"]
     whole = learner.groupBy("utt_id").agg(F.min("t").alias("t0"), F.max("t").alias("t1"))
-    paths = comparison.dtw_paths(native, learner, by, 3)
+    paths = staged(comparison.dtw_paths(native, learner, by, 3), "paths")
     return comparison.shape_records(comparison.shape_windows(paths, native, learner, whole, by), by)
 
 
@@ -194,6 +200,50 @@ def pitch_shape_records(spark, d):
     return _rounded(rows.select("utt_id", "rule_label", "severity", "value", F.size("windows").alias("n_windows"), comparison.window_bucket(F.col("windows")).alias("bucket")))
 
 
+_SUNG = f"""{_F0}, sy as (select utt_id, frame_idx // 6 as syl_idx, min(t) as t0, max(t) + 0.005::double as t1 from z group by 1, 2), n as (select utt_id, count(*) as n, string_split(({_listed(_TEXTS)})[(utt_id - utt_id % 2) % 4 + 1], ' ') as w from sy group by utt_id),
+  x as (select utt_id, n, w, unnest(range(0, len(w))) as k from n), y as (select *, len(regexp_extract_all(w[k + 1], '[가-힣]')) as h from x),
+  v as (select *, sum(h) over (partition by utt_id order by k) - h as a, len(w) - 1 as last from y), r as (select *, case when k = last then n else least(n, a + h) end as e from v),
+  g as (select r.utt_id, k, min_by(t0, syl_idx) as t0, max_by(t1, syl_idx) as t1 from r join sy on sy.utt_id = r.utt_id and syl_idx >= a and syl_idx < e group by r.utt_id, k),
+  sp as (select utt_id, (row_number() over (partition by utt_id order by k) - 1)::int as eojeol_idx, t0, t1 from g)"""
+
+
+def _sung_words(spark, d):
+    """Pitch frames and word spans of each user: six frames stand for a syllable, and the words of a text, which a pair of users shares, take as many syllables as they have letters."""
+    frames = staged(_pitch(spark, d), "pitch")
+    syllables = frames.groupBy("utt_id", F.floor(F.col("frame_idx") / 6).cast("int").alias("syl_idx")).agg(F.min("t").alias("t0"), (F.max("t") + F.lit(0.005)).alias("t1"))
+    text = F.get(F.array(*map(F.lit, _TEXTS)), ((F.col("utt_id") - F.col("utt_id") % 2) % 4).cast("int"))
+    return frames, spans.word_spans(syllables, syllables.select("utt_id").distinct().withColumn("text", text))
+
+
+@query(f"""with {_SUNG}, m as (select sp.utt_id, eojeol_idx, avg(f0) filter (voiced) as mean from sp join z on z.utt_id = sp.utt_id and t >= t0 and t < t1 group by 1, 2),
+p as (select l.utt_id, l.eojeol_idx, round(l.mean - n.mean, 9) as value from m l join m n on l.utt_id = n.utt_id + 1 and l.utt_id % 2 = 1 and l.eojeol_idx = n.eojeol_idx)
+select utt_id, eojeol_idx, 'pitch_offset' as rule_label, round(value, 6) as value, case when abs(value) >= 1.6 then 'major' else 'minor' end as severity from p where abs(value) >= 0.8""")
+def word_pitch_offset(spark, d):
+    """Mean pitch of the words of a text, by their spans."""
+    frames, words = _sung_words(spark, d)
+    means = ranges.span_means(frames, words, ["utt_id"], "t", ["eojeol_idx"], "f0", "voiced").select("utt_id", "eojeol_idx", F.round("mean", 10).alias("mean"))
+    native = means.where("utt_id % 2 = 0").select((F.col("utt_id") + 1).alias("utt_id"), "eojeol_idx", F.col("mean").alias("native_mean"))
+    learner = means.where("utt_id % 2 = 1").withColumnRenamed("mean", "learner_mean")
+    return _rounded(prosody.pitch_offset(learner.join(native, ["utt_id", "eojeol_idx"])))
+
+
+@query()
+def word_shape_records(spark, d):
+    """Pitch shapes of the words of a text: each word's frames by its span, warped on the native word's, and compared window by window."""
+    frames, words = _sung_words(spark, d)
+    rows = prosody.interpolated(frames)
+    rows = rows.join(comparison.delta_f0(rows), ["utt_id", "frame_idx"])
+    inside = spans.slice_frames(rows, words.select("utt_id", "eojeol_idx", "t0", "t1"))
+    place = F.row_number().over(Window.partitionBy("utt_id", "eojeol_idx").orderBy("frame_idx")) - 1
+    inside = staged(inside.select("utt_id", "eojeol_idx", place.alias("idx"), "t", F.col("delta").alias("v"), "voiced"), "words")
+    by = ["utt_id", "eojeol_idx"]
+    learner = inside.where("utt_id % 2 = 1")
+    native = inside.where("utt_id % 2 = 0").withColumn("utt_id", F.col("utt_id") + 1)
+    paths = staged(comparison.dtw_paths(native, learner, by, 3), "paths")
+    out = comparison.shape_records(comparison.shape_windows(paths, native, learner, words.where("utt_id % 2 = 1").select(*by, "t0", "t1"), by), by)
+    return _rounded(out.select(*by, "rule_label", "severity", "value", F.size("windows").alias("n_windows"), comparison.window_bucket(F.col("windows")).alias("bucket")))
+
+
 _RECORDS = f"""{_F0}, {_WORDS}, {_PAIRED},
 rc as (select utt_id, eojeol_idx, 'pitch_offset' as rule_label, learner_mean - native_mean as value, case when abs(learner_mean - native_mean) >= 1.6 then 'major' else 'minor' end as severity, 3 as o from pr where abs(learner_mean - native_mean) >= 0.8
   union all select utt_id, eojeol_idx, 'eojeol_slow', learner_duration / native_duration, case when learner_duration / native_duration >= 5.0 then 'major' else 'minor' end, 4 from pr where abs(learner_duration / native_duration - 1) >= 1.5),
