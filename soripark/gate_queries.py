@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from soripark import bridge as b
 from soripark import tables as t
-from soripark.operators import frames, quality
+from soripark.operators import calibration, frames, quality
 from soripark.queries import _CONF, _SEG, _rounded, _thresholded, query
 from soripark.sources.shared import staged
 
@@ -171,3 +171,71 @@ def frame_energy(spark, d):
     samples = b.table(spark, d, "events").select(F.col("user_id").alias("utt_id"), idx.alias("idx"), F.col("value").alias("x"))
     counts = samples.groupBy("utt_id").agg(F.greatest(F.lit(1), F.floor(F.count("*") / 5)).alias("frame_count"))
     return _rounded(frames.frame_energy(samples, counts))
+
+
+def _spoken(spark, d):
+    """Emissions in which the best label of a frame is clear and every third stretch of sixteen frames is blank, as in a pause, with an energy from the first value."""
+    em = b.emissions(spark, d)
+    quiet = F.floor(F.col("frame_idx") / 16) % 3 == 1
+    top = F.array_max("logits")
+    logits = F.transform("logits", lambda x, i: F.when(quiet & (i == 0), top + 8).when(~quiet & (x == top), x + 5).otherwise(x))
+    energy = F.when(quiet, F.lit(0.004) * (F.col("frame_idx") % 4)).otherwise(F.abs(F.get("logits", F.lit(1))) / 10)
+    return em.select("utt_id", "frame_idx", logits.alias("logits"), energy.alias("energy"))
+
+
+def _read_labels(em):
+    """Labels of the greedy reading; of every other utterance two labels more, which nobody said."""
+    odd = F.array(F.lit(7), F.lit(9))
+    return frames.greedy_decode(em).select("utt_id", F.when(F.floor(F.col("utt_id") / 1_000_000) % 2 == 1, F.concat("labels", odd)).otherwise(F.col("labels")).alias("labels"))
+
+
+_WEAK = [i for i in range(64) if b.TOKENS[i % 40] in t.WEAK_TOKENS]
+_SPOKEN = """
+e0 as (select label::bigint * 1000000 + vec_id // 2000 as utt_id, row_number() over (partition by label, vec_id // 2000 order by vec_id) - 1 as frame_idx, list_transform(embedding, lambda x: x::double * 10) as l0 from embeddings),
+e1 as (select utt_id, frame_idx, case when frame_idx // 16 % 3 = 1 then list_concat([list_max(l0) + 8], l0[2:]) else list_transform(l0, lambda x: case when x = list_max(l0) then x + 5 else x end) end as l, case when frame_idx // 16 % 3 = 1 then 0.004 * (frame_idx % 4) else abs(l0[2]) / 10 end::double as energy from e0),
+e2 as (select *, 1 / list_sum(list_transform(l, lambda x: exp(x - list_max(l)))) as confidence, exp(l[1] - list_max(l)) / list_sum(list_transform(l, lambda x: exp(x - list_max(l)))) as blank, list_position(l, list_max(l)) - 1 as best from e1),
+e3 as (select utt_id, quantile_cont(energy, 0.95) filter (energy > 0) as p95 from e2 group by 1),
+pm as (select e2.utt_id, frame_idx, best, blank >= 0.85 and confidence >= 0.70 and (energy is null or energy <= greatest(0.01, 0.15 * coalesce(p95, 0))) as is_pause from e2 join e3 using (utt_id))"""
+
+
+@query(f"with {_SPOKEN} select utt_id, frame_idx, is_pause from pm")
+def pause_mask(spark, d):
+    return frames.pause_mask(frames.frame_scores(_spoken(spark, d))).select("utt_id", "frame_idx", "is_pause")
+
+
+@query(f"""with {_SPOKEN}, lb as (select utt_id, count(*) filter (best <> 0 and best is distinct from b) + case when utt_id // 1000000 % 2 = 1 then 2 else 0 end as labels from (select *, lag(best) over (partition by utt_id order by frame_idx) as b from pm) group by 1),
+n as (select *, case when lag(is_pause) over w is distinct from is_pause then 1 else 0 end as nw from pm window w as (partition by utt_id order by frame_idx)), r as (select *, sum(nw) over (partition by utt_id order by frame_idx) as run from n),
+a as (select *, row_number() over (partition by utt_id, run order by frame_idx) as at_, count(*) over (partition by utt_id, run) as size from r), k as (select *, not is_pause or size < 8 or at_ <= 2 or at_ > size - 2 as keep from a),
+l as (select *, count(*) filter (keep) over (partition by utt_id) as left_ from k)
+select l.utt_id, frame_idx, row_number() over (partition by l.utt_id order by frame_idx) - 1 as place from l join lb using (utt_id) where keep or left_ < greatest(1, labels)""")
+def frames_without_pauses(spark, d):
+    """The frames that alignment sees and their numbers in the whole utterance; least frames by each utterance's labels."""
+    em = _spoken(spark, d)
+    masked = frames.pause_mask(frames.frame_scores(em)).join(_read_labels(em).select("utt_id", F.size("labels").alias("n_labels")), "utt_id")
+    kept = frames.compress_pauses(masked, n_labels=F.col("n_labels"))
+    return kept.select("utt_id", "frame_idx", (F.row_number().over(frames.by_frame()) - 1).alias("place"))
+
+
+def _times(em):
+    """All frames' times, 20 ms each."""
+    n = em.groupBy("utt_id").agg(F.count("*").cast("int").alias("n_frames"))
+    return n.withColumn("timestamps", F.transform(F.sequence(F.lit(0), F.col("n_frames")), lambda i: i * F.lit(0.02)))
+
+
+@query()
+def segments_through_pauses(spark, d):
+    """Labels aligned on frames without long pauses; borders and times in the frames of the whole utterance."""
+    em = staged(_spoken(spark, d), "emissions")
+    aligned = staged(frames.align_without_pauses(em, _read_labels(em), weak=_WEAK), "aligned")
+    return _rounded(frames.forced_segments(aligned, _times(em)).drop("trim"))
+
+
+@query()
+def tail_realigned(spark, d):
+    """Each utterance aligned whole and without its last one and two labels, all three judged by the gate, and the one to go on with."""
+    em = staged(_spoken(spark, d), "emissions")
+    aligned = staged(frames.align_without_pauses(em, _read_labels(em), weak=_WEAK, most=t.TAIL_MAX_TRIM), "aligned")
+    token = F.get(F.array(*map(F.lit, b.TOKENS)), F.col("label") % 40)
+    segments = calibration.with_thresholds(frames.forced_segments(aligned, _times(em)).withColumn("token", token), None)
+    attempts = quality.judged_attempts(staged(segments, "segments"), frames.frame_scores(em), aligned)
+    return _rounded(quality.retried(staged(attempts, "attempts")).select("utt_id", "trim", "passed", "reasons", "quality_level", "segment_count", "avg_confidence", "coverage", "normalized_log_prob", "max_tail_gap"))

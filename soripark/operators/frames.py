@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from soripark import kernels
+from soripark import tables as t
 
 
 def by_frame():
@@ -37,12 +38,6 @@ def greedy_decode(emissions: DataFrame, blank: int = 0) -> DataFrame:
     return emissions.select("utt_id").distinct().join(out, "utt_id", "left").withColumn("labels", F.coalesce("labels", F.array().cast("array<int>")))
 
 
-def frame_times(frames: DataFrame, duration: float) -> DataFrame:
-    """Start and end of each of an utterance's frames that share ``duration`` seconds."""
-    n = F.count("*").over(Window.partitionBy("utt_id"))
-    return frames.withColumns({"start_time": F.col("frame_idx") * duration / n, "end_time": (F.col("frame_idx") + 1) * duration / n})
-
-
 def frame_boundaries(timestamps: Column, n: Column) -> Column:
     """n + 1 boundaries of n frames from the given times: the first n + 1; of n times the last one's length in equal parts;
     fewer ones go on by their first step (0.02 s if there is one only); none: whole numbers; no frame: 0.0.
@@ -96,61 +91,112 @@ def pause_mask(scored: DataFrame) -> DataFrame:
     return scored.join(loud, "utt_id", "left").withColumn("is_pause", (F.col("blank_posterior") >= 0.85) & (F.col("confidence") >= 0.70) & quiet).drop("p95")
 
 
-def compress_pauses(frames: DataFrame, least: int = 8, edge: int = 2, n_labels: int = 1) -> DataFrame:
-    """Frames left when pauses of ``least`` frames keep ``edge`` at each end; an utterance with fewer than n_labels left stays whole."""
+def compress_pauses(frames: DataFrame, least: int = 8, edge: int = 2, n_labels: int | Column = 1) -> DataFrame:
+    """Frames left, under their own numbers, when pauses of ``least`` frames keep ``edge`` at each end.
+
+    An utterance with fewer than ``n_labels`` frames left (a number, or a column of ``frames`` that holds each utterance's) stays whole.
+    """
+    labels = F.lit(n_labels) if isinstance(n_labels, int) else n_labels
     before = F.lag("is_pause").over(by_frame())
     rows = frames.withColumn("_new", F.when(before.isNull() | (before != F.col("is_pause")), 1).otherwise(0)).withColumn("_run", F.sum("_new").over(by_frame()))
     run = Window.partitionBy("utt_id", "_run")
     rows = rows.withColumns({"_at": F.row_number().over(run.orderBy("frame_idx")), "_size": F.count("*").over(run)})
     keep = ~F.col("is_pause") | (F.col("_size") < least) | (F.col("_at") <= edge) | (F.col("_at") > F.col("_size") - edge)
     rows = rows.withColumn("_keep", keep).withColumn("_left", F.count_if("_keep").over(Window.partitionBy("utt_id")))
-    return rows.where(F.col("_keep") | (F.col("_left") < max(1, n_labels))).drop("_new", "_run", "_at", "_size", "_keep", "_left")
+    return rows.where(F.col("_keep") | (F.col("_left") < F.greatest(F.lit(1), F.coalesce(labels, F.lit(1))))).drop("_new", "_run", "_at", "_size", "_keep", "_left")
 
 
-ALIGNED = "utt_id long, frames int, labels int, log_prob double, normalized_log_prob double, avg_confidence double, coverage double, blank_ratio double, segments array<struct<label: int, first: int, last: int, confidence: double>>, error string"
+_SEGMENT = "struct<label: int, first: int, last: int, confidence: double>"
+ALIGNED = f"utt_id long, trim int, frames int, labels int, log_prob double, normalized_log_prob double, avg_confidence double, coverage double, blank_ratio double, segments array<{_SEGMENT}>, error string"
 
 
-def force_align(emissions: DataFrame, targets: DataFrame, blank: int = 0, weak: Iterable[int] = ()) -> DataFrame:
-    """Each utterance's labels on its frames: best path, first and last frame and path confidence of each label.
+def _confidence(own: np.ndarray, near: np.ndarray | None, weak: bool) -> float:
+    """Mean of a label's own frames, raised by the posterior around them: by its peak where the evidence is weak or short."""
+    value = float(own.mean())
+    if near is not None:
+        best = float(np.sort(near)[::-1][:3].mean())
+        value = max(value, best, 0.85 * float(near.max())) if weak or len(own) <= 2 else max(value, 0.75 * value + 0.25 * best)
+    return min(1.0, max(0.0, value))
 
-    Labels in ``weak`` (those of ``tables.WEAK_TOKENS``) and of one or two frames take the peak of their posterior
-    near them into account.  ``targets``: utt_id, labels.  Too few frames, no labels or a blank among them: a row with ``error``.
+
+def _align(logits: np.ndarray, places: np.ndarray, labels: np.ndarray, blank: int, weak: frozenset[int], trims: tuple[int, ...]) -> list[dict]:
+    """One row a trim; ``places`` are the numbers of the frames at hand among all the utterance's frames."""
+    top = logits.max(1, keepdims=True)
+    log_probs = logits - top - np.log(np.exp(logits - top).sum(1, keepdims=True))
+    trellis, out = kernels.Trellis(log_probs, labels, blank), []
+    paths = trellis.best_paths(trims)
+    spans = [[(int(np.searchsorted(path, 2 * k + 1)), int(np.searchsorted(path, 2 * k + 1, "right"))) for k in range(len(labels) - trim)] if len(path) else [] for (path, _), trim in zip(paths, trims)]
+    posteriors = trellis.posteriors([[(max(0, a - 2), min(len(logits), b + 2)) for a, b in of] for of in spans], trims)
+    for trim, (path, score), of, near in zip(trims, paths, spans, posteriors):
+        row = {"trim": trim, "frames": len(logits), "labels": len(labels) - trim, "error": None, "segments": []}
+        if not len(path):
+            out.append(row | {"error": "no path", "coverage": 0.0})
+            continue
+        for k, (a, b) in enumerate(of):
+            value = _confidence(np.exp(log_probs[a:b, labels[k]]), near[k] if near is not None else None, int(labels[k]) in weak)
+            row["segments"].append({"label": int(labels[k]), "first": int(places[a]), "last": int(places[b - 1]), "confidence": value})
+        out.append(row | {"log_prob": score, "normalized_log_prob": score / len(path), "avg_confidence": float(np.mean([x["confidence"] for x in row["segments"]])),
+                          "coverage": len({p for p in path.tolist() if p % 2}) / (len(labels) - trim), "blank_ratio": float((path % 2 == 0).mean())})
+    return out
+
+
+def align_tails(emissions: DataFrame, targets: DataFrame, blank: int = 0, weak: Iterable[int] = (), most: int = t.TAIL_MAX_TRIM) -> DataFrame:
+    """Each utterance's labels on its frames, and the labels without their last 1..``most`` (one stays), a row a trim, all from one trellis.
+
+    ``emissions``: utt_id, frame_idx, logits; numbers may be missing where pauses were cut, and first and last frames
+    are given in them.  ``targets``: utt_id, labels.  Labels in ``weak`` (those of ``tables.WEAK_TOKENS``) and of one or two frames
+    take the peak of their posterior near them into account.  No frames, no labels, a blank or an unknown number among
+    them, fewer frames than labels, no path: a row with ``error``.
     """
     weak_ids = frozenset(weak)
 
     def run(key, frames: pd.DataFrame, target: pd.DataFrame) -> pd.DataFrame:
-        if not len(target) or not len(frames):
-            return pd.DataFrame(columns=["utt_id"])
+        columns = [c.split()[0] for c in ("utt_id", "trim", "frames", "labels", "log_prob", "normalized_log_prob", "avg_confidence", "coverage", "blank_ratio", "segments", "error")]
+        if not len(target):
+            return pd.DataFrame(columns=columns)
         labels = np.array(list(target["labels"].iloc[0] if target["labels"].iloc[0] is not None else []), int)
-        logits = np.stack(frames.sort_values("frame_idx")["logits"].to_numpy())
-        row = {"utt_id": key[0], "frames": len(logits), "labels": len(labels), "error": None}
-        if not len(labels) or blank in labels or len(labels) > len(logits):
-            return pd.DataFrame([row | {"error": "no labels" if not len(labels) else "blank label" if blank in labels else "too few frames", "segments": []}])
-        top = logits.max(1, keepdims=True)
-        log_probs = logits - top - np.log(np.exp(logits - top).sum(1, keepdims=True))
-        path, score = kernels.ctc_viterbi(log_probs, labels, blank)
-        if not len(path):
-            return pd.DataFrame([row | {"error": "no path", "segments": [], "coverage": 0.0}])
-        posterior = kernels.ctc_posteriors(log_probs, labels, blank)
-        segments = []
-        for k in range(len(labels)):
-            at = np.flatnonzero(path == 2 * k + 1)
-            own = np.exp(log_probs[at, labels[k]])
-            value = float(own.mean())
-            if posterior is not None:
-                near = posterior[max(0, at[0] - 2) : at[-1] + 3, 2 * k + 1]
-                best = float(np.sort(near)[::-1][:3].mean())
-                short = int(labels[k]) in weak_ids or len(at) <= 2
-                value = max(value, best, 0.85 * float(near.max())) if short else max(value, 0.75 * value + 0.25 * best)
-            segments.append({"label": int(labels[k]), "first": int(at[0]), "last": int(at[-1]), "confidence": min(1.0, max(0.0, value))})
-        return pd.DataFrame([row | {"log_prob": score, "normalized_log_prob": score / len(path), "avg_confidence": float(np.mean([s["confidence"] for s in segments])),
-                                    "coverage": len({p for p in path if p % 2}) / len(labels), "blank_ratio": float((path % 2 == 0).mean()), "segments": segments}])
-
-    def whole(key, frames, target):
-        return run(key, frames, target).reindex(columns=[c.split()[0] for c in ("utt_id", "frames", "labels", "log_prob", "normalized_log_prob", "avg_confidence", "coverage", "blank_ratio", "segments", "error")])
+        frames = frames.sort_values("frame_idx")
+        width = len(frames["logits"].iloc[0]) if len(frames) else 0
+        checks = {"no labels": not len(labels), "no frames": not len(frames), "blank label": blank in labels, "unknown label": bool(len(labels)) and not (0 <= labels.min() and labels.max() < width), "too few frames": len(labels) > len(frames)}
+        wrong = next((name for name, bad in checks.items() if bad), None)
+        if wrong:
+            rows = [{"trim": 0, "frames": len(frames), "labels": len(labels), "error": wrong, "segments": []}]
+        else:
+            rows = _align(np.stack(frames["logits"].to_numpy()), frames["frame_idx"].to_numpy(), labels, blank, weak_ids, tuple(range(min(most, len(labels) - 1) + 1)))
+        return pd.DataFrame(rows).assign(utt_id=key[0]).reindex(columns=columns)
 
     named = lambda df, *columns: df.select(F.col("utt_id").cast("long").alias("utt_id"), *columns).groupBy("utt_id")
-    return named(emissions, "frame_idx", "logits").cogroup(named(targets, "labels")).applyInPandas(whole, ALIGNED)
+    return named(emissions, "frame_idx", "logits").cogroup(named(targets, "labels")).applyInPandas(run, ALIGNED)
+
+
+def force_align(emissions: DataFrame, targets: DataFrame, blank: int = 0, weak: Iterable[int] = ()) -> DataFrame:
+    """``align_tails`` of the whole labels only."""
+    return align_tails(emissions, targets, blank, weak, 0).drop("trim")
+
+
+def forced_segments(aligned: DataFrame, times: DataFrame) -> DataFrame:
+    """Rows of ``align_tails`` as segments: utt_id, trim, seg_idx, label, start_time, end_time, frame_start, frame_end, confidence.
+
+    ``times``: utt_id, n_frames (all frames, cut pauses included) and timestamps, of which ``frame_boundaries`` makes the frames' borders.
+    """
+    seen = aligned.select(F.struct("utt_id", "trim").alias("utt_id"), F.posexplode("segments").alias("label_idx", "s"))
+    n = times.select(F.col("utt_id").alias("_utt"), "n_frames", frame_boundaries(F.col("timestamps"), F.col("n_frames")).alias("borders"))
+    seen = seen.join(n, F.col("utt_id.utt_id") == F.col("_utt")).drop("_utt")
+    evidence = seen.select("utt_id", "label_idx", F.col("s.first").alias("first"), F.col("s.last").alias("last"), "n_frames")
+    rows = seen.join(segment_boundaries(evidence), ["utt_id", "label_idx"])
+    border = lambda i: F.get("borders", F.least(i, "n_frames").cast("int"))
+    return rows.select(
+        "utt_id.utt_id", "utt_id.trim", F.col("label_idx").alias("seg_idx"), "s.label", border(F.col("start_frame")).alias("start_time"), border(F.col("end_frame")).alias("end_time"),
+        F.col("start_frame").alias("frame_start"), F.greatest("start_frame", F.col("end_frame") - 1).alias("frame_end"), "s.confidence")
+
+
+def align_without_pauses(emissions: DataFrame, targets: DataFrame, blank: int = 0, weak: Iterable[int] = (), most: int = 0) -> DataFrame:
+    """``align_tails`` on what is left of the frames when long pauses are cut; ``emissions``: utt_id, frame_idx, logits, energy (null: not known).
+
+    An utterance whose cut frames would be fewer than its labels is aligned whole.
+    """
+    masked = pause_mask(frame_scores(emissions, blank)).join(targets.select("utt_id", F.size("labels").alias("n_labels")), "utt_id", "left")
+    return align_tails(compress_pauses(masked, n_labels=F.col("n_labels")), targets, blank, weak, most)
 
 
 def block_energy(samples: DataFrame, rate: int = 16000, seconds: float = 0.02) -> DataFrame:

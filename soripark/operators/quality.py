@@ -65,21 +65,26 @@ def very_low_runs(segments: DataFrame, k: int = 8) -> DataFrame:
     return runs.withColumn("rank", rank).where(F.col("rank") <= k).select("utt_id", "rank", "start_index", "end_index", "length", "min_confidence")
 
 
-def gap_evidence(segments: DataFrame, frames: DataFrame) -> DataFrame:
+def gap_evidence(segments: DataFrame, frames: DataFrame, attempt: list[str] | None = None) -> DataFrame:
     """What the frames strictly between two neighbours tell of their gap; ``frames``: utt_id, frame_idx, blank_posterior, confidence.
 
+    Where an utterance has several alignments, told apart by the columns ``attempt``, all are looked up in the same sums.
+
     A gap is like a pause with at least three frames between, a mean blank of .70 and .60 of the frames at a blank of .65.
     Sums of a gap are differences of an utterance's running sums, so neither frames nor gaps multiply.
     """
-    rows = segments.withColumns({"begin": F.lag("frame_end").over(by_utt()) + 1, "last_idx": F.max("seg_idx").over(Window.partitionBy("utt_id"))}).where("begin is not null")
+    attempt = attempt or []
+    own = Window.partitionBy("utt_id", *attempt)
+    rows = segments.withColumns({"begin": F.lag("frame_end").over(own.orderBy("seg_idx")) + 1, "last_idx": F.max("seg_idx").over(own)}).where("begin is not null")
     n = F.greatest(F.lit(0), F.col("frame_start") - F.col("begin"))
-    g = rows.select("utt_id", F.struct(F.col("seg_idx").alias("next_idx"), n.alias("frame_count"), (F.col("seg_idx") >= F.col("last_idx") - 1).alias("is_tail_gap")).alias("gap"), "begin", (F.col("begin") + n).alias("end"))
+    gap = F.struct(*attempt, F.col("seg_idx").alias("next_idx"), n.alias("frame_count"), (F.col("seg_idx") >= F.col("last_idx") - 1).alias("is_tail_gap"))
+    g = rows.select("utt_id", gap.alias("gap"), "begin", (F.col("begin") + n).alias("end"))
     blank, sure = F.col("blank_posterior"), F.col("confidence")
     seen = range_sums(frames, g, ["utt_id"], "frame_idx", ["gap"], {"b": _fixed(blank), "bd": (blank >= 0.65).cast("long"), "c": _fixed(sure), "cl": (sure < 0.35).cast("long")}, "begin", "end")
     mean = lambda c, unit=1.0: F.when(F.col("n_points") > 0, F.col(c) / unit / F.col("n_points"))
     out = seen.select("utt_id", "gap.*", mean("b", _UNIT).alias("blank_mean"), mean("bd").alias("blank_dominant_ratio"), mean("c", _UNIT).alias("confidence_mean"), mean("cl").alias("confidence_low_ratio"))
     pause = (F.col("frame_count") >= 3) & (F.round("blank_mean", 9) >= 0.70) & (F.col("blank_dominant_ratio") >= 0.60)
-    return out.select("utt_id", "next_idx", "frame_count", "is_tail_gap", "blank_mean", "blank_dominant_ratio", "confidence_mean", "confidence_low_ratio", F.coalesce(pause, F.lit(False)).alias("pause_like"))
+    return out.select("utt_id", *attempt, "next_idx", "frame_count", "is_tail_gap", "blank_mean", "blank_dominant_ratio", "confidence_mean", "confidence_low_ratio", F.coalesce(pause, F.lit(False)).alias("pause_like"))
 
 
 _UNIT = 1e12
@@ -142,14 +147,19 @@ def _names(conditions: dict[str, Column]) -> Column:
     return F.array_compact(F.array(*(F.when(cond, F.lit(name)) for name, cond in conditions.items())))
 
 
-def alignment_gate(summary: DataFrame) -> DataFrame:
-    """passed, and the failed checks by name, of each utterance's timing summary."""
+def failed_checks() -> Column:
+    """The names of the ten checks that a timing summary fails."""
     long = (F.col("median_duration") > 0) & (F.col("max_duration") > F.greatest(F.lit(0.75), F.col("median_duration") * 8))
-    failed = _names({
+    return _names({
         "coverage": F.col("coverage") < 0.90, "avg_confidence": F.col("avg_confidence") < 0.45, "low_ratio": F.col("low_ratio") > 0.45, "very_low_ratio": F.col("very_low_ratio") > 0.30,
         "log_prob": F.col("normalized_log_prob") < -1.5, "blank_ratio": F.col("blank_ratio") > 0.97, "final_phones": F.col("final_very_low"), "long_phone": long,
         "tail_gap": F.col("max_tail_gap") > t.LARGE_GAP, "internal_gap": (F.col("max_tail_gap") <= t.LARGE_GAP) & (F.col("max_unexplained_internal_gap") > t.FAILURE_GAP),
     })
+
+
+def alignment_gate(summary: DataFrame) -> DataFrame:
+    """passed, and the failed checks by name, of each utterance's timing summary."""
+    failed = failed_checks()
     return summary.select("utt_id", (F.size(failed) == 0).alias("passed"), F.array_join(failed, ",").alias("reasons"))
 
 
@@ -232,6 +242,26 @@ def select_attempt(attempts: DataFrame) -> DataFrame:
     return rows.where("n = 1").drop("n")
 
 
+def judged_attempts(segments: DataFrame, frames: DataFrame, alignments: DataFrame) -> DataFrame:
+    """Timing summary, passed and failed checks of each alignment of an utterance: whole (trim 0) and without its tails.
+
+    ``segments`` (with thresholds) and ``alignments`` (coverage, normalized_log_prob, blank_ratio): utt_id, trim, ...; ``frames``: of ``gap_evidence``.
+    """
+    keyed = lambda df: df.withColumn("utt_id", F.struct("utt_id", "trim")).drop("trim")  # noqa: E731  an attempt is an utterance of its own while it is summed up
+    summary = timing_summary(keyed(segments), keyed(gap_evidence(segments, frames, ["trim"])), keyed(alignments))
+    failed = failed_checks()
+    rows = summary.withColumns({"passed": F.size(failed) == 0, "reasons": F.array_join(failed, ",")})
+    return rows.withColumns({"trim": F.col("utt_id.trim"), "utt_id": F.col("utt_id.utt_id")})
+
+
+def retried(attempts: DataFrame) -> DataFrame:
+    """The attempt of each utterance to go on with: the whole one if it passes, else the best passing tail that leaves a segment, else the whole one."""
+    whole = Window.partitionBy("utt_id")
+    full = lambda c: F.max(F.when(F.col("trim") == 0, F.col(c))).over(whole)
+    rows = attempts.withColumns({"_passed": full("passed"), "_segments": full("segment_count")})
+    return select_attempt(rows.where((F.col("trim") == 0) | (~F.col("_passed") & (F.col("_segments") > F.col("trim"))))).drop("_passed", "_segments")
+
+
 def tail_hint(segments: DataFrame) -> DataFrame:
     """How many last segments look unstable (0, 1 or 2); utterances of fewer than three segments: 0."""
     w = Window.partitionBy("utt_id")
