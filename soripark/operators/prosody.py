@@ -49,21 +49,30 @@ def resampled(values: Column, n: int = 50) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), point)
 
 
-def contour_metrics(pairs: DataFrame, by: list[str]) -> DataFrame:
-    """rmse, pearson (5 points), slope difference (3 points) and count over jointly voiced points (x, native, learner)."""
+def contour_metrics(pairs: DataFrame, by: list[str], durations: DataFrame | None = None) -> DataFrame:
+    """rmse, pearson (5 points), slope difference (3 points) and count over jointly voiced points (x, native, learner).
+
+    ``durations`` (by, native_duration, learner_duration) add their ratio (null for no native length), and a row of count 0 for
+    each key without a jointly voiced point.
+    """
     n, l, x = F.col("native"), F.col("learner"), F.col("x").cast("double")
     out = pairs.where("voiced").groupBy(*by).agg(
         F.count("*").alias("voiced_count"), F.sqrt(F.avg((n - l) * (n - l))).alias("rmse"), F.stddev_pop(n).alias("sn"), F.stddev_pop(l).alias("sl"),
         F.covar_pop(n, l).alias("c"), (F.regr_slope(n, x) - F.regr_slope(l, x)).alias("slope"))
     pearson = F.when((F.col("voiced_count") >= 5) & (F.col("sn") > 0) & (F.col("sl") > 0), F.try_divide("c", F.col("sn") * F.col("sl")))
-    return out.select(*by, "voiced_count", "rmse", pearson.alias("pearson"), F.when(F.col("voiced_count") >= 3, F.col("slope")).alias("slope_diff"))
+    out = out.select(*by, "voiced_count", "rmse", pearson.alias("pearson"), F.when(F.col("voiced_count") >= 3, F.col("slope")).alias("slope_diff"))
+    if durations is None:
+        return out
+    ratio = F.when(F.col("native_duration") > 0, F.col("learner_duration") / F.col("native_duration"))
+    return durations.select(*by, ratio.alias("duration_ratio")).join(out, by, "left").fillna(0, ["voiced_count"])
 
 
-def word_vectors(frames: DataFrame, by: list[str], syllables: DataFrame | None = None) -> DataFrame:
+def word_vectors(frames: DataFrame, by: list[str], syllables: DataFrame | None = None, words: DataFrame | None = None) -> DataFrame:
     """The pitch part of the word vector per group of ``by``: frames carry pos (index in the word), total, f0, voiced.
 
     Fewer than two voiced frames: zeros and middle positions; two: the slope is the rise.  ``syllables``
-    (by, idx, duration) add their count and the last one's length against the mean.
+    (by, idx, duration) add their count and the last one's length against the mean.  ``words`` (by, t0, t1) add the
+    duration, and a row for each word without frames.
     """
     v = F.col("voiced")
     own = lambda c: F.when(v, F.col(c))
@@ -79,6 +88,9 @@ def word_vectors(frames: DataFrame, by: list[str], syllables: DataFrame | None =
     slope = F.when(F.col("n") >= 3, F.col("slope")).when(enough, F.col("end") - F.col("start")).otherwise(0.0)
     out = out.select(*by, of("mean").alias("f0_mean"), of("std").alias("f0_std"), slope.alias("f0_slope"), of("range").alias("f0_range"), of("max_pos", 0.5).alias("f0_max_pos"), of("min_pos", 0.5).alias("f0_min_pos"),
                      of("start").alias("f0_start"), of("end").alias("f0_end"), (F.col("n") / F.col("total_frames")).alias("voiced_ratio"))
+    if words is not None:
+        nothing = {c: 0.5 if c.endswith("_pos") else 0.0 for c in out.columns if c not in by}
+        out = words.select(*by, (F.col("t1") - F.col("t0")).alias("duration")).join(out, by, "left").fillna(nothing)
     if syllables is None:
         return out
     s = syllables.groupBy(*by).agg(F.count("*").alias("syllable_count"), F.avg("duration").alias("a"), F.max_by("duration", "idx").alias("last"))
@@ -86,6 +98,11 @@ def word_vectors(frames: DataFrame, by: list[str], syllables: DataFrame | None =
     return out.join(s.select(*by, "syllable_count", ratio.alias("last_syl_ratio")), by, "left").fillna({"syllable_count": 0, "last_syl_ratio": 1.0})
 
 
+def as_array() -> Column:
+    """The twelve values of ``word_vectors`` in their fixed order."""
+    return F.array(*(F.col(name).cast("double") for name in t.DIMS))
+
+
 def severity(value: Column, threshold: float) -> Column:
     return F.when(F.abs(value) >= 2 * threshold, "major").otherwise("minor")
 

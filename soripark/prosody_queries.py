@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from soripark import bridge as b
-from soripark.operators import comparison, distributions, prosody, ranges, spans
+from soripark.operators import analysis, comparison, distributions, prosody, ranges, spans
 from soripark.queries import _F0, _PAIRED, _SEG, _VEC, _WORDS, _paired, _pitch, _rounded, query
 from soripark.sources.shared import staged
 
@@ -326,3 +326,64 @@ def full_evaluation(spark, d):
     status = F.min("o_orderstatus")
     evaluations = b.table(spark, d, "orders").groupBy(F.col("o_orderkey").alias("utt_id")).agg(F.when(status == "P", "retry").when(status == "O", "ready").alias("evaluation_status"))
     return comparison.routed(evaluations, b.table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("utt_id")).agg(F.count("*").alias("n_records")))
+
+
+_SAID = ["가나 다", "나무 바다", "다 마"]
+_ASKED = f"""
+tx(k, j, n) as (values (0, 0, 4), (0, 1, 2), (1, 0, 4), (1, 1, 4), (2, 0, 2), (2, 1, 2)), ex as (select k, sum(n) as e from tx group by 1),
+us as (select utt_id, count(*) as nf, utt_id % 4 as k from z group by 1), un as (select us.*, e, coalesce(e, 6) + case when utt_id % 5 = 0 then 1 else 0 end as nt from us left join ex using (k)),
+sg as (select *, (i * nf // nt) * 0.005::double as s0, ((i + 1) * nf // nt) * 0.005::double as s1 from (select *, unnest(range(0, nt::bigint)) as i from un)),
+oc as (select utt_id, k, case when e is null then 'unknown text' when nt <> e then 'token count mismatch' end as error from un),
+wk as (select oc.utt_id, k, j, n, (sum(n) over (partition by oc.utt_id order by j) - n) as off from oc join tx using (k) where error is null),
+wd as (select wk.utt_id, wk.k, j, n, off, a.s0 as t0, b.s1 as t1 from wk join sg a on a.utt_id = wk.utt_id and a.i = off join sg b on b.utt_id = wk.utt_id and b.i = off + n - 1),
+sy as (select wd.utt_id, j, y, b.s1 - a.s0 as dur from (select *, unnest(range(0, n::bigint // 2)) as y from wd) wd join sg a on a.utt_id = wd.utt_id and a.i = off + 2 * y join sg b on b.utt_id = wd.utt_id and b.i = off + 2 * y + 1),
+sl as (select utt_id, j, count(*) as sc, case when count(*) >= 2 and avg(dur) > 0 then max_by(dur, y) / avg(dur) else 1.0 end as lr from sy group by 1, 2),
+ins as (select wd.utt_id, j, f0, voiced, row_number() over w - 1 as pos, count(*) over (partition by wd.utt_id, j) as total from wd join z on z.utt_id = wd.utt_id and t >= t0 and t < t1 window w as (partition by wd.utt_id, j order by frame_idx)),
+nr as (select *, pos / greatest(total - 1, 1)::double as x from ins),
+ga as (select utt_id, j, count(*) filter (voiced) as n, count(*) as tf, avg(f0) filter (voiced) as m, stddev_pop(f0) filter (voiced) as sd, max(f0) filter (voiced) - min(f0) filter (voiced) as rg,
+  arg_min(x, [-f0, pos]) filter (voiced) as xp, arg_min(x, [f0, pos]) filter (voiced) as np, arg_min(f0, pos) filter (voiced) as st, arg_max(f0, pos) filter (voiced) as en, regr_slope(f0, x) filter (voiced) as sl from nr group by 1, 2),
+gv as (select wd.utt_id, k, j, [case when ga.n >= 2 then m else 0 end, case when ga.n >= 2 then sd else 0 end, case when ga.n >= 3 then sl when ga.n >= 2 then en - st else 0 end, case when ga.n >= 2 then rg else 0 end, case when ga.n >= 2 then xp else 0.5 end,
+  case when ga.n >= 2 then np else 0.5 end, case when ga.n >= 2 then st else 0 end, case when ga.n >= 2 then en else 0 end, t1 - t0, coalesce(sc, 0), coalesce(lr, 1.0), coalesce(ga.n / tf, 0)]::double[] as v
+  from wd left join ga using (utt_id, j) left join sl using (utt_id, j)),
+ds as (select utt_id, k, j, sqrt(sum(((v[d] - m) / (2 * s)) * ((v[d] - m) / (2 * s)))) as dist from gv join mo on mo.eojeol_idx = k * 2 + j group by 1, 2, 3)"""
+
+
+def _requests(spark, d):
+    """Each user's frames as an utterance of one of three texts or of an unknown one, cut in even segments; some have one too many."""
+    frames = staged(_pitch(spark, d), "pitch")
+    k = F.col("utt_id") % 4
+    text = F.coalesce(F.get(F.array(*map(F.lit, _SAID)), k.cast("int")), F.lit("모르는 말"))
+    n = F.coalesce(F.get(F.array(F.lit(6), F.lit(8), F.lit(4)), k.cast("int")), F.lit(6)) + F.when(F.col("utt_id") % 5 == 0, 1).otherwise(0)
+    users = frames.groupBy("utt_id").agg(F.count("*").alias("frames")).withColumns({"text": text, "n": n})
+    cut = users.select("utt_id", "frames", "n", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("seg_idx"))
+    at = lambda i: F.floor(i * F.col("frames") / F.col("n")) * F.lit(0.005)
+    segments = cut.select("utt_id", "seg_idx", at(F.col("seg_idx")).alias("start_time"), at(F.col("seg_idx") + 1).alias("end_time"))
+    return users.select("utt_id", "text"), segments, frames
+
+
+def _said_models(spark, d):
+    """Diagonal models of the three texts' words from the vectors of labels 0 to 5, twice as wide."""
+    m = distributions.moments(b.vectors(spark, d), ["eojeol_idx"]).where("eojeol_idx < 6")
+    k = F.floor(F.col("eojeol_idx") / 2).cast("int")
+    text = F.get(F.array(*map(F.lit, _SAID)), k)
+    j = (F.col("eojeol_idx") % 2).cast("int")
+    rows = m.select(text.alias("text"), j.alias("eojeol_idx"), F.get(F.split(text, " "), j).alias("eojeol"), "mean", F.transform("std", lambda s: s * 2).alias("std"), F.col("n").cast("int").alias("n"))
+    flat = F.array(F.transform(F.sequence(F.lit(0), F.lit(49)), lambda i: i * F.lit(0.01)))
+    return rows.withColumns({"cov_inv": F.lit(None).cast("array<double>"), "mode": F.lit("diagonal"), "syllable_contours": flat})
+
+
+@query(f"""with {_F0}, {_VEC}, {_ASKED}, av as (select utt_id, avg(dist) as a, count(*)::bigint as n from ds group by 1)
+select oc.utt_id, error, n as n_words, round(a, 6) as avg_distance, case when a < 1.5 then 'natural' when a < 2.5 then 'borderline' when a is not null then 'unnatural' end as verdict from oc left join av using (utt_id)""")
+def analyze_prosody(spark, d):
+    """Every request's verdict or error, from segments and frames."""
+    outcomes = analysis.analyze(*_requests(spark, d), _said_models(spark, d)).outcomes
+    return _rounded(outcomes.select("utt_id", "error", "n_words", "avg_distance", "verdict"))
+
+
+@query(f"""with {_F0}, {_VEC}, {_ASKED} select gv.utt_id, gv.j::int as eojeol_idx, round(v[1], 6) as f0_mean, round(v[3], 6) as f0_slope, round(v[9], 6) as duration, v[10]::bigint as syllable_count, round(v[11], 6) as last_syl_ratio,
+  round(v[12], 6) as voiced_ratio, round(dist, 6) as distance, dist <= 2.5 as inside from gv join ds using (utt_id, j)""")
+def analyzed_words(spark, d):
+    """All twelve values of each word of the requests that have a verdict, and its distance."""
+    w = analysis.analyze(*_requests(spark, d), _said_models(spark, d)).words
+    of = lambda i: F.get("v", F.lit(i))
+    return _rounded(w.select("utt_id", "eojeol_idx", of(0).alias("f0_mean"), of(2).alias("f0_slope"), of(8).alias("duration"), of(9).cast("long").alias("syllable_count"), of(10).alias("last_syl_ratio"), of(11).alias("voiced_ratio"), "distance", "inside"))

@@ -264,9 +264,10 @@ def f0_at_times(spark, d):
 @query(f"""with {_F0}, c as (select utt_id, list(f0 order by frame_idx) as v, list(voiced::int::double order by frame_idx) as o from z group by 1),
 x as (select utt_id, unnest(range(0, 50)) as i, v, o from c),
 y as (select utt_id, i, v[f + 1] + (coalesce(v[f + 2], v[f + 1]) - v[f + 1]) * (p - f) as val, o[f + 1] + (coalesce(o[f + 2], o[f + 1]) - o[f + 1]) * (p - f) as vo from (select *, i * (len(v) - 1) / 49.0::double as p, floor(i * (len(v) - 1) / 49.0::double)::int as f from x)),
+ln as (select utt_id, len(v) * 0.005::double as dur from c), du as (select l.utt_id, l.dur / n.dur as ratio from ln l join ln n on l.utt_id = n.utt_id + 1 and l.utt_id % 2 = 1),
 pr as (select l.utt_id, l.i as x, n.val as native, l.val as learner from y l join y n on l.utt_id = n.utt_id + 1 and l.utt_id % 2 = 1 and l.i = n.i where l.vo > 0.5 and n.vo > 0.5)
-select utt_id, count(*)::bigint as voiced_count, round(sqrt(avg((native - learner) ** 2)), 6) as rmse, round(case when count(*) >= 5 and stddev_pop(native) > 0 and stddev_pop(learner) > 0 then covar_pop(native, learner) / (stddev_pop(native) * stddev_pop(learner)) end, 6) as pearson,
-  round(case when count(*) >= 3 then regr_slope(native, x) - regr_slope(learner, x) end, 6) as slope_diff from pr group by 1""")
+select du.utt_id, round(any_value(ratio), 6) as duration_ratio, count(native)::bigint as voiced_count, round(sqrt(avg((native - learner) ** 2)), 6) as rmse, round(case when count(native) >= 5 and stddev_pop(native) > 0 and stddev_pop(learner) > 0 then covar_pop(native, learner) / (stddev_pop(native) * stddev_pop(learner)) end, 6) as pearson,
+  round(case when count(native) >= 3 then regr_slope(native, x) - regr_slope(learner, x) end, 6) as slope_diff from du left join pr on pr.utt_id = du.utt_id group by 1""")
 def contour_metrics(spark, d):
     order = F.sort_array(F.collect_list(F.struct("frame_idx", "f0", F.col("voiced").cast("int").cast("double").alias("o"))))
     c = _pitch(spark, d).groupBy("utt_id").agg(order.alias("x"))
@@ -274,7 +275,10 @@ def contour_metrics(spark, d):
     c = c.select("utt_id", "x", F.col("p").getField("f0").alias("f0"), (F.col("p").getField("o") > 0.5).alias("voiced"))
     native = c.where("utt_id % 2 = 0").select((F.col("utt_id") + 1).alias("utt_id"), "x", F.col("f0").alias("native"), F.col("voiced").alias("nv"))
     pairs = c.where("utt_id % 2 = 1").join(native, ["utt_id", "x"]).select("utt_id", "x", "native", F.col("f0").alias("learner"), (F.col("voiced") & F.col("nv")).alias("voiced"))
-    return _rounded(prosody.contour_metrics(pairs, ["utt_id"]))
+    length = b.f0_frames(spark, d).groupBy("utt_id").agg((F.count("*") * F.lit(0.005)).alias("duration"))
+    of = length.where("utt_id % 2 = 0").select((F.col("utt_id") + 1).alias("utt_id"), F.col("duration").alias("native_duration"))
+    durations = length.where("utt_id % 2 = 1").withColumnRenamed("duration", "learner_duration").join(of, "utt_id")
+    return _rounded(prosody.contour_metrics(pairs, ["utt_id"], durations))
 
 
 # emissions and samples
