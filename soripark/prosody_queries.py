@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from soripark import bridge as b
 from soripark.operators import analysis, comparison, distributions, prosody, ranges, spans
 from soripark.queries import _F0, _PAIRED, _SEG, _VEC, _WORDS, _paired, _pitch, _rounded, query
-from soripark.sources.shared import staged
+from soripark.sources import stores
+from soripark.sources.shared import new_folder, staged
 
 _POSITIONS = ["onset", "nucleus", "coda", "onset", "nucleus", "other"]
 _TEXTS = ["가나 다", "가 12 나다", "나", "가나다 라 마바 사"]
@@ -387,3 +388,37 @@ def analyzed_words(spark, d):
     w = analysis.analyze(*_requests(spark, d), _said_models(spark, d)).words
     of = lambda i: F.get("v", F.lit(i))
     return _rounded(w.select("utt_id", "eojeol_idx", of(0).alias("f0_mean"), of(2).alias("f0_slope"), of(8).alias("duration"), of(9).cast("long").alias("syllable_count"), of(10).alias("last_syl_ratio"), of(11).alias("voiced_ratio"), "distance", "inside"))
+
+
+_KINDS = "kd as (select * from (values ('rising', 3, 1, 'rising 과도'), ('falling', 3, -1, 'falling 과도'), ('flat', 4, -1, '억양 평탄'), ('elongation', 11, 1, '마지막 음절 elongation'), ('slow', 9, 1, '어절 전체 느림')) t(kind, d, sign, expected_label))"
+_DRAW = "((('0x' || substr(md5('0|' || eojeol_idx || '|' || c || '|' || (d - 1) || '|{0}'), 1, 12))::bigint + 0.5::double) / 281474976710656::double)"
+
+
+@query(f"""with {_VEC}, {_KINDS}, cs as (select mo.*, unnest(range(0, 10)) as c from mo), dr as (select eojeol_idx, d, c, m, s, m + sqrt(-2 * ln({_DRAW.format('r')})) * cos({_DRAW.format('a')} * 2 * pi()) * s * 0.3::double as x from cs),
+y as (select dr.eojeol_idx, c, kind, expected_label, dr.d, case when dr.d = kd.d then m + sign * 3.5 * s when kind = 'flat' and dr.d = 3 then m else x end as y from dr, kd)
+select eojeol_idx, c::int as "case", kind, expected_label, round(sum(y), 6) as total, round(max(y) filter (d = 1), 6) as f0_mean, round(max(y) filter (d = 3), 6) as f0_slope, round(max(y) filter (d = 9), 6) as duration from y group by 1, 2, 3, 4""")
+def labelled_cases(spark, d):
+    """Ten made-up vectors a word model and kind of fault."""
+    rows = comparison.labelled_cases(distributions.moments(b.vectors(spark, d), ["eojeol_idx"]), ["eojeol_idx"])
+    of = lambda i: F.get("v", F.lit(i))
+    return _rounded(rows.select("eojeol_idx", "case", "kind", "expected_label", F.aggregate("v", F.lit(0.0), lambda a, x: a + x).alias("total"), of(0).alias("f0_mean"), of(2).alias("f0_slope"), of(8).alias("duration")))
+
+
+@query(f"""with {_VEC}, w as (select eojeol_idx, max(n) as n, list(m order by d) as m, list(s order by d) as s from mo group by 1)
+select 's' || (eojeol_idx // 3) as text, (eojeol_idx % 3)::int as eojeol_idx, 'w' || eojeol_idx as eojeol, case when n >= 12 then 'full_shrunk' else 'diagonal' end as mode, n::int as n, round(list_sum(m), 6) as mean_sum, round(list_sum(s), 6) as std_sum, case when n >= 12 then 144 else 0 end as n_cells, true as same from w""")
+def distribution_store(spark, d):
+    """Word models with their full covariances written to a sharded store, read back and held against what was written."""
+    m = distributions.fit(b.vectors(spark, d), ["eojeol_idx"])
+    k = F.col("eojeol_idx")
+    flat = F.array(F.transform("mean", lambda x: x / 3))
+    words = staged(m.select(
+        F.concat(F.lit("s"), F.floor(k / 3).cast("string")).alias("text"), (k % 3).cast("int").alias("eojeol_idx"), F.concat(F.lit("w"), k.cast("string")).alias("eojeol"), "mean", "std",
+        F.when(F.col("cov_inv").isNotNull(), stores.nested(F.col("cov_inv"), 12)).alias("cov_inv"), "mode", F.col("n").cast("int").alias("n"), flat.alias("syllable_contours")), "models")
+    path = new_folder(spark, "distributions")
+    stores.write_distributions(words, path, 3)
+    key = ["text", "eojeol_idx"]
+    back = stores.read_distributions(spark, path)
+    whole = lambda df, name: df.select(*key, F.struct(*(c for c in words.columns if c not in key)).alias(name))
+    both = whole(words, "a").join(whole(back, "b"), key, "full")
+    total = lambda c: F.aggregate(F.col(c), F.lit(0.0), lambda s, x: s + x)
+    return _rounded(both.select(*key, "b.eojeol", "b.mode", "b.n", total("b.mean").alias("mean_sum"), total("b.std").alias("std_sum"), F.coalesce(F.size(F.flatten("b.cov_inv")), F.lit(0)).alias("n_cells"), F.col("a").eqNullSafe(F.col("b")).alias("same")))

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from soripark import bridge as b
 from soripark.functions import hangul as h
 from soripark.operators import handoff
+from soripark.sources import stores
+from soripark.sources.shared import new_folder, staged
 from soripark.queries import _SEG, _evaluated, _rounded, query
 
 _KEY = ["conv_id", "turn"]
@@ -100,3 +102,31 @@ def narrow_ipa(spark, d):
     rows = rows.withColumn("x", F.flatten(F.transform("s", h.narrow_symbols_of))).withColumn("y", F.transform("x", lambda e: e["symbol"]))
     among = lambda values: F.size(F.filter("y", lambda e: e.isin(values))).cast("long")
     return rows.select("doc_id", F.size("s").cast("long").alias("syllables"), F.size("x").cast("long").alias("symbols"), among(["ø", "y", "ɯi"]).alias("narrow_vowels"), among(["lk̚", "lm", "lp̚", "ls", "ltʰ", "lpʰ", "lh"]).alias("double_codas"))
+
+
+_STORED = f"""{_SEG}, od as (select o_orderkey as utt_id, min(o_orderdate) as at_, min(o_orderstatus) as st from orders group by 1), n as (select utt_id, count(*) as n from s group by 1),
+rc as (select n.utt_id, n, last_day(at_::date)::varchar as day, n.utt_id % 97 = 0 as bad from n left join od using (utt_id))"""
+
+
+@query(f"""with {_STORED}, f as (select min(day) as d0, max(day) as d1 from rc)
+select coalesce(day, '__HIVE_DEFAULT_PARTITION__') as day, count(*) filter (not bad or day = d0)::bigint as n_good, coalesce(sum(n) filter (not bad or day = d0), 0)::bigint as n_segments, count(*) filter (bad and day <> d0)::bigint as n_broken
+from rc, f where day < d1 or day is null group by 1""")
+def artifact_store(spark, d):
+    """Records written a folder a month, some of them broken; the first month is written anew without fault; all but the last month are read back, broken records counted by file."""
+    day = F.last_day(F.min("o_orderdate").cast("date")).cast("string")
+    days = b.table(spark, d, "orders").groupBy(F.col("o_orderkey").alias("utt_id")).agg(day.alias("day"))
+    records = b.artifacts(spark, d).join(days, "utt_id", "left")
+    text = F.to_json(F.struct("status", "gates", "alignment"))
+    lines = staged(records.select("utt_id", F.coalesce("day", F.lit("__HIVE_DEFAULT_PARTITION__")).alias("day"), text.alias("text")), "records")
+    path, apart = new_folder(spark, "artifacts"), new_folder(spark, "quarantine")
+    ends = lines.where(F.col("day") < "_").agg(F.min("day").alias("first"), F.max("day").alias("last")).first()
+    broken = F.when(F.col("utt_id") % 97 == 0, F.expr("substring(text, 1, length(text) div 2)")).otherwise(F.col("text"))
+    lines.select("day", broken.alias("value")).repartition("day").write.partitionBy("day").text(path)
+    parsed = F.from_json("text", "status struct<evaluation_status: string>, gates struct<alignment_confidence_gate: struct<performed: boolean, passed: boolean>>, alignment struct<forced: struct<segments: array<struct<seg_idx: int, token: string, label: string, start_time: double, end_time: double, confidence: double>>>>")
+    stores.write_artifacts(lines.where(F.col("day") == ends["first"]).select("day", parsed.alias("r")).select("day", "r.*"), path, "day", replace=True)
+    scanned = stores.scan_artifacts(spark, path).withColumn("day", F.col("day").cast("string")).where(F.coalesce(F.col("day") != ends["last"], F.lit(True)))
+    files = stores.quarantine(scanned, apart).withColumn("day", F.url_decode(F.regexp_extract("file", "day=([^/]*)/", 1)))
+    bad = files.groupBy("day").agg(F.sum("n_broken").alias("n_broken"))
+    name = F.coalesce("day", F.lit("__HIVE_DEFAULT_PARTITION__"))
+    good = scanned.groupBy(name.alias("day")).agg(F.count_if(F.col("broken").isNull()).alias("n_good"), F.coalesce(F.sum(F.when(F.col("broken").isNull(), F.size("alignment.forced.segments"))), F.lit(0)).cast("long").alias("n_segments"))
+    return good.join(bad, "day", "left").fillna(0, ["n_broken"])

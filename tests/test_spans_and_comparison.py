@@ -250,6 +250,17 @@ def test_made_up_faults_get_their_labels(spark):
     assert [(r.mode, r.warning is None) for r in few] == [("diagonal", False), ("full", True)]
 
 
+def test_made_up_cases_do_not_depend_on_partitions(spark):
+    models = spark.createDataFrame([(k, [float(i) for i in range(12)], [1.0 + k] * 12) for k in range(6)], "eojeol_idx int, mean array<double>, std array<double>")
+    key = lambda rows: sorted((r.eojeol_idx, r.case, r.kind, tuple(r.v)) for r in rows.collect())
+    one, seven = (key(comparison.labelled_cases(models.repartition(n), ["eojeol_idx"], 8)) for n in (1, 7))
+    assert one == seven and len(one) == 6 * 8 * 5
+    other = key(comparison.labelled_cases(models, ["eojeol_idx"], 8, seed=1))
+    assert other != one
+    z = [(x - i) / (1 + k) / 0.3 for k, _, kind, v in one if kind == "slow" for i, x in enumerate(v) if i != t.DIMS.index("duration")]
+    assert len(set(z)) == len(z) == 528 and abs(np.mean(z)) < 0.15 and 0.85 < np.std(z) < 1.15
+
+
 def test_routing(spark):
     e = spark.createDataFrame([(1, "ready"), (2, "retry"), (3, None)], "utt_id int, evaluation_status string")
     p = spark.createDataFrame([(1, "x"), (2, "y")], "utt_id int, result string")
