@@ -46,7 +46,7 @@ def _utf16(code_point: Column) -> Column:
 
 
 def numeral(digits: Column) -> Column:
-    """Sino-Korean reading of a run of digits; digit by digit after a leading zero; more than 16 digits: null."""
+    """Sino-Korean reading of a run of digits; digit by digit after a leading zero, and for more than 16 digits, which have no unit."""
     digit = lambda d: at(t.DIGITS, F.ascii(d) - 48)
     spelled = F.array_join(F.transform(F.split(digits, "(?!^)"), digit), "")
 
@@ -66,7 +66,7 @@ def numeral(digits: Column) -> Column:
         word = group(F.substring(wide, 4 * (3 - big) + 1, 4))
         parts.append(F.when(word == "", F.lit("")).otherwise(F.concat(word, F.lit(t.BIG_UNITS[big]))))
     return (
-        F.when(digits.rlike("^0+$"), F.lit(t.DIGITS[0])).when(digits.startswith("0"), spelled).when(F.length(digits) > 16, F.lit(None).cast("string")).otherwise(F.concat(*parts))
+        F.when(digits.rlike("^0+$"), F.lit(t.DIGITS[0])).when(digits.startswith("0"), spelled).when(F.length(digits) > 16, spelled).otherwise(F.concat(*parts))
     )
 
 

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import functions as F
 
 from soripark import bridge as b
+from soripark.functions import composition
 from soripark.functions import hangul as h
 from soripark.operators import handoff
 from soripark.sources import stores
@@ -130,3 +133,13 @@ def artifact_store(spark, d):
     name = F.coalesce("day", F.lit("__HIVE_DEFAULT_PARTITION__"))
     good = scanned.groupBy(name.alias("day")).agg(F.count_if(F.col("broken").isNull()).alias("n_good"), F.coalesce(F.sum(F.when(F.col("broken").isNull(), F.size("alignment.forced.segments"))), F.lit(0)).cast("long").alias("n_segments"))
     return good.join(bad, "day", "left").fillna(0, ["n_broken"])
+
+
+@query("select doc_id, sha256(nfc_normalize(translate(lower(text), 'aeo', 'ɑəɔ'))) as composed_sha256 from documents")
+def composed_texts(spark, d):
+    """Whole texts taken apart into letters and marks, and composed again: their accents come back as one character each."""
+    lowered = F.translate(F.lower("text"), "aeo", "ɑəɔ")
+    apart = lowered
+    for letter in "éèêëçáíóúüöäñàâîôûïùœ":
+        apart = F.replace(apart, F.lit(letter), F.lit(unicodedata.normalize("NFD", letter)))
+    return b.table(spark, d, "documents").select("doc_id", apart.alias("text")).select("doc_id", F.sha2(composition.composed(F.col("text")), 256).alias("composed_sha256"))

@@ -22,7 +22,7 @@ def test_every_syllable_comes_back(spark):
     assert all(ord(r.s) == r.id for r in rows.collect())
 
 
-@pytest.mark.parametrize("digits,words", [("0", "영"), ("00", "영"), ("007", "영영칠"), ("1", "일"), ("10", "십"), ("11", "십일"), ("10000", "일만"), ("110000", "십일만"), ("20305", "이만삼백오"), ("100000000", "일억"), ("12345678901234567", None)])
+@pytest.mark.parametrize("digits,words", [("0", "영"), ("00", "영"), ("007", "영영칠"), ("1", "일"), ("10", "십"), ("11", "십일"), ("10000", "일만"), ("110000", "십일만"), ("20305", "이만삼백오"), ("100000000", "일억"), ("1234567890123456", "천이백삼십사조오천육백칠십팔억구천십이만삼천사백오십육"), ("12345678901234567", "일이삼사오육칠팔구영일이삼사오육칠")])
 def test_numerals(spark, digits, words):
     assert one(spark, h.numeral(F.lit(digits))) == words
 
@@ -43,6 +43,7 @@ def test_candidates_in_order_without_repeats(spark):
 
 def test_normal_text_and_hours(spark):
     assert one(spark, h.normalize(F.lit("  3시  13시\t12개 "))) == "세시 십삼시 십이개"
+    assert one(spark, h.normalize(F.lit("가 12345678901234567 나"))) == "가 일이삼사오육칠팔구영일이삼사오육칠 나"
 
 
 def test_ipa_positions_and_quirks(spark):
