@@ -8,13 +8,14 @@ equivalence class.  A class is part of the template if it is large, holds a tag,
 and has enough different pages; classes nest by how many pages they span.  On a
 page a class counts only where its tokens keep the template's order.
 
-Text blocks of the template itself are dropped.  The other text stands in slots: a
-slot is the innermost container that the template repeats.  The slot with most
-words on a host's pages is the main one.  Text in it is kept whatever its own
-elements are called; a container of the template inside it is left out if its
-element or name says furniture.  Slots that hold the main one are kept.  Slots
-elsewhere are kept if they are no such furniture and hold a fair share of the main
-one's words.  Pages of a host without a template fall back on elements and names.
+Text blocks of the template itself are dropped, but for headings of slots that are
+kept.  The other text stands in slots: a slot is the innermost container that the
+template repeats.  The slot with most words on a host's pages, readers' comments by
+name aside, is the main one.
+Text in it is kept whatever its own elements are called; a container of the template
+inside it is left out if its element or name says furniture.  All other slots, large or
+small, are kept unless they are such furniture.  Pages of a host without a template
+fall back on elements and names.
 """
 
 from __future__ import annotations
@@ -22,22 +23,24 @@ from __future__ import annotations
 import hashlib
 import html
 import re
+from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from soripark.llm.common import saved, small, table, whole_texts
+from soripark.llm.common import saved, table, whole_texts
 
 #: A class needs this many tokens, this share of its host's pages, this many of 64 page-hash buckets, and this product of tokens and buckets.
 CLASS_SIZE = 3
 CLASS_SHARE = 0.5
 CLASS_PAGES = 2
 CLASS_EVIDENCE = 24
-#: A slot outside the main one needs this share of its words.
-SLOT_SHARE = 0.1
-#: Hosts with a template up to this number are broadcast; beyond, they are joined by shuffle.
-BROADCAST_HOSTS = 5_000
+#: Template tokens of all hosts together up to which templates are broadcast; beyond, pages meet them by shuffle, each host's in so many parts.
+BROADCAST_TOKENS = 100_000
+HOST_PARTS = 16
+#: A page's part of a fingerprint; sums of count x page stay exact in 38 digits.
+_PAGE_BITS = (1 << 60) - 1
 
 # HTML element names and usual names of page furniture.
 RAW = {"script", "style", "noscript", "template", "textarea", "title", "iframe", "select", "button"}
@@ -51,7 +54,15 @@ FURNITURE_NAMES = {
     "navigation", "newsletter", "notice", "notices", "pagination", "pager", "popup", "privacy", "promo", "promotion", "recommended", "related", "replies", "reply", "respond",
     "search", "share", "sharing", "sidebar", "sidebars", "signup", "skip", "social", "sponsor", "sponsored", "subscribe", "tags", "toolbar", "topbar", "widget", "widgets",
 }
+READER_NAMES = {"comment", "comments", "discussion", "disqus", "replies", "reply", "respond"}
+#: Words that say nothing of a part's role: a name of several words says furniture if one of them does and the others are of these, or furniture as well.
+PLAIN_WORDS = {
+    "area", "article", "articles", "bar", "block", "bottom", "box", "button", "buttons", "card", "center", "column", "container", "content", "entry", "field", "fixed", "form", "global", "group",
+    "holder", "icon", "icons", "inner", "item", "items", "left", "link", "links", "list", "main", "mobile", "more", "news", "outer", "overlay", "page", "panel", "post", "posts", "primary", "reader",
+    "right", "row", "secondary", "section", "site", "slot", "small", "stories", "story", "sub", "text", "thread", "toggle", "top", "trail", "unit", "user", "wrap", "wrapper", "zone",
+}
 FURNITURE_ROLES = {"alert", "banner", "complementary", "contentinfo", "dialog", "form", "menu", "menubar", "navigation", "search"}
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^>"'])*)(?:>|\Z)|[^<]+|<""", re.S)
@@ -71,7 +82,11 @@ def _names(attributes: str) -> tuple[str, bool, bool]:
 
 
 def _furniture_names(names: list[str]) -> bool:
-    return any(w in FURNITURE_NAMES or n in FURNITURE_ROLES for n in names for w in [n, *re.split(r"[-_]+", n)])
+    for name in names:
+        words = [w for w in re.split(r"[-_.\d]+", name) if w]
+        if name in FURNITURE_NAMES or name in FURNITURE_ROLES or (any(w in FURNITURE_NAMES for w in words) and all(w in FURNITURE_NAMES or w in PLAIN_WORDS for w in words)):
+            return True
+    return False
 
 
 def _is_furniture(path: str) -> bool:
@@ -176,7 +191,7 @@ def _occurrences(pages: DataFrame) -> DataFrame:
                     if text is not None and not hidden:
                         slot = sums.setdefault((host, "slot", 0, where), [0, 0, 0.0, 0, 0, 0])
                         slot[5] += len(text.split())
-                page = _hash(source or "") & 0x7FFFFFFF
+                page = _hash(source or "") & _PAGE_BITS
                 bit = 1 << (page & 63) if (page & 63) < 63 else -(1 << 63)
                 for (kind, token, path), (n, place) in own.items():
                     s = sums.setdefault((host, kind, token, path), [0, 0, 0.0, 0, 0, 0])
@@ -196,8 +211,11 @@ def _occurrences(pages: DataFrame) -> DataFrame:
 
 
 def templates(pages: DataFrame, class_size: int = CLASS_SIZE, share: float = CLASS_SHARE, class_pages: int = CLASS_PAGES, evidence: int = CLASS_EVIDENCE) -> DataFrame:
-    """One row a host: ``template``, its classes' tokens (class, token, is text, container path), outer classes first, and ``slots`` (path, words)."""
-    wide = (F.col("count") == F.col("pages")) & (F.bit_count("buckets") >= class_pages)
+    """One row a host: ``template``, its classes' tokens (class, token, is text, container path), outer classes first, and ``slots`` (path, words).
+
+    A class's tokens stand equally often on each page, once or more.
+    """
+    wide = F.bit_count("buckets") >= class_pages
     seen = saved(_occurrences(pages).where(F.col("kind").isin("page", "slot") | wide))
     size = seen.where("kind = 'page'").select("host", F.col("pages").alias("host_pages"))
     tokens = seen.where("kind in ('tag', 'text')")
@@ -223,24 +241,26 @@ def templates(pages: DataFrame, class_size: int = CLASS_SIZE, share: float = CLA
     return size.select("host").join(in_template, "host", "left").join(slots, "host", "left")
 
 
-def kept_slots(containers: set[str], slots: dict[str, int], share: float = SLOT_SHARE) -> dict[str, bool]:
-    """Whether the text of each slot is kept; ``containers``: all paths of the template, ``slots``: the words of those that hold text."""
+def kept_slots(containers: set[str], slots: dict[str, int]) -> dict[str, bool]:
+    """Whether the text of each slot is kept, whatever its size; ``containers``: all paths of the template, ``slots``: the words of those that hold text.
+
+    The main slot is the one with most words among those that no name gives to readers' comments, which may well be
+    longer than the article; of equally large ones the first by path.
+    """
     if not slots:
         return {}
-    main = max(sorted(slots), key=slots.__getitem__)
+    own = [p for p in slots if not READER_NAMES & set(re.split(r"[-_./]+", p))] or list(slots)
+    main = max(sorted(own), key=slots.__getitem__)
     under = lambda path, top: path == top or path.startswith(top + "/")
-    kept = {}
-    for path, words in slots.items():
-        about = [c for c in containers if under(path, c) and not under(main, c)]  # of its containers those that are not the main one's as well
-        furniture = any(map(_is_furniture, about))
-        kept[path] = under(main, path) or (not furniture and (under(path, main) or words >= share * slots[main]))
-    return kept
+    # of a slot's containers those that are not the main one's as well
+    return {path: not any(_is_furniture(c) for c in containers if under(path, c) and not under(main, c)) for path in slots}
 
 
 def page_text(source: str | None, template: list[tuple[int, int, bool]] | None, kept: dict[str, bool] | None) -> str:
     """The main text of one page; ``template`` in order: (class, token, whether it is text); ``kept``: of ``kept_slots``.
 
-    Text outside all slots, and all text where there is no template, is kept unless it stands in furniture.
+    Text outside all slots, and all text where there is no template, is kept unless it stands in furniture.  A
+    template's heading is the article's own where it begins inside a slot that is kept.
     """
     tokens = parse(source)
     found: set[int] = set()
@@ -254,7 +274,7 @@ def page_text(source: str | None, template: list[tuple[int, int, bool]] | None,
         for key in keys:
             if key in known:
                 on_page.setdefault(known[key], []).append(key)
-        valid = {c for c, seq in on_page.items() if seq == order[c]}
+        valid = {c for c, seq in on_page.items() if seq == order[c] or (len(seq) > len(order[c]) and len(set(Counter(seq).values())) == 1 and set(seq) == set(order[c]))}
         found = {i for i, key in enumerate(keys) if known.get(key) in valid}
     slot_of: dict[str, bool | None] = {}
 
@@ -268,9 +288,11 @@ def page_text(source: str | None, template: list[tuple[int, int, bool]] | None,
 
     out = []
     for i, (where, _, text, furniture, hidden) in enumerate(tokens):
-        if text is None or hidden or i in found:
+        if text is None or hidden:
             continue
         keep = decided(where) if kept else None
+        if i in found and not (keep and i and tokens[i - 1][1] in HEADINGS and tokens[i - 1][0] == where):
+            continue
         if (not furniture) if keep is None else keep:
             out.append(text)
     return "\n\n".join(out)
@@ -289,7 +311,14 @@ def extract(pages: DataFrame, url: str = "url", source: str = "html", into: str
     keyed = pages.withColumn("__sp_host", host)
     known = templates(keyed.select(F.col("__sp_host").alias("host"), F.col(source).alias("html")))
     known = saved(known.select(F.col("host").alias("__sp_host"), F.struct("template", "slots").alias("__sp_template")))
-    known = small(known, known.count(), BROADCAST_HOSTS)
+    entries = known.select(F.size("__sp_template.template").alias("a"), F.size("__sp_template.slots").alias("b")).agg(F.sum(F.greatest("a", F.lit(0)) + F.greatest("b", F.lit(0)) + 1)).first()[0] or 0
+    on = ["__sp_host"]
+    if entries <= BROADCAST_TOKENS:
+        known = F.broadcast(known)
+    else:  # a large host's pages go to several tasks
+        keyed = keyed.withColumn("__sp_part", F.pmod(F.xxhash64(F.col(source)), F.lit(HOST_PARTS)))
+        known = known.withColumn("__sp_part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(HOST_PARTS - 1).cast("long"))))
+        on.append("__sp_part")
 
     @F.arrow_udf("string")
     def text_of(sources: pa.Array, template: pa.Array) -> pa.Array:
@@ -303,7 +332,7 @@ def extract(pages: DataFrame, url: str = "url", source: str = "html", into: str
             out.append(page_text(s.as_py(), *ready))
         return pa.array(out, pa.string())
 
-    return keyed.join(known, "__sp_host", "left").withColumn(into, text_of(F.col(source), F.col("__sp_template"))).drop("__sp_host", "__sp_template")
+    return keyed.join(known, on, "left").withColumn(into, text_of(F.col(source), F.col("__sp_template"))).drop(*on, "__sp_template")
 
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
