@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from soripark.llm.common import remainder, saved, slices, table, text_bytes, whole_texts
+from soripark.llm.common import forget, remainder, saved, slices, table, text_bytes, whole_texts
 from soripark.llm.hashing import batches_of, mix, word_hashes_and_endings
 
 LEAST = 10
@@ -37,6 +37,8 @@ GAIN = 0.001
 BLOCKS, BLOCK_UNITS = 16, 2048
 #: One block in this many moves its units in a round: blocks do not see each other's moves and would crowd the same classes.
 STRIDE = 4
+#: Units whose best classes are found together.
+STEP = 64
 #: Pseudo-counts: of a class transition, of a unit in its class, of a word in its bin and in the base.
 TRANSITION, UNIT, WORD_COUNT = 20.0, 0.5, 0.5
 BUCKET_ENTRIES = 3_000_000
@@ -144,10 +146,46 @@ def count_words(train: DataFrame, share: float, n_buckets: int, least: int = LEA
     return Units(hashes[by], core["n"].to_numpy(np.int64)[by], bin_tokens, bin_kinds, n, v)
 
 
+def _planes(values: np.ndarray) -> bytes:
+    """Whole numbers byte by byte: all lowest bytes, then the next ones.  Small numbers leave the high bytes alike, which the shuffle's and the files' compression takes out."""
+    return values.astype(np.int64).view(np.uint8).reshape(len(values), 8).T.tobytes()
+
+
+def _numbers(planes: bytes | None) -> np.ndarray:
+    return np.frombuffer(planes or b"", np.uint8).reshape(8, -1).T.copy().view(np.int64).ravel()
+
+
+def _pack(keys: np.ndarray, n: np.ndarray) -> tuple[bytes, bytes]:
+    """Rising pair keys as their steps, and their counts."""
+    return _planes(np.diff(keys, prepend=0)), _planes(n)
+
+
+def _unpack(keys: bytes | None, n: bytes | None) -> tuple[np.ndarray, np.ndarray]:
+    return np.cumsum(_numbers(keys)), _numbers(n)
+
+
+_SIDE = "block int, pairs binary, n binary"
+
+
+def _side_rows(keys: np.ndarray, n: np.ndarray, unit: np.ndarray, blocks: int) -> pa.RecordBatch:
+    """A row a block of units with its pairs, keys rising."""
+    by = np.argsort(unit % blocks, kind="stable")
+    parts = [(b, *_pack(keys[by[x:y]], n[by[x:y]])) for b, x, y in _runs((unit % blocks)[by])]
+    return pa.RecordBatch.from_arrays([pa.array([p[0] for p in parts], pa.int32()), pa.array([p[1] for p in parts], pa.binary()), pa.array([p[2] for p in parts], pa.binary())], ["block", "pairs", "n"])
+
+
+def _joined(rows: pd.DataFrame) -> tuple[bytes, bytes]:
+    parts = [_unpack(*x) for x in zip(rows["pairs"], rows["n"])]
+    return _pack(*_summed(np.concatenate([k for k, _ in parts]), np.concatenate([n for _, n in parts]))) if parts else _pack(np.zeros(0, np.int64), np.zeros(0, np.int64))
+
+
 def _unit_bigrams(train: DataFrame, units: Units) -> DataFrame:
-    """Packed counts of unit pairs: one row a block of units with what follows and what precedes each of them."""
+    """Packed counts of unit pairs: one row a block of units with what follows and what precedes each of them.
+
+    Tasks send their pairs once, by the first unit; what precedes a unit comes from the merged pairs.
+    """
     held = whole_texts(train).sparkContext.broadcast(units)
-    blocks = max(BLOCKS, -(-units.n // BLOCK_UNITS))
+    blocks, size = max(BLOCKS, -(-units.n // BLOCK_UNITS)), units.n
 
     def run(batches):
         u, kept, kept_n, waiting = held.value, np.zeros(0, np.int64), np.zeros(0, np.int64), []
@@ -166,54 +204,76 @@ def _unit_bigrams(train: DataFrame, units: Units) -> DataFrame:
                     kept, kept_n = merged()
                     waiting.clear()
         kept, kept_n = merged()
-        for side, unit in ((0, kept // u.n), (1, kept % u.n)):
-            by = np.argsort(unit % blocks, kind="stable")
-            for b, x, y in _runs((unit % blocks)[by]):
-                own = by[x:y]
-                yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([side], pa.int32()), pa.array([kept[own].tobytes()]), pa.array([kept_n[own].astype(np.int32).tobytes()])], ["block", "side", "pairs", "n"])
+        if len(kept):
+            yield _side_rows(kept, kept_n, kept // u.n, blocks)
+
+    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
+        pairs, n = _joined(pdf)
+        return pd.DataFrame({"block": [pdf["block"].iloc[0]], "pairs": [pairs], "n": [n]})
 
-    def joined(pdf: pd.DataFrame) -> pd.DataFrame:
-        keys, n = _summed(np.concatenate([np.frombuffer(x, np.int64) for x in pdf["pairs"]]), np.concatenate([np.frombuffer(x, np.int32) for x in pdf["n"]]).astype(np.int64))
-        return pd.DataFrame({"block": [pdf["block"].iloc[0]], "side": [pdf["side"].iloc[0]], "pairs": [keys.tobytes()], "n": [n.tobytes()]})
+    def turn(batches):
+        for batch in batches:
+            for pairs, n in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                keys, count = _unpack(pairs, n)
+                yield _side_rows(keys, count, keys % size, blocks)
 
-    one_side = "block int, side int, pairs binary, n binary"
-    packed = train.select("text").mapInArrow(run, one_side).groupBy("block", "side").applyInPandas(joined, one_side)
-    sides = packed.groupBy("block").agg(F.max(F.when(F.col("side") == 0, F.struct("pairs", "n"))).alias("out"), F.max(F.when(F.col("side") == 1, F.struct("pairs", "n"))).alias("into"))
-    return saved(sides.select("block", F.col("out.pairs").alias("out_pairs"), F.col("out.n").alias("out_n"), F.col("into.pairs").alias("in_pairs"), F.col("into.n").alias("in_n")).repartition(blocks))
+    def both(key, out: pd.DataFrame, into: pd.DataFrame) -> pd.DataFrame:
+        (out_pairs, out_n), (in_pairs, in_n) = _joined(out), _joined(into)
+        return pd.DataFrame({"block": [key[0]], "out_pairs": [out_pairs], "out_n": [out_n], "in_pairs": [in_pairs], "in_n": [in_n]})
+
+    after = saved(train.select("text").mapInArrow(run, _SIDE).groupBy("block").applyInPandas(merge, _SIDE).repartition(blocks, "block"))
+    sides = after.groupBy("block").cogroup(after.mapInArrow(turn, _SIDE).groupBy("block"))
+    out = saved(sides.applyInPandas(both, "block int, out_pairs binary, out_n binary, in_pairs binary, in_n binary").repartition(blocks, "block"))
+    forget(after)
+    return out
 
 
 def _xlogx(x: np.ndarray) -> np.ndarray:
     return x * np.log(np.maximum(x, 1e-300))
 
 
-def _best_moves(m: np.ndarray, own: int, out: np.ndarray, into: np.ndarray, loops: float) -> tuple[int, float]:
-    """The class to which a unit of class ``own`` moves best, and the gain in log likelihood.
+def _sums(values: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
+    """Columns of ``values`` added up by their (rising) owner, a row an owner."""
+    out = np.zeros((n, len(values)))
+    first = np.flatnonzero(np.diff(owner, prepend=-1))
+    if len(first):
+        out[owner[first]] = np.add.reduceat(values, first, axis=1).T
+    return out
+
+
+def _best_moves(m: np.ndarray, own: np.ndarray, out: np.ndarray, into: np.ndarray, loops: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each of several units the class to which it moves best, all others staying, and the gain in log likelihood.
 
-    ``m``: class bigram counts; ``out``/``into``: the unit's bigrams with each class after and before
+    ``m``: class bigram counts; ``own``: the units' classes; ``out``/``into``: a row a unit, its bigrams with each class after and before
     it, its bigrams with itself (``loops``) among those of its own class.
     """
+    each = np.arange(len(own))
     out, into = out.copy(), into.copy()
-    out[own] -= loops
-    into[own] -= loops
-    rest = m.copy()
-    rest[own] -= out
-    rest[:, own] -= into
-    rest[own, own] -= loops
-    weight = out.sum() + loops, into.sum() + loops
-    row, col = m.sum(1), m.sum(0)  # a class keeps its total when a neighbour of its units moves
-    row[own] -= weight[0]
-    col[own] -= weight[1]
-    # the likelihood's terms that change when the unit joins class b: row b, column b and their crossing; only where it has bigrams
-    after, before = np.flatnonzero(out), np.flatnonzero(into)
-    rows, columns = rest[:, after], rest[before]
-    gain_row = (_xlogx(rows + out[after]) - _xlogx(rows)).sum(1)
-    gain_col = (_xlogx(columns + into[before, None]) - _xlogx(columns)).sum(0)
-    d = np.diag(rest)
-    cross = _xlogx(d + out + into + loops) - _xlogx(d + out) - _xlogx(d + into) + _xlogx(d)
-    marginal = _xlogx(row + weight[0]) - _xlogx(row) + _xlogx(col + weight[1]) - _xlogx(col)
-    total = gain_row + gain_col + cross - marginal
-    best = int(total.argmax())
-    return best, float(total[best] - total[own])
+    out[each, own] -= loops
+    into[each, own] -= loops
+
+    def side(m, with_, across):
+        """What row b gains when a unit's bigrams ``with_`` join it, for each b; without the unit's own counts where they stand now."""
+        unit, at = np.nonzero(with_)  # only where it has bigrams
+        x = with_[unit, at]
+        rest = m[:, at]
+        home = np.flatnonzero(at == own[unit])
+        rest[:, home] -= across[unit[home]].T
+        rest[own[unit], np.arange(len(unit))] -= x
+        rest[own[unit[home]], home] -= loops[unit[home]]
+        return _sums(_xlogx(rest + x) - _xlogx(rest), unit, len(own))
+
+    d = np.tile(np.diag(m), (len(own), 1))
+    d[each, own] -= out[each, own] + into[each, own] + loops
+    cross = _xlogx(d + out + into + loops[:, None]) - _xlogx(d + out) - _xlogx(d + into) + _xlogx(d)
+    marginal = 0.0
+    for totals, weight in ((m.sum(1), out.sum(1) + loops), (m.sum(0), into.sum(1) + loops)):  # a class keeps its total when a neighbour of its units moves
+        rest = np.tile(totals, (len(own), 1))
+        rest[each, own] -= weight
+        marginal = marginal + _xlogx(rest + weight[:, None]) - _xlogx(rest)
+    total = side(m, out, into) + side(m.T, into, out) + cross - marginal
+    best = total.argmax(1)
+    return best, total[each, best] - total[each, own]
 
 
 def _shift(m: np.ndarray, a: int, b: int, out: np.ndarray, into: np.ndarray, loops: float) -> None:
@@ -230,6 +290,16 @@ def _shift(m: np.ndarray, a: int, b: int, out: np.ndarray, into: np.ndarray, loo
     np.maximum(m, 0, out=m)
 
 
+def _steps(n: int) -> list[tuple[int, int]]:
+    """Stretches of a block's units, frequent ones first: few at a time where a move weighs much, up to ``STEP`` later."""
+    out, begin = [], 0
+    while begin < n:
+        end = min(n, begin + min(STEP, 1 + begin // 4))
+        out.append((begin, end))
+        begin = end
+    return out
+
+
 def _information(m: np.ndarray) -> float:
     """Mutual information of neighbouring classes times the number of bigrams: the likelihood's part that classes change."""
     return float(_xlogx(m).sum() - _xlogx(m.sum(0)).sum() - _xlogx(m.sum(1)).sum() + _xlogx(m.sum()))
@@ -249,13 +319,12 @@ def cluster(bigrams: DataFrame, units: Units, classes: int = CLASSES, rounds: in
         def run(frames):
             m = np.zeros(classes * classes)
             for pdf in frames:
-                for pairs, n in zip(pdf["out_pairs"], pdf["out_n"]):
-                    if pairs is not None:
-                        keys = np.frombuffer(pairs, np.int64)
-                        m += np.bincount(held.value[keys // size] * classes + held.value[keys % size], np.frombuffer(n, np.int64), classes * classes)
+                for packed in zip(pdf["out_pairs"], pdf["out_n"]):
+                    keys, n = _unpack(*packed)
+                    m += np.bincount(held.value[keys // size] * classes + held.value[keys % size], n, classes * classes)
             yield pd.DataFrame({"m": [m.tobytes()]})
 
-        parts = [np.frombuffer(r.m, float) for r in bigrams.mapInPandas(run, "m binary").collect()]  # classes x classes numbers a partition
+        parts = [np.frombuffer(r.m, float) for r in bigrams.select("out_pairs", "out_n").mapInPandas(run, "m binary").collect()]  # classes x classes numbers a partition
         return np.sum(parts, 0).reshape(classes, classes) if parts else np.zeros((classes, classes))
 
     m = matrix(of)
@@ -267,24 +336,21 @@ def cluster(bigrams: DataFrame, units: Units, classes: int = CLASSES, rounds: in
             of, m = held.value
             for pdf in frames:
                 for row in pdf.itertuples():
-                    sides = []
-                    for pairs, n, this, other in ((row.out_pairs, row.out_n, lambda k: k // size, lambda k: k % size), (row.in_pairs, row.in_n, lambda k: k % size, lambda k: k // size)):
-                        keys = np.frombuffer(pairs, np.int64) if pairs is not None else np.zeros(0, np.int64)
-                        n = np.frombuffer(n, np.int64) if pairs is not None else keys
-                        mine = this(keys)
-                        sides.append((mine, other(keys), n))
+                    (out_keys, out_n), (in_keys, in_n) = _unpack(row.out_pairs, row.out_n), _unpack(row.in_pairs, row.in_n)
+                    sides = [(out_keys // size, out_keys % size, out_n), (in_keys % size, in_keys // size, in_n)]
                     own = np.unique(np.concatenate([sides[0][0], sides[1][0]]))
                     counts = [np.bincount(np.searchsorted(own, mine) * classes + of[other], n, len(own) * classes).reshape(len(own), classes) for mine, other, n in sides]
                     loops = np.zeros(len(own))
                     mine, other, n = sides[0]
                     loops[np.searchsorted(own, mine[mine == other])] = n[mine == other]
                     now, moves = m.copy(), []
-                    for i in np.argsort(-counts[1].sum(1), kind="stable").tolist():  # the block's own moves count at once
-                        a, out, into, loop = int(of[own[i]]), counts[0][i], counts[1][i], float(loops[i])
-                        b, gain = _best_moves(now, a, out, into, loop)
-                        if gain > 1e-6 and b != a:
+                    order = np.argsort(-counts[1].sum(1), kind="stable")
+                    for begin, end in _steps(len(order)):  # a step's own moves count at once for the next
+                        at = order[begin:end]
+                        best, gain = _best_moves(now, of[own[at]], counts[0][at], counts[1][at], loops[at])
+                        for i, b in zip(at[(gain > 1e-6) & (best != of[own[at]])].tolist(), best[(gain > 1e-6) & (best != of[own[at]])].tolist()):
                             moves.append((int(own[i]), b))
-                            _shift(now, a, b, out, into, loop)
+                            _shift(now, int(of[own[i]]), b, counts[0][i], counts[1][i], float(loops[i]))
                     yield pd.DataFrame(moves, columns=["unit", "cls"]).astype("int64")
 
         moved = bigrams.where(F.col("block") % STRIDE == number % STRIDE).mapInPandas(run, "unit long, cls long").toPandas()

@@ -171,9 +171,9 @@ def test_exchange_gain_equals_recounted_likelihood():
     def likelihood(m):
         return class_ngram._xlogx(m).sum() - class_ngram._xlogx(m.sum(0)).sum() - class_ngram._xlogx(m.sum(1)).sum()
 
-    for u in range(n):
-        out, into = np.bincount(of, pairs[u], classes), np.bincount(of, pairs[:, u], classes)
-        best, gain = class_ngram._best_moves(matrix(of), int(of[u]), out, into, float(pairs[u, u]))
+    out, into = (np.array([np.bincount(of, x, classes) for x in side]) for side in (pairs, pairs.T))
+    found = class_ngram._best_moves(matrix(of), of, out, into, np.diag(pairs).astype(float))
+    for u, best, gain in zip(range(n), *found):
         every = []
         for c in range(classes):
             moved = of.copy()
@@ -182,6 +182,89 @@ def test_exchange_gain_equals_recounted_likelihood():
         assert abs(gain - (max(every) - every[of[u]])) < 1e-6 and abs(every[best] - max(every)) < 1e-6
 
 
+def test_packed_pairs_come_back():
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    for size in (0, 1, 5, 1000):
+        keys, n = np.unique(rng.integers(0, 2**40, size)), None
+        n = rng.integers(1, 2**31 - 1, len(keys))
+        back = class_ngram._unpack(*class_ngram._pack(keys, n))
+        assert np.array_equal(back[0], keys) and np.array_equal(back[1], n)
+    assert class_ngram._steps(0) == [] and class_ngram._steps(1) == [(0, 1)]
+    for size in (7, 5000):
+        steps = class_ngram._steps(size)
+        assert steps[0] == (0, 1) and steps[-1][1] == size and all(a[1] == b[0] for a, b in zip(steps, steps[1:])) and max(b - a for a, b in steps) <= class_ngram.STEP
+
+
+def test_unit_bigrams_equal_plain_counts(docs, rows):
+    """Both sides of every block against counted neighbours of all texts."""
+    import numpy as np
+
+    texts = [(r[1] or "").encode() for r in rows]
+    frame = docs.select("text")
+    units = class_ngram.count_words(frame, 0.0, 3)
+    end = int(units.of(np.array([class_ngram.END]), np.zeros(1, np.int64))[0])
+    want = Counter()
+    for text in texts:
+        seq = [int(u) for _, _, hashes, bins in class_ngram._chunks([text]) for u in units.of(hashes, bins)] + [end]
+        want.update(zip([end, *seq], seq))
+    for one in (0, 1):
+        got = {}
+        for r in class_ngram._unit_bigrams(frame, units).collect():
+            keys, n = class_ngram._unpack(*((r.out_pairs, r.out_n) if one == 0 else (r.in_pairs, r.in_n)))
+            assert len({int(k // units.n if one == 0 else k % units.n) % class_ngram.BLOCKS for k in keys} | {r.block}) == 1
+            got |= {(int(k // units.n), int(k % units.n)): int(c) for k, c in zip(keys, n)}
+        assert got == want
+
+
+def test_class_ngram_score_is_the_product_of_its_three_probabilities(docs, rows):
+    """Every text's score from plain counts of classes, units and words, given only which unit a word is and which class a unit."""
+    import numpy as np
+
+    train = [zlib.crc32(("" if r[0] is None else str(r[0])).encode()) % 5 != 1 for r in rows]
+    frame = docs.select("doc_id", "text", class_ngram.is_training("doc_id").alias("is_train"))
+    classes = 6
+    model = class_ngram.fit(frame.where("is_train"), classes=classes)
+
+    def spoken(text):
+        words_ = (text or "").encode().lower().split()
+        unit = [int(u) for _, _, hashes, bins in class_ngram._chunks([(text or "").encode()]) for u in model.units.of(hashes, bins)] if words_ else []
+        return [*zip(unit, words_), (model.end, None)]
+
+    texts = [spoken(r[1]) for r in rows]
+    token, unit_n, kinds, pairs = Counter(), Counter(), {}, Counter()
+    for text, learn in zip(texts, train):
+        if learn:
+            token.update(w for _, w in text)
+            unit_n.update(u for u, _ in text)
+            pairs.update(zip([model.end, *(u for u, _ in text)], (u for u, _ in text)))
+            for u, w in text:
+                kinds.setdefault(u, set()).add(w)
+    cls = model.unit_class
+    m = np.zeros((classes, classes))
+    for (a, b), n in pairs.items():
+        m[cls[a], cls[b]] += n
+    prior = (m.sum(0) + 0.5) / (m.sum() + 0.5 * classes)
+    members, mass = Counter(cls.tolist()), Counter()
+    for u, n in unit_n.items():
+        mass[int(cls[u])] += n
+    want = []
+    for (doc_id, *_), text in zip(rows, texts):
+        total, before = 0.0, model.end
+        for u, w in text:
+            a, b = int(cls[before]), int(cls[u])
+            total += math.log10((m[a, b] + 20 * prior[b]) / (m[a].sum() + 20)) + math.log10((unit_n[u] + 0.5) / (mass[b] + 0.5 * members[b]))
+            if u < class_ngram.BINS:
+                total += math.log10((token[w] + 0.5) / (unit_n[u] + 0.5 * (len(kinds.get(u, ())) + 1)))
+            before = u
+        want.append((repr(doc_id), len(text), total))
+    got = sorted((repr(r.doc_id), r.n_tokens, r.score) for r in class_ngram.score(frame, model).collect())
+    assert len(got) == len(want)
+    for g, w in zip(got, sorted(want)):
+        assert g[:2] == w[:2] and abs(g[2] - w[2]) < 1e-6 * max(1, abs(w[2]))
+
+
 # substring dedup
 
 
