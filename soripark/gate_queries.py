@@ -89,9 +89,13 @@ def soft_accept_gates(spark, d):
 u as (select utt_id, sum(v) as vc, sum(v) / sum(n) as vr, sum(l) / sum(n) as lr, round(sum(c) / sum(n), 9) as ac, count(*) filter (v > 0) as uv, max(v) as most from pt group by 1),
 sc as (select utt_id, case when vc = 0 and lr <= 0.15 then 'none' when vr > 0.30 and (lr > 0.45 or ac < 0.60 or uv / greatest(vc, 1) > 0.55) then 'global' when vc > 0 and (most / greatest(vc, 1) >= 0.45 or uv <= 2) then 'localized'
   when vr > 0.15 or lr > 0.30 then 'mixed' else 'minor' end as scope from u),
-i as (select al.utt_id, al.evaluation_status, al.is_partial, quality_level, very_low_ratio as v, scope, len(ga.x) = 0 as gate_passed, sf.audio_passed, sf.coarse_passed, pause_gap_count > 0 as pz, max_tail_gap > 0.30 as tl, large_gap_count as lg, warning_gap_count as wg, unexplained_large_gap_count as ul,
+rp as (select utt_id, token, count(*) as n, count(*) filter (confidence < 0.05) as v, count(*) filter (confidence < 0.20) as l, sum(confidence) as c from th group by 1, 2),
+ru as (select utt_id, sum(v) as vc, sum(v) / sum(n) as vr, sum(l) / sum(n) as lr, round(sum(c) / sum(n), 9) as ac, count(*) filter (v > 0) as uv, max(v) as most from rp group by 1),
+rs as (select utt_id, case when vc = 0 and lr <= 0.15 then 'none' when vr > 0.30 and (lr > 0.45 or ac < 0.60 or uv / greatest(vc, 1) > 0.55) then 'global' when vc > 0 and (most / greatest(vc, 1) >= 0.45 or uv <= 2) then 'localized'
+  when vr > 0.15 or lr > 0.30 then 'mixed' else 'minor' end as raw_scope from ru),
+i as (select al.utt_id, al.evaluation_status, al.is_partial, quality_level, raw_scope, raw_very_low_ratio as rv, very_low_ratio as v, scope, len(ga.x) = 0 as gate_passed, sf.audio_passed, sf.coarse_passed, pause_gap_count > 0 as pz, max_tail_gap > 0.30 as tl, large_gap_count as lg, warning_gap_count as wg, unexplained_large_gap_count as ul,
   coalesce(very_low_ratio > 0.15 or (scope in ('global', 'mixed') and very_low_ratio > 0), false) as much, coalesce(very_low_ratio > 0.10 or (scope in ('global', 'mixed') and very_low_ratio > 0), false) as few
-  from al left join tm using (utt_id) left join sc using (utt_id) left join ga using (utt_id) left join sf using (utt_id)),
+  from al left join tm using (utt_id) left join sc using (utt_id) left join rs using (utt_id) left join ga using (utt_id) left join sf using (utt_id)),
 o as (select *, quality_level is null or evaluation_status <> 'ready' as off, coalesce(not audio_passed, false) as ab, coalesce(not coarse_passed, false) as cb, coalesce(not gate_passed, false) as gb from i),
 y as (select *, case when quality_level is null then ['forced_alignment_missing'] when off then ['evaluation_not_ready']
   when quality_level = 'discardable' then ['timing_quality_discardable', case when gb then 'alignment_gate_not_ready' end, case when much then 'confidence_limited_' || coalesce(scope, 'unknown') end, case when pz then 'pause_gap_detected' end, case when tl then 'tail_gap_detected' end]
@@ -101,8 +105,8 @@ y as (select *, case when quality_level is null then ['forced_alignment_missing'
     case when few then 'confidence_limited_' || coalesce(scope, 'minor') end, case when not (gb or pz or lg > 0 or v > 0.10 or few) then 'minor_timing_warning' end]
   else [case when gb then 'alignment_gate_not_ready' end] end as why,
   case when off then 'disabled' when quality_level in ('discardable', 'usable_with_warnings') then 'limited' when quality_level = 'minor_warnings' then 'cautious' when gb then 'limited' else 'full' end as u0 from o)
-select utt_id, case when u0 = 'full' and (ab or cb or is_partial) then 'cautious' else u0 end as recommended_usage, not off as alignment_for_prosody,
-  array_to_string(list_filter(list_concat(why, [case when ab then 'audio_quality_gate_failed' end, case when cb then 'coarse_alignment_gate_failed' end, case when ab or cb then 'soft_accept_policy_applied' end, case when is_partial then 'partial_alignment_tail_excluded' end]), lambda x: x is not null), ',') as reasons,
+select utt_id, case when u0 = 'full' and (ab or cb or is_partial) then 'cautious' else u0 end as recommended_usage, not off as alignment_for_prosody, not off as detailed_timing_allowed, quality_level as alignment_quality_level, scope as confidence_issue_scope, raw_scope as raw_confidence_issue_scope, round(rv, 6) as raw_very_low_confidence_ratio,
+  round(coalesce(v, 0), 6) as effective_very_low_confidence_ratio, array_to_string(list_filter(list_concat(why, [case when ab then 'audio_quality_gate_failed' end, case when cb then 'coarse_alignment_gate_failed' end, case when ab or cb then 'soft_accept_policy_applied' end, case when is_partial then 'partial_alignment_tail_excluded' end]), lambda x: x is not null), ',') as reasons,
   array_to_string(list_filter([case when gb then 'alignment_gate' end, case when pz then 'pause' end, case when few then 'confidence' end, case when wg > 0 or lg >= 3 or ul > 0 then 'gap' end, case when tl then 'tail' end,
     case when ab then 'audio_quality' end, case when cb then 'coarse_alignment' end, case when is_partial then 'partial_tail' end], lambda x: x is not null), ',') as limited_by from y""")
 def prosody_usage(spark, d):
@@ -110,8 +114,9 @@ def prosody_usage(spark, d):
     timing = staged(_timed(spark, d, segs), "timing")  # read by the scope, the gate and the soft gates
     rows = b.alignments(spark, d).select("utt_id", "evaluation_status", "is_partial").join(timing, "utt_id", "left")
     rows = rows.join(quality.confidence_issues(_thresholded(spark, d, segs)).select("utt_id", "scope"), "utt_id", "left")
+    rows = rows.join(quality.confidence_issues(calibration.with_thresholds(segs, None)).select("utt_id", F.col("scope").alias("raw_scope")), "utt_id", "left")
     rows = rows.join(quality.alignment_gate(timing).select("utt_id", F.col("passed").alias("gate_passed")), "utt_id", "left")
-    return quality.prosody_usage(rows.join(_soft(spark, d, timing).select("utt_id", "audio_passed", "coarse_passed"), "utt_id", "left"))
+    return _rounded(quality.prosody_usage(rows.join(_soft(spark, d, timing).select("utt_id", "audio_passed", "coarse_passed"), "utt_id", "left")))
 
 
 @query(f"""with {_SEG}, r as (select utt_id, list(token order by seg_idx) as tk, count(*) - utt_id % 3 as n from s group by utt_id), x as (select utt_id, n, tk, unnest(range(0, len(tk))) as i from r)

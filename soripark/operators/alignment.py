@@ -148,6 +148,23 @@ def align(pairs: DataFrame, ref: str = "ref", hyp: str = "hyp", profile: str = "
     return keyed.join(done, "_pair").drop("_pair")
 
 
+def summed_penalties(alignment: Column) -> Column:
+    """map of each feature's penalties over all steps; empty without any."""
+    none = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<double>"))
+    both = lambda k, a, b: F.coalesce(a, F.lit(0.0)) + F.coalesce(b, F.lit(0.0))
+    return F.aggregate(alignment["steps"], none, lambda total, s: F.map_zip_with(total, F.coalesce(s["penalties"], none), both))
+
+
+def segment_errors(alignment: Column) -> Column:
+    """What went wrong at each step of a cost, from the last step to the first, as the path is traced."""
+    return F.reverse(F.transform(F.filter(alignment["steps"], lambda s: s["cost"] > 0), lambda s: s["detail"]))
+
+
+def aligned_symbols(alignment: Column, side: str) -> Column:
+    """Symbols of a side (ref or hyp) step by step, ∅ where the other side has one more."""
+    return F.transform(alignment["steps"], lambda s: F.coalesce(s[f"{side}_symbol"], F.lit("∅")))
+
+
 def best_candidate(rows: DataFrame, by: list[str]) -> DataFrame:
     """Of each group the row with the best score, then the least cost, then the first rank."""
     w = Window.partitionBy(*by).orderBy(F.col("alignment.score").desc(), "alignment.total_cost", "rank")
@@ -197,7 +214,8 @@ def feedback(found: Column, overall: Column) -> Column:
     return F.struct(level.alias("level"), F.slice(F.filter(found, lambda x: ~x["acceptable"]), 1, 5).alias("issues"))
 
 
-def issue_rollup(rows: DataFrame) -> DataFrame:
-    """Counts of issues by type and severity, with totals by type and of all."""
-    one = rows.select(F.explode("issues").alias("x")).select("x.issue_type", "x.severity", "x.cost")
-    return one.rollup("issue_type", "severity").agg(F.count("*").alias("n"), F.sum("cost").alias("cost"))
+def issue_rollup(rows: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """Counts of issues by type and severity, with totals by type and of all; ``by`` (say, the profile) rolls up above them, its totals too."""
+    keys = [*(by or []), "issue_type", "severity"]
+    one = rows.select(*(by or []), F.explode("issues").alias("x")).select(*(by or []), "x.issue_type", "x.severity", "x.cost")
+    return one.rollup(*keys).agg(F.count("*").alias("n"), F.sum("cost").alias("cost"), *(F.grouping_id().alias("level") for _ in (by or [])[:1]))

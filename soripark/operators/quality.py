@@ -177,7 +177,8 @@ def prosody_usage(rows: DataFrame) -> DataFrame:
     """How far the prosody stage may use an utterance's timing: disabled, limited, cautious or full, why, and what limits it.
 
     ``rows``: a timing summary (quality_level null: no alignment) with scope, evaluation_status, gate_passed,
-    audio_passed, coarse_passed (null: not judged) and is_partial (a trimmed tail).
+    audio_passed, coarse_passed (null: not judged) and is_partial (a trimmed tail).  ``raw_scope`` and ``raw_very_low_ratio``,
+    by the fixed thresholds, are passed on where they are at hand.  Times in detail are allowed wherever the alignment may be used at all.
     """
     very_low, level = F.col("very_low_ratio"), F.col("quality_level")
     broad = F.col("scope").isin("global", "mixed") & (very_low > 0)
@@ -209,7 +210,11 @@ def prosody_usage(rows: DataFrame) -> DataFrame:
         "alignment_gate": gate, "pause": pause, "confidence": some, "gap": (F.col("warning_gap_count") > 0) | many | (F.col("unexplained_large_gap_count") > 0), "tail": tail,
         "audio_quality": audio, "coarse_alignment": coarse, "partial_tail": partial})
     usage = F.when((usage == "full") & (soft | F.coalesce(partial, F.lit(False))), "cautious").otherwise(usage)
-    return rows.select("utt_id", usage.alias("recommended_usage"), (~off).alias("alignment_for_prosody"), F.array_join(F.concat(why, more), ",").alias("reasons"), F.array_join(limits, ",").alias("limited_by"))
+    given = lambda name, kind: F.col(name) if name in rows.columns else F.lit(None).cast(kind)
+    return rows.select(
+        "utt_id", usage.alias("recommended_usage"), (~off).alias("alignment_for_prosody"), (~off).alias("detailed_timing_allowed"), F.array_join(F.concat(why, more), ",").alias("reasons"), F.array_join(limits, ",").alias("limited_by"),
+        level.alias("alignment_quality_level"), F.col("scope").alias("confidence_issue_scope"), given("raw_scope", "string").alias("raw_confidence_issue_scope"), given("raw_very_low_ratio", "double").alias("raw_very_low_confidence_ratio"),
+        F.coalesce(very_low, F.lit(0.0)).alias("effective_very_low_confidence_ratio"))
 
 
 def excluded_tail(references: DataFrame) -> DataFrame:

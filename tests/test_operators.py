@@ -166,6 +166,17 @@ def test_alignment_scores_and_issues(spark):
     assert abs(got[2].s.coda - 100 * (1 - 0.75 / 1.4)) < 1e-9
     assert [x.op for x in got[3].alignment.steps] == ["delete"] * 3 and got[4].alignment.steps == [] and got[4].alignment.score == 100
     assert [x.op for x in got[5].alignment.steps] == ["substitute", "match", "insert", "match"] and [x.issue_type for x in got[5].i] == ["epenthetic_vowel_insertion", "aspiration_or_tense_confusion"]
+    sums = {r.id: (r.p, r.e, r.a, r.b) for r in df.select("id", alignment.summed_penalties(F.col("alignment")).alias("p"), alignment.segment_errors(F.col("alignment")).alias("e"), alignment.aligned_symbols(F.col("alignment"), "ref").alias("a"), alignment.aligned_symbols(F.col("alignment"), "hyp").alias("b")).collect()}
+    for i, r in got.items():
+        want = {}
+        for x in r.alignment.steps:
+            for k, v in (x.penalties or {}).items():
+                want[k] = want.get(k, 0.0) + v
+        assert sums[i][0] == pytest.approx(want) and sums[i][1] == [x.detail for x in reversed(r.alignment.steps) if x.cost > 0]
+    assert sums[5][0] and sums[5][1] == ["ɯ inserted", "k -> kʰ"] and sums[5][2] == ["k", "a", "∅", "n"] and sums[2][3] == ["k", "a", "∅"] and sums[4] == ({}, [], [], [])
+    two = df.withColumnRenamed("i", "issues").withColumn("profile", F.when(F.col("id") < 3, "ru").otherwise("en"))
+    by = {(r.profile, r.issue_type, r.severity): r.n for r in alignment.issue_rollup(two, ["profile"]).collect()}
+    assert by[(None, None, None)] == by[("ru", None, None)] + by[("en", None, None)] == sum(len(r.i) for r in got.values()) and by[("ru", "coda_deletion", None)] == 1
     rolled = {(r.issue_type, r.severity): r.n for r in alignment.issue_rollup(df.withColumnRenamed("i", "issues")).collect()}
     assert rolled[(None, None)] == sum(len(r.i) for r in got.values())
 
