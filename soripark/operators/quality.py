@@ -192,6 +192,7 @@ def prosody_usage(rows: DataFrame) -> DataFrame:
         return found if default is None else F.when(F.size(found) == 0, F.array(F.lit(default))).otherwise(found)
 
     off = level.isNull() | (F.col("evaluation_status") != "ready")
+    # Names of usages, reasons and limits.
     why = (
         F.when(level.isNull(), F.array(F.lit("forced_alignment_missing"))).when(off, F.array(F.lit("evaluation_not_ready")))
         .when(level == "discardable", reasons({"timing_quality_discardable": F.lit(True), "alignment_gate_not_ready": gate}, scoped(much, "unknown"), {"pause_gap_detected": pause, "tail_gap_detected": tail}, None))

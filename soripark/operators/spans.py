@@ -95,6 +95,7 @@ def syllable_drilldown(contours: DataFrame, means: DataFrame, outliers: DataFram
 
 
 def position_hint(pos: Column, total: Column) -> Column:
+    # Names of a syllable's place.
     return (
         F.when(total == 1, F.lit("유일 음절")).when(pos == 0, F.lit("첫 음절")).when(pos == total - 1, F.lit("마지막 음절"))
         .otherwise(F.concat((pos + 1).cast("string"), F.lit("번째 음절")))
