@@ -20,7 +20,7 @@ from soripark.llm.vectors import dealt, matrix, nearest, searched, usable
 SHARD_ROWS = 16384
 DEGREE = 32
 BUILD_BEAM = 64
-QUERY_BEAM = 64
+QUERY_BEAM = 192
 #: Searches start from the centre and this many other points, so a dense clump about the centre holds none back.
 ENTRIES = 32
 ALPHA = 1.2

@@ -123,6 +123,24 @@ def test_graph_sees_past_dense_clumps(spark):
     assert len(got) == 80 and hit >= 0.95 * 800
 
 
+def test_graph_recall_on_a_full_shard_without_clusters(spark):
+    """As many normal vectors of 64 components as a shard holds, which have no near neighbours, under the shipped parameters."""
+    import numpy as np
+    import pandas as pd
+
+    points = np.random.default_rng(1).normal(0, 1, (graph_index.SHARD_ROWS, 64)).astype(np.float32)
+    rows = spark.createDataFrame(pd.DataFrame({"vec_id": np.arange(len(points)), "v": list(points.tolist())}), "vec_id long, v array<float>")
+    got = {}
+    for r in graph_index.search(rows, rows.where("vec_id % 100 = 0").withColumnRenamed("vec_id", "query_id"), 10).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    hit, wide = 0, points.astype(float)
+    for q, found in got.items():
+        gap = ((wide - wide[q]) ** 2).sum(1)
+        gap[q] = np.inf
+        hit += len(found & set(np.argsort(gap)[:10].tolist()))
+    assert len(got) == 164 and hit >= 0.95 * 1640
+
+
 ARTICLE = "<article><h1>{t}</h1><p>{a}</p><p>{b}<br>more &amp; more&nbsp;text</p></article>"
 PAGE = '<!DOCTYPE html><html><head><title>x</title><style>p{{}}</style><script>var s="</p><p>no";</script></head><body><nav><ul><li><a href="/">Home</a><li>News</ul></nav><div class="cookie-notice">We use cookies</div>{m}<div class="misc"><p>Always here</p></div><section id="comments"><p>nice!</p></section><form><input><label>Mail</label></form><footer>&copy; all</footer></body></html>'
 
