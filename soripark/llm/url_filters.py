@@ -14,6 +14,11 @@ from pyspark.sql import functions as F
 
 from soripark.llm.common import BROADCAST_ROWS, saved, small, table
 
+#: Where intervals are too many to broadcast: captures of a key from which it is dealt out, to so many parts; most such keys that are broadcast.
+HOT_CAPTURES = 1_000_000
+HOT_PARTS = 64
+BROADCAST_HOT = 100_000
+
 
 def host_of(url: Column) -> Column:
     """Lower-case host without user, port and trailing dot; null for a null url, empty for an odd one."""
@@ -41,6 +46,16 @@ def intervals(entries: DataFrame) -> DataFrame:
     return rows.select("key", "verdict", F.col("at").alias("since"), until.alias("until")).where("verdict <> 'remove'")
 
 
+def _in_parts(asked: DataFrame, active: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both sides with a part: captures of a key with more than ``HOT_CAPTURES`` are dealt out to ``HOT_PARTS`` parts, and its intervals stand in each."""
+    hot = saved(asked.join(active.select("key").distinct(), "key", "left_semi").groupBy("key").count().where(F.col("count") > HOT_CAPTURES).select("key", F.lit(True).alias("hot")))
+    hot = small(hot, hot.count(), BROADCAST_HOT)
+    dealt = F.pmod(F.xxhash64("__sp_url", "__sp_at"), F.lit(HOT_PARTS)).cast("int")
+    asked = asked.join(hot, "key", "left").withColumn("part", F.when(F.col("hot"), dealt).otherwise(0)).drop("hot")
+    parts = F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(HOT_PARTS - 1))).otherwise(F.array(F.lit(0)))
+    return asked, active.join(hot, "key", "left").withColumn("part", F.explode(parts)).drop("hot")
+
+
 def judge(captures: DataFrame, entries: DataFrame, url: str = "url", at: str = "fetched_at") -> DataFrame:
     """``captures`` with ``verdict`` (block, allow or none), ``list_key`` and ``since`` of the deciding entry.
 
@@ -50,9 +65,13 @@ def judge(captures: DataFrame, entries: DataFrame, url: str = "url", at: str = "
     active = saved(intervals(entries))
     n = active.count()
     different = captures.select(F.col(url).alias("__sp_url"), F.col(at).alias("__sp_at")).where("__sp_url is not null and __sp_at is not null").distinct()
-    asked = different.select("*", F.explode(keys_of(F.col("__sp_url"))).alias("key")).alias("a")
-    inside = (F.col("a.key") == F.col("i.key")) & (F.col("a.__sp_at") >= F.col("i.since")) & (F.col("i.until").isNull() | (F.col("a.__sp_at") < F.col("i.until")))
-    hits = asked.join(small(active, n, BROADCAST_ROWS).alias("i"), inside)
+    asked = different.select("*", F.explode(keys_of(F.col("__sp_url"))).alias("key"))
+    if n > BROADCAST_ROWS:
+        asked, active = _in_parts(asked, active)
+    else:
+        asked, active = asked.withColumn("part", F.lit(0)), F.broadcast(active.withColumn("part", F.lit(0)))
+    inside = (F.col("a.key") == F.col("i.key")) & (F.col("a.part") == F.col("i.part")) & (F.col("a.__sp_at") >= F.col("i.since")) & (F.col("i.until").isNull() | (F.col("a.__sp_at") < F.col("i.until")))
+    hits = asked.alias("a").join(active.alias("i"), inside)
     best = F.max(F.struct(F.length("i.key").alias("n"), F.col("i.key").alias("list_key"), F.col("i.verdict").alias("verdict"), F.col("i.since").alias("since")))
     judged = hits.groupBy("__sp_url", "__sp_at").agg(best.alias("__sp_best"))
     rows = captures.withColumns({"__sp_url": F.col(url), "__sp_at": F.col(at)}).join(judged, ["__sp_url", "__sp_at"], "left")
