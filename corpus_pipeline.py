@@ -48,9 +48,9 @@ def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, lang, source, n_tokens, ids, and whether decoding the ids gives the text (space marks read as spaces)."""
     vocabulary = piece_encoding.load_vocabulary(piece_encoding.default_model_path())
-    rows = piece_encoding.decode(piece_encoding.encode(docs, vocabulary), vocabulary)
-    same = F.col("decoded") == F.translate(F.coalesce("text", F.lit("")), piece_encoding.SPACE, " ")
-    return rows.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", same.alias("round_trip"))
+    rows = piece_encoding.encode_checked(docs, vocabulary, into="__sp_pieces")
+    ids = F.col("__sp_pieces.ids")
+    return rows.select("doc_id", "lang", "source", F.size(ids).cast("long").alias("n_tokens"), ids.alias("ids"), F.col("__sp_pieces.round_trip").alias("round_trip"))
 
 
 STAGES = [

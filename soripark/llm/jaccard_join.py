@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from soripark.llm import sketch
-from soripark.llm.common import forget, saved, slices, small, table, text_bytes, whole_texts
+from soripark.llm.common import forget, saved, slices, small, table, text_bytes, tidy, whole_texts
 from soripark.llm.components import components
 from soripark.llm.hashing import batch_word_hashes, batches_of, mix, shingle_hashes
 
@@ -92,7 +92,7 @@ def token_sets(docs: DataFrame, k: int, percent: int, flags: Broadcast, bits: in
             ids = pa.array([_NO_ID if x is None else x for x in batch.column(0).to_pylist()], pa.int64())
             yield pa.RecordBatch.from_arrays([ids, batch.column(2), pa.array(nodes), pa.array(sizes), pa.array(kept, pa.list_(pa.int64()))], ["__sp_id", "hash", "node", "size", "kept"])
 
-    return docs.mapInArrow(run, "__sp_id long, hash long, node long, size int, kept array<long>")
+    return docs.mapInArrow(tidy(run), "__sp_id long, hash long, node long, size int, kept array<long>")
 
 
 def first_tokens(live: DataFrame, percent: int, flags: Broadcast, bits: int, counts: Broadcast) -> DataFrame:
@@ -129,7 +129,7 @@ def first_tokens(live: DataFrame, percent: int, flags: Broadcast, bits: int, cou
             if out[0]:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], ["token", "node", "size", "cap", "common"])
 
-    return live.mapInArrow(run, "token long, node long, size int, cap int, common float")
+    return live.mapInArrow(tidy(run), "token long, node long, size int, cap int, common float")
 
 
 def _under_all_orders(met: DataFrame) -> DataFrame:

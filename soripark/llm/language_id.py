@@ -8,6 +8,7 @@ each whole text in numpy.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -15,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from soripark.llm.common import remainder, table, whole_texts
+from soripark.llm.common import give_back, remainder, table, tidy, whole_texts
 
 BUCKET_BITS = 16
 ORDERS = (1, 2, 3)
@@ -88,7 +89,7 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", *, orders=ORD
 
     whole_texts(docs)
     rows = docs.select(F.col(lang).alias("lang"), F.col(text).alias("text")).where("lang is not null and text is not null")
-    counted = rows.mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    counted = rows.mapInArrow(tidy(count), "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     got = counted.toArrow()
     names = sorted(set(got.column("lang").to_pylist()))
     if len(names) > MAX_LANGUAGES:
@@ -135,9 +136,12 @@ def predictor(spark: SparkSession, model: Model):
     held = spark.sparkContext.broadcast(model)
 
     @F.arrow_udf("struct<lang_pred: string, score: double>")
-    def predict(text: pa.Array) -> pa.Array:
-        names, scores = score_texts(held.value, text.to_pylist())
-        return pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(scores, pa.float64())], ["lang_pred", "score"])
+    def predict(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for text in texts:
+            names, scores = score_texts(held.value, text.to_pylist())
+            yield pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(scores, pa.float64())], ["lang_pred", "score"])
+        text = None
+        give_back()
 
     return predict
 

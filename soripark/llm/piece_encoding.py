@@ -14,6 +14,7 @@ remembered.  Runs of marks merge after everything else and are encoded apart.
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import ahocorasick
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from soripark.llm.common import table, whole_texts
+from soripark.llm.common import give_back, table, whole_texts
 
 SPACE = "▁"
 #: Memory of a Python worker, with no effect on results: cut parts of up to so many characters, two generations of so many, and so many judged pairs.
@@ -183,6 +184,11 @@ class Encoder:
             self.old, self.new = self.new, {}
         return got
 
+    def forget(self) -> None:
+        """Drops the remembered parts and pairs, not the tables."""
+        self.valid.clear()
+        self.new, self.old = {}, {}
+
     def run(self, n: int) -> list[int]:
         """Ids of n space marks alone."""
         got = self.runs.get(n)
@@ -265,6 +271,11 @@ def _encoder(held) -> Encoder:
     return _encoders[key]
 
 
+def _id_lists(rows: list[np.ndarray]) -> pa.Array:
+    offsets = np.concatenate([[0], np.cumsum([len(r) for r in rows])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.zeros(0, np.int32), *rows])))
+
+
 def encode(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", into: str = "ids") -> DataFrame:
     """``docs`` with an array<int> column of ids.  Null and empty texts: an empty array."""
     held = whole_texts(docs).sparkContext.broadcast(vocabulary)
@@ -272,9 +283,7 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", into: st
     @F.arrow_udf("array<int>")
     def run(texts: pa.Array) -> pa.Array:
         e = _encoder(held)
-        rows = [np.array(e.encode(texts[i].as_py()), np.int32) for i in range(len(texts))]  # four bytes an id, one text at a time
-        offsets = np.concatenate([[0], np.cumsum([len(r) for r in rows])]).astype(np.int32)
-        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.zeros(0, np.int32), *rows])))
+        return _id_lists([np.array(e.encode(texts[i].as_py()), np.int32) for i in range(len(texts))])  # four bytes an id, one text at a time
 
     return docs.withColumn(into, run(F.col(text)))
 
@@ -291,6 +300,33 @@ def decode(docs: DataFrame, vocabulary: Vocabulary, ids: str = "ids", into: str
     return docs.withColumn(into, run(F.col(ids)))
 
 
+def encode_checked(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", into: str = "pieces") -> DataFrame:
+    """``docs`` with a struct: ids, and whether decoding them gives the text (space marks read as spaces; null as empty).
+
+    The same encoding and decoding as ``encode`` and ``decode``, in one trip to Python: two would take two workers a
+    task, each with an encoder, and the decoded texts would pass the JVM.  What a worker remembers ends with its task.
+    """
+    held = whole_texts(docs).sparkContext.broadcast(vocabulary)
+    fields = [pa.field("ids", pa.list_(pa.int32())), pa.field("round_trip", pa.bool_())]
+
+    @F.arrow_udf("struct<ids: array<int>, round_trip: boolean>")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        e = _encoder(held)
+        for texts in batches:
+            rows, same = [], []
+            for i in range(len(texts)):
+                whole = texts[i].as_py() or ""
+                ids = e.encode(whole)
+                rows.append(np.array(ids, np.int32))
+                same.append(e.decode(ids) == whole.replace(SPACE, " "))
+            yield pa.StructArray.from_arrays([_id_lists(rows).cast(fields[0].type), pa.array(same, pa.bool_())], fields=fields)
+        texts = rows = None
+        e.forget()
+        give_back()
+
+    return docs.withColumn(into, run(F.col(text)))
+
+
 def round_trip(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", into: str = "pieces") -> DataFrame:
     """``docs`` with n_tokens and the SHA-256 of ids and of the decoded text, without keeping either.
 

@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from soripark.llm.common import slices
+from soripark.llm.common import slices, tidy
 
 U64 = np.uint64
 _SALTS = np.random.Generator(np.random.PCG64(97)).integers(1, 2**63, 8, dtype=np.uint64) * U64(2) + U64(1)
@@ -52,7 +52,7 @@ def _chunks(batches: Iterator[pa.RecordBatch], hashes: Callable[[pa.RecordBatch]
 
 
 def _merged(filled: DataFrame, merge, rows: int, segments: int, empty: bytes) -> list[bytearray]:
-    merged = filled.repartition("part").sortWithinPartitions("part").mapInArrow(merge, "part int, bytes binary")
+    merged = filled.repartition("part").sortWithinPartitions("part").mapInArrow(tidy(merge), "part int, bytes binary")
     width = len(empty)
     out = [bytearray(empty * segments) for _ in range(rows)]
     for r in merged.collect():
@@ -113,7 +113,7 @@ def build(df: DataFrame, hashes: Callable[[pa.RecordBatch], Iterator[np.ndarray]
     def merge(batches):
         return _by_part(batches, lambda: np.zeros(width, np.int64), add, lambda total: reduced(np.minimum(total, 2**32 - 1).astype(np.uint32)))
 
-    return _merged(df.mapInArrow(fill, "part int, a binary, b binary"), merge, rows, segments, reduced(np.zeros(width, np.uint32)))
+    return _merged(df.mapInArrow(tidy(fill), "part int, a binary, b binary"), merge, rows, segments, reduced(np.zeros(width, np.uint32)))
 
 
 def _gaps(sorted_cells: np.ndarray) -> bytes:
@@ -160,7 +160,7 @@ def repeated(df: DataFrame, hashes: Callable[[pa.RecordBatch], Iterator[np.ndarr
     def merge(batches):
         return _by_part(batches, lambda: (np.zeros(width, bool), np.zeros(width, bool)), add, lambda total: np.packbits(total[1]).tobytes())
 
-    return _merged(df.mapInArrow(fill, "part int, a binary, b binary"), merge, rows, segments, bytes(width // 8))
+    return _merged(df.mapInArrow(tidy(fill), "part int, a binary, b binary"), merge, rows, segments, bytes(width // 8))
 
 
 def flagged(flags: list[np.ndarray], hashes: np.ndarray, bits: int) -> np.ndarray:

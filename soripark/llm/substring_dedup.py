@@ -13,6 +13,7 @@ documents sends one entry a batch.
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -21,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from soripark.llm import sketch
-from soripark.llm.common import slices, table, text_bytes, whole_texts
+from soripark.llm.common import give_back, slices, table, text_bytes, tidy, whole_texts
 from soripark.llm.hashing import batch_word_hashes, batches_of, mix, shingle_hashes
 
 WIDTH = 20
@@ -160,7 +161,7 @@ def later_windows(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, bits: i
         late = order[late]
         return _marks(*(np.concatenate([done[n], open_[n][late]]) for n in ("doc", "text", "start")))
 
-    entries = docs.select("doc_id", "text", "text_hash").mapInArrow(candidates, _COLUMNS)
+    entries = docs.select("doc_id", "text", "text_hash").mapInArrow(tidy(candidates), _COLUMNS)
     return entries.groupBy("bucket").applyInPandas(settle, "doc_id long, text_hash long, starts binary")
 
 
@@ -187,12 +188,18 @@ def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     marks = marks.groupBy(F.col("doc_id").alias("__sp_id"), F.col("text_hash").alias("__sp_hash")).agg(F.collect_list("starts").alias("__sp_starts"))
     fields = [pa.field("n_words", pa.int64()), pa.field("n_removed", pa.int64()), pa.field("text", pa.string())]
 
-    @F.arrow_udf("struct<n_words: long, n_removed: long, text: string>")
-    def keep(texts: pa.Array, starts: pa.Array) -> pa.Array:
+    def kept(texts: pa.Array, starts: pa.Array) -> pa.Array:
         rows = [_kept(t.as_py(), s.as_py(), width) for t, s in zip(texts, starts)]
         last = [hashlib.sha256(x[2].encode()).hexdigest() if digest else x[2] for x in rows]
         return pa.StructArray.from_arrays([pa.array([x[0] for x in rows], pa.int64()), pa.array([x[1] for x in rows], pa.int64()), pa.array(last, pa.string())], fields=fields)
 
+    @F.arrow_udf("struct<n_words: long, n_removed: long, text: string>")
+    def keep(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for batch in batches:
+            yield kept(*batch)
+        batch = None
+        give_back()
+
     return keyed.join(marks, ["__sp_id", "__sp_hash"], "left").withColumn(into, keep(F.col(text), F.col("__sp_starts"))).drop("__sp_id", "__sp_hash", "__sp_starts")
 
 

@@ -516,6 +516,46 @@ def test_pipeline_stages_keep_columns_and_agree_with_plain_versions(spark, docs,
             assert len(has) == len(had) and all(r.round_trip and r.n_tokens == len(r.ids) for r in has)
 
 
+def test_pipeline_encodes_in_one_trip_and_remembers_nothing_after(spark, docs, rows, library):
+    """Two Python nodes would take two workers a task, each with an encoder."""
+    tokens = corpus_pipeline.token_ids(spark, docs, "")
+    assert tokens._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+    assert tokens.schema["ids"].dataType.simpleString() == "array<int>"
+    got = Counter((repr(r.doc_id), tuple(r.ids), r.n_tokens, r.round_trip) for r in tokens.collect())
+    want = Counter()
+    for r in rows:
+        ids = library.encode(r[1] or "")
+        want[(repr(r[0]), tuple(ids), len(ids), library.decode(ids) == (r[1] or "").replace("▁", " "))] += 1
+    assert got == want
+    encoder = piece_encoding.Encoder(piece_encoding.load_vocabulary(piece_encoding.default_model_path()))
+    first = encoder.encode("one two  three")
+    encoder.forget()
+    assert not (encoder.new or encoder.old or encoder.valid) and encoder.encode("one two  three") == first
+
+
+def test_a_task_gives_its_memory_back():
+    """Workers outlive their tasks: what a task held must not stay with them."""
+    import re
+    from pathlib import Path
+
+    import numpy as np
+
+    from soripark.llm.common import tidy
+
+    own = lambda: sum(map(int, re.findall(r"\nPss_Anon:\s+(\d+)", Path("/proc/self/smaps_rollup").read_text()))) / 1024
+    marks = []
+
+    def run(batches):
+        held = [np.ones(8000) for _ in range(2000)]  # 128 MB in pieces that malloc keeps
+        pins = [np.ones(16) for _ in range(2000)]
+        marks.append(own())
+        for batch in batches:
+            yield batch, len(held) + len(pins)
+
+    assert [n for n, _ in tidy(run)([1, 2])] == [1, 2]
+    assert marks[0] - own() > 100
+
+
 def test_pipeline_of_an_empty_table(spark, empty):
     now = empty.select("doc_id", "text", "lang", "source", "n_chars")
     for _, stage in corpus_pipeline.STAGES:
