@@ -66,8 +66,11 @@ def _with_ends(counts: np.ndarray, values: np.ndarray, end) -> tuple[np.ndarray,
 
 
 def _summed(keys: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    by = np.argsort(keys, kind="stable")
-    keys = keys[by]
+    if counts is None:  # numbers alone sort many times faster than their order
+        keys = np.sort(keys)
+    else:
+        by = np.argsort(keys, kind="stable")
+        keys = keys[by]
     first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
     n = np.diff(first, append=len(keys)) if counts is None else (np.add.reduceat(counts[by], first) if len(first) else counts)
     return keys[first], n.astype(np.int64)
@@ -97,8 +100,10 @@ class Units:
     def of(self, hashes: np.ndarray, bins: np.ndarray) -> np.ndarray:
         if not len(self.hashes):
             return bins.copy()
-        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
-        return np.where(self.hashes[at] == hashes, at + BINS, bins)
+        words, place = np.unique(hashes, return_inverse=True)  # in order and once each they are found faster
+        at = np.minimum(np.searchsorted(self.hashes, words), len(self.hashes) - 1)
+        unit = np.where(self.hashes[at] == words, at + BINS, -1)[place]
+        return np.where(unit >= 0, unit, bins)
 
 
 def count_words(train: DataFrame, share: float, n_buckets: int, least: int = LEAST) -> Units:
@@ -147,12 +152,19 @@ def count_words(train: DataFrame, share: float, n_buckets: int, least: int = LEA
 
 
 def _planes(values: np.ndarray) -> bytes:
-    """Whole numbers byte by byte: all lowest bytes, then the next ones.  Small numbers leave the high bytes alike, which the shuffle's and the files' compression takes out."""
-    return values.astype(np.int64).view(np.uint8).reshape(len(values), 8).T.tobytes()
+    """Whole numbers (0 or more) byte by byte: how many bytes the largest needs, all lowest bytes, then the next ones, up to that one.  Of these the high ones are mostly alike, which the shuffle's and the files' compression takes out."""
+    width = max(1, -(-int(values.max(initial=0)).bit_length() // 8))
+    return bytes([width]) + values.astype(np.int64).view(np.uint8).reshape(len(values), 8)[:, :width].T.tobytes()
 
 
 def _numbers(planes: bytes | None) -> np.ndarray:
-    return np.frombuffer(planes or b"", np.uint8).reshape(8, -1).T.copy().view(np.int64).ravel()
+    if not planes:
+        return np.zeros(0, np.int64)
+    parts = np.frombuffer(planes, np.uint8, offset=1).reshape(planes[0], -1)
+    out = np.zeros((parts.shape[1], 8), np.uint8)
+    for place, part in enumerate(parts):
+        out[:, place] = part
+    return out.view(np.int64).ravel()
 
 
 def _pack(keys: np.ndarray, n: np.ndarray) -> tuple[bytes, bytes]:
@@ -164,13 +176,20 @@ def _unpack(keys: bytes | None, n: bytes | None) -> tuple[np.ndarray, np.ndarray
     return np.cumsum(_numbers(keys)), _numbers(n)
 
 
+def _split(keys: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """First and second unit of pair keys."""
+    first = keys // size
+    return first, keys - first * size
+
+
 _SIDE = "block int, pairs binary, n binary"
 
 
 def _side_rows(keys: np.ndarray, n: np.ndarray, unit: np.ndarray, blocks: int) -> pa.RecordBatch:
     """A row a block of units with its pairs, keys rising."""
-    by = np.argsort(unit % blocks, kind="stable")
-    parts = [(b, *_pack(keys[by[x:y]], n[by[x:y]])) for b, x, y in _runs((unit % blocks)[by])]
+    block = (unit % blocks).astype(np.uint16 if blocks <= 1 << 16 else np.int64)  # 16 bits sort by radix
+    by = np.argsort(block, kind="stable")
+    parts = [(b, *_pack(keys[by[x:y]], n[by[x:y]])) for b, x, y in _runs(block[by].astype(np.int64))]
     return pa.RecordBatch.from_arrays([pa.array([p[0] for p in parts], pa.int32()), pa.array([p[1] for p in parts], pa.binary()), pa.array([p[2] for p in parts], pa.binary())], ["block", "pairs", "n"])
 
 
@@ -182,7 +201,7 @@ def _joined(rows: pd.DataFrame) -> tuple[bytes, bytes]:
 def _unit_bigrams(train: DataFrame, units: Units) -> DataFrame:
     """Packed counts of unit pairs: one row a block of units with what follows and what precedes each of them.
 
-    Tasks send their pairs once, by the first unit; what precedes a unit comes from the merged pairs.
+    Blocks that move their units in one round have one ``turn`` and lie together, so a round reads no others.  Tasks send their pairs once, by the first unit; what precedes a unit comes from the merged pairs.
     """
     held = whole_texts(train).sparkContext.broadcast(units)
     blocks, size = max(BLOCKS, -(-units.n // BLOCK_UNITS)), units.n
@@ -223,7 +242,8 @@ def _unit_bigrams(train: DataFrame, units: Units) -> DataFrame:
 
     after = saved(train.select("text").mapInArrow(run, _SIDE).groupBy("block").applyInPandas(merge, _SIDE).repartition(blocks, "block"))
     sides = after.groupBy("block").cogroup(after.mapInArrow(turn, _SIDE).groupBy("block"))
-    out = saved(sides.applyInPandas(both, "block int, out_pairs binary, out_n binary, in_pairs binary, in_n binary").repartition(blocks, "block"))
+    packed = sides.applyInPandas(both, "block int, out_pairs binary, out_n binary, in_pairs binary, in_n binary").repartition(blocks, "block")
+    out = saved(packed.withColumn("turn", F.col("block") % STRIDE), by="turn")
     forget(after)
     return out
 
@@ -233,11 +253,11 @@ def _xlogx(x: np.ndarray) -> np.ndarray:
 
 
 def _sums(values: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
-    """Columns of ``values`` added up by their (rising) owner, a row an owner."""
-    out = np.zeros((n, len(values)))
+    """Rows of ``values`` added up by their (rising) owner, a row an owner."""
+    out = np.zeros((n, values.shape[1]))
     first = np.flatnonzero(np.diff(owner, prepend=-1))
     if len(first):
-        out[owner[first]] = np.add.reduceat(values, first, axis=1).T
+        out[owner[first]] = np.add.reduceat(values, first, axis=0)
     return out
 
 
@@ -255,13 +275,19 @@ def _best_moves(m: np.ndarray, own: np.ndarray, out: np.ndarray, into: np.ndarra
     def side(m, with_, across):
         """What row b gains when a unit's bigrams ``with_`` join it, for each b; without the unit's own counts where they stand now."""
         unit, at = np.nonzero(with_)  # only where it has bigrams
-        x = with_[unit, at]
-        rest = m[:, at]
+        each, x, columns = np.arange(len(unit)), with_[unit, at], np.ascontiguousarray(m.T)
+        rest, before = columns[at], _xlogx(columns)[at]  # a row a bigram of a unit with a class; few places of it change without the unit's own counts
         home = np.flatnonzero(at == own[unit])
-        rest[:, home] -= across[unit[home]].T
-        rest[own[unit], np.arange(len(unit))] -= x
-        rest[own[unit[home]], home] -= loops[unit[home]]
-        return _sums(_xlogx(rest + x) - _xlogx(rest), unit, len(own))
+        rest[home] -= across[unit[home]]
+        rest[each, own[unit]] -= x
+        rest[home, own[unit[home]]] -= loops[unit[home]]
+        before[home] = _xlogx(rest[home])
+        before[each, own[unit]] = _xlogx(rest[each, own[unit]])
+        rest += x[:, None]
+        gain = np.log(np.maximum(rest, 1e-300))
+        gain *= rest
+        gain -= before
+        return _sums(gain, unit, len(own))
 
     d = np.tile(np.diag(m), (len(own), 1))
     d[each, own] -= out[each, own] + into[each, own] + loops
@@ -321,12 +347,33 @@ def cluster(bigrams: DataFrame, units: Units, classes: int = CLASSES, rounds: in
             for pdf in frames:
                 for packed in zip(pdf["out_pairs"], pdf["out_n"]):
                     keys, n = _unpack(*packed)
-                    m += np.bincount(held.value[keys // size] * classes + held.value[keys % size], n, classes * classes)
+                    first, then = _split(keys, size)
+                    m += np.bincount(held.value[first] * classes + held.value[then], n, classes * classes)
             yield pd.DataFrame({"m": [m.tobytes()]})
 
         parts = [np.frombuffer(r.m, float) for r in bigrams.select("out_pairs", "out_n").mapInPandas(run, "m binary").collect()]  # classes x classes numbers a partition
         return np.sum(parts, 0).reshape(classes, classes) if parts else np.zeros((classes, classes))
 
+    def moved_matrix(of: np.ndarray, new: np.ndarray, turn: int) -> np.ndarray:
+        """What the class bigram counts gain when the units of blocks of this turn go from classes ``of`` to ``new``: of their own bigrams only, each once."""
+        held = spark.sparkContext.broadcast((of, new))
+
+        def run(frames):
+            of, new = held.value
+            moves, m = of != new, np.zeros(classes * classes)
+            for pdf in frames:
+                for row in pdf.itertuples():
+                    for side, (keys, n) in enumerate((_unpack(row.out_pairs, row.out_n), _unpack(row.in_pairs, row.in_n))):
+                        first, then = _split(keys, size)
+                        at = np.flatnonzero(moves[then] & ~moves[first] if side else moves[first])  # a pair of two that move stands with what follows its first one
+                        first, then, n = first[at], then[at], n[at]
+                        m += np.bincount(new[first] * classes + new[then], n, classes * classes) - np.bincount(of[first] * classes + of[then], n, classes * classes)
+            yield pd.DataFrame({"m": [m.tobytes()]})
+
+        mine = bigrams.where(F.col("turn") == turn).select("out_pairs", "out_n", "in_pairs", "in_n")
+        parts = [np.frombuffer(r.m, float) for r in mine.mapInPandas(run, "m binary").collect()]
+        return np.sum(parts, 0).reshape(classes, classes)
+
     m = matrix(of)
     number, before = 0, _information(m)
     while rounds is None or number < rounds:
@@ -337,12 +384,16 @@ def cluster(bigrams: DataFrame, units: Units, classes: int = CLASSES, rounds: in
             for pdf in frames:
                 for row in pdf.itertuples():
                     (out_keys, out_n), (in_keys, in_n) = _unpack(row.out_pairs, row.out_n), _unpack(row.in_pairs, row.in_n)
-                    sides = [(out_keys // size, out_keys % size, out_n), (in_keys % size, in_keys // size, in_n)]
-                    own = np.unique(np.concatenate([sides[0][0], sides[1][0]]))
-                    counts = [np.bincount(np.searchsorted(own, mine) * classes + of[other], n, len(own) * classes).reshape(len(own), classes) for mine, other, n in sides]
+                    sides = [(*_split(out_keys, size), out_n), (*_split(in_keys, size)[::-1], in_n)]
+                    place = np.zeros(size, np.int64)
+                    for mine, _, _ in sides:
+                        place[mine] = 1
+                    own = np.flatnonzero(place)
+                    place[own] = np.arange(len(own))
+                    counts = [np.bincount(place[mine] * classes + of[other], n, len(own) * classes).reshape(len(own), classes) for mine, other, n in sides]
                     loops = np.zeros(len(own))
                     mine, other, n = sides[0]
-                    loops[np.searchsorted(own, mine[mine == other])] = n[mine == other]
+                    loops[place[mine[mine == other]]] = n[mine == other]
                     now, moves = m.copy(), []
                     order = np.argsort(-counts[1].sum(1), kind="stable")
                     for begin, end in _steps(len(order)):  # a step's own moves count at once for the next
@@ -353,11 +404,11 @@ def cluster(bigrams: DataFrame, units: Units, classes: int = CLASSES, rounds: in
                             _shift(now, int(of[own[i]]), b, counts[0][i], counts[1][i], float(loops[i]))
                     yield pd.DataFrame(moves, columns=["unit", "cls"]).astype("int64")
 
-        moved = bigrams.where(F.col("block") % STRIDE == number % STRIDE).mapInPandas(run, "unit long, cls long").toPandas()
+        moved = bigrams.where(F.col("turn") == number % STRIDE).drop("block", "turn").mapInPandas(run, "unit long, cls long").toPandas()
         if len(moved):
-            of = of.copy()
-            of[moved["unit"].to_numpy()] = moved["cls"].to_numpy()
-            m = matrix(of)
+            new = of.copy()
+            new[moved["unit"].to_numpy()] = moved["cls"].to_numpy()
+            of, m = new, m + moved_matrix(of, new, number % STRIDE)  # whole numbers: exact
         number += 1
         if number % STRIDE == 0:  # every block has moved
             now = _information(m)

@@ -197,6 +197,32 @@ def test_packed_pairs_come_back():
         assert steps[0] == (0, 1) and steps[-1][1] == size and all(a[1] == b[0] for a, b in zip(steps, steps[1:])) and max(b - a for a, b in steps) <= class_ngram.STEP
 
 
+def test_packed_pairs_hold_no_empty_bytes():
+    import numpy as np
+
+    assert len(class_ngram._planes(np.array([1, 2, 200]))) == 4 and len(class_ngram._planes(np.array([1, 256, 2]))) == 7
+
+
+def test_exchange_reads_its_own_blocks_and_keeps_exact_counts(spark, docs):
+    """Blocks of a turn lie together, and counts moved round by round equal those of all pairs, as does each round's start."""
+    import numpy as np
+
+    frame = docs.select("text")
+    units = class_ngram.count_words(frame, 0.0, 3, least=2)
+    bigrams = class_ngram._unit_bigrams(frame, units)
+    assert {(r.block % class_ngram.STRIDE, r.turn) for r in bigrams.collect()} == {(t, t) for t in range(class_ngram.STRIDE)}
+    plan = bigrams.where("turn = 1")._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(turn" in plan
+    start, _ = class_ngram.cluster(bigrams, units, classes=7, rounds=0)
+    for rounds in (1, 2, 6):
+        of, m = class_ngram.cluster(bigrams, units, classes=7, rounds=rounds)
+        want = np.zeros((7, 7))
+        for r in bigrams.collect():
+            keys, n = class_ngram._unpack(r.out_pairs, r.out_n)
+            np.add.at(want, (of[keys // units.n], of[keys % units.n]), n)
+        assert np.array_equal(m, want) and (of != start).any()
+
+
 def test_unit_bigrams_equal_plain_counts(docs, rows):
     """Both sides of every block against counted neighbours of all texts."""
     import numpy as np
