@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import ctypes
 import functools
+import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -51,6 +53,13 @@ def forget(*tables: DataFrame) -> None:
         path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def drop_shuffles(df: DataFrame) -> None:
+    """Has the driver collect its garbage, on which Spark deletes the shuffle files of jobs that have ended; else these stay on disk beside those of the next ones."""
+    gc.collect()
+    time.sleep(0.3)  # until the events of the last job, which still name its plan, are through
+    df.sparkSession._jvm.System.gc()
+
+
 def whole_texts(df: DataFrame) -> SparkSession:
     """The session of a table of whole texts, set to send them to Python in batches of ``TEXT_ROWS`` rows unless it has a setting of its own."""
     spark, rows = df.sparkSession, "spark.sql.execution.arrow.maxRecordsPerBatch"

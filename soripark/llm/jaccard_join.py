@@ -1,9 +1,10 @@
 """Near-duplicate groups by exact n-gram Jaccard similarity, with prefix filters under two global orders.
 
-Documents with equal shingle sets are one node.  A first sketch tells which shingles
-occur once: these are in no intersection, and a set needs ``percent`` of its shingles
-repeated to link at all, so most documents end here.  The rest keep their repeated
-shingles ("kept"), and all later steps read these, never the texts.
+Documents with equal shingle sets are one node.  Shingles that one set alone holds are
+in no intersection, and a set needs ``percent`` of its shingles repeated to link at all,
+so most documents end here; which are repeated is found by ranges of hashes, first among
+all documents and then among the different sets left.  These keep their repeated shingles
+("kept"), and all later steps read these, never the texts.
 
 Under any global order, the first common token of two linked sets has all their
 overlap at or behind it.  At place i of m kept tokens it leaves m - i, so a set of n
@@ -27,8 +28,8 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from soripark.llm import sketch
-from soripark.llm.common import forget, saved, slices, small, table, text_bytes, tidy, whole_texts
+from soripark.llm import sketch, token_ranges
+from soripark.llm.common import drop_shuffles, forget, saved, slices, small, table, text_bytes, tidy, whole_texts
 from soripark.llm.components import components
 from soripark.llm.hashing import batch_word_hashes, batches_of, mix, shingle_hashes
 
@@ -37,7 +38,6 @@ PERCENT = 75
 ORDERS = 2
 #: Sets of a token that are proposed to the others, and proposals of each kind that a node has verified; they save pairs, the search after them is whole.
 LEADERS, PROPOSALS = 4, 2
-FLAG_ROWS = 2
 #: Most cells of a row of counts (two bytes each); an order, not a result, depends on them.
 MOST_COUNT_BITS = 21
 #: Pairs that one copy of a set meets in a task.
@@ -67,39 +67,58 @@ def fingerprint(tokens: np.ndarray) -> int:
     return int(mix(np.array([mix(tokens ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64) + np.uint64(len(tokens))], np.uint64)).astype(np.int64)[0])
 
 
-def token_sets(docs: DataFrame, k: int, percent: int, flags: Broadcast, bits: int) -> DataFrame:
-    """id, hash, node and size of each document's set; of sets that can link, once a task, the kept tokens."""
+def _listed(kept: np.ndarray, counts: np.ndarray, whole: np.ndarray) -> pa.Array:
+    """``kept`` cut by ``counts`` into lists, null where not ``whole``."""
+    ends = np.cumsum(counts)
+    return pa.array([kept[b - n : b].view(np.int64) if w else None for b, n, w in zip(ends.tolist(), counts.tolist(), whole.tolist())], pa.list_(pa.int64()))
 
-    def run(batches):
-        rows = [np.frombuffer(x, np.uint8) for x in flags.value]
+
+def token_sets(docs: DataFrame, k: int, percent: int, tokens: float) -> DataFrame:
+    """id, hash, node and size of each document's set; of sets that can link, once a task, the kept tokens.  ``tokens`` says about how many there are."""
+
+    def reader():
         seen: set[int] = set()
-        for batch in slices(batches):
-            sets = list(shingle_sets(text_bytes(batch.column(1)), k))
-            sizes = np.array([len(s) for s in sets], np.int32)
-            ends = np.cumsum(sizes)
-            joined = np.concatenate(sets) if len(sets) else np.zeros(0, np.uint64)
-            maybe = sketch.flagged(rows, joined, bits)
-            total = np.concatenate([[0], np.cumsum(maybe)])
-            m = np.diff(total[ends], prepend=0) if len(sets) else sizes
-            nodes, kept = np.zeros(len(sets), np.int64), []
-            for i, (tokens, n) in enumerate(zip(sets, sizes.tolist())):
-                nodes[i] = fingerprint(tokens) if n else 0
-                if not n or 100 * int(m[i]) < percent * n or int(nodes[i]) in seen:
-                    kept.append(None)
-                else:
-                    seen.add(int(nodes[i]))
-                    kept.append(tokens[maybe[ends[i] - n : ends[i]]].view(np.int64))
-            ids = pa.array([_NO_ID if x is None else x for x in batch.column(0).to_pylist()], pa.int64())
-            yield pa.RecordBatch.from_arrays([ids, batch.column(2), pa.array(nodes), pa.array(sizes), pa.array(kept, pa.list_(pa.int64()))], ["__sp_id", "hash", "node", "size", "kept"])
-
-    return docs.mapInArrow(tidy(run), "__sp_id long, hash long, node long, size int, kept array<long>")
+
+        def sets(batch):
+            all_ = list(shingle_sets(text_bytes(batch.column(1)), k))
+            nodes = [fingerprint(x) if len(x) else 0 for x in all_]
+            own = []
+            for node, x in zip(nodes, all_):
+                own.append(x[:0] if node in seen else x)
+                seen.add(node)
+            ids = [_NO_ID if x is None else x for x in batch.column(0).to_pylist()]
+            return [ids, batch.column(2).to_numpy(zero_copy_only=False), nodes, [len(x) for x in all_]], own
+
+        return sets
+
+    def result(header, kept, counts):
+        ids, hashes, nodes, sizes = header
+        live = (counts > 0) & (100 * counts >= percent * sizes)
+        return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(hashes), pa.array(nodes), pa.array(sizes.astype(np.int32)), _listed(kept, counts, live)], ["__sp_id", "hash", "node", "size", "kept"])
+
+    return token_ranges.repeated_in(docs, reader, 4, tokens, result, "__sp_id long, hash long, node long, size int, kept array<long>")
+
+
+def linkable(live: DataFrame, percent: int, tokens: float) -> DataFrame:
+    """node, size and kept tokens of different sets: the tokens that two of them hold, and the sets that have enough of these."""
+
+    def sets(batch):
+        return [batch.column(0).to_numpy(), batch.column(1).to_numpy()], [x.values.to_numpy(zero_copy_only=False).view(np.uint64) for x in batch.column(2)]
+
+    def result(header, kept, counts):
+        nodes, sizes = header
+        live = (counts > 0) & (100 * counts >= percent * sizes)
+        return pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(sizes.astype(np.int32)), _listed(kept, counts, live)], ["node", "size", "kept"]).filter(pa.array(live))
+
+    return token_ranges.repeated_in(live.select("node", "size", "kept"), lambda: sets, 2, tokens, result, "node long, size int, kept array<long>")
 
 
 def first_tokens(live: DataFrame, percent: int, flags: Broadcast, bits: int, counts: Broadcast) -> DataFrame:
     """The tokens of each set under each order at which a link can begin, and the size of its largest partner there.
 
     The last two bits of a token are the number of its order; ``common`` is the mean logarithm of the counts of the
-    set's kept tokens, large for sets in the middle of a group of near copies.  ``flags`` are those of the live sets.
+    set's kept tokens, large for sets in the middle of a group of near copies.  ``flags`` may leave out tokens that occur once;
+    without a row of them all stay.
     """
 
     def run(batches):
@@ -215,29 +234,34 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     own = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(_NO_ID)).alias("__sp_id"), F.col(text).alias("text"), text_hash(text).alias("hash"))
     share = whole_texts(docs).sparkContext.broadcast
     chars = own.agg(F.sum(F.length("text"))).first()[0] or 0
-    bits = sketch.bits_for(chars / 6, sketch.MOST_FLAG_BITS)
-    flags = share(sketch.repeated(own.select("text"), lambda batch: shingle_sets(text_bytes(batch.column(0)), k), FLAG_ROWS, bits))
-    every = saved(token_sets(own, k, percent, flags, bits))
-    flags.destroy()
+    every = saved(token_sets(own, k, percent, chars / 6))
+    drop_shuffles(every)
     sets = saved(every.drop("kept"))
-    live = saved(every.where("kept is not null").groupBy("node").agg(F.first("size").alias("size"), F.first("kept").alias("kept")))
+    different = saved(every.where("kept is not null").groupBy("node").agg(F.first("size").alias("size"), F.first("kept").alias("kept")))
     forget(every)
+    held = different.agg(F.sum(F.size("kept"))).first()[0] or 0
+    live = saved(linkable(different, percent, held))
+    forget(different)
+    drop_shuffles(live)
     kept = live.agg(F.sum(F.size("kept"))).first()[0] or 0
     lists = lambda batch: (x.values.to_numpy(zero_copy_only=False).view(np.uint64) for x in batch.column(0))
-    bits = sketch.bits_for(kept, sketch.MOST_FLAG_BITS, 0.25)
-    flags = share(sketch.repeated(live.select("kept"), lists, FLAG_ROWS, bits))
+    flags, bits = share([]), 16  # the kept tokens are repeated, all of them
     counts = share(sketch.build(live.select("kept"), lists, ORDERS, sketch.bits_for(kept, MOST_COUNT_BITS), lambda n: np.minimum(n, 65535).astype(np.uint16).tobytes()))
     postings = saved(first_tokens(live, percent, flags, bits, counts))
     flags.destroy()
     counts.destroy()
+    drop_shuffles(postings)
 
     edges = lambda pairs: components(pairs.select(F.col("a").alias("u"), F.col("b").alias("v")))
     asked = saved(proposals(postings))
+    drop_shuffles(asked)
     links = saved(verified(asked, live, percent))
     rest = saved(_undecided(postings, edges(links)))
+    drop_shuffles(rest)
     untried = saved(across_components(rest, percent).join(asked.union(asked.select("b", "a")), ["a", "b"], "left_anti"))
     final = edges(links.union(saved(verified(untried, live, percent))))
     forget(rest, postings, live)
+    drop_shuffles(sets)
 
     grouped = sets.drop("kept").join(final, "node", "left").withColumn("group", F.coalesce("component", "node"))
     real = F.when(F.col("__sp_id") != _NO_ID, F.col("__sp_id"))
