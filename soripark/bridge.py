@@ -32,7 +32,7 @@ def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     order = ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate"]
     w = Window.partitionBy("l_orderkey").orderBy(*order)
     length, gap = F.round(F.col("l_quantity") * 100).cast("long"), F.round(F.col("l_tax") * 50000).cast("long")
-    rows = table(spark, sf_dir, "lineitem").select(
+    rows = table(spark, sf_dir, "lineitem").repartition("l_orderkey").select(  # dealt out by itself, so that what is computed from the columns is not shuffled beside them
         F.col("l_orderkey").alias("utt_id"), (F.row_number().over(w) - 1).alias("seg_idx"), F.get(F.array(*map(F.lit, TOKENS)), (F.col("l_partkey") % 40).cast("int")).alias("token"),
         (F.round(F.col("l_discount") * 100) / 10).alias("confidence"), length.alias("ticks"), F.sum(length + gap).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("end_ticks"), F.col("l_returnflag").alias("flag"), F.col("l_partkey").alias("part"), gap.alias("gap_ticks"))
     frame = lambda ticks: F.floor(ticks / FRAME_TICKS)
@@ -40,14 +40,19 @@ def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
                        frame(F.col("end_ticks") - F.col("ticks")).alias("frame_start"), frame(F.col("end_ticks") - 1).alias("frame_end"), "confidence", "flag", "part", "ticks", "end_ticks", "gap_ticks")
 
 
+def segment_frames() -> F.Column:
+    """Frames of 20 ms of a segment and the gap before it, as an array of structs; gaps of some parts are mostly blank."""
+    start, p = F.col("end_ticks") - F.col("ticks"), F.col("part")
+    begin = F.floor((start - F.col("gap_ticks") + FRAME_TICKS - 1) / FRAME_TICKS)
+    blank = lambda f: F.when(f * FRAME_TICKS < start, F.least(F.lit(99), 55 + 4 * (p % 11) + f % 5)).otherwise(10 + 5 * (f % 7))
+    one = lambda f: F.struct(f.alias("frame_idx"), (blank(f) / 100).alias("blank_posterior"), ((f * 7 + p) % 20 / 20).alias("confidence"))
+    return F.when(begin <= F.col("frame_end"), F.transform(F.sequence(begin, F.col("frame_end")), one))
+
+
 def frames(spark: SparkSession, sf_dir: str, segs: DataFrame | None = None) -> DataFrame:
-    """Frames of 20 ms of the segments (``segs``, if they are at hand) and the gaps before them; gaps of some parts are mostly blank."""
+    """The frames of the segments (``segs``, if they are at hand), a row a frame."""
     s = segments(spark, sf_dir) if segs is None else segs
-    begin = F.floor((F.col("end_ticks") - F.col("ticks") - F.col("gap_ticks") + FRAME_TICKS - 1) / FRAME_TICKS)
-    rows = s.where(begin <= F.col("frame_end")).select("utt_id", "part", (F.col("end_ticks") - F.col("ticks")).alias("start_ticks"), F.explode(F.sequence(begin, F.col("frame_end"))).alias("frame_idx"))
-    f, p = F.col("frame_idx"), F.col("part")
-    blank = F.when(f * FRAME_TICKS < F.col("start_ticks"), F.least(F.lit(99), 55 + 4 * (p % 11) + f % 5)).otherwise(10 + 5 * (f % 7))
-    return rows.select("utt_id", "frame_idx", (blank / 100).alias("blank_posterior"), ((f * 7 + p) % 20 / 20).alias("confidence"))
+    return s.select("utt_id", F.explode(segment_frames()).alias("f")).select("utt_id", "f.*")
 
 
 def alignments(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,10 +63,13 @@ def alignments(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.when(c % 11 != 0, c % 7 != 0).alias("audio_passed"), (60 + c % 40).cast("double").alias("coarse_score"), (c % 5 == 0).alias("is_partial"))
 
 
-def artifacts(spark: SparkSession, sf_dir: str, segs: DataFrame | None = None) -> DataFrame:
-    """One nested evaluation record an order: status, gate, forced segments."""
+SEGMENT_FIELDS = ("seg_idx", "token", "label", "start_time", "end_time", "confidence")
+
+
+def artifacts(spark: SparkSession, sf_dir: str, segs: DataFrame | None = None, fields: tuple[str, ...] = SEGMENT_FIELDS) -> DataFrame:
+    """One nested evaluation record an order: status, gate, forced segments with those ``fields`` that are asked for."""
     of = (segments(spark, sf_dir) if segs is None else segs).groupBy("utt_id").agg(
-        F.sort_array(F.collect_list(F.struct("seg_idx", "token", "label", "start_time", "end_time", "confidence"))).alias("segments"), F.min_by("flag", "seg_idx").alias("flag"))
+        F.sort_array(F.collect_list(F.struct(*fields))).alias("segments"), F.min_by("flag", "seg_idx").alias("flag"))
     status = table(spark, sf_dir, "orders").groupBy(F.col("o_orderkey").alias("utt_id")).agg(F.min("o_orderstatus").alias("s"))
     gate = F.struct(F.lit(True).alias("performed"), (F.col("flag") != "R").alias("passed"))
     return of.join(status, "utt_id", "left").select(

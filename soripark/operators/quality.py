@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from soripark import tables as t
-from soripark.operators.ranges import range_sums
+from soripark.operators.ranges import between, range_sums
 
 
 def by_utt():
@@ -65,26 +65,67 @@ def very_low_runs(segments: DataFrame, k: int = 8) -> DataFrame:
     return runs.withColumn("rank", rank).where(F.col("rank") <= k).select("utt_id", "rank", "start_index", "end_index", "length", "min_confidence")
 
 
-def gap_evidence(segments: DataFrame, frames: DataFrame, attempt: list[str] | None = None) -> DataFrame:
+def gap_evidence(segments: DataFrame, frames: DataFrame | Column, attempt: list[str] | None = None) -> DataFrame:
     """What the frames strictly between two neighbours tell of their gap; ``frames``: utt_id, frame_idx, blank_posterior, confidence.
 
     Where an utterance has several alignments, told apart by the columns ``attempt``, all are looked up in the same sums.
 
     A gap is like a pause with at least three frames between, a mean blank of .70 and .60 of the frames at a blank of .65.
-    Sums of a gap are differences of an utterance's running sums, so neither frames nor gaps multiply.
+    Sums of a gap are differences of an utterance's running sums, so neither frames nor gaps multiply.  ``frames`` may be
+    an array of structs made of a segment's columns, each frame in one of an utterance's segments: only segments are shuffled then.
     """
     attempt = attempt or []
     own = Window.partitionBy("utt_id", *attempt)
-    rows = segments.withColumns({"begin": F.lag("frame_end").over(own.orderBy("seg_idx")) + 1, "last_idx": F.max("seg_idx").over(own)}).where("begin is not null")
+    all_ = segments.withColumns({"begin": F.lag("frame_end").over(own.orderBy("seg_idx")) + 1, "last_idx": F.max("seg_idx").over(own)})
     n = F.greatest(F.lit(0), F.col("frame_start") - F.col("begin"))
     gap = F.struct(*attempt, F.col("seg_idx").alias("next_idx"), n.alias("frame_count"), (F.col("seg_idx") >= F.col("last_idx") - 1).alias("is_tail_gap"))
-    g = rows.select("utt_id", gap.alias("gap"), "begin", (F.col("begin") + n).alias("end"))
-    blank, sure = F.col("blank_posterior"), F.col("confidence")
-    seen = range_sums(frames, g, ["utt_id"], "frame_idx", ["gap"], {"b": _fixed(blank), "bd": (blank >= 0.65).cast("long"), "c": _fixed(sure), "cl": (sure < 0.35).cast("long")}, "begin", "end")
+    if isinstance(frames, Column):
+        seen = _within(all_.select("utt_id", gap.alias("gap"), F.col("begin").cast("long").alias("low"), (F.col("begin") + n).cast("long").alias("high"), frames.alias("frames")), _sums)
+    else:
+        g = all_.where("begin is not null").select("utt_id", gap.alias("gap"), "begin", (F.col("begin") + n).alias("end"))
+        seen = range_sums(frames, g, ["utt_id"], "frame_idx", ["gap"], _sums(F.col("blank_posterior"), F.col("confidence")), "begin", "end")
+    out = seen.select("utt_id", "gap.*", *(c.alias(name) for name, c in _means().items()))
+    return out.select("utt_id", *attempt, "next_idx", "frame_count", "is_tail_gap", "blank_mean", "blank_dominant_ratio", "confidence_mean", "confidence_low_ratio", _pause().alias("pause_like"))
+
+
+def _means() -> dict[str, Column]:
     mean = lambda c, unit=1.0: F.when(F.col("n_points") > 0, F.col(c) / unit / F.col("n_points"))
-    out = seen.select("utt_id", "gap.*", mean("b", _UNIT).alias("blank_mean"), mean("bd").alias("blank_dominant_ratio"), mean("c", _UNIT).alias("confidence_mean"), mean("cl").alias("confidence_low_ratio"))
-    pause = (F.col("frame_count") >= 3) & (F.round("blank_mean", 9) >= 0.70) & (F.col("blank_dominant_ratio") >= 0.60)
-    return out.select("utt_id", *attempt, "next_idx", "frame_count", "is_tail_gap", "blank_mean", "blank_dominant_ratio", "confidence_mean", "confidence_low_ratio", F.coalesce(pause, F.lit(False)).alias("pause_like"))
+    return {"blank_mean": mean("b", _UNIT), "blank_dominant_ratio": mean("bd"), "confidence_mean": mean("c", _UNIT), "confidence_low_ratio": mean("cl")}
+
+
+def _pause() -> Column:
+    return F.coalesce((F.col("frame_count") >= 3) & (F.round("blank_mean", 9) >= 0.70) & (F.col("blank_dominant_ratio") >= 0.60), F.lit(False))
+
+
+def with_pauses(segments: DataFrame, frames: Column, keep: list[str]) -> DataFrame:
+    """utt_id, seg_idx and ``keep`` of all segments and whether the gap before each is like a pause; ``frames`` as an array, see ``gap_evidence``.
+
+    The segments go along with the ends of their gaps, so that they are shuffled by utterance once and joined with nothing.
+    """
+    own = Window.partitionBy("utt_id")
+    rows = segments.withColumn("begin", F.lag("frame_end").over(own.orderBy("seg_idx")) + 1)
+    n = F.greatest(F.lit(0), F.col("frame_start") - F.col("begin"))
+    gap = F.struct(F.when(F.col("begin").isNotNull(), n).alias("frame_count"), F.struct("seg_idx", *keep).alias("s"))
+    low = F.coalesce(F.col("begin"), F.col("frame_start"), F.lit(0)).cast("long")
+    seen = _within(rows.select("utt_id", gap.alias("gap"), low.alias("low"), (low + F.coalesce(n, F.lit(0))).alias("high"), frames.alias("frames")), _sums)
+    out = seen.select("utt_id", "gap.*", *(c.alias(name) for name, c in _means().items()))
+    return out.select("utt_id", "s.*", _pause().alias("pause_like"))
+
+
+def _sums(blank: Column, sure: Column) -> dict[str, Column]:
+    return {"b": _fixed(blank), "bd": (blank >= 0.65).cast("long"), "c": _fixed(sure), "cl": (sure < 0.35).cast("long")}
+
+
+def _within(rows: DataFrame, sums) -> DataFrame:
+    """The sums of gaps (low to high; null low: none) and their utterances' ``frames``; both come out of the rows behind their one shuffle."""
+    names = list(sums(F.lit(0.0), F.lit(0.0)))
+    kind = f"struct<_at: long, _point: int, gap: {rows.schema['gap'].dataType.simpleString()}, _sign: int, {', '.join(f'{n}: long' for n in names)}>"
+    nothing = F.lit(None)
+    points = F.transform("frames", lambda f: F.struct(f["frame_idx"], F.lit(1), nothing, nothing, *(F.coalesce(c, F.lit(0)) for c in sums(f["blank_posterior"], f["confidence"]).values())).cast(kind))
+    end = lambda at, sign: F.struct(F.col(at), F.lit(0), F.col("gap"), F.lit(sign), *(F.lit(0) for _ in names)).cast(kind)
+    ends = F.when(F.col("low").isNotNull() & F.col("high").isNotNull(), F.array(end("low", -1), end("high", 1)))
+    both = rows.select("utt_id", F.explode(F.concat(F.coalesce(points, F.array().cast(f"array<{kind}>")), F.coalesce(ends, F.array().cast(f"array<{kind}>")))).alias("x"))
+    return between(both.select("utt_id", "x.*"), ["utt_id"], ["gap"], names)
 
 
 _UNIT = 1e12
@@ -99,7 +140,7 @@ def timing_summary(segments: DataFrame, evidence: DataFrame | None = None, align
     """Gap, duration and confidence figures and the quality level of each utterance.
 
     ``segments`` carry their effective thresholds; ratios of the fixed ones stand beside.  ``evidence``
-    (of ``gap_evidence``) tells which gaps are pauses; without it none is.  ``alignments`` (utt_id,
+    (of ``gap_evidence``) tells which gaps are pauses; without it the segments' column pause_like does, or none is.  ``alignments`` (utt_id,
     coverage, normalized_log_prob, blank_ratio) are passed on; without them coverage is 1.  Mean confidence is taken
     to nine places, so that the order of summing decides nothing.
     """
@@ -109,7 +150,7 @@ def timing_summary(segments: DataFrame, evidence: DataFrame | None = None, align
         "length": F.greatest(F.lit(0.0), F.col("end_time") - F.col("start_time"))})
     rows = rows.withColumn("gap", F.when(F.col("seg_idx") > F.min("seg_idx").over(whole), F.col("gap")))
     if evidence is None:
-        rows = rows.withColumn("pause_like", F.lit(False))
+        rows = rows if "pause_like" in rows.columns else rows.withColumn("pause_like", F.lit(False))
     else:
         rows = rows.join(evidence.select("utt_id", F.col("next_idx").alias("seg_idx"), "pause_like"), ["utt_id", "seg_idx"], "left").fillna(False, ["pause_like"])
     tail, pause, c = F.col("from_end") <= 1, F.col("pause_like"), F.col("confidence")

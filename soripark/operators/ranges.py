@@ -22,6 +22,11 @@ def range_sums(points: DataFrame, ranges: DataFrame, by: list[str], at: str, key
     borders = ranges.where(F.col(low).isNotNull() & F.col(high).isNotNull()).select(*by, *key, ends.alias("_end")).select(*by, *key, "_end._at", "_end._sign", F.lit(0).alias("_point"))
     nothing = {k: F.lit(None).cast(borders.schema[k].dataType) for k in key} | {"_sign": F.lit(None).cast("int")}
     both = values.withColumns(nothing).unionByName(borders.withColumns({n: F.lit(0).cast(numbers[n]) for n in names}))
+    return between(both, by, key, names)
+
+
+def between(both: DataFrame, by: list[str], key: list[str], names: list[str]) -> DataFrame:
+    """The sums of ``range_sums`` from points (_point 1, with their ``names``) and ends of ranges (_point 0, with ``key`` and _sign -1 or 1) in one table."""
     w = Window.partitionBy(*by).orderBy("_at", "_point").rowsBetween(Window.unboundedPreceding, 0)
     run = both.withColumns({"_n": F.sum("_point").over(w)} | {n: F.sum(n).over(w) for n in names}).where("_point = 0")
     total = [F.sum(F.col("_sign") * F.col(n)).alias(n) for n in names]

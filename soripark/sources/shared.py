@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -23,7 +25,15 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def drop_shuffles(spark: SparkSession) -> None:
+    """Has the driver collect its garbage, on which Spark deletes the shuffle files of jobs that have ended; else these stay on disk beside those of the next ones."""
+    gc.collect()
+    time.sleep(0.3)  # until the events of the last job, which still name its plan, are through
+    spark._jvm.System.gc()
+
+
 def staged(df: DataFrame, name: str = "staged") -> DataFrame:
     path = new_folder(df.sparkSession, name)
     df.write.parquet(path)
+    drop_shuffles(df.sparkSession)
     return df.sparkSession.read.schema(df.schema).parquet(path)
