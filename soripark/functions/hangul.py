@@ -38,11 +38,12 @@ def decompose(ch: Column) -> Column:
 
 def compose(onset: Column, vowel: Column, coda: Column) -> Column:
     """The syllable of three indexes (0-based)."""
-    return F.decode(F.unhex(_utf16(F.lit(FIRST) + onset * 588 + vowel * 28 + coda)), "UTF-16BE")
+    return F.get(_table("|".join(chr(FIRST + i) for i in range(11172))), (onset * 588 + vowel * 28 + coda).cast("int"))
 
 
-def _utf16(code_point: Column) -> Column:
-    return F.lpad(F.hex(code_point.cast("long")), 4, "0")
+def _table(values: str) -> Column:
+    """Values between bars as an array, which Spark splits once, while it plans."""
+    return F.split(F.lit(values), r"\|", -1)
 
 
 def numeral(digits: Column) -> Column:
@@ -112,22 +113,25 @@ def border_table(linking: bool) -> list[tuple[int, int]]:
     return [(t.CODAS.index(c), t.ONSETS.index(o)) for c, o in pairs]
 
 
-def pronounce(normal: Column, linking: bool) -> Column:
-    """Sound changes between neighbouring syllables of a normalised text, over spaces and punctuation.
+def _codes(normal: Column) -> Column:
+    return F.transform(F.regexp_extract_all(normal, F.lit(f"({SYLLABLE})"), F.lit(1)), code)
 
-    Each border reads only the coda before and the onset and vowel after it, so all are looked up at once.
-    """
+
+def _beside(codes: Column) -> Column:
+    """Each code with its neighbours, so that no lambda computes the whole row again."""
+    none = F.array(F.lit(None).cast("int"))
+    beside = F.arrays_zip(codes.alias("c"), F.concat(none, codes).alias("before"), F.concat(F.slice(codes, 2, F.greatest(F.size(codes), F.lit(1))), none).alias("after"))
+    return F.filter(beside, lambda x: x["c"].isNotNull())
+
+
+def _changed(beside: Column, rest: Column, linking: bool) -> Column:
+    """The changed syllables of ``_beside`` between the ``rest`` of the text."""
     table = border_table(linking)
     new_coda, new_onset = (F.array(*(F.lit(x[i]) for x in table)) for i in (0, 1))
     palatal = F.array(*(F.lit(int(v in t.PALATAL_VOWELS)) for v in t.VOWELS))
-    codes = F.transform(F.regexp_extract_all(normal, F.lit(f"({SYLLABLE})"), F.lit(1)), code)
     onset = lambda c: F.floor(c / 588)
     vowel = lambda c: F.floor(c % 588 / 28)
     key = lambda left, right: (left % 28 * 38 + onset(right) * 2 + F.get(palatal, vowel(right).cast("int"))).cast("int")
-    # neighbours come beside each code, so that no lambda computes the whole row again
-    none = F.array(F.lit(None).cast("int"))
-    beside = F.arrays_zip(codes.alias("c"), F.concat(none, codes).alias("before"), F.concat(F.slice(codes, 2, F.greatest(F.size(codes), F.lit(1))), none).alias("after"))
-    beside = F.filter(beside, lambda x: x["c"].isNotNull())
 
     def changed(x: Column) -> Column:
         c = x["c"]
@@ -135,10 +139,17 @@ def pronounce(normal: Column, linking: bool) -> Column:
         on = F.coalesce(F.get(new_onset, key(x["before"], c)), onset(c))
         return compose(on, vowel(c), coda)
 
-    rest = F.split(normal, SYLLABLE, -1)
     return F.array_join(F.flatten(F.zip_with(rest, F.concat(F.transform(beside, changed), F.array(F.lit(""))), lambda a, b: F.array(a, b))), "")
 
 
+def pronounce(normal: Column, linking: bool) -> Column:
+    """Sound changes between neighbouring syllables of a normalised text, over spaces and punctuation.
+
+    Each border reads only the coda before and the onset and vowel after it, so all are looked up at once.
+    """
+    return _changed(_beside(_codes(normal)), F.split(normal, SYLLABLE, -1), linking)
+
+
 def symbols_of(ch: Column) -> Column:
     """array<struct<symbol, position>> of one character."""
     c = code(ch)
@@ -150,6 +161,17 @@ def symbols_of(ch: Column) -> Column:
     return F.when((c >= 0) & (c < 11172), F.filter(syllable, lambda s: s["symbol"] != "")).otherwise(F.array(part(ch, "other")))
 
 
+@cache
+def _syllable_ipa() -> str:
+    """The symbols of ``symbols_of``, spaces between, of every syllable in order."""
+    out = []
+    for i in range(11172):
+        onset, vowel = t.ONSETS[i // 588], t.VOWELS[i % 588 // 28]
+        soft = {"ㅅ": "ɕ", "ㅆ": "ɕ͈"}.get(onset) if vowel in t.PALATAL_VOWELS else None
+        out.append(" ".join(x for x in (soft or t.ONSET_IPA[i // 588], t.VOWEL_IPA[i % 588 // 28], t.CODA_IPA[i % 28]) if x))
+    return "|".join(out)
+
+
 def narrow_symbols_of(ch: Column) -> Column:
     """``symbols_of`` in the narrow transcription: front rounded vowels, double codas, no softened s."""
     c = code(ch)
@@ -225,7 +247,7 @@ def labels_to_ipa(labels: Column) -> Column:
 def ipa_to_labels(symbols: Column) -> Column:
     """struct<labels, unsupported>: labels of IPA symbols, or null with the symbols that have none."""
     table = _map(t.IPA_LABEL)
-    missing = F.array_distinct(F.filter(symbols, lambda s: F.try_element_at(table, s).isNull()))
+    missing = F.filter(F.array_distinct(symbols), lambda s: F.try_element_at(table, s).isNull())
     labels = F.transform(symbols, lambda s: F.try_element_at(table, s))
     return F.struct(F.when(F.size(missing) == 0, labels).alias("labels"), missing.alias("unsupported"))
 
@@ -242,10 +264,11 @@ def candidates(text: Column) -> Column:
 def with_candidates(df, text: str = "text", into: str = "candidates"):
     """``df`` with the array of ``candidates``; each step is a column of its own, so none is computed twice."""
     df = df.withColumn("__trim", F.regexp_replace(F.col(text), r"(?U)^\s+|\s+$", "")).withColumn("__normal", normalize(F.col("__trim")))
-    df = df.withColumn("__standard", pronounce(F.col("__normal"), False)).withColumn("__linked", pronounce(F.col("__normal"), True))
+    df = df.withColumns({"__codes": _codes(F.col("__normal")), "__rest": F.split("__normal", SYLLABLE, -1)}).withColumn("__beside", _beside(F.col("__codes")))
+    df = df.withColumns({"__standard": _changed(F.col("__beside"), F.col("__rest"), False), "__linked": _changed(F.col("__beside"), F.col("__rest"), True)})
     forms = F.filter(F.array_distinct(F.array("__standard", "__linked", "__normal")), lambda x: x != "")
     rows = F.transform(forms, lambda p, i: F.struct(i.alias("rank"), p.alias("pronunciation"), (i == 0).alias("is_primary")))
-    return df.withColumn(into, F.when(F.col("__normal") != "", rows)).drop("__trim", "__normal", "__standard", "__linked")
+    return df.withColumn(into, F.when(F.col("__normal") != "", rows)).drop("__trim", "__normal", "__codes", "__rest", "__beside", "__standard", "__linked")
 
 
 def with_tokens(df, pronunciation: str, into: str = "tokens"):
@@ -256,3 +279,11 @@ def with_tokens(df, pronunciation: str, into: str = "tokens"):
     df = df.withColumn("__ipa", ipa_text(F.array_join(F.transform("__symbols", lambda x: x["symbol"]), " "))).withColumn("__tokens", split_ipa(F.col("__ipa")))
     df = df.withColumn("__same", F.size("__tokens") == F.size("__symbols"))
     return df.withColumn(into, placed(F.col("__tokens"), F.col("__symbols"), F.col("__same"))).drop("__normal", "__chars", "__symbols", "__ipa", "__tokens", "__same")
+
+
+def with_ipa(df, pronunciation: str, into: str = "ipa"):
+    """``df`` with the symbols alone of ``with_tokens``: a look-up a character, no category or position."""
+    df = df.withColumn("__chars", F.filter(F.split(F.regexp_replace(normalize(F.col(pronunciation)), r"(?U)\s+", ""), "(?!^)"), lambda ch: ch != ""))
+    table = _table(_syllable_ipa())
+    df = df.withColumn("__ipa", ipa_text(F.array_join(F.transform("__chars", lambda ch: F.coalesce(F.get(table, code(ch)), ch)), " ")))
+    return df.withColumn(into, split_ipa(F.col("__ipa"))).drop("__chars", "__ipa")
